@@ -5,15 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.llm import sql
 from tidemark.llm.ngram_join import ngram_components
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.pii import pii_digests
+from tidemark.llm.quality_rules import apply_rules
 from tidemark.llm.secret_scan import secret_digests
 from tidemark.llm.token_files import read_token_files, token_digests, write_token_files
 from tidemark.llm.tokens import default_path
+from tidemark.llm.topk import top_k
 from tidemark.session import read_table
-from pyspark.sql import functions as F
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +41,14 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digests(read_table(spark, sf_dir, "documents"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply_rules(read_table(spark, sf_dir, "documents"))
+
+
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(spark, read_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -45,8 +56,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_secret_scan": op4_secret_scan,
         "op5_token_files": op5_token_files,
         "op8_pii": op8_pii,
+        "op9_quality_rules": op9_quality_rules,
+        "op10_top_k": op10_top_k,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_ngram_join": sql.NGRAM_COMPONENTS, "op9_quality_rules": sql.QUALITY_RULES, "op10_top_k": sql.TOP_K}
