@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import sql
+from tidemark.llm import quality_model, sql, warc
 from tidemark.llm.ngram_join import ngram_components
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.pii import pii_digests
@@ -24,6 +24,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_model.fit(docs).score(docs, ("doc_id",))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(spark, read_table(spark, sf_dir, "documents"))
 
@@ -37,6 +42,12 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(read_token_files(manifest))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.write_archive(read_table(spark, sf_dir, "pages"))
+    records = warc.read_archive(spark, path)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digests(read_table(spark, sf_dir, "documents"))
 
@@ -52,9 +63,11 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op2_quality_classifier": op2_quality_classifier,
         "op3_ngram_join": op3_ngram_join,
         "op4_secret_scan": op4_secret_scan,
         "op5_token_files": op5_token_files,
+        "op7_warc": op7_warc,
         "op8_pii": op8_pii,
         "op9_quality_rules": op9_quality_rules,
         "op10_top_k": op10_top_k,
@@ -62,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_join": sql.NGRAM_COMPONENTS, "op9_quality_rules": sql.QUALITY_RULES, "op10_top_k": sql.TOP_K}
+    return {"op3_ngram_join": sql.NGRAM_COMPONENTS, "op7_warc": sql.WARC, "op9_quality_rules": sql.QUALITY_RULES, "op10_top_k": sql.TOP_K}

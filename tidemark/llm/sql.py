@@ -67,3 +67,12 @@ select d.doc_id, coalesce(s.n, 0)::bigint as n_shingles, least(d.doc_id, coalesc
 from documents d left join size s using (doc_id) left join reach r on r.u = d.doc_id
 group by d.doc_id, s.n
 """
+
+WARC = """
+with p as (select page_id, coalesce(html, '') as html, strlen(coalesce(html, ''))::bigint as n from pages),
+g as (select *, max(page_id) over (partition by html) as best from p)
+select page_id, n as payload_bytes, sha1(html) as payload_digest,
+  case when n >= 1000 and page_id is distinct from best then 'revisit' else 'response' end as record_type,
+  case when n >= 1000 and page_id is distinct from best then best end as refers_to
+from g
+"""
