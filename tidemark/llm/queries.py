@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import quality_model, sql, warc
+from tidemark.llm import mixing, quality_model, sql, warc
 from tidemark.llm.ngram_join import ngram_components
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.pii import pii_digests
@@ -42,6 +42,13 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(read_token_files(manifest))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed, model = mixing.mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    domains = F.array(*map(F.lit, model.domains))
+    likeliest = F.element_at(domains, F.array_position("posterior", F.array_max("posterior")).cast("int"))
+    return mixed.select("doc_id", "n_tokens", likeliest.alias("domain"), "posterior", "rate", "copies")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.write_archive(read_table(spark, sf_dir, "pages"))
     records = warc.read_archive(spark, path)
@@ -67,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_ngram_join": op3_ngram_join,
         "op4_secret_scan": op4_secret_scan,
         "op5_token_files": op5_token_files,
+        "op6_mixing": op6_mixing,
         "op7_warc": op7_warc,
         "op8_pii": op8_pii,
         "op9_quality_rules": op9_quality_rules,
