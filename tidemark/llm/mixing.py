@@ -157,17 +157,17 @@ def _rate(steps: list[np.ndarray]) -> Column:
     if not steps:
         return F.lit(1.0)
     table = F.array(*(F.array(*(F.lit(float(x)) for x in y)) for y in steps))
-    dot = lambda y: sum(F.get(F.col("posterior"), F.lit(i)) * F.get(y, F.lit(i)) for i in range(size))
+    dot = lambda y: sum(F.get(F.col("__posterior"), F.lit(i)) * F.get(y, F.lit(i)) for i in range(size))
     return F.aggregate(table, F.lit(1.0), lambda rate, y: F.greatest(F.lit(0.0), rate - dot(y)))
 
 
 def fit_rates(members: DataFrame, weights: np.ndarray) -> list[np.ndarray]:
-    """Steps that bring the expected tokens by domain of ``members`` (n_tokens, posterior) to ``weights`` of a total.
+    """Steps that bring the expected tokens by domain of ``members`` (n_tokens, __posterior) to ``weights`` of a total.
 
     The total is such that the domain of the largest weight is taken whole; a domain that has less than its share is taken whole too.
     """
     size = len(weights)
-    p = [F.get(F.col("posterior"), F.lit(i)) for i in range(size)]
+    p = [F.get(F.col("__posterior"), F.lit(i)) for i in range(size)]
     pairs = [(i, j) for i in range(size) for j in range(i, size)]
     first = members.agg(*(F.sum(F.col("n_tokens") * p[i] * p[j]) for i, j in pairs), *(F.sum(F.col("n_tokens") * p[i]) for i in range(size))).first()
     if first[0] is None:
@@ -200,9 +200,9 @@ def fit_rates(members: DataFrame, weights: np.ndarray) -> list[np.ndarray]:
 
 
 def memberships(docs: DataFrame, model: DomainModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep``, n_tokens (words) and posterior of every document."""
+    """Columns ``keep``, n_tokens (words) and __posterior of every document."""
     split = docs.select(*keep, F.col("text").alias("__text"), signals.words(F.col("text")).alias("__words"))
-    return split.select(*keep, F.size("__words").cast("long").alias("n_tokens"), model.posterior(F.col("__text"), F.col("__words")).alias("posterior"))
+    return split.select(*keep, F.size("__words").cast("long").alias("n_tokens"), model.posterior(F.col("__text"), F.col("__words")).alias("__posterior"))
 
 
 def copies(rate: Column, doc_id: str = "doc_id") -> Column:
@@ -219,4 +219,20 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     weights = np.array([targets.get(d, 0.0) for d in model.domains])
     steps = fit_rates(members, weights)
     rate = _rate(steps)
-    return members.withColumn("rate", rate).withColumn("copies", copies(F.col("rate"))), model
+    rated = members.withColumn("rate", rate).withColumn("copies", copies(F.col("rate")))
+    return rated.withColumnRenamed("__posterior", "posterior"), model
+
+
+def take(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+    """The documents as often as their rates say, with their own columns.
+
+    The rate is worked out again on each text: no join, and so no shuffle, of the texts.
+    """
+    targets = TARGETS if targets is None else targets
+    model = fit_domains(docs, labels)
+    members = materialize(memberships(docs, model, ()), "members")
+    steps = fit_rates(members, np.array([targets.get(d, 0.0) for d in model.domains]))
+    split = docs.withColumn("__words", signals.words(F.col("text")))
+    rated = split.withColumn("__posterior", model.posterior(F.col("text"), F.col("__words")))
+    taken = rated.withColumn("__copies", copies(_rate(steps))).where("__copies > 0")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)

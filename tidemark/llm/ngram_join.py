@@ -11,16 +11,20 @@ component of links. The stages:
    settle what repeats within themselves and send each shingle once, as a 32-bit
    remainder in a bucket of shingles; a bucket's task says how many shingles of
    each set occur elsewhere. Two shingles with one remainder only make a set stay.
-3. *Blocks.* The sets that stay are linked to the least set with which they share
-   one of the ``n - ceil(3 n / 4) + 1`` first shingles in the global order; linked
-   sets have one in common, so they end in one component of these edges, a block.
-4. *Trie join* of each block (``trie_join``). A block of many shingles is dealt in
-   chunks, each with the block's least set; if links leave it in more than one
-   component, pairs of chunks are joined, except what is one component already.
-5. *Components* of the links, then of the documents.
-
-No stage emits pairs of documents: edges are at most one a set (stage 4) or one a
-set and shingle (stage 3). A 64-bit hash stands for a shingle and for a set.
+3. *Near copies.* Sets with the same least hash, under either of two permutations, are
+   joined over a trie (``trie_join``); most links lie within such a group. A large group
+   is dealt in chunks, each with the group's least set.
+4. *What is left.* Stage 2 again, for components instead of sets: a component of which
+   too few shingles occur in another has no link that is missing. Passages that many
+   documents share end here.
+5. *Blocks.* What is left is linked to the least set with which it shares one of the
+   ``n - ceil(3 n / 4) + 1`` first shingles in the global order; linked sets have one
+   in common, so they end in one component of these edges, a block. Blocks are joined
+   over tries, large ones in chunks and then in pairs of chunks.
+6. *Components* of all links, then of the documents.
+
+No stage emits pairs of documents: edges are at most one a set (stages 3 and 5) or one a
+set and shingle (blocks). A 64-bit hash stands for a shingle and for a set.
 
 Results in special cases: a text without words (or null) has an empty set, links
 with nothing and is its own component; repeated rows are one class; a row with a
@@ -47,6 +51,8 @@ from tidemark.session import materialize, ship_package
 WORDS = 5
 #: Characters of text for each bucket of shingles; shingles that a task settles at a time; shingles in a chunk of a block.
 BUCKET_CHARS, SETTLE_SHINGLES, CHUNK_SHINGLES = 16_000_000, 1_500_000, 400_000
+#: Size of the bitmap that says which documents' sets are needed again.
+FILTER_BITS = 1 << 24
 #: Distinct words whose hashes a worker remembers.
 MEMO_WORDS = 400_000
 
@@ -60,6 +66,10 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: One for each permutation of the shingles.
+_SALTS = (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344))
+
+
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a number of words."""
 
@@ -95,53 +105,64 @@ def set_hash(grams: np.ndarray) -> int:
 SETS = "doc_id long, fp long, n long, hits long, bucket int, sizes binary, fps binary, grams binary"
 
 
+ROW_SCHEMA = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("hits", pa.int64()), ("bucket", pa.int32()), ("sizes", pa.binary()), ("fps", pa.binary()), ("grams", pa.binary())])
+
+
+def _unsettled(owners: np.ndarray, sets: list[tuple[int, np.ndarray]], buckets: int) -> tuple[np.ndarray, list[pa.RecordBatch]]:
+    """Of sets (place among the owners, shingles): how many shingles of each owner another one here has too, and rows with the rest.
+
+    A shingle that several owners here have is sent once, without an owner.
+    """
+    place = np.repeat(np.array([p for p, _ in sets], np.int64), [len(s) for _, s in sets])
+    grams = np.concatenate([s for _, s in sets])
+    order = np.lexsort((place, grams))
+    grams, place = grams[order], place[order]
+    distinct = np.concatenate([[True], (grams[1:] != grams[:-1]) | (place[1:] != place[:-1])])
+    grams, place = grams[distinct], place[distinct]
+    new = np.concatenate([[True], grams[1:] != grams[:-1]])
+    alone = new & np.concatenate([new[1:], [True]])
+    hits = np.bincount(place[~alone], minlength=len(owners))
+    sent = np.where(alone, place, -1)[new]
+    grams = grams[new]
+    to = (grams >> np.uint64(32)) % np.uint64(buckets)
+    order = np.lexsort((sent, to))
+    grams, sent, to = grams[order], sent[order], to[order]
+    edges = np.searchsorted(to, np.arange(buckets + 1, dtype=np.uint64))
+    rows = []
+    for b in range(buckets):
+        part = slice(edges[b], edges[b + 1])
+        if part.start == part.stop:
+            continue
+        own, sizes = np.unique(sent[part], return_counts=True)  # -1 (no owner) comes first
+        signed = np.where(own < 0, -sizes, sizes).astype("<i4")
+        low = (grams[part] & np.uint64(0xFFFFFFFF)).astype("<u4")
+        values = [None, None, None, None, b, signed.tobytes(), np.where(own < 0, 0, owners[own]).astype("<i8").tobytes(), low.tobytes()]
+        rows.append(pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, ROW_SCHEMA, strict=True)], schema=ROW_SCHEMA))
+    return hits, rows
+
+
+def _owner_rows(doc_ids: list, owners: np.ndarray, counts: list[int], hits: np.ndarray, buckets: int) -> pa.RecordBatch:
+    empty = [pa.nulls(len(owners), pa.binary()) for _ in range(3)]
+    columns = [pa.array(doc_ids, pa.int64()), pa.array(owners), pa.array(counts, pa.int64()), pa.array(hits.astype(np.int64)), pa.array((owners % buckets).astype(np.int32)), *empty]
+    return pa.RecordBatch.from_arrays(columns, schema=ROW_SCHEMA)
+
+
 def _profile(buckets: int):
     """Rows for documents (doc_id, fp, n, hits within the task) and, for each bucket, the shingles of sets."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("hits", pa.int64()), ("bucket", pa.int32()), ("sizes", pa.binary()), ("fps", pa.binary()), ("grams", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), set()
         doc_ids: list[int | None] = []
         fps: list[int] = []
         counts: list[int] = []
-        sets: list[tuple[int, np.ndarray]] = []  # (place among the documents, shingles)
+        sets: list[tuple[int, np.ndarray]] = []
         gathered = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            hits = np.zeros(len(fps), np.int64)
-            if sets:
-                owners = np.repeat(np.array([p for p, _ in sets], np.int64), [len(s) for _, s in sets])
-                grams = np.concatenate([s for _, s in sets])
-                order = np.argsort(grams, kind="stable")
-                grams, owners = grams[order], owners[order]
-                new = np.concatenate([[True], grams[1:] != grams[:-1]])
-                alone = new & np.concatenate([new[1:], [True]])
-                hits += np.bincount(owners[~alone], minlength=len(fps))
-                # What repeats here is sent once, without an owner.
-                sent = np.where(alone, owners, -1)[new]
-                grams = grams[new]
-                to = (grams >> np.uint64(32)) % np.uint64(buckets)
-                order = np.lexsort((sent, to))
-                grams, sent, to = grams[order], sent[order], to[order]
-                edges = np.searchsorted(to, np.arange(buckets + 1, dtype=np.uint64))
-                table = np.concatenate([np.array(fps, np.int64), [0]])
-                for b in range(buckets):
-                    part = slice(edges[b], edges[b + 1])
-                    if part.start == part.stop:
-                        continue
-                    own, sizes = np.unique(sent[part], return_counts=True)  # -1 (no owner) comes first
-                    owner = np.where(own < 0, 0, table[own])
-                    known = sizes * (own >= 0)
-                    low = (grams[part] & np.uint64(0xFFFFFFFF)).astype("<u4")
-                    yield row(b, np.where(own < 0, -sizes, known).astype("<i4").tobytes(), owner.astype("<i8").tobytes(), low.tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc_ids, pa.int64()), pa.array(fps, pa.int64()), pa.array(counts, pa.int64()), pa.array(hits), pa.array((np.array(fps, np.int64) % buckets).astype(np.int32)), *(pa.nulls(len(fps), pa.binary()) for _ in range(3))],
-                schema=schema,
-            )
-
-        def row(bucket: int, sizes: bytes, owners: bytes, grams: bytes) -> pa.RecordBatch:
-            values = [None, None, None, None, bucket, sizes, owners, grams]
-            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
+            owners = np.array(fps, np.int64)
+            hits, rows = _unsettled(owners, sets, buckets) if sets else (np.zeros(len(fps), np.int64), [])
+            yield from rows
+            yield _owner_rows(doc_ids, owners, counts, hits, buckets)
 
         for batch in batches:
             for part, texts in text_slices(batch, "text"):
@@ -164,6 +185,38 @@ def _profile(buckets: int):
     return run
 
 
+def _profile_components(buckets: int):
+    """As ``_profile``, with components (component, n, grams) as the owners; n is the size of a component's smallest set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place: dict[int, int] = {}
+        least: list[int] = []
+        sets: list[tuple[int, np.ndarray]] = []
+        gathered = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            owners = np.array(list(place), np.int64)
+            hits, rows = _unsettled(owners, sets, buckets)
+            yield from rows
+            yield _owner_rows([None] * len(owners), owners, least, hits, buckets)
+
+        for batch in batches:
+            for component, n, data in zip(*(batch.column(c).to_pylist() for c in ("component", "n", "grams")), strict=True):
+                i = place.setdefault(component, len(place))
+                if i == len(least):
+                    least.append(n)
+                least[i] = min(least[i], n)
+                sets.append((i, np.frombuffer(data, "<u8")))
+                gathered += n
+                if gathered >= SETTLE_SHINGLES:
+                    yield from flush()
+                    place, least, sets, gathered = {}, [], [], 0
+        if sets:
+            yield from flush()
+
+    return run
+
+
 def _settle(table: pa.Table) -> pa.Table:
     """Of one bucket: the document rows as they are, and for each set how many of its shingles occur in another."""
     docs = table.filter(pc.is_valid(table.column("n"))).select(["doc_id", "fp", "n", "hits"])
@@ -177,8 +230,11 @@ def _settle(table: pa.Table) -> pa.Table:
     if not grams:
         return docs
     grams, owners = np.concatenate(grams), np.concatenate(owners)
-    order = np.argsort(grams, kind="stable")
+    order = np.lexsort((owners, grams))
     grams, owners = grams[order], owners[order]
+    # What one owner sent from several tasks is one shingle of it; without an owner, it repeats anyhow.
+    distinct = np.concatenate([[True], (grams[1:] != grams[:-1]) | (owners[1:] != owners[:-1]) | (owners[1:] == 0)])
+    grams, owners = grams[distinct], owners[distinct]
     new = np.concatenate([[True], grams[1:] != grams[:-1]])
     repeated = ~(new & np.concatenate([new[1:], [True]]))
     fps, hits = np.unique(owners[repeated & (owners != 0)], return_counts=True)
@@ -187,13 +243,14 @@ def _settle(table: pa.Table) -> pa.Table:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """fp, n and the shingles of each text's set."""
+    """fp, n, two least hashes and the shingles of each text's set."""
     hashes = WordHashes()
     for batch in batches:
         for _, texts in text_slices(batch, "text"):
             sets = [s for s in (shingle_set(t, hashes) for t in texts) if len(s)]
-            columns = [pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["fp", "n", "grams"])
+            keys = [[int(_mixed(s ^ salt).min().view(np.int64)) for s in sets] for salt in _SALTS]
+            columns = [pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(k, pa.int64()) for k in keys), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["fp", "n", "key_a", "key_b", "grams"])
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +268,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _join_group(table: pa.Table) -> pa.Table:
     """Links of the blocks of one group."""
-    table = table.sort_by([("block", "ascending"), ("fp", "ascending")])
+    table = table.combine_chunks().sort_by([("block", "ascending"), ("fp", "ascending")])
     blocks = table.column("block").to_numpy()
     fps = table.column("fp").to_numpy()
     comps = table.column("component").to_pylist()
@@ -228,33 +285,88 @@ def _join_group(table: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
-def _block_join(sets: DataFrame, groups: int) -> DataFrame:
-    """Edges (u, v) that join, within each block of ``sets`` (fp, n, grams, block), all sets that links connect."""
-    sizes = sets.groupBy("block").agg(F.sum("n").alias("total")).withColumn("chunks", F.ceil(F.col("total") / CHUNK_SHINGLES).cast("int"))
-    dealt = sets.join(sizes, "block")
+def _places(members: DataFrame, groups: int) -> tuple[DataFrame, DataFrame]:
+    """Where the sets of ``members`` (block, fp, n, component) are joined, and the blocks that take several chunks.
+
+    Small blocks share a group; the least set of a large block goes to each of its chunks.
+    """
+    sizes = members.groupBy("block").agg(F.sum("n").alias("total"), F.min("fp").alias("leader"), F.count("*").alias("sets")).where("sets > 1")
+    sizes = sizes.select("block", "leader", F.ceil(F.col("total") / CHUNK_SHINGLES).cast("int").alias("chunks"))
     own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     every = F.sequence(F.lit(0), F.col("chunks") - 1)
-    # Small blocks share a group; the least set of a large block goes to each of its chunks.
-    first = dealt.select(
-        "block", "fp", "grams", F.col("fp").alias("component"),
+    places = members.join(sizes, "block").select(
+        "block", "fp", "component",
         F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("block"), F.lit(groups))).otherwise(F.col("block")).alias("part"),
-        F.explode(F.when(F.col("chunks") == 1, F.array(F.lit(-1))).when(F.col("fp") == F.col("block"), every).otherwise(F.array(own))).alias("chunk"),
+        F.explode(F.when(F.col("chunks") == 1, F.array(F.lit(-1))).when(F.col("fp") == F.col("leader"), every).otherwise(F.array(own))).alias("chunk"),
     )
-    links = materialize(first.groupBy("part", "chunk").applyInArrow(_join_group, "u long, v long"), "links")
-    large = sizes.where("chunks > 1")
+    return places, sizes.where("chunks > 1").select("block", "chunks")
+
+
+LINK = "u long, v long"
+
+
+def _near_links(sets: DataFrame, groups: int) -> DataFrame:
+    """Links within the groups of sets that have a least hash in common."""
+    keyed = sets.select(F.explode(F.array(F.col("key_a"), F.col("key_b"))).alias("block"), "fp", "n", F.col("fp").alias("component")).distinct()
+    places, _ = _places(keyed, groups)
+    return materialize(places.join(sets.select("fp", "grams"), "fp").groupBy("part", "chunk").applyInArrow(_join_group, LINK), "links")
+
+
+def _block_links(sets: DataFrame, members: DataFrame, groups: int) -> DataFrame:
+    """Links that join, within each block of ``members`` (block, fp, n, component), all ``sets`` (fp, grams) that similarity connects."""
+    places, large = _places(members, groups)
+    links = materialize(places.join(sets, "fp").groupBy("part", "chunk").applyInArrow(_join_group, LINK), "links")
     if large.isEmpty():
         return links
-    found = connected_components(links)
-    parted = sets.join(large, "block").join(found, F.col("fp") == F.col("vertex"), "left").withColumn("component", F.coalesce("component", "fp")).drop("vertex")
+    known = links.union(members.select(F.col("fp").alias("u"), F.col("component").alias("v")))
+    found = connected_components(known).withColumnRenamed("component", "joined")
+    parted = members.join(large, "block").join(found, F.col("fp") == F.col("vertex"), "left")
+    parted = parted.select("block", "fp", "chunks", F.coalesce("joined", "component").alias("component"))
     open_blocks = parted.groupBy("block").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("block")
-    rest = parted.join(open_blocks, "block")
-    pairs = rest.withColumn("chunk", own).select(
-        "block", "fp", "grams", "component", F.explode(every).alias("other"), "chunk"
-    ).withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other"))
-    more = pairs.groupBy("block", "low", "high").applyInArrow(_join_group, "u long, v long")
+    chunk, every = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"), F.sequence(F.lit(0), F.col("chunks") - 1)
+    pairs = parted.join(open_blocks, "block").select("block", "fp", "component", chunk.alias("chunk"), F.explode(every).alias("other"))
+    pairs = pairs.select("block", "fp", "component", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
+    more = pairs.join(sets, "fp").groupBy("block", "low", "high").applyInArrow(_join_group, LINK)
     return links.union(materialize(more, "links"))
 
 
+def _left_over(sets: DataFrame, links: DataFrame, buckets: int) -> DataFrame:
+    """fp, n, grams, component of the sets whose component may have links to another."""
+    found = connected_components(links)
+    known = sets.select("fp", "n", "grams").join(found, F.col("fp") == F.col("vertex"), "left").select("fp", "n", "grams", F.coalesce("component", "fp").alias("component"))
+    profiled = known.select("component", "n", "grams").mapInArrow(_profile_components(buckets), SETS)
+    settled = profiled.groupBy("bucket").applyInArrow(_settle, "doc_id long, fp long, n long, hits long")
+    able = settled.groupBy("fp").agg(F.min("n").alias("least"), F.sum("hits").alias("hits")).where("4 * hits >= 3 * least").select(F.col("fp").alias("component"))
+    return materialize(known.join(materialize(able, "able"), "component", "left_semi"), "rest")
+
+
+def _chosen(docs: DataFrame, able: DataFrame) -> DataFrame:
+    """The sets (``_sets``) of the documents whose doc_id is in ``able``, and perhaps of a few more.
+
+    Up to ``FILTER_BITS / 8`` ids become a bitmap of fixed size that goes to every task, so that no text is
+    shuffled; more of them are a join.
+    """
+    schema = "fp long, n long, key_a long, key_b long, grams binary"
+    if able.count() > FILTER_BITS // 8:
+        return docs.join(able, "doc_id", "left_semi").select("text").mapInArrow(_sets, schema)
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).cast("long")
+    marks = able.select(bit.alias("bit")).groupBy((F.col("bit") / 32).cast("long").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 as int))")).alias("bits"))
+    found = marks.toPandas()
+    bitmap = np.zeros(FILTER_BITS // 32, np.uint32)
+    bitmap[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).astype(np.uint32)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def marked() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                bits = batch.column("bit").to_numpy()
+                yield batch.filter(pa.array((shared.value[bits // 32] >> (bits % 32).astype(np.uint32)) & 1 == 1))
+
+        yield from _sets(marked())
+
+    return docs.where("doc_id is not null").select("text", bit.alias("bit")).mapInArrow(run, schema)
+
+
 def linked_sets(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, fp, n) of every document, and (vertex, component) of the sets that have links."""
     ship_package(spark)
@@ -266,13 +378,15 @@ def linked_sets(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFr
     each = settled.where("n is not null").select("doc_id", "fp", "n")
     classes = settled.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.sum("hits").alias("hits"))
     able = classes.where("n > 0 and 4 * hits >= 3 * n and doc_id is not null").select("doc_id")
-    sets = materialize(docs.join(able, "doc_id", "left_semi").select("text").mapInArrow(_sets, "fp long, n long, grams binary"), "sets")
-    prefixes = sets.select("fp", "grams").mapInArrow(_prefixes, "gram long, fp long")
+    sets = materialize(_chosen(docs, able), "sets")
+    near = _near_links(sets, buckets)
+    rest = _left_over(sets, near, buckets)
+    prefixes = rest.select("fp", "grams").mapInArrow(_prefixes, "gram long, fp long")
     least = prefixes.groupBy("gram").agg(F.min("fp").alias("u"), F.max("fp").alias("last")).where("u < last").select("gram", "u")
     edges = prefixes.join(least, "gram").select("u", F.col("fp").alias("v")).where("u <> v").distinct()
-    blocks = connected_components(edges)
-    joined = sets.join(blocks, F.col("fp") == F.col("vertex")).select("fp", "n", "grams", F.col("component").alias("block"))
-    links = _block_join(joined, buckets)
+    blocks = connected_components(edges).withColumnRenamed("component", "block")
+    members = rest.select("fp", "n", "component").distinct().join(blocks, F.col("fp") == F.col("vertex")).select("block", "fp", "n", "component")
+    links = near.union(_block_links(rest.select("fp", "grams"), materialize(members, "members"), buckets))
     return each, connected_components(links)
 
 
@@ -286,3 +400,23 @@ def ngram_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     company = named.select("fp", "component").join(roots.where("members > 1"), "component").select("fp", "component_id")
     out = each.join(company, "fp", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+#: Documents to drop whose ids may go to every task (8 bytes each); more of them are a join.
+DROPPED_BROADCAST = 1_000_000
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The documents without those that link to one with a smaller doc_id, directly or through others.
+
+    Rows that repeat a doc_id count as one document. Rows with a null doc_id stay.
+    """
+    found = materialize(ngram_components(spark, docs), "components")
+    dropped = found.where("component_id <> doc_id").select("doc_id").distinct()
+    small = dropped.count() <= DROPPED_BROADCAST
+    kept = docs.join(F.broadcast(dropped) if small else dropped, "doc_id", "left_anti").select(*docs.columns)
+    repeats = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if repeats.isEmpty():
+        return kept
+    again = kept.join(repeats, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(repeats, "doc_id", "left_anti").select(*docs.columns).unionByName(again.select(*docs.columns))

@@ -42,6 +42,8 @@ MAGIC = b"TIDEEF01"
 HEADER = struct.Struct("<8sBQQQq")
 #: Ids after which a partition begins another file.
 FILE_IDS = 32_000_000
+#: Most tasks that read files at a time.
+MOST_TASKS = 10_000
 
 
 class EliasFano:
@@ -191,7 +193,9 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                     columns = [pa.array(doc_ids, pa.int64()), pa.array(start + first, pa.int64()), pa.array(ids, pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "ids"])
 
-    spread = manifest.select("path", "first").repartition("path")
+    # A task a file, or a few: left to itself, adaptive execution would put the small manifest in one task.
+    tasks = max(1, min(manifest.count(), MOST_TASKS))
+    spread = manifest.select("path", "first").repartition(tasks, "path")
     return spread.mapInArrow(run, "doc_id long, start long, ids binary")
 
 

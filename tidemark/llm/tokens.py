@@ -17,14 +17,17 @@ from itertools import chain
 #: Characters with the Unicode property White_Space (fixed values).
 SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
 
+#: Letters of one byte in Latin-1, and marks that end most words: both tokenizers split between the two.
+LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,!"
+
 #: A byte-level piece is a word with the one blank before it, or a run of white space (its last character apart, where a word follows).
 PIECES = {
-    "byte": re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"),
-    "word": re.compile(f"[^{SPACE}]+"),
+    "byte": re.compile(f" ?[{LETTERS}]+(?=[{MARKS}{SPACE}])| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"),
+    "word": re.compile(f"[{LETTERS}]+(?=[{MARKS}{SPACE}])|[^{SPACE}]+"),
 }
 
 #: Pieces that a worker remembers at most, and the longest that it does (longer ones seldom come again).
-MEMO_PIECES, MEMO_CHARS = 700_000, 10
+MEMO_PIECES, MEMO_CHARS = 1_000_000, 13
 
 #: Special tokens split a text before anything else does; a text with one is encoded whole.
 SPECIAL = "<|"
