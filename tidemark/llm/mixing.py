@@ -41,7 +41,7 @@ from tidemark.session import materialize
 #: Labelled documents in the sample (about); telling words a label; least documents and least share of a value's documents with one; least gap in log-rates.
 SAMPLE_DOCS, TELLING_WORDS, LEAST_WITH, LEAST_SHARE, LEAST_GAP = 6_000, 100, 5, 0.05, 3.0
 #: Iterations of projected gradient descent at most, and the relative residual at which it ends.
-MOST_STEPS, TOLERANCE = 40, 1e-6
+MOST_STEPS, TOLERANCE = 20, 1e-4
 
 #: Target weights by domain, "quality/toxic" of the labels; other domains get none.
 TARGETS = {"1/0": 0.96, "1/1": 0.03, "0/0": 0.01}
@@ -51,20 +51,26 @@ BITS = 1 << 30
 SNAP = 0.1
 
 
-def _bins(text: Column, own: Column) -> dict[str, Column]:
-    """Signs of a text as small whole numbers."""
-    n = F.size(own)
-    share = lambda x, steps: F.least(F.lit(4), F.floor(F.coalesce(F.try_divide(x * steps, n), F.lit(0.0)))).cast("int")
-    return {
-        "symbols": share(signals.n_chars_of(text, "#*$%&|<>"), 5),
-        "marks": share(signals.n_chars_of(text, "!?"), 5),
-        "variety": share(F.size(F.array_distinct(own)), 5),
-    }
+def _signs(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """Columns ``keep``, the number of words, the distinct words, and signs of the text as small whole numbers.
+
+    Each is worked out once, in a projection of its own, as the model refers to it many times.
+    """
+    split = docs.select(*keep, F.col("text").alias("__text"), signals.words(F.col("text")).alias("__words"))
+    counted = split.select(*keep, "__text", F.size("__words").alias("__n"), F.array_distinct("__words").alias("__distinct"))
+    share = lambda x: F.least(F.lit(4), F.floor(F.coalesce(F.try_divide(x * 5, F.col("__n")), F.lit(0.0)))).cast("int")
+    text = F.col("__text")
+    values = (share(signals.n_chars_of(text, "#*$%&|<>")), share(signals.n_chars_of(text, "!?")), share(F.size("__distinct")))
+    return counted.select(*keep, "__n", "__distinct", *(v.alias(name) for v, name in zip(values, SIGNS, strict=True)))
 
 
-def _tokens_of(own: Column) -> Column:
+#: Symbols and marks a word, and share of distinct words, in fifths.
+SIGNS = ("__symbols", "__marks", "__variety")
+
+
+def _tokens_of(distinct: Column) -> Column:
     """Distinct words in lower case without marks at their ends."""
-    return F.array_distinct(F.transform(own, lambda w: F.lower(F.btrim(w, F.lit(".,;:!?\"'()")))))
+    return F.transform(distinct, lambda w: F.lower(F.btrim(w, F.lit(".,;:!?\"'()"))))
 
 
 class LabelModel:
@@ -73,18 +79,17 @@ class LabelModel:
     def __init__(self, values: list[str], base: np.ndarray, words: dict[str, np.ndarray], bins: dict[tuple[str, int], np.ndarray]):
         self.values, self.base, self.words, self.bins = values, base, words, bins
 
-    def posterior(self, found: Column, text: Column, own: Column) -> Column:
-        """An array with a probability for each value; ``found`` are the text's distinct telling words."""
+    def posterior(self, found: Column) -> Column:
+        """An array with a probability for each value, over ``_signs``; ``found`` are the text's distinct telling words."""
         vector = lambda v: F.array(*(F.lit(float(x)) for x in v))
         add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
         nothing, score = vector(np.zeros(len(self.values))), vector(self.base)
         if self.words:
             table = F.create_map(*(c for w, v in self.words.items() for c in (F.lit(w), vector(v))))
             score = F.aggregate(found, score, lambda acc, w: add(acc, F.coalesce(F.try_element_at(table, w), nothing)))
-        for name, value in _bins(text, own).items():
-            known = [(b, v) for (n, b), v in self.bins.items() if n == name]
-            chosen = reduce(lambda otherwise, kv: F.when(value == kv[0], vector(kv[1])).otherwise(otherwise), known, nothing)
-            score = add(score, F.when(F.size(own) > 0, chosen).otherwise(nothing))
+        for name in SIGNS:
+            known = F.array(*(vector(self.bins[name, b]) for b in range(5)))
+            score = add(score, F.when(F.col("__n") > 0, F.get(known, F.col(name))).otherwise(nothing))
         raised = lambda s: F.transform(s, lambda x: F.exp(x - F.array_max(s)))
         normal = lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
         return signals.let(signals.let(score, raised), normal)
@@ -97,20 +102,19 @@ class DomainModel:
         self.models = models
         self.domains = ["/".join(v) for v in product(*(m.values for m in models))] if models else ["all"]
 
-    def posterior(self, text: Column, own: Column) -> Column:
-        """An array with a probability for each domain."""
+    def posterior(self) -> Column:
+        """An array with a probability for each domain, over ``_signs``."""
         if not self.models:
             return F.array(F.lit(1.0))
         telling = sorted({w for m in self.models for w in m.words})
-        found = F.array_intersect(_tokens_of(own), F.array(*map(F.lit, telling))) if telling else F.array().cast("array<string>")
-        of = lambda m: lambda f: m.posterior(f, text, own)
-        each = F.array(*(signals.let(found, of(m)) for m in self.models))
+        found = F.array_intersect(_tokens_of(F.col("__distinct")), F.array(*map(F.lit, telling))) if telling else F.array().cast("array<string>")
+        each = signals.let(found, lambda f: F.array(*(m.posterior(f) for m in self.models)))
         picks = list(product(*(range(len(m.values)) for m in self.models)))
         product_of = lambda e, pick: reduce(lambda a, b: a * b, (F.get(F.get(e, F.lit(i)), F.lit(k)) for i, k in enumerate(pick)))
         return signals.let(each, lambda e: F.array(*(product_of(e, pick) for pick in picks)))
 
 
-def _fit_label(sample: DataFrame, column: str, bins: list[str]) -> LabelModel:
+def _fit_label(sample: DataFrame, column: str) -> LabelModel:
     totals = {r[column]: r["count"] for r in sample.groupBy(column).count().collect()}
     values = sorted(totals)
     total = np.array([totals[v] for v in values], float)
@@ -129,9 +133,9 @@ def _fit_label(sample: DataFrame, column: str, bins: list[str]) -> LabelModel:
         base += np.log1p(-p)
         words[r["word"]] = np.log(p) - np.log1p(-p)
     by_bin = {}
-    for name in bins:
+    for name in SIGNS:
         table = {r[name]: [r[v] for v in values] for r in sample.groupBy(name).pivot(column, values).count().na.fill(0).collect()}
-        for b in range(6):
+        for b in range(5):
             by_bin[name, b] = np.log((np.array(table.get(b, [0] * len(values))) + 0.2) / (total + 1.2))
     return LabelModel(values, base, words, by_bin)
 
@@ -142,13 +146,11 @@ def fit_domains(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...] = (
     known = known.groupBy("doc_id").agg(F.min(F.struct(*(F.col(c).cast("string").alias(c) for c in columns))).alias("label"))
     n_labels = known.count()
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(BITS)) < F.lit(int(BITS * min(1.0, sample_docs / max(1, n_labels))))
-    texts = docs.where(draw).select("doc_id", F.col("text").alias("__text")).join(known.where(draw), "doc_id")
-    split = texts.select("label.*", "__text", signals.words(F.col("__text")).alias("__words"))
-    bins = _bins(F.col("__text"), F.col("__words"))
-    sample = materialize(split.select(*columns, _tokens_of(F.col("__words")).alias("words"), *(c.alias(n) for n, c in bins.items())), "labelled")
+    texts = docs.where(draw).select("doc_id", "text").join(known.where(draw), "doc_id").select("label.*", "text")
+    sample = materialize(_signs(texts, columns).select(*columns, F.array_distinct(_tokens_of(F.col("__distinct"))).alias("words"), *SIGNS), "labelled")
     if sample.isEmpty():
         return DomainModel([])
-    return DomainModel([_fit_label(sample, c, list(bins)) for c in columns])
+    return DomainModel([_fit_label(sample, c) for c in columns])
 
 
 def _rate(steps: list[np.ndarray]) -> Column:
@@ -201,8 +203,7 @@ def fit_rates(members: DataFrame, weights: np.ndarray) -> list[np.ndarray]:
 
 def memberships(docs: DataFrame, model: DomainModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep``, n_tokens (words) and __posterior of every document."""
-    split = docs.select(*keep, F.col("text").alias("__text"), signals.words(F.col("text")).alias("__words"))
-    return split.select(*keep, F.size("__words").cast("long").alias("n_tokens"), model.posterior(F.col("__text"), F.col("__words")).alias("__posterior"))
+    return _signs(docs, keep).select(*keep, F.col("__n").cast("long").alias("n_tokens"), model.posterior().alias("__posterior"))
 
 
 def copies(rate: Column, doc_id: str = "doc_id") -> Column:
@@ -232,7 +233,7 @@ def take(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     model = fit_domains(docs, labels)
     members = materialize(memberships(docs, model, ()), "members")
     steps = fit_rates(members, np.array([targets.get(d, 0.0) for d in model.domains]))
-    split = docs.withColumn("__words", signals.words(F.col("text")))
-    rated = split.withColumn("__posterior", model.posterior(F.col("text"), F.col("__words")))
+    signed = _signs(docs, tuple(docs.columns))
+    rated = signed.select(*docs.columns, model.posterior().alias("__posterior"))
     taken = rated.withColumn("__copies", copies(_rate(steps))).where("__copies > 0")
     return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)

@@ -53,6 +53,8 @@ WORDS = 5
 BUCKET_CHARS, SETTLE_SHINGLES, CHUNK_SHINGLES = 16_000_000, 1_500_000, 400_000
 #: Size of the bitmap that says which documents' sets are needed again.
 FILTER_BITS = 1 << 24
+#: Ranges of sets in which buckets report.
+HIT_RANGES = 64
 #: Distinct words whose hashes a worker remembers.
 MEMO_WORDS = 400_000
 
@@ -220,6 +222,7 @@ def _profile_components(buckets: int):
 def _settle(table: pa.Table) -> pa.Table:
     """Of one bucket: the document rows as they are, and for each set how many of its shingles occur in another."""
     docs = table.filter(pc.is_valid(table.column("n"))).select(["doc_id", "fp", "n", "hits"])
+    docs = docs.append_column("part", pa.nulls(docs.num_rows, pa.int32())).append_column("packed", pa.nulls(docs.num_rows, pa.binary()))
     rows = table.filter(pc.is_valid(table.column("grams")))
     grams, owners = [], []
     for sizes, fps, low in zip(*(rows.column(c).to_pylist() for c in ("sizes", "fps", "grams")), strict=True):
@@ -238,8 +241,35 @@ def _settle(table: pa.Table) -> pa.Table:
     new = np.concatenate([[True], grams[1:] != grams[:-1]])
     repeated = ~(new & np.concatenate([new[1:], [True]]))
     fps, hits = np.unique(owners[repeated & (owners != 0)], return_counts=True)
-    found = pa.table({"doc_id": pa.nulls(len(fps), pa.int64()), "fp": pa.array(fps), "n": pa.nulls(len(fps), pa.int64()), "hits": pa.array(hits.astype(np.int64))})
-    return pa.concat_tables([docs, found.cast(docs.schema)])
+    # One row for each range of sets, not one for each set: a set has a few shingles in most buckets.
+    to = fps % HIT_RANGES
+    order = np.argsort(to, kind="stable")
+    fps, hits, to = fps[order], hits[order].astype(np.int64), to[order]
+    edges = np.searchsorted(to, np.arange(HIT_RANGES + 1))
+    ranges = [r for r in range(HIT_RANGES) if edges[r] < edges[r + 1]]
+    packed = [np.concatenate([fps[edges[r] : edges[r + 1]], hits[edges[r] : edges[r + 1]]]).tobytes() for r in ranges]
+    nothing = pa.nulls(len(ranges), pa.int64())
+    return pa.concat_tables([docs, pa.table([nothing, nothing, nothing, nothing, pa.array(ranges, pa.int32()), pa.array(packed, pa.binary())], names=SETTLED_NAMES)])
+
+
+SETTLED = "doc_id long, fp long, n long, hits long, part int, packed binary"
+SETTLED_NAMES = ["doc_id", "fp", "n", "hits", "part", "packed"]
+
+
+def _sum_hits(table: pa.Table) -> pa.Table:
+    """(fp, hits) of one range of sets, from all buckets."""
+    pairs = [np.frombuffer(p, np.int64).reshape(2, -1) for p in table.column("packed").to_pylist()]
+    fps, place = np.unique(np.concatenate([p[0] for p in pairs]), return_inverse=True)
+    hits = np.zeros(len(fps), np.int64)
+    np.add.at(hits, place, np.concatenate([p[1] for p in pairs]))
+    return pa.table({"fp": fps, "hits": hits})
+
+
+def _hits(settled: DataFrame) -> DataFrame:
+    """(fp, n, doc_id, hits) rows whose sums are each set's hits."""
+    remote = settled.where("packed is not null").select("part", "packed").groupBy("part").applyInArrow(_sum_hits, "fp long, hits long")
+    own = settled.where("packed is null").select("fp", "n", "doc_id", "hits")
+    return own.unionByName(remote, allowMissingColumns=True)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,13 +339,13 @@ def _near_links(sets: DataFrame, groups: int) -> DataFrame:
     """Links within the groups of sets that have a least hash in common."""
     keyed = sets.select(F.explode(F.array(F.col("key_a"), F.col("key_b"))).alias("block"), "fp", "n", F.col("fp").alias("component")).distinct()
     places, _ = _places(keyed, groups)
-    return materialize(places.join(sets.select("fp", "grams"), "fp").groupBy("part", "chunk").applyInArrow(_join_group, LINK), "links")
+    return materialize(places.join(sets.select("fp", "grams").hint("merge"), "fp").groupBy("part", "chunk").applyInArrow(_join_group, LINK), "links")
 
 
 def _block_links(sets: DataFrame, members: DataFrame, groups: int) -> DataFrame:
     """Links that join, within each block of ``members`` (block, fp, n, component), all ``sets`` (fp, grams) that similarity connects."""
     places, large = _places(members, groups)
-    links = materialize(places.join(sets, "fp").groupBy("part", "chunk").applyInArrow(_join_group, LINK), "links")
+    links = materialize(places.join(sets.hint("merge"), "fp").groupBy("part", "chunk").applyInArrow(_join_group, LINK), "links")
     if large.isEmpty():
         return links
     known = links.union(members.select(F.col("fp").alias("u"), F.col("component").alias("v")))
@@ -326,18 +356,18 @@ def _block_links(sets: DataFrame, members: DataFrame, groups: int) -> DataFrame:
     chunk, every = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"), F.sequence(F.lit(0), F.col("chunks") - 1)
     pairs = parted.join(open_blocks, "block").select("block", "fp", "component", chunk.alias("chunk"), F.explode(every).alias("other"))
     pairs = pairs.select("block", "fp", "component", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
-    more = pairs.join(sets, "fp").groupBy("block", "low", "high").applyInArrow(_join_group, LINK)
+    more = pairs.join(sets.hint("merge"), "fp").groupBy("block", "low", "high").applyInArrow(_join_group, LINK)
     return links.union(materialize(more, "links"))
 
 
 def _left_over(sets: DataFrame, links: DataFrame, buckets: int) -> DataFrame:
     """fp, n, grams, component of the sets whose component may have links to another."""
     found = connected_components(links)
-    known = sets.select("fp", "n", "grams").join(found, F.col("fp") == F.col("vertex"), "left").select("fp", "n", "grams", F.coalesce("component", "fp").alias("component"))
+    known = sets.select("fp", "n", "grams").join(found.hint("merge"), F.col("fp") == F.col("vertex"), "left").select("fp", "n", "grams", F.coalesce("component", "fp").alias("component"))
     profiled = known.select("component", "n", "grams").mapInArrow(_profile_components(buckets), SETS)
-    settled = profiled.groupBy("bucket").applyInArrow(_settle, "doc_id long, fp long, n long, hits long")
-    able = settled.groupBy("fp").agg(F.min("n").alias("least"), F.sum("hits").alias("hits")).where("4 * hits >= 3 * least").select(F.col("fp").alias("component"))
-    return materialize(known.join(materialize(able, "able"), "component", "left_semi"), "rest")
+    settled = materialize(profiled.groupBy("bucket").applyInArrow(_settle, SETTLED), "settled")
+    able = _hits(settled).groupBy("fp").agg(F.min("n").alias("least"), F.sum("hits").alias("hits")).where("4 * hits >= 3 * least").select(F.col("fp").alias("component"))
+    return materialize(known.join(materialize(able, "able").hint("merge"), "component", "left_semi"), "rest")
 
 
 def _chosen(docs: DataFrame, able: DataFrame) -> DataFrame:
@@ -374,9 +404,9 @@ def linked_sets(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFr
     chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(chars / BUCKET_CHARS))
     profiled = docs.mapInArrow(_profile(buckets), SETS)
-    settled = materialize(profiled.groupBy("bucket").applyInArrow(_settle, "doc_id long, fp long, n long, hits long"), "profile")
+    settled = materialize(profiled.groupBy("bucket").applyInArrow(_settle, SETTLED), "profile")
     each = settled.where("n is not null").select("doc_id", "fp", "n")
-    classes = settled.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.sum("hits").alias("hits"))
+    classes = _hits(settled).groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.sum("hits").alias("hits"))
     able = classes.where("n > 0 and 4 * hits >= 3 * n and doc_id is not null").select("doc_id")
     sets = materialize(_chosen(docs, able), "sets")
     near = _near_links(sets, buckets)

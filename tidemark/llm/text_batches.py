@@ -8,7 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Rows and characters that one output batch gathers at most before it goes out (a single longer text makes a batch of its own).
-BATCH_ROWS, BATCH_CHARS = 2_000, 2_000_000
+BATCH_ROWS, BATCH_CHARS = 4_000, 4_000_000
 
 
 def text_slices(batch: pa.RecordBatch, text: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
