@@ -61,7 +61,7 @@ query("regime_rank", "select symbol, regime_id, row_number() over (partition by
 query("transition_empirical", "select symbol, from_id, to_id, round(cast(n as double) / sum(n) over (partition by symbol, from_id), 6) as prob from (select symbol, regime_id as from_id, next_id as to_id, count(*) as n from (select symbol, regime_id, lead(regime_id) over (partition by symbol order by bar_ts) as next_id from regimes) as t where next_id is not null group by symbol, regime_id, next_id) as c")
 query("index_snapshot", "select bar_ts, round(close, 4) as level, round(close - prev, 4) as change, round((close / prev - 1) * 100, 4) as change_pct from (select *, lag(close) over (order by bar_ts) as prev, row_number() over (order by bar_ts desc) as back from index_bars) as i where back = 1")
 query("index_series", "select bar_ts, round(close, 6) as level from index_bars")
-query("chart_payload", "select symbol, list(bar_ts order by bar_ts) as dates, list(round(close, 2) order by bar_ts) as closes, list(regime_id order by bar_ts) as regime_ids from regimes group by symbol", lambda use: _payload(use("regimes")))
+query("chart_payload", "select symbol, list(bar_ts order by bar_ts) as dates, list(round(close, 4) order by bar_ts) as closes, list(regime_id order by bar_ts) as regime_ids from regimes group by symbol", lambda use: _payload(use("regimes")))
 
 # Two sessions of a day, and the run before: from the scans, with some symbols changed.
 relation("am_snapshot", "select strategy, symbol, case when symbol = 'BUILDING' then 0 else 1 end as same_day from scans where symbol <> 'MACHINERY'")
@@ -87,5 +87,5 @@ def _csv():
 def _payload(regimes):
     from pyspark.sql import functions as F
 
-    rows = regimes.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("bar_ts", F.round("close", 2).alias("close"), "regime_id"))).alias("r"))
+    rows = regimes.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("bar_ts", F.round("close", 4).alias("close"), "regime_id"))).alias("r"))
     return rows.select("symbol", F.col("r.bar_ts").alias("dates"), F.col("r.close").alias("closes"), F.col("r.regime_id").alias("regime_ids"))

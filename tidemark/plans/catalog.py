@@ -94,9 +94,10 @@ def run(spark: SparkSession, name: str, sf_dir: str | None = None, _made: dict[s
     for n in {u for m in seen if not RELATIONS[m].build for u in RELATIONS[m].uses}:
         if n in given or n in TABLES:
             inputs[n] = run(spark, n, sf_dir, made, **given)
-    ctes = [f"{n} as (select * from {{{n}}})" for n in inputs] + [f"{n} as ({RELATIONS[n].sql})" for n in parts]
-    text = (f"with {', '.join(ctes)} " if ctes else "") + f"select * from ({r.sql}) as result"
-    return spark.sql(text, **inputs)
+    plain = lambda sql: sql.replace("{", "{{").replace("}", "}}")
+    ctes = [f"{n} as (select * from {{{n}}})" for n in inputs] + [f"{n} as ({plain(RELATIONS[n].sql)})" for n in parts]
+    text = (f"with {', '.join(ctes)} " if ctes else "") + f"select * from ({plain(r.sql)}) as result"
+    return spark.sql(text, **inputs) if inputs else spark.sql(text.replace("{{", "{").replace("}}", "}"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
