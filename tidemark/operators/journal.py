@@ -6,13 +6,13 @@ from tidemark.plans.catalog import query, relation
 
 # Events from orders: an entry for each of some, an exit for most, rolls from line items.
 relation("trade_entries", "select o_orderkey as trade_id, c_mktsegment as symbol, case when o_orderkey % 3 = 0 then null else 'C' || cast(o_orderkey % 50 as string) end as contract, cast(1 + o_orderkey % 5 as int) as quantity, round(cast(o_orderkey % 997 as double) / 10, 2) as entry_price, o_orderdate as entry_ts, cast(o_custkey % 7 as int) as regime_id from orders join customer on c_custkey = o_custkey where o_orderkey % 4 <> 1")
-relation("trade_exits", "select trade_id, round(entry_price * (0.80 + cast(trade_id % 41 as double) / 100), 2) as exit_price, entry_ts as exit_ts from trade_entries where trade_id % 5 <> 0")
+relation("trade_exits", "select trade_id, round(entry_price * (0.80 + cast(trade_id % 41 as double) / 100), 4) as exit_price, entry_ts as exit_ts from trade_entries where trade_id % 5 <> 0")
 relation("trade_rolls", "select trade_id, l_linenumber as roll_no, contract as from_contract, 'C' || cast(50 + l_linenumber as string) as to_contract, round(l_discount * 2, 2) as credit, l_shipdate as roll_ts from trade_entries join lineitem on l_orderkey = trade_id where contract is not null and l_linenumber <= 2 and trade_id % 2 = 0")
 
 query("trade_roll_rollup", "select trade_id, count(*) as roll_count, round(sum(credit), 4) as roll_credits, max_by(to_contract, cast(roll_ts as string) || to_contract) as contract from trade_rolls group by trade_id")
 query(
     "trade_pnl",
-    """select e.trade_id, e.symbol, e.regime_id, coalesce(r.contract, e.contract) as contract, round(case when e.contract is null then (x.exit_price - e.entry_price) * e.quantity else (x.exit_price - e.entry_price) * 100 * e.quantity + coalesce(r.roll_credits, 0) * 100 * e.quantity end, 2) as pnl,
+    """select e.trade_id, e.symbol, e.regime_id, coalesce(r.contract, e.contract) as contract, round(case when e.contract is null then (x.exit_price - e.entry_price) * e.quantity else (x.exit_price - e.entry_price) * 100 * e.quantity + coalesce(r.roll_credits, 0) * 100 * e.quantity end, 4) as pnl,
       case when e.entry_price > 0 then round((x.exit_price - e.entry_price) / e.entry_price * 100, 4) else 0 end as pnl_pct, x.exit_ts
     from trade_entries e join trade_exits x on x.trade_id = e.trade_id left join trade_roll_rollup r on r.trade_id = e.trade_id""",
 )
@@ -22,10 +22,10 @@ query("closed_trades", "select trade_id, symbol, pnl, pnl_pct, exit_ts from (sel
 query("trades_head", "select trade_id, symbol, pnl from (select *, row_number() over (partition by symbol order by exit_ts, trade_id) as rn from trade_pnl) as t where rn <= 20")
 query(
     "perf_summary",
-    """select count(*) as closed, count_if(pnl > 0) as wins, round(100.0 * cast(count_if(pnl > 0) as double) / count(*), 4) as win_rate, round(cast(sum(cast(round(pnl * 100) as bigint)) as double) / 100, 2) as total_pnl, max(pnl) as best, min(pnl) as worst,
+    """select count(*) as closed, count_if(pnl > 0) as wins, round(100.0 * cast(count_if(pnl > 0) as double) / count(*), 4) as win_rate, round(cast(sum(cast(round(pnl * 10000) as bigint)) as double) / 10000, 4) as total_pnl, max(pnl) as best, min(pnl) as worst,
       max(open_count) as open_count, max(rolls) as rolls from trade_pnl cross join (select count(*) as open_count from open_positions) as o cross join (select count(*) as rolls from trade_rolls) as r""",
 )
-query("perf_by_regime", "select regime_id, count(*) as trades, count_if(pnl > 0) as wins, round(cast(sum(cast(round(pnl * 100) as bigint)) as double) / 100, 2) as pnl from trade_pnl group by regime_id")
+query("perf_by_regime", "select regime_id, count(*) as trades, count_if(pnl > 0) as wins, round(cast(sum(cast(round(pnl * 10000) as bigint)) as double) / 10000, 4) as pnl from trade_pnl group by regime_id")
 query(
     "positions_mtm",
     """select trade_id, symbol, broker_symbol, round((price - entry_price) * quantity * 100, 4) as unrealized, case when entry_price > 0 then round((price / entry_price - 1) * 100, 4) end as unrealized_pct from (

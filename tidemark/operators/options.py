@@ -24,13 +24,13 @@ _CONTRACT = "symbol, side, strike, dte, bid, ask, oi, volume, iv"
 
 query("chain_scan", f"select {_CONTRACT}, round(sigma, 6) as sigma from quotes where dte between 7 and {SCAN_MAX_DTE}")
 query("chain_dte_presets", " union all ".join(f"select '{n}' as preset, count(*) as contracts from chain where dte between {a} and {b}" for n, (a, b) in DTE_PRESETS.items()))
-query("bs_delta", f"select {_CONTRACT}, round(delta, 6) as delta from greek_quotes where dte <= 60")
+query("bs_delta", f"select {_CONTRACT}, round(delta, 6) + 0 as delta from greek_quotes where dte <= 60")
 query("bs_gamma", f"select {_CONTRACT}, round(gamma, 6) as gamma from greek_quotes where dte <= 60")
-query("bs_theta", f"select {_CONTRACT}, round(theta, 6) as theta from greek_quotes where dte <= 60")
+query("bs_theta", f"select {_CONTRACT}, round(theta, 6) + 0 as theta from greek_quotes where dte <= 60")
 
 relation(
     "gex_strikes",
-    """select symbol, max(spot) as spot, strike, round(sum(case when side = 'call' then g else 0 end), 2) as call_gex, round(sum(case when side = 'put' then -g else 0 end), 2) as put_gex, round(sum(case when side = 'call' then g else -g end), 2) as net_gex
+    """select symbol, max(spot) as spot, strike, round(sum(case when side = 'call' then g else 0 end), 2) + 0 as call_gex, round(sum(case when side = 'put' then -g else 0 end), 2) + 0 as put_gex, round(sum(case when side = 'call' then g else -g end), 2) + 0 as net_gex
     from (select *, gamma * oi * 100 * spot as g from greek_quotes where oi > 0 and t > 0 and dte <= 90) as e group by symbol, strike""",
 )
 query("gex_by_strike", "select symbol, strike, call_gex, put_gex, net_gex from gex_strikes")
@@ -108,7 +108,7 @@ query(
 )
 relation("positions", "select symbol, bar_ts, close as price, close_10 as entry, round(atr14, 6) as atr, cast(row_number() over (partition by symbol order by bar_ts) % 45 as int) as dte from conf_input where close_10 is not null and atr14 is not null")
 query("roll_trigger", "select symbol, bar_ts, case when dte <= 7 then 'roll_out' when round(price - entry - atr, 6) >= 0 then 'roll_up' end as action from positions")
-query("roll_simulate", "select symbol, bar_ts, ups + outs as roll_count, round(ups * 0.5 + outs * 0.3, 4) as total_credit_pct from (select *, case when dte <= 7 and ups < 3 then 1 else 0 end as outs from (select *, case when price > entry and atr > 0 then least(3, cast(floor(round((price - entry) / atr, 6)) as int)) else 0 end as ups from positions) as u) as o")
+query("roll_simulate", "select symbol, bar_ts, ups + outs as roll_count, cast(round(ups * 0.5 + outs * 0.3, 4) as double) as total_credit_pct from (select *, case when dte <= 7 and ups < 3 then 1 else 0 end as outs from (select *, case when price > entry and atr > 0 then least(3, cast(floor(round((price - entry) / atr, 6)) as int)) else 0 end as ups from positions) as u) as o")
 relation("current_contracts", "select symbol, strike, dte, bid from (select symbol, strike, dte, bid, row_number() over (partition by symbol order by bid desc, dte, strike) as rn from quotes where side = 'call' and dte between 20 and 40) as c where rn = 1")
 query(
     "roll_target",

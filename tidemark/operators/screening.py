@@ -25,6 +25,13 @@ relation(
       lag(close) over (partition by symbol order by bar_ts) as close_1, lag(close, 4) over (partition by symbol order by bar_ts) as close_4, lag(close, 19) over (partition by symbol order by bar_ts) as close_19,
       row_number() over (partition by symbol order by bar_ts desc) as back from bars) as l where back = 1""",
 )
+query(
+    "latest_screen",
+    """select symbol, bar_ts, close, hv20, row_number() over (order by hv20 desc, symbol) as rank from (
+      select b.symbol, b.bar_ts, b.close, b.close - b.close_10 as momentum, b.volume, b.vol_20, h.hv20, row_number() over (partition by b.symbol order by b.bar_ts desc) as back
+      from (select symbol, bar_ts, close, volume, lag(close, 10) over (partition by symbol order by bar_ts) as close_10, avg(cast(volume as double)) over (partition by symbol order by bar_ts rows between 19 preceding and current row) as vol_20 from bars) as b
+      join hist_vol h on h.symbol = b.symbol and h.bar_ts = b.bar_ts) as l where back <= 5 and momentum > 0 and volume > vol_20""",
+)
 query("prescreen", "select symbol, close, round(vol_30, 2) as avg_volume_30, n_bars from last_stats where close >= 1.0 and vol_30 >= 500000 and n_bars >= 100")
 query("scan_change_stats", "select symbol, round((close / close_1 - 1) * 100, 4) as change_1, round((close / close_4 - 1) * 100, 4) as change_5, round((close / close_19 - 1) * 100, 4) as change_20, round(vol_30, 2) as avg_volume_30 from last_stats")
 # Sector, industry and options of a symbol: from nations, as the test tables have no tickers.
