@@ -9,6 +9,8 @@ import tidemark.operators.screening  # noqa: F401
 import tidemark.sources.bars  # noqa: F401
 import tidemark.operators.options  # noqa: F401
 import tidemark.operators.journal  # noqa: F401
+import tidemark.operators.backtest  # noqa: F401
+import tidemark.operators.hmm  # noqa: F401
 from tidemark.plans.catalog import oracle_sql, queries, run
 
 __all__ = ["oracle_sql", "queries", "run"]
