@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.plans.catalog import query, relation
+from tidemark.session import materialize
 
 CAPITAL, CONFIRMATIONS, COOLDOWN, CONFIRM_BARS, LEVERAGE = 10000.0, 5, 3, 2, 1.0
 
@@ -51,7 +52,8 @@ def replay(bars: DataFrame) -> DataFrame:
     kind = "array<struct<bar_ts:timestamp_ntz," + ",".join(f"{n}:{t}" for n, t in TYPES.items()) + ">>"
     step = f"aggregate(slice(bars, 2, size(bars)), named_struct('state', {none}, 'out', cast(array({none}) as {kind})), (acc, b) -> named_struct('state', {struct(STEP)}, 'out', concat(acc.out, array({struct(STEP)}))), acc -> acc.out)"
     folded = listed.select("symbol", F.expr(step).alias("rows"))
-    return folded.select("symbol", F.inline("rows"))
+    # Written once: pruning the struct fields through the fold breaks Catalyst, and several results read the replay.
+    return materialize(folded.select("symbol", F.inline("rows")), "replay")
 
 
 _NUMBERED = "(select *, row_number() over (partition by symbol order by bar_ts) as n from replay_input)"
