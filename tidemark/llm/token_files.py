@@ -41,7 +41,7 @@ from tidemark.session import materialize, new_path, ship_package
 MAGIC = b"TIDEEF01"
 HEADER = struct.Struct("<8sBQQQq")
 #: Ids after which a partition begins another file.
-FILE_IDS = 32_000_000
+FILE_IDS = 16_000_000
 #: Most tasks that read files at a time.
 MOST_TASKS = 10_000
 

@@ -27,7 +27,7 @@ PIECES = {
 }
 
 #: Pieces that a worker remembers at most, and the longest that it does (longer ones seldom come again).
-MEMO_PIECES, MEMO_CHARS = 1_500_000, 12
+MEMO_PIECES, MEMO_CHARS = 1_000_000, 12
 
 #: Special tokens split a text before anything else does; a text with one is encoded whole.
 SPECIAL = "<|"
