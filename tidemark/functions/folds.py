@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import materialize
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is worked out once, although ``body`` uses it more than once."""
@@ -32,7 +34,8 @@ def fold_bars(bars: DataFrame, columns: list[str], start: Column, step: Callable
         return let(step(acc["state"], bar), lambda s: F.struct(s.alias("state"), F.array_append(acc["out"], F.struct(bar.alias("bar"), s.alias("state"))).alias("out")))
 
     folded = listed.select(key, F.explode(F.aggregate("bars", first, merge, lambda acc: acc["out"])).alias("row"))
-    return folded.select(key, "row.bar.*", "row.state.*")
+    # Written once: pruning the struct's fields through the fold breaks Catalyst, and many indicators read it.
+    return materialize(folded.select(key, "row.bar.*", "row.state.*"), "fold")
 
 
 def _type(bars: DataFrame, fields: list[str], start: Column) -> str:

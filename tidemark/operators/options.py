@@ -19,7 +19,7 @@ DTE_PRESETS = {"weekly": (0, 7), "swing": (14, 45), "monthly": (30, 60), "leaps"
 # The latest regime and confirmations of each chain's symbol, from the chain itself (the test tables have no common symbols).
 relation("option_symbols", "select symbol, max(spot) as spot, cast(count(*) % 7 as int) as regime_id, cast(count(*) % 13 as int) as confs from chain group by symbol")
 relation("quotes", "select *, case when bid + ask > 0 then (bid + ask) / 2 else last end as mid, cast(dte as double) / 365 as t, coalesce(nullif(iv, 0), 0.3) as sigma from chain where dte between 0 and 730")
-relation("greek_quotes", f"select * from {greeks('quotes')} as g")
+relation("greek_quotes", f"select * from {greeks('quotes')} as g", stored=True)
 _CONTRACT = "symbol, side, strike, dte, bid, ask, oi, volume, iv"
 
 query("chain_scan", f"select {_CONTRACT}, round(sigma, 6) as sigma from quotes where dte between 7 and {SCAN_MAX_DTE}")
@@ -102,7 +102,7 @@ query("contract_sizing", "select symbol, strike, dte, rank, case when bid + ask
 query(
     "position_size",
     """select symbol, tier, risk_dollars, greatest(1, cast(floor(risk_dollars / case when atr > 0 then 2 * atr else close * 0.05 end) as int)) as shares from (
-      select symbol, close, atr, tier, 100000 * 0.10 * case tier when 'FULL' then 1.0 when 'HIGH' then 0.75 when 'MED' then 0.5 else 0.25 end as risk_dollars from (
+      select symbol, close, atr, tier, cast(10000 * case tier when 'FULL' then 1.0 when 'HIGH' then 0.75 when 'MED' then 0.5 else 0.25 end as double) as risk_dollars from (
         select s.symbol, s.close, round(i.atr14, 6) as atr, case when s.regime_confidence > 0.80 and s.confs / 12.0 >= 0.83 then 'FULL' when s.regime_confidence > 0.70 and s.confs / 12.0 >= 0.67 then 'HIGH' when s.regime_confidence > 0.60 and s.confs / 12.0 >= 0.50 then 'MED' else 'MIN' end as tier
         from signal_v2 s join ind i on i.symbol = s.symbol and i.bar_ts = s.bar_ts) as t) as r""",
 )

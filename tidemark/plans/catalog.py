@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.session import read_table
+from tidemark.session import materialize, read_table
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -27,18 +27,20 @@ class Relation:
     sql: str
     build: Callable[..., DataFrame] | None = None
     uses: tuple[str, ...] = field(default=())
+    #: Written to the shared folder and read back on Spark: for what several others build on.
+    stored: bool = False
 
 
 RELATIONS: dict[str, Relation] = {}
 QUERIES: list[str] = []
 
 
-def relation(name: str, sql: str, build: Callable[..., DataFrame] | None = None) -> None:
+def relation(name: str, sql: str, build: Callable[..., DataFrame] | None = None, stored: bool = False) -> None:
     """Define a relation; what it uses is read off its text."""
     words = dict.fromkeys(re.findall(r"\b(?:from|join)\s+([a-z_][a-z0-9_]*)", sql.lower()))
     own = set(re.findall(r"\b([a-z_][a-z0-9_]*)(?:\([a-z0-9_, ]*\))?\s+as\s+\(\s*select", sql.lower()))
     uses = tuple(w for w in words if (w in RELATIONS or w in TABLES) and w not in own - set(RELATIONS))
-    RELATIONS[name] = Relation(sql.strip(), build, uses)
+    RELATIONS[name] = Relation(sql.strip(), build, uses, stored)
 
 
 def query(name: str, sql: str, build: Callable[..., DataFrame] | None = None) -> None:
@@ -47,12 +49,12 @@ def query(name: str, sql: str, build: Callable[..., DataFrame] | None = None) ->
     QUERIES.append(name)
 
 
-def _order(name: str, given: set[str], spark: bool, seen: dict[str, None]) -> None:
+def _order(name: str, given: set[str], spark: bool, seen: dict[str, None], top: bool = False) -> None:
     """The relations that ``name`` rests on, each after what it uses."""
     if name in TABLES or name in seen or name in given:
         return
     r = RELATIONS[name]
-    if not (spark and r.build):
+    if not (spark and (r.build or r.stored) and not top):
         for used in r.uses:
             _order(used, given, spark, seen)
     seen[name] = None
@@ -83,21 +85,24 @@ def run(spark: SparkSession, name: str, sf_dir: str | None = None, _made: dict[s
         made[name] = r.build(lambda used: run(spark, used, sf_dir, made, **given))
         return made[name]
     seen: dict[str, None] = {}
-    _order(name, set(given), True, seen)
+    _order(name, set(given), True, seen, top=True)
     inputs: dict[str, DataFrame] = {}
     parts = []
     for n in seen:
-        if RELATIONS[n].build:
+        if n != name and (RELATIONS[n].build or RELATIONS[n].stored):
             inputs[n] = run(spark, n, sf_dir, made, **given)
         elif n != name:
             parts.append(n)
-    for n in {u for m in seen if not RELATIONS[m].build for u in RELATIONS[m].uses}:
+    for n in {u for m in seen if m == name or not (RELATIONS[m].build or RELATIONS[m].stored) for u in RELATIONS[m].uses}:
         if n in given or n in TABLES:
             inputs[n] = run(spark, n, sf_dir, made, **given)
     plain = lambda sql: sql.replace("{", "{{").replace("}", "}}")
     ctes = [f"{n} as (select * from {{{n}}})" for n in inputs] + [f"{n} as ({plain(RELATIONS[n].sql)})" for n in parts]
     text = (f"with {', '.join(ctes)} " if ctes else "") + f"select * from ({plain(r.sql)}) as result"
-    return spark.sql(text, **inputs) if inputs else spark.sql(text.replace("{{", "{").replace("}}", "}"))
+    result = spark.sql(text, **inputs) if inputs else spark.sql(text.replace("{{", "{").replace("}}", "}"))
+    if r.stored:
+        made[name] = result = materialize(result, name)
+    return result
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
