@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from tidemark.functions.pricing import greeks
-from tidemark.plans.catalog import query, relation
+from tidemark.plans.catalog import RELATIONS, query, relation
 
 SCAN_MAX_DTE, TOP = 120, 5
 # Strategies of the gamma matrix with their days to expiry and strike ranges (a is spot, w the call wall).
@@ -120,3 +122,7 @@ query(
 )
 relation("steps", "select row_number() over (order by n_nationkey) - 1 as step from nation")
 query("ladder_schedule", "select symbol, strike, dte, rank, cast(step as int) as step, round(least(bid + step * 0.05, ask), 4) as buy_limit, round(greatest(ask - step * 0.05, bid), 4) as sell_limit from options_topn cross join steps where step < 15 and rank = 1")
+
+# Plans of many layers: what others build on is written once.
+for _name in ("gex_strikes", "gex_profile", "gex_strategy", "swing_input", "option_score", "leaps_score", "options_topn"):
+    RELATIONS[_name] = replace(RELATIONS[_name], stored=True)
