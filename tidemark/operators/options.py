@@ -33,7 +33,7 @@ query("bs_theta", f"select {_CONTRACT}, round(theta, 6) + 0 as theta from greek_
 relation(
     "gex_strikes",
     """select symbol, max(spot) as spot, strike, round(sum(case when side = 'call' then g else 0 end), 2) + 0 as call_gex, round(sum(case when side = 'put' then -g else 0 end), 2) + 0 as put_gex, round(sum(case when side = 'call' then g else -g end), 2) + 0 as net_gex
-    from (select *, gamma * oi * 100 * spot as g from greek_quotes where oi > 0 and t > 0 and dte <= 90) as e group by symbol, strike""",
+    from (select *, gamma * oi * 100 * spot as g from greek_quotes where oi > 0 and t > 0) as e group by symbol, strike""",
 )
 query("gex_by_strike", "select symbol, strike, call_gex, put_gex, net_gex from gex_strikes")
 _first = lambda order: f"row_number() over (partition by symbol order by {order}, strike)"
