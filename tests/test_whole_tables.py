@@ -30,3 +30,17 @@ def test_gamma_exposure_takes_every_expiry(spark):
     assert sorted(got) == [95.0, 105.0]
     for strike, r in got.items():
         assert r.call_gex == pytest.approx(want[strike, "call"], abs=0.011) and r.put_gex == pytest.approx(-want[strike, "put"], abs=0.011)
+
+
+def test_greeks_scan_and_score_take_every_expiry(spark):
+    dtes = [0, 3, 60, 61, 120, 121, 365, 366, 730]
+    chain = chain_of(spark, [("call", 100.0, dte, 0.3) for dte in dtes])
+    for name in ("bs_delta", "bs_gamma", "bs_theta", "chain_scan"):
+        assert sorted(r.dte for r in registry.run(spark, name, chain=chain).collect()) == dtes, name
+    assert sorted(r.dte for r in registry.run(spark, "option_score", chain=chain).collect()) == [d for d in dtes if d <= 365]
+
+
+def test_ladder_has_fifty_steps(spark):
+    top = spark.createDataFrame([("A", 100.0, 30, 1, 1.0, 3.6), ("A", 101.0, 30, 2, 1.0, 3.6)], "symbol string, strike double, dte int, rank int, bid double, ask double")
+    got = {r.step: (r.buy_limit, r.sell_limit) for r in registry.run(spark, "ladder_schedule", options_topn=top).collect()}
+    assert got == {i: (pytest.approx(1.0 + 0.05 * (i + 1)), pytest.approx(3.6 - 0.05 * i)) for i in range(50)}

@@ -7,7 +7,7 @@ from dataclasses import replace
 from tidemark.functions.pricing import greeks
 from tidemark.plans.catalog import RELATIONS, query, relation
 
-SCAN_MAX_DTE, TOP = 120, 5
+SCORE_MAX_DTE, TOP, LADDER_STEPS = 365, 5, 50
 # Strategies of the gamma matrix with their days to expiry and strike ranges (a is spot, w the call wall).
 GEX_STRATEGIES = {
     "pin_play": (7, 30, "0.98 * spot", "least(1.05 * spot, call_wall)"),
@@ -24,11 +24,11 @@ relation("quotes", "select *, case when bid + ask > 0 then (bid + ask) / 2 else
 relation("greek_quotes", f"select * from {greeks('quotes')} as g", stored=True)
 _CONTRACT = "symbol, side, strike, dte, bid, ask, oi, volume, iv"
 
-query("chain_scan", f"select {_CONTRACT}, round(sigma, 6) as sigma from quotes where dte between 7 and {SCAN_MAX_DTE}")
+query("chain_scan", f"select {_CONTRACT}, round(sigma, 6) as sigma from quotes")
 query("chain_dte_presets", " union all ".join(f"select '{n}' as preset, count(*) as contracts from chain where dte between {a} and {b}" for n, (a, b) in DTE_PRESETS.items()))
-query("bs_delta", f"select {_CONTRACT}, round(delta, 6) + 0 as delta from greek_quotes where dte <= 60")
-query("bs_gamma", f"select {_CONTRACT}, round(gamma, 6) as gamma from greek_quotes where dte <= 60")
-query("bs_theta", f"select {_CONTRACT}, round(theta, 6) + 0 as theta from greek_quotes where dte <= 60")
+query("bs_delta", f"select {_CONTRACT}, round(delta, 6) + 0 as delta from greek_quotes")
+query("bs_gamma", f"select {_CONTRACT}, round(gamma, 6) as gamma from greek_quotes")
+query("bs_theta", f"select {_CONTRACT}, round(theta, 6) + 0 as theta from greek_quotes")
 
 relation(
     "gex_strikes",
@@ -79,7 +79,7 @@ SWING_SCORE = " + ".join([
     "case when gex_strategy = 'pin_play' then case when abs(strike - call_wall) / call_wall < 0.02 then 10 when abs(strike - call_wall) / call_wall < 0.05 then 5 else 0 end when gex_strategy = 'breakout_ride' and strike > spot then 5 when gex_strategy = 'gamma_scalp' and abs(strike - spot) / spot < 0.02 then 10 else 0 end",
     "case when bias = 'positive' and strike > 1.02 * call_wall then -10 else 0 end",
 ])
-relation("swing_input", f"select q.*, c.regime_id, c.confs, c.bias, c.call_wall, c.gex_strategy, s.min_dte, s.max_dte, s.min_strike, s.max_strike, round({_SPREAD}, 6) as spread from (select * from greek_quotes where side = 'call' and dte between 7 and 120) as q join gex_choice c on c.symbol = q.symbol join gex_strategy s on s.symbol = q.symbol")
+relation("swing_input", f"select q.*, c.regime_id, c.confs, c.bias, c.call_wall, c.gex_strategy, s.min_dte, s.max_dte, s.min_strike, s.max_strike, round({_SPREAD}, 6) as spread from (select * from greek_quotes where side = 'call' and dte between 0 and {SCORE_MAX_DTE}) as q join gex_choice c on c.symbol = q.symbol join gex_strategy s on s.symbol = q.symbol")
 query("option_score", f"select {_CONTRACT}, round(delta, 4) as delta, case when mid <= 0.01 or ask <= 0 then -999 else {SWING_SCORE} end as score from (select symbol, side, strike, dte, bid, ask, oi, volume, iv, mid, spot, round(delta, 6) as delta, regime_id, confs, bias, call_wall, gex_strategy, min_dte, max_dte, min_strike, max_strike, spread from swing_input) as q")
 _ORDER = "score desc, dte, strike, bid, ask, oi, volume, iv"
 query("options_topn", f"select * from (select *, row_number() over (partition by symbol order by {_ORDER}) as rank from option_score where score > -999) as r where rank <= {TOP}")
@@ -120,8 +120,8 @@ query(
         from current_contracts c join (select *, min(case when dte > 40 then dte end) over (partition by symbol) as next_dte from greek_quotes where side = 'call') as q on q.symbol = c.symbol
         where (q.dte = c.dte or q.dte = q.next_dte) and q.delta between 0.70 and 0.80 and c.bid - q.ask > 0) as t) as r where rn = 1""",
 )
-relation("steps", "select row_number() over (order by n_nationkey) - 1 as step from nation")
-query("ladder_schedule", "select symbol, strike, dte, rank, cast(step as int) as step, round(least(bid + step * 0.05, ask), 4) as buy_limit, round(greatest(ask - step * 0.05, bid), 4) as sell_limit from options_topn cross join steps where step < 15 and rank = 1")
+relation("steps", "select step from (values " + ", ".join(f"({i})" for i in range(LADDER_STEPS)) + ") as v(step)")
+query("ladder_schedule", "select symbol, strike, dte, rank, cast(step as int) as step, round(least(bid + (step + 1) * 0.05, ask), 4) as buy_limit, round(greatest(ask - step * 0.05, bid), 4) as sell_limit from options_topn cross join steps where rank = 1")
 
 # Plans of many layers: what others build on is written once.
 for _name in ("gex_strikes", "gex_profile", "gex_strategy", "swing_input", "option_score", "leaps_score", "options_topn"):
