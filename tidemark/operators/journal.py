@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from tidemark.plans.catalog import query, relation
 
-# Events from orders: an entry for each of some, an exit for most, rolls from line items.
-relation("trade_entries", "select o_orderkey as trade_id, c_mktsegment as symbol, case when o_orderkey % 3 = 0 then null else 'C' || cast(o_orderkey % 50 as string) end as contract, cast(1 + o_orderkey % 5 as int) as quantity, round(cast(o_orderkey % 997 as double) / 10, 2) as entry_price, o_orderdate as entry_ts, cast(o_custkey % 7 as int) as regime_id from orders join customer on c_custkey = o_custkey where o_orderkey % 4 <> 1")
-relation("trade_exits", "select trade_id, round(entry_price * (0.80 + cast(trade_id % 41 as double) / 100), 4) as exit_price, entry_ts as exit_ts from trade_entries where trade_id % 5 <> 0")
-relation("trade_rolls", "select trade_id, l_linenumber as roll_no, contract as from_contract, 'C' || cast(50 + l_linenumber as string) as to_contract, round(l_discount * 2, 2) as credit, l_shipdate as roll_ts from trade_entries join lineitem on l_orderkey = trade_id where contract is not null and l_linenumber <= 2 and trade_id % 2 = 0")
+# Events from orders: an entry for each, an exit for each that isn't open, rolls from the line items of options.
+relation("trade_entries", "select o_orderkey as trade_id, c_mktsegment as symbol, case when o_orderkey % 3 = 0 then null else 'C' || cast(o_orderkey % 50 as string) end as contract, cast(1 + o_orderkey % 5 as int) as quantity, round(cast(o_orderkey % 997 as double) / 10, 2) as entry_price, o_orderdate as entry_ts, cast(o_custkey % 7 as int) as regime_id, o_orderstatus as order_status from orders join customer on c_custkey = o_custkey")
+relation("trade_exits", "select trade_id, round(entry_price * (0.80 + cast(trade_id % 41 as double) / 100), 4) as exit_price, entry_ts as exit_ts from trade_entries where order_status <> 'O'")
+relation("trade_rolls", "select trade_id, l_linenumber as roll_no, contract as from_contract, 'C' || cast(50 + l_linenumber as string) as to_contract, round(l_discount * 2, 2) as credit, l_shipdate as roll_ts from trade_entries join lineitem on l_orderkey = trade_id where contract is not null")
 
 query("trade_roll_rollup", "select trade_id, count(*) as roll_count, round(sum(credit), 4) as roll_credits, max_by(to_contract, cast(roll_ts as string) || to_contract) as contract from trade_rolls group by trade_id")
 query(
