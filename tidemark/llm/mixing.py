@@ -47,8 +47,6 @@ MOST_STEPS, TOLERANCE = 20, 1e-4
 TARGETS = {"1/0": 0.96, "1/1": 0.03, "0/0": 0.01}
 
 BITS = 1 << 30
-#: Rates this near to a whole number of copies count as it, so that a fit a little below 1 takes no documents away.
-SNAP = 0.1
 
 
 def _signs(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
@@ -207,9 +205,8 @@ def memberships(docs: DataFrame, model: DomainModel, keep: tuple[str, ...] = ("d
 
 
 def copies(rate: Column, doc_id: str = "doc_id") -> Column:
-    """The rate as a whole number: up or down by a hash of the id, right in expectation; rates within ``SNAP`` of a whole number are that number."""
-    near = F.abs(rate - F.round(rate)) <= SNAP
-    return F.floor(F.when(near, F.round(rate)).otherwise(rate) + F.pmod(F.xxhash64(F.col(doc_id), F.lit(17)), F.lit(BITS)) / F.lit(float(BITS))).cast("int")
+    """The rate as a whole number: up or down by a hash of the id, right in expectation."""
+    return F.floor(rate + F.pmod(F.xxhash64(F.col(doc_id), F.lit(17)), F.lit(BITS)) / F.lit(float(BITS))).cast("int")
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> tuple[DataFrame, DomainModel]:
