@@ -25,6 +25,7 @@ import functools
 import math
 import operator
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import product
 
@@ -123,21 +124,53 @@ def posterior(keys: list[str], table: np.ndarray, share: float) -> np.ndarray:
 _RUNS = ((re.compile(r"[a-zà-öø-ÿ]+"), "a"), (re.compile(r"[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile(r"[0-9]+"), "0"), (re.compile(r"(.)\1+"), r"\1"))
 
 
+#: Characters from which a word counts by the signs it is made of, and signs of its shape at a time.
+LONG_WORD, GRAM = 41, 4
+
+
+def _shape(word: str) -> str:
+    for run, sign in _RUNS:
+        word = run.sub(sign, word)
+    return word
+
+
 class Shapes(dict):
-    """Slots of words' shapes: runs of letters, capitals and digits as one sign each."""
+    """Slots of words' shapes: runs of letters, capitals and digits as one sign each; -1 for a long word."""
 
     def __missing__(self, word: str) -> int:
-        import xxhash
-
-        shape = word[:40]
-        for run, sign in _RUNS:
-            shape = run.sub(sign, shape)
-        slot = xxhash.xxh32_intdigest("shape " + shape) % SLOTS
+        if len(word) >= LONG_WORD:
+            return -1
+        slot = _slot_of_shape(_shape(word))
         if len(self) < 400_000 and len(word) <= 16:
             self[word] = slot
         return slot
 
 
+def _slot_of_shape(shape: str) -> int:
+    import xxhash
+
+    return xxhash.xxh32_intdigest("shape " + shape) % SLOTS
+
+
+def _with_long_words(own: list[str], slots: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Slots and counts with those of the long words, and their sum.
+
+    A long word counts as the words of its length would, dealt over all runs of ``GRAM`` signs of its whole shape;
+    these share their slots with short words of that shape. Linear in the word's length.
+    """
+    totals = np.zeros(SLOTS)
+    totals[slots[1:]] = counts[1:]
+    for word in own:
+        if len(word) >= LONG_WORD:
+            shape = _shape(word)
+            grams = Counter(map("".join, zip(*(shape[i:] for i in range(min(GRAM, len(shape)))), strict=False)))
+            each = len(word) / (LONG_WORD - 1) / grams.total()
+            for gram, count in grams.items():
+                totals[_slot_of_shape(gram)] += each * count
+    slots = np.flatnonzero(totals)
+    return slots, totals[slots], float(totals.sum())
+
+
 @functools.cache
 def _slot(name: str) -> int:
     import xxhash
@@ -157,11 +190,14 @@ def features(text: str, shapes: Shapes) -> tuple[list[int], list[float]]:
         return [], []
     n = len(own)
     slots, counts = np.unique(np.fromiter(map(shapes.__getitem__, own), np.int64, n), return_counts=True)
+    units = n
+    if slots[0] < 0:
+        slots, counts, units = _with_long_words(own, slots, counts)
     same = sum(map(operator.eq, own, own[1:])) / n
     stop = sum(map(_STOP.__contains__, own)) / n
     size = "short" if n < 30 else "long"
     extra = [_slot("bias " + size), *_steps("met before " + size, 1 - len(set(own)) / n), *_steps("same", same), *_steps("stop " + size, stop)]
-    return [*slots.tolist(), *extra], [*np.sqrt(counts / n).tolist(), *[0.5] * len(extra)]
+    return [*slots.tolist(), *extra], [*np.sqrt(counts / units).tolist(), *[0.5] * len(extra)]
 
 
 _STOP = frozenset(signals.STOP_WORDS)
