@@ -13,25 +13,38 @@ from pyspark.sql import functions as F
 from tidemark.plans.catalog import query, relation
 from tidemark.session import materialize
 
-CAPITAL, CONFIRMATIONS, COOLDOWN, CONFIRM_BARS, LEVERAGE = 10000.0, 5, 3, 2, 1.0
+CAPITAL, CONFIRMATIONS, COOLDOWN, CONFIRM_BARS = 10000.0, 5, 3, 2
+#: Modes by the end of their names: leverage, and the share of the equity's peak below which a position is closed.
+MODES = {"": (1.0, None), "_aggressive": (4.0, 0.92)}
 
 _BULL = "{b}regime_id in (0, 1, 2)"
-_EXIT = f"({{p}}pos and ({{b}}regime_id in (5, 6) or (not {_BULL} and {{b}}confidence > 0.6)))"
+_LEFT = f"({{b}}regime_id in (5, 6) or (not {_BULL} and {{b}}confidence > 0.6))"
 _READY = f"(not {{p}}pos and {{p}}cooldown = 0 and {_BULL} and {{b}}confs >= {CONFIRMATIONS} and {{b}}confidence > 0.5)"
 _ENTER = f"({_READY} and {{b}}streak >= {CONFIRM_BARS})"
-#: Fields of the state and how a bar changes them.
-STEP = {
-    "close": "{b}close",
-    "pos": f"({_ENTER} or ({{p}}pos and not {_EXIT}))",
-    "entry_price": f"case when {_ENTER} then {{b}}close when {{p}}pos and not {_EXIT} then {{p}}entry_price else cast(0 as double) end",
-    "cooldown": f"case when {_EXIT} then {COOLDOWN} when {{p}}cooldown > 0 then {{p}}cooldown - 1 else 0 end",
-    "capital": f"case when {{p}}pos then {{p}}capital * (1 + ({{b}}close / {{p}}close - 1) * {LEVERAGE}) else {{p}}capital end",
-    "pnl": f"case when {_EXIT} then ({{b}}close / {{p}}entry_price - 1) * 100 * {LEVERAGE} end",
-    "reason": f"case when {_EXIT} then case when {{b}}regime_id in (5, 6) then 'Regime flip' else 'Regime neutral' end end",
-    "signal": f"case when {_EXIT} then 'EXIT' when {{p}}cooldown > 0 then 'COOLDOWN' when {_ENTER} then 'ENTRY' when {_READY} then 'CONFIRMING' when {{p}}pos then 'HOLDING' else 'CASH' end",
-}
-TYPES = {"close": "double", "pos": "boolean", "entry_price": "double", "cooldown": "int", "capital": "double", "pnl": "double", "reason": "string", "signal": "string"}
-FIRST = {"close": "{b}close", "pos": "false", "entry_price": "0", "cooldown": "0", "capital": str(CAPITAL), "pnl": "null", "reason": "null", "signal": "'CASH'"}
+
+
+def steps(leverage: float, trail: float | None) -> dict[str, str]:
+    """Fields of the state and how a bar changes them; the peak is that of the equity since the start, before the bar."""
+    capital = f"case when {{p}}pos then {{p}}capital * (1 + ({{b}}close / {{p}}close - 1) * {leverage}) else {{p}}capital end"
+    stop = f"{capital} < {{p}}peak * {trail}"
+    leave = f"({{p}}pos and {_LEFT})" if trail is None else f"({{p}}pos and ({_LEFT} or {stop}))"
+    reason = "case when {b}regime_id in (5, 6) then 'Regime flip' else 'Regime neutral' end"
+    reason = reason if trail is None else f"case when {stop} then 'Trailing stop' else {reason} end"
+    found = {
+        "close": "{b}close",
+        "pos": f"({_ENTER} or ({{p}}pos and not {leave}))",
+        "entry_price": f"case when {_ENTER} then {{b}}close when {{p}}pos and not {leave} then {{p}}entry_price else cast(0 as double) end",
+        "cooldown": f"case when {leave} then {COOLDOWN} when {{p}}cooldown > 0 then {{p}}cooldown - 1 else 0 end",
+        "capital": capital,
+        "pnl": f"case when {leave} then ({{b}}close / {{p}}entry_price - 1) * 100 * {leverage} end",
+        "reason": f"case when {leave} then {reason} end",
+        "signal": f"case when {leave} then 'EXIT' when {{p}}cooldown > 0 then 'COOLDOWN' when {_ENTER} then 'ENTRY' when {_READY} then 'CONFIRMING' when {{p}}pos then 'HOLDING' else 'CASH' end",
+    }
+    return found if trail is None else found | {"peak": f"greatest({{p}}peak, {capital})"}
+
+
+TYPES = {"close": "double", "pos": "boolean", "entry_price": "double", "cooldown": "int", "capital": "double", "pnl": "double", "reason": "string", "signal": "string", "peak": "double"}
+FIRST = {"close": "{b}close", "pos": "false", "entry_price": "0", "cooldown": "0", "capital": str(CAPITAL), "pnl": "null", "reason": "null", "signal": "'CASH'", "peak": str(CAPITAL)}
 
 relation(
     "replay_input",
@@ -40,43 +53,45 @@ relation(
 )
 
 
-def _fields(steps: dict[str, str], p: str, b: str) -> list[str]:
-    return [f"cast({text.format(p=p, b=b)} as {TYPES[name]}) as {name}" for name, text in steps.items()]
+def _fields(texts: dict[str, str], p: str, b: str) -> list[str]:
+    return [f"cast({text.format(p=p, b=b)} as {TYPES[name]}) as {name}" for name, text in texts.items()]
 
 
-def replay(bars: DataFrame) -> DataFrame:
+def replay(bars: DataFrame, step_of: dict[str, str]) -> DataFrame:
     """The state after every bar, by a fold in the JVM; one shuffle by symbol."""
     listed = bars.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("bar_ts", "close", "regime_id", "confidence", "streak", "confs"))).alias("bars"))
-    struct = lambda steps: "named_struct('bar_ts', b.bar_ts, " + ", ".join(f"'{n}', cast({t.format(p='acc.state.', b='b.')} as {TYPES[n]})" for n, t in steps.items()) + ")"
-    none = "named_struct('bar_ts', bars[0].bar_ts, " + ", ".join(f"'{n}', cast({t.format(b='bars[0].')} as {TYPES[n]})" for n, t in FIRST.items()) + ")"
-    kind = "array<struct<bar_ts:timestamp_ntz," + ",".join(f"{n}:{t}" for n, t in TYPES.items()) + ">>"
-    step = f"aggregate(slice(bars, 2, size(bars)), named_struct('state', {none}, 'out', cast(array({none}) as {kind})), (acc, b) -> named_struct('state', {struct(STEP)}, 'out', concat(acc.out, array({struct(STEP)}))), acc -> acc.out)"
+    struct = lambda texts: "named_struct('bar_ts', b.bar_ts, " + ", ".join(f"'{n}', cast({t.format(p='acc.state.', b='b.')} as {TYPES[n]})" for n, t in texts.items()) + ")"
+    none = "named_struct('bar_ts', bars[0].bar_ts, " + ", ".join(f"'{n}', cast({t.format(b='bars[0].')} as {TYPES[n]})" for n, t in FIRST.items() if n in step_of) + ")"
+    kind = "array<struct<bar_ts:timestamp_ntz," + ",".join(f"{n}:{TYPES[n]}" for n in step_of) + ">>"
+    step = f"aggregate(slice(bars, 2, size(bars)), named_struct('state', {none}, 'out', cast(array({none}) as {kind})), (acc, b) -> named_struct('state', {struct(step_of)}, 'out', concat(acc.out, array({struct(step_of)}))), acc -> acc.out)"
     folded = listed.select("symbol", F.expr(step).alias("rows"))
     # Written once: pruning the struct fields through the fold breaks Catalyst, and several results read the replay.
     return materialize(folded.select("symbol", F.inline("rows")), "replay")
 
 
 _NUMBERED = "(select *, row_number() over (partition by symbol order by bar_ts) as n from replay_input)"
-relation(
-    "replay_v1",
-    f"""with recursive walk as (
-      select symbol, bar_ts, n, {", ".join(_fields(FIRST, "", ""))} from {_NUMBERED} as f where n = 1
-      union all select b.symbol, b.bar_ts, b.n, {", ".join(_fields(STEP, "s.", "b."))} from walk s join {_NUMBERED} as b on b.symbol = s.symbol and b.n = s.n + 1)
-    select symbol, bar_ts, {", ".join(TYPES)} from walk""",
-    lambda use: replay(use("replay_input")),
-)
-query("backtest_v1_equity", "select symbol, bar_ts, round(capital, 4) as equity, signal from replay_v1")
-relation(
-    "trades_v1",
-    """select symbol, bar_ts as exit_ts, pnl, reason from replay_v1 where pnl is not null
-    union all select symbol, bar_ts as exit_ts, (close / entry_price - 1) * 100 as pnl, 'End of backtest' as reason from (select *, row_number() over (partition by symbol order by bar_ts desc) as back from replay_v1) as l where back = 1 and pos""",
-)
-query("backtest_v1_trades", "select symbol, exit_ts, round(pnl, 4) as pnl_pct, reason from trades_v1")
-query(
-    "metrics_v1",
-    f"""select e.symbol, round((final - {CAPITAL}) / {CAPITAL} * 100, 4) as total_return_pct, round(hold, 4) as buyhold_return_pct, round((final - {CAPITAL}) / {CAPITAL} * 100 - hold, 4) as alpha_vs_buyhold, round(dd, 4) as max_drawdown_pct, round(mean_ret / nullif(dev_ret, 0) * sqrt(252), 4) as sharpe_ratio,
-      coalesce(n, 0) as total_trades, coalesce(wins, 0) as winning_trades, round(100.0 * cast(wins as double) / nullif(n, 0), 4) as win_rate, round(avg_win, 4) as avg_win_pct, round(avg_loss, 4) as avg_loss_pct, round(gain / nullif(coalesce(loss, 1), 0), 4) as profit_factor
-    from (select symbol, max(case when back = 1 then capital end) as final, (max(case when back = 1 then close end) / max(case when fore = 1 then close end) - 1) * 100 as hold, min((capital - peak) / peak * 100) as dd, avg(ret) as mean_ret, stddev_samp(ret) as dev_ret
-      from (select symbol, capital, close, row_number() over (partition by symbol order by bar_ts desc) as back, row_number() over (partition by symbol order by bar_ts) as fore, max(capital) over (partition by symbol order by bar_ts rows between unbounded preceding and current row) as peak, capital / lag(capital) over (partition by symbol order by bar_ts) - 1 as ret from replay_v1) as r group by symbol) as e
-    left join (select symbol, count(*) as n, count_if(pnl > 0) as wins, avg(case when pnl > 0 then pnl end) as avg_win, avg(case when pnl <= 0 then pnl end) as avg_loss, sum(case when pnl > 0 then pnl else 0 end) as gain, abs(sum(case when pnl <= 0 then pnl end)) as loss from trades_v1 group by symbol) as t on t.symbol = e.symbol""",
-)
+for mode, (leverage, trail) in MODES.items():
+    step_of = steps(leverage, trail)
+    relation(
+        f"replay_v1{mode}",
+        f"""with recursive walk as (
+          select symbol, bar_ts, n, {", ".join(_fields({n: FIRST[n] for n in step_of}, "", ""))} from {_NUMBERED} as f where n = 1
+          union all select b.symbol, b.bar_ts, b.n, {", ".join(_fields(step_of, "s.", "b."))} from walk s join {_NUMBERED} as b on b.symbol = s.symbol and b.n = s.n + 1)
+        select symbol, bar_ts, {", ".join(step_of)} from walk""",
+        lambda use, step_of=step_of: replay(use("replay_input"), step_of),
+    )
+    query(f"backtest_v1{mode}_equity", f"select symbol, bar_ts, round(capital, 4) as equity, signal from replay_v1{mode}")
+    relation(
+        f"trades_v1{mode}",
+        f"""select symbol, bar_ts as exit_ts, pnl, reason from replay_v1{mode} where pnl is not null
+        union all select symbol, bar_ts as exit_ts, (close / entry_price - 1) * 100 * {leverage} as pnl, 'End of backtest' as reason from (select *, row_number() over (partition by symbol order by bar_ts desc) as back from replay_v1{mode}) as l where back = 1 and pos""",
+    )
+    query(f"backtest_v1{mode}_trades", f"select symbol, exit_ts, round(pnl, 4) as pnl_pct, reason from trades_v1{mode}")
+    query(
+        f"metrics_v1{mode}",
+        f"""select e.symbol, round((final - {CAPITAL}) / {CAPITAL} * 100, 4) as total_return_pct, round(hold, 4) as buyhold_return_pct, round((final - {CAPITAL}) / {CAPITAL} * 100 - hold, 4) as alpha_vs_buyhold, round(dd, 4) as max_drawdown_pct, round(mean_ret / nullif(dev_ret, 0) * sqrt(252), 4) as sharpe_ratio,
+          coalesce(n, 0) as total_trades, coalesce(wins, 0) as winning_trades, round(100.0 * cast(wins as double) / nullif(n, 0), 4) as win_rate, round(avg_win, 4) as avg_win_pct, round(avg_loss, 4) as avg_loss_pct, round(gain / nullif(coalesce(loss, 1), 0), 4) as profit_factor
+        from (select symbol, max(case when back = 1 then capital end) as final, (max(case when back = 1 then close end) / max(case when fore = 1 then close end) - 1) * 100 as hold, min((capital - peak) / peak * 100) as dd, avg(ret) as mean_ret, stddev_samp(ret) as dev_ret
+          from (select symbol, capital, close, row_number() over (partition by symbol order by bar_ts desc) as back, row_number() over (partition by symbol order by bar_ts) as fore, max(capital) over (partition by symbol order by bar_ts rows between unbounded preceding and current row) as peak, capital / lag(capital) over (partition by symbol order by bar_ts) - 1 as ret from replay_v1{mode}) as r group by symbol) as e
+        left join (select symbol, count(*) as n, count_if(pnl > 0) as wins, avg(case when pnl > 0 then pnl end) as avg_win, avg(case when pnl <= 0 then pnl end) as avg_loss, sum(case when pnl > 0 then pnl else 0 end) as gain, abs(sum(case when pnl <= 0 then pnl end)) as loss from trades_v1{mode} group by symbol) as t on t.symbol = e.symbol""",
+    )

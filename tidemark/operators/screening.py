@@ -56,7 +56,7 @@ query("signal_counts", "select coalesce(signal, 'UNKNOWN') as signal, count(*) a
 query("confirmation_counts", "select name, count_if(passed) as passed, count_if(not passed) as failed from confirmation_detail group by name")
 query("confirmation_rates", "select name, round(100.0 * cast(passed as double) / (passed + failed), 4) as hit_rate, row_number() over (order by cast(passed as double) / (passed + failed) desc, name) as rank from confirmation_counts")
 query("results_projection", "select symbol, signal, regime_label, regime_confidence, confirmations_met, price, change_1d, avg_volume_30 from scan_v2")
-query("scheduled_hits", "select s.symbol, s.confirmations_met, row_number() over (order by s.confirmations_met desc, s.symbol) as rank from scan_v1 s left join ticker_info t on t.symbol = s.symbol where s.regime_label in ('Bull Run', 'Bull Trend', 'Mild Bull') and s.regime_confidence >= 0.50 and s.confirmations_met >= 3 and coalesce(t.has_options, true)")
+query("scheduled_hits", "select s.symbol, s.confirmations_met, row_number() over (order by s.confirmations_met desc, s.symbol) as rank from scan_v1 s left join ticker_info t on t.symbol = s.symbol where s.regime_label = 'Bull Run' and s.regime_confidence >= 0.80 and s.confirmations_met >= 6 and coalesce(t.has_options, true)")
 query("screen_filters", "select s.symbol, s.signal, s.price from scan_v2 s join (select *, row_number() over (partition by symbol order by bar_ts desc) as back from ind) as i on i.symbol = s.symbol where i.back = 1 and s.regime_confidence >= 0.5 and s.price between 1 and 1000 and s.avg_volume_30 >= 500000 and (i.ema10 > i.ema20 or i.close > i.ema50)")
 query("scan_errors", "select n_name as symbol, 'Insufficient history' as error from nation where n_nationkey not in (select symbol from bars_nation group by symbol having count(*) >= 100)")
 query("ranked_hits", "select symbol, confirmations_met, row_number() over (order by confirmations_met desc, symbol) as rank from scan_v2")
