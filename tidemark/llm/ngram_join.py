@@ -53,7 +53,7 @@ WORDS = 5
 BUCKET_CHARS, SETTLE_SHINGLES, CHUNK_SHINGLES = 16_000_000, 1_500_000, 400_000
 #: Size of the bitmap that says which documents' sets are needed again.
 FILTER_BITS = 1 << 24
-#: Ranges of sets in which buckets report.
+#: Ranges of sets in which buckets report, at least; as many as there are buckets.
 HIT_RANGES = 64
 #: Distinct words whose hashes a worker remembers.
 MEMO_WORDS = 400_000
@@ -144,8 +144,11 @@ def _unsettled(owners: np.ndarray, sets: list[tuple[int, np.ndarray]], buckets:
 
 
 def _owner_rows(doc_ids: list, owners: np.ndarray, counts: list[int], hits: np.ndarray, buckets: int) -> pa.RecordBatch:
+    # These rows only pass through: dealt out evenly, also where ids or texts repeat.
+    ids = np.array([d or 0 for d in doc_ids], np.int64).view(np.uint64)
+    to = _mixed((owners.view(np.uint64) ^ _mixed(ids)) + np.arange(len(owners), dtype=np.uint64)) % np.uint64(buckets)
     empty = [pa.nulls(len(owners), pa.binary()) for _ in range(3)]
-    columns = [pa.array(doc_ids, pa.int64()), pa.array(owners), pa.array(counts, pa.int64()), pa.array(hits.astype(np.int64)), pa.array((owners % buckets).astype(np.int32)), *empty]
+    columns = [pa.array(doc_ids, pa.int64()), pa.array(owners), pa.array(counts, pa.int64()), pa.array(hits.astype(np.int64)), pa.array(to.astype(np.int32)), *empty]
     return pa.RecordBatch.from_arrays(columns, schema=ROW_SCHEMA)
 
 
@@ -219,37 +222,42 @@ def _profile_components(buckets: int):
     return run
 
 
-def _settle(table: pa.Table) -> pa.Table:
+def _settle(buckets: int):
     """Of one bucket: the document rows as they are, and for each set how many of its shingles occur in another."""
-    docs = table.filter(pc.is_valid(table.column("n"))).select(["doc_id", "fp", "n", "hits"])
-    docs = docs.append_column("part", pa.nulls(docs.num_rows, pa.int32())).append_column("packed", pa.nulls(docs.num_rows, pa.binary()))
-    rows = table.filter(pc.is_valid(table.column("grams")))
-    grams, owners = [], []
-    for sizes, fps, low in zip(*(rows.column(c).to_pylist() for c in ("sizes", "fps", "grams")), strict=True):
-        sizes = np.frombuffer(sizes, "<i4")
-        grams.append(np.frombuffer(low, "<u4"))
-        # A shingle without an owner repeats within its task: whoever else has it has it repeated.
-        owners.append(np.repeat(np.where(sizes < 0, 0, np.frombuffer(fps, "<i8")), np.abs(sizes)))
-    if not grams:
-        return docs
-    grams, owners = np.concatenate(grams), np.concatenate(owners)
-    order = np.lexsort((owners, grams))
-    grams, owners = grams[order], owners[order]
-    # What one owner sent from several tasks is one shingle of it; without an owner, it repeats anyhow.
-    distinct = np.concatenate([[True], (grams[1:] != grams[:-1]) | (owners[1:] != owners[:-1]) | (owners[1:] == 0)])
-    grams, owners = grams[distinct], owners[distinct]
-    new = np.concatenate([[True], grams[1:] != grams[:-1]])
-    repeated = ~(new & np.concatenate([new[1:], [True]]))
-    fps, hits = np.unique(owners[repeated & (owners != 0)], return_counts=True)
-    # One row for each range of sets, not one for each set: a set has a few shingles in most buckets.
-    to = fps % HIT_RANGES
-    order = np.argsort(to, kind="stable")
-    fps, hits, to = fps[order], hits[order].astype(np.int64), to[order]
-    edges = np.searchsorted(to, np.arange(HIT_RANGES + 1))
-    ranges = [r for r in range(HIT_RANGES) if edges[r] < edges[r + 1]]
-    packed = [np.concatenate([fps[edges[r] : edges[r + 1]], hits[edges[r] : edges[r + 1]]]).tobytes() for r in ranges]
-    nothing = pa.nulls(len(ranges), pa.int64())
-    return pa.concat_tables([docs, pa.table([nothing, nothing, nothing, nothing, pa.array(ranges, pa.int32()), pa.array(packed, pa.binary())], names=SETTLED_NAMES)])
+    n_ranges = max(HIT_RANGES, buckets)
+
+    def run(table: pa.Table) -> pa.Table:
+        docs = table.filter(pc.is_valid(table.column("n"))).select(["doc_id", "fp", "n", "hits"])
+        docs = docs.append_column("part", pa.nulls(docs.num_rows, pa.int32())).append_column("packed", pa.nulls(docs.num_rows, pa.binary()))
+        rows = table.filter(pc.is_valid(table.column("grams")))
+        grams, owners = [], []
+        for sizes, fps, low in zip(*(rows.column(c).to_pylist() for c in ("sizes", "fps", "grams")), strict=True):
+            sizes = np.frombuffer(sizes, "<i4")
+            grams.append(np.frombuffer(low, "<u4"))
+            # A shingle without an owner repeats within its task: whoever else has it has it repeated.
+            owners.append(np.repeat(np.where(sizes < 0, 0, np.frombuffer(fps, "<i8")), np.abs(sizes)))
+        if not grams:
+            return docs
+        grams, owners = np.concatenate(grams), np.concatenate(owners)
+        order = np.lexsort((owners, grams))
+        grams, owners = grams[order], owners[order]
+        # What one owner sent from several tasks is one shingle of it; without an owner, it repeats anyhow.
+        distinct = np.concatenate([[True], (grams[1:] != grams[:-1]) | (owners[1:] != owners[:-1]) | (owners[1:] == 0)])
+        grams, owners = grams[distinct], owners[distinct]
+        new = np.concatenate([[True], grams[1:] != grams[:-1]])
+        repeated = ~(new & np.concatenate([new[1:], [True]]))
+        fps, hits = np.unique(owners[repeated & (owners != 0)], return_counts=True)
+        # One row for each range of sets, not one for each set: a set has a few shingles in most buckets.
+        to = fps % n_ranges
+        order = np.argsort(to, kind="stable")
+        fps, hits, to = fps[order], hits[order].astype(np.int64), to[order]
+        edges = np.searchsorted(to, np.arange(n_ranges + 1))
+        ranges = [r for r in range(n_ranges) if edges[r] < edges[r + 1]]
+        packed = [np.concatenate([fps[edges[r] : edges[r + 1]], hits[edges[r] : edges[r + 1]]]).tobytes() for r in ranges]
+        nothing = pa.nulls(len(ranges), pa.int64())
+        return pa.concat_tables([docs, pa.table([nothing, nothing, nothing, nothing, pa.array(ranges, pa.int32()), pa.array(packed, pa.binary())], names=SETTLED_NAMES)])
+
+    return run
 
 
 SETTLED = "doc_id long, fp long, n long, hits long, part int, packed binary"
@@ -365,7 +373,7 @@ def _left_over(sets: DataFrame, links: DataFrame, buckets: int) -> DataFrame:
     found = connected_components(links)
     known = sets.select("fp", "n", "grams").join(found.hint("merge"), F.col("fp") == F.col("vertex"), "left").select("fp", "n", "grams", F.coalesce("component", "fp").alias("component"))
     profiled = known.select("component", "n", "grams").mapInArrow(_profile_components(buckets), SETS)
-    settled = materialize(profiled.groupBy("bucket").applyInArrow(_settle, SETTLED), "settled")
+    settled = materialize(profiled.groupBy("bucket").applyInArrow(_settle(buckets), SETTLED), "settled")
     able = _hits(settled).groupBy("fp").agg(F.min("n").alias("least"), F.sum("hits").alias("hits")).where("4 * hits >= 3 * least").select(F.col("fp").alias("component"))
     return materialize(known.join(materialize(able, "able").hint("merge"), "component", "left_semi"), "rest")
 
@@ -404,7 +412,7 @@ def linked_sets(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFr
     chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(chars / BUCKET_CHARS))
     profiled = docs.mapInArrow(_profile(buckets), SETS)
-    settled = materialize(profiled.groupBy("bucket").applyInArrow(_settle, SETTLED), "profile")
+    settled = materialize(profiled.groupBy("bucket").applyInArrow(_settle(buckets), SETTLED), "profile")
     each = settled.where("n is not null").select("doc_id", "fp", "n")
     classes = _hits(settled).groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.sum("hits").alias("hits"))
     able = classes.where("n > 0 and 4 * hits >= 3 * n and doc_id is not null").select("doc_id")
