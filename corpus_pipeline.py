@@ -51,7 +51,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Stages 1, 4 and 5 are beyond SQL; tests hold the stages against brute-force versions.
+#: Stages 1, 4 and 5 are beyond SQL; tests hold stages 2 and 4 against brute-force versions, the pipeline as a whole against none.
 ORACLE_SQL = None
 
 
