@@ -23,15 +23,6 @@ def no_docs(docs):
     return docs.limit(0)
 
 
-def test_pieces_are_whole_text_ids():
-    rnd, signs = random.Random(5), [*"ab Z\n\t  \r\x1c\x85\xa0é'1.,!Σİ̈中ßя", "<|endoftext|>", "'ll"]
-    for name, kind in (("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")):
-        own = tokens.PieceTokenizer(tokens.default_path(name), kind)
-        for _ in range(3000):
-            text = "".join(rnd.choice(signs) for _ in range(rnd.randint(0, 14)))
-            assert np.frombuffer(own.ids([text])[0], "<u4").tolist() == own.library.encode(text, add_special_tokens=False).ids
-
-
 def test_packing(docs, no_docs):
     made = packing.pack_documents(docs, tokens.default_path("byte_bpe_50k.json")).toPandas()
     assert made["length"].max() <= 2048 and (made["offset"] + made["length"]).max() <= 2048
@@ -53,13 +44,6 @@ def test_token_files_round_trip(docs, no_docs):
     assert token_files.read_token_files(token_files.write_token_files(no_docs, path, "word", 1)).count() == 0
 
 
-def test_elias_fano():
-    rng = np.random.default_rng(3)
-    for n in (0, 1, 5, 1000):
-        values = np.sort(rng.integers(0, rng.integers(1, 10**9), n))
-        assert (token_files.EliasFano.encode(values).select(np.arange(n)).astype(np.int64) == values).all()
-
-
 def test_trie_join_is_exact():
     rnd = random.Random(3)
     for _ in range(300):

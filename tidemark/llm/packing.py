@@ -13,7 +13,8 @@ short pieces fill what long ones leave; a slice is bounded in pieces and tokens.
 Results in special cases: a null or empty text is a document of the end token
 alone; a document of exactly the sequence length is one piece that fills a
 sequence; repeated rows are packed as often as they occur; a null ``doc_id``
-stays null; an empty table gives no pieces.
+stays null; an empty table gives no pieces; a kept column with the name of a
+result column is left out.
 """
 
 from __future__ import annotations
@@ -23,11 +24,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tidemark.llm.text_batches import text_slices
-from tidemark.llm.tokens import piece_tokenizer
-from tidemark.session import ship_package
+from tidemark.llm.text_batches import map_batches
+from tidemark.llm.tokens import encoded_slices, piece_tokenizer
 
 #: Sequence length, open bins a stream, tokens and pieces ordered at a time.
 SEQUENCE, OPEN_BINS, SLICE_TOKENS, SLICE_PIECES = 2048, 1024, 4_000_000, 20_000
@@ -78,12 +77,11 @@ def cut(n_tokens: int, sequence: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(at, sequence) for at in range(first, n_tokens, sequence)]
 
 
-def _pack_stream(keep: list[str], text: str, tokenizer: str, end_id: int, sequence: int, open_bins: int):
+def _pack_stream(tokenizer: str, end_id: int, sequence: int, open_bins: int):
     width = 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = piece_tokenizer(tokenizer, "byte", width)
-        end = end_id.to_bytes(width, "little")
+        tokens = piece_tokenizer(tokenizer, "byte")
         context = TaskContext.get()
         bins = OpenBins(sequence, open_bins, (context.partitionId() if context else 0) << 40)
         held, waiting, n_waiting = [], [], 0
@@ -94,23 +92,25 @@ def _pack_stream(keep: list[str], text: str, tokenizer: str, end_id: int, sequen
             source = pa.Table.from_batches(held)
             step = 2_000
             for at in range(0, len(rows), step):
-                part = rows[at : at + step]
-                spots = [bins.place(r[3]) for r in part]
-                kept = source.take(pa.array([r[0] for r in part])).combine_chunks()
-                columns = [kept.column(c).chunk(0) for c in keep]
-                made = [[r[1] for r in part], [r[2] for r in part], [r[3] for r in part], [r[4] for r in part], [s[0] for s in spots], [s[1] for s in spots]]
-                arrays = [pa.array(v, f.type) for v, f in zip(made, PLACED, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns + arrays, names=[*keep, *PLACED.names])
+                row, piece, start, length, ids = zip(*rows[at : at + step], strict=True)
+                sequence_id, offset = zip(*map(bins.place, length), strict=True)
+                kept = source.take(pa.array(row)).combine_chunks()
+                columns = [c.chunk(0) for c in kept.columns]
+                made = [pa.array(v, f.type) for v, f in zip((piece, start, length, ids, sequence_id, offset), PLACED, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns[:-1] + made, names=[*kept.schema.names[:-1], *PLACED.names])
 
         rows_held = 0
         for batch in batches:
-            for part, texts in text_slices(batch, text):
-                held.append(part.select(keep))
-                for i, ids in enumerate(tokens.ids(texts)):
-                    ids += end
-                    for k, (start, length) in enumerate(cut(len(ids) // width, sequence)):
-                        waiting.append((rows_held + i, k, start, length, ids[start * width : (start + length) * width]))
-                        n_waiting += length
+            for part, ids, ends in encoded_slices(batch, "t", tokens, end_id):
+                # The texts themselves are no longer needed.
+                held.append(part.set_column(part.num_columns - 1, "t", pa.nulls(part.num_rows, pa.int8())))
+                data, begin = ids.tobytes(), 0
+                for i, end in enumerate(ends.tolist()):
+                    for k, (start, length) in enumerate(cut(end - begin, sequence)):
+                        at = (begin + start) * width
+                        waiting.append((rows_held + i, k, start, length, data[at : at + length * width]))
+                    n_waiting += end - begin
+                    begin = end
                 rows_held += part.num_rows
                 if n_waiting >= SLICE_TOKENS or len(waiting) >= SLICE_PIECES:
                     yield from flush()
@@ -128,8 +128,4 @@ def pack_documents(
 
     piece, start, length, ids (little-endian unsigned 32-bit), sequence_id, offset.
     """
-    ship_package(docs.sparkSession)
-    kept = docs.select(*keep, F.col(text).alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    schema = f"{fields}, piece int, start bigint, length bigint, ids binary, sequence_id bigint, offset bigint"
-    return kept.mapInArrow(_pack_stream(list(keep), "__text", tokenizer, end_id, sequence, open_bins), schema)
+    return map_batches(_pack_stream(tokenizer, end_id, sequence, open_bins), docs, keep, text, PLACED)

@@ -27,9 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.spans import SPAN_TYPE, Span, digest_columns, digest_schema, replaced, span_records
-from tidemark.llm.text_batches import map_texts
-from tidemark.session import ship_package
+from tidemark.llm.spans import SPAN_TYPE, Intervals, Span, digest_columns, digest_schema, replaced, span_records
+from tidemark.llm.text_batches import column, map_texts
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "account")
@@ -45,7 +44,7 @@ DIGITS = "0123456789"
 SCHEME = "://"
 WEB_CUES = ("http://", "https://", "ftp://")
 WEB = re.compile(r"[^\s<>\"']+")
-PERSONAL = re.compile(r"(?i)^[^/?#]*:[^/?#@]*@|/(?:~|users?/|profile/)[^/?#]+|[?&](?:user|email|name|account|phone)=[^&#]+")
+PERSONAL = re.compile(r"(?i)^[^/?#@:]*:[^/?#@]*@|/(?:~|users?/|profile/)[^/?#]+|[?&](?:user|email|name|account|phone)=[^&#]+")
 CUES = ("iban", "IBAN", "account", "Account", "ACCOUNT", "acct", "Acct", "ssn", "SSN")
 AFTER_CUE = re.compile(r"(?:\s+(?:no|nr|number)\b)?\.?\s*[:#=]?\s*", re.IGNORECASE)
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
@@ -92,21 +91,20 @@ def account(text: str, at: int, cue: str) -> tuple[int, int] | None:
     return None
 
 
-def web(text: str, at: int) -> tuple[int, int] | None:
-    """The address around the scheme's end at ``at``, where it names a person."""
+def web(text: str, at: int) -> tuple[int, int, int | None]:
+    """Around the scheme's end at ``at``: where the address begins, where the run of its signs ends, and where the address ends if it names a person."""
     for cue in WEB_CUES:
         if text.endswith(cue, 0, at):
             m = WEB.match(text, at)
-            if m and PERSONAL.search(m[0]):
-                end = at + len(m[0].rstrip(".,;:!?)"))
-                return at - len(cue), end
-    return None
+            named = m and PERSONAL.search(m[0])
+            return at - len(cue), m.end() if m else at, at + len(m[0].rstrip(".,;:!?)")) if named else None
+    return at, at, None
 
 
 def scan_text(text: str) -> tuple[list[Span], list[Span]]:
     base: list[Span] = []
     added: list[Span] = []
-    email_end = ip_end = card_end = phone_end = run_end = 0
+    email_end = ip_end = card_end = phone_end = run_end = web_end = 0
     for last, anchor in anchors().iter(text):
         if anchor in DIGITS:
             if last < run_end:
@@ -142,41 +140,36 @@ def scan_text(text: str) -> tuple[list[Span], list[Span]]:
                 if 10 <= sum(c in DIGITS for c in m[0]) <= 15:
                     base.append((last, phone_end, "phone"))
         elif anchor == SCHEME:
-            if found := web(text, last + 1):
-                added.append((*found, "url"))
+            # A scheme inside an address begins no other one.
+            if last >= web_end:
+                begin, web_end, end = web(text, last + 1)
+                if end:
+                    added.append((begin, end, "url"))
         elif found := account(text, last + 1, anchor):
             added.append((*found, "account"))
-    taken = [(a, b) for a, b, _ in base]
-    added = [s for s in dict.fromkeys(added) if not any(a <= s[0] and s[1] <= b for a, b in taken)]
-    return base, added
+    whole = Intervals(base)
+    return base, [s for s in dict.fromkeys(added) if not whole.cover(s[0], s[1])]
 
 
 def find_pii(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """Columns ``keep`` and ``found``: the spans (kind, start, end) of each text."""
-    ship_package(docs.sparkSession)
-    made = map_texts(lambda texts: {"found": [span_records([*b, *a]) for b, a in map(scan_text, texts)]}, list(keep), "__text", pa.schema([("found", SPAN_TYPE)]))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(made, f"{fields}, found array<struct<kind:string,start:int,end:int>>")
+    return map_texts(lambda texts: {"found": [span_records([*b, *a]) for b, a in map(scan_text, texts)]}, docs, keep, text, pa.schema([("found", SPAN_TYPE)]))
 
 
 def pii_digests(docs: DataFrame) -> DataFrame:
     """doc_id, the counts of the base kinds, base_sha256 and all spans as one string."""
-    ship_package(docs.sparkSession)
-    made = map_texts(lambda texts: digest_columns([scan_text(t) for t in texts], BASE, KINDS), ["doc_id"], "text", digest_schema(BASE))
-    doc_id = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(made, f"doc_id {doc_id}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return map_texts(lambda texts: digest_columns([scan_text(t) for t in texts], BASE, KINDS), docs, ("doc_id",), "text", digest_schema(BASE))
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents with every span in ``text`` replaced by its kind; a null text stays null."""
-    ship_package(docs.sparkSession)
-    others = [c for c in docs.columns if c != text]
+    others = tuple(c for c in docs.columns if c != text)
 
     def clean(texts: list[str]) -> dict[str, list]:
-        return {"__clean": [replaced(t, [*b, *a]) for t, (b, a) in zip(texts, map(scan_text, texts), strict=True)]}
+        return {"clean": [replaced(t, [*b, *a]) for t, (b, a) in zip(texts, map(scan_text, texts), strict=True)]}
 
-    made = map_texts(clean, [*others, "__null"], "__text", pa.schema([("__clean", pa.string())]))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*others).schema)
-    flagged = docs.select(*others, F.col(text).isNull().alias("__null"), F.col(text).alias("__text"))
-    out = flagged.mapInArrow(made, f"{fields}, __null boolean, __clean string")
-    return out.withColumn(text, F.when(~F.col("__null"), F.col("__clean"))).select(*docs.columns)
+    # The other columns travel in one struct, by number.
+    number = {c: f"c{i}" for i, c in enumerate(others)}
+    known = docs.select(F.struct(column(text).isNull().alias("missing"), *(column(c).alias(n) for c, n in number.items())).alias("others"), column(text).alias("body"))
+    out = map_texts(clean, known, ("others",), "body", pa.schema([("clean", pa.string())]))
+    return out.select(*(F.when(~F.col("others.missing"), F.col("clean")).alias(c) if c == text else F.col(f"others.{number[c]}").alias(c) for c in docs.columns))

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import signals
-from tidemark.llm.text_batches import map_texts
+from tidemark.llm.text_batches import column, map_texts
 from tidemark.session import materialize, ship_package
 
 JUNK, NONE, GOOD = -1, 0, 1
@@ -236,7 +236,6 @@ class QualityModel:
 
     def score(self, docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
         """Columns ``keep``, the probability ``score`` that a document is good, and ``kept``."""
-        ship_package(docs.sparkSession)
         weights = self.weights
 
         def run(texts: list[str]) -> dict[str, list]:
@@ -248,9 +247,7 @@ class QualityModel:
                 scores.append(1 / (1 + math.exp(max(-30.0, min(30.0, z)))) if slots else 0.0)
             return {"score": scores, "kept": [s >= 0.5 for s in scores]}
 
-        made = map_texts(run, list(keep), "__text", pa.schema([("score", pa.float64()), ("kept", pa.bool_())]))
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-        return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(made, f"{fields}, score double, kept boolean")
+        return map_texts(run, docs, keep, "text", pa.schema([("score", pa.float64()), ("kept", pa.bool_())]))
 
 
 _worker_shapes: list[Shapes] = []
@@ -278,8 +275,7 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> QualityModel:
     known = dict(zip(keys, posterior(keys, table, share).tolist(), strict=True))
     target = F.element_at(F.from_json(F.lit(pd.Series(known).to_json(double_precision=6)), "map<string,double>"), F.col("votes"))
     schema = pa.schema([("slots", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))])
-    labelled = voted.select(target.alias("target"), F.col("text").alias("__text"))
-    rows = labelled.mapInArrow(map_texts(_featurize, ["target"], "__text", schema), "target double, slots array<int>, values array<double>")
+    rows = map_texts(_featurize, voted.select(target.alias("target"), "text"), ("target",), "text", schema)
     # Either class has half of the weight.
     weight = F.when(F.col("target") >= 0.5, 0.5 / max(share, 0.02)).otherwise(0.5 / (1 - share))
     sample = materialize(rows.withColumn("weight", F.least(weight, F.lit(10.0))).repartition(4), "training")

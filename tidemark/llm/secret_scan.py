@@ -19,11 +19,9 @@ import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tidemark.llm.spans import SPAN_TYPE, Span, digest_columns, digest_schema, span_records
+from tidemark.llm.spans import SPAN_TYPE, Intervals, Span, digest_columns, digest_schema, span_records
 from tidemark.llm.text_batches import map_texts
-from tidemark.session import ship_package
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "random")
@@ -83,9 +81,10 @@ def excluded(run: str) -> bool:
 def random_strings(text: str, base: list[Span], encode, most_ratio: float = MOST_RATIO) -> list[Span]:
     """Runs that take many tokens for their length, outside the base spans."""
     spans: list[Span] = []
+    known = Intervals(base)
     for m in RUN.finditer(text):
         run, (a, b) = m[0], m.span()
-        if MIXED.match(run) and not any(s < b and a < e for s, e, _ in base) and not excluded(run) and len(run) < most_ratio * len(encode(run)):
+        if MIXED.match(run) and not known.meets(a, b) and not excluded(run) and len(run) < most_ratio * len(encode(run)):
             spans.append((a, b, "random"))
     return spans
 
@@ -101,16 +100,9 @@ def scan(texts: list[str], path: str) -> list[tuple[list[Span], list[Span]]]:
 
 def find_secrets(docs: DataFrame, vocabulary_path: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """Columns ``keep`` and ``found``: the spans (kind, start, end) of each text."""
-    ship_package(docs.sparkSession)
-    schema = pa.schema([("found", SPAN_TYPE)])
-    made = map_texts(lambda texts: {"found": [span_records(b + a) for b, a in scan(texts, vocabulary_path)]}, list(keep), "__text", schema)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(made, f"{fields}, found array<struct<kind:string,start:int,end:int>>")
+    return map_texts(lambda texts: {"found": [span_records(b + a) for b, a in scan(texts, vocabulary_path)]}, docs, keep, text, pa.schema([("found", SPAN_TYPE)]))
 
 
 def secret_digests(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """doc_id, the counts of the base kinds, base_sha256 and all spans as one string."""
-    ship_package(docs.sparkSession)
-    made = map_texts(lambda texts: digest_columns(scan(texts, vocabulary_path), BASE, KINDS), ["doc_id"], "text", digest_schema(BASE))
-    doc_id = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(made, f"doc_id {doc_id}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return map_texts(lambda texts: digest_columns(scan(texts, vocabulary_path), BASE, KINDS), docs, ("doc_id",), "text", digest_schema(BASE))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 
 import pyarrow as pa
 
@@ -30,6 +31,30 @@ def digest_schema(base: tuple[str, ...]) -> pa.Schema:
     return pa.schema([*((f"n_{k}", pa.int64()) for k in base), ("base_sha256", pa.string()), ("spans", pa.string())])
 
 
+class Intervals:
+    """Disjoint intervals that cover what ``spans`` do, for look-ups by bisection."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b, _ in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, begin: int, end: int) -> bool:
+        """Whether any span has a character in common with ``begin`` to ``end``."""
+        at = bisect_right(self.ends, begin)
+        return at < len(self.starts) and self.starts[at] < end
+
+    def cover(self, begin: int, end: int) -> bool:
+        """Whether one interval holds all of ``begin`` to ``end``."""
+        at = bisect_right(self.starts, begin) - 1
+        return at >= 0 and end <= self.ends[at]
+
+
 def span_records(spans: list[Span]) -> list[dict]:
     return [{"kind": k, "start": a, "end": b} for a, b, k in sorted(spans)]
 
