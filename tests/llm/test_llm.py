@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tidemark.llm import ngram_join, packing, pii, quality_model, quality_rules, secret_scan, spans, token_files, tokens, topk, warc
+from tidemark.llm import ngram_join, packing, pii, quality_model, quality_rules, secret_scan, spans, token_files, tokens, warc
 from tidemark.llm.trie_join import Forest, block_links
 
 ODD = [(1, None), (2, ""), (3, "   \n"), (4, "one two"), (5, "one two"), (6, "word " * 30_000), (None, "a b c d e f"), (7, "mail me at x.y@example.com or 10.0.0.1 token = abcdef123"), (7, "mail me at x.y@example.com or 10.0.0.1 token = abcdef123")]
@@ -103,16 +103,6 @@ def test_quality_model_held_out(spark):
     assert (scored.kept == (scored.quality == 1)).mean() > 0.97
 
 
-def test_top_k_is_exact():
-    rng = np.random.default_rng(4)
-    data, queries = rng.integers(-50, 50, (600, 8)), rng.integers(-50, 50, (30, 8))
-    data[100:140] = data[0]
-    scores, ids, _ = topk.search_block(queries, np.arange(1000, 1030), data, np.arange(600), 10)
-    for i, q in enumerate(queries):
-        best = sorted(((-int(s), j) for j, s in enumerate(data @ q)))[:10]
-        assert [(-s, j) for s, j in best] == list(zip(scores[i].tolist(), ids[i].tolist(), strict=True))
-
-
 def test_warc_round_trip(spark):
     big = "x" * 1500
     pages = spark.createDataFrame([(1, "http://a", big), (2, None, big), (3, "http://c", "small"), (4, "http://d", "small"), (5, "u", None), (None, "n", big)], "page_id long, url string, html string")

@@ -14,15 +14,20 @@ a number per domain, and the best such step solves a system of that size, whose
 matrix ``sum(tokens * posterior posterior')`` one aggregation gives. Rates that
 would go negative stop at 0. Each iteration is one aggregation over a small table
 (tokens and posterior); rates are an expression of the steps so far and are never
-stored. A document's rate becomes a whole number of copies by a hash of its id.
+stored. A document's rate becomes a whole number of copies by a hash of its id, up
+with the probability of its fraction: drawn totals are right in expectation, with a
+variance of ``sum(f (1 - f) (tokens * posterior)^2)`` over the fractions f.
 
 Everything on documents is DataFrame functions; the driver sees vectors and
 matrices of one number per domain (or pair of domains) only.
 
 Results in special cases: a null or empty text has no tokens, rate 1 and belongs
 to the domains by their shares; documents that repeat are rated alike; a null
-``doc_id`` hashes like any value; without labelled documents all are one domain
-and every rate is 1; an empty table gives no rows; other columns play no part.
+``doc_id`` hashes like any value; a domain that has less than its share gets rates
+above 1 and its documents come more than once (``most`` caps rates; there is no cap
+by default); a target domain without documents is left out; without labelled
+documents all are one domain and every rate is 1; an empty table gives no rows;
+other columns play no part and may have any names.
 """
 
 from __future__ import annotations
@@ -36,6 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import signals
+from tidemark.llm.text_batches import column
 from tidemark.session import materialize
 
 #: Labelled documents in the sample (about); telling words a label; least documents and least share of a value's documents with one; least gap in log-rates.
@@ -50,20 +56,21 @@ BITS = 1 << 30
 
 
 def _signs(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    """Columns ``keep``, the number of words, the distinct words, and signs of the text as small whole numbers.
+    """Columns ``keep`` in a struct, the number of words, the distinct words, and signs of the text as small whole numbers.
 
     Each is worked out once, in a projection of its own, as the model refers to it many times.
     """
-    split = docs.select(*keep, F.col("text").alias("__text"), signals.words(F.col("text")).alias("__words"))
-    counted = split.select(*keep, "__text", F.size("__words").alias("__n"), F.array_distinct("__words").alias("__distinct"))
-    share = lambda x: F.least(F.lit(4), F.floor(F.coalesce(F.try_divide(x * 5, F.col("__n")), F.lit(0.0)))).cast("int")
-    text = F.col("__text")
-    values = (share(signals.n_chars_of(text, "#*$%&|<>")), share(signals.n_chars_of(text, "!?")), share(F.size("__distinct")))
-    return counted.select(*keep, "__n", "__distinct", *(v.alias(name) for v, name in zip(values, SIGNS, strict=True)))
+    kept = F.struct(*map(column, keep)) if keep else F.lit(None)
+    split = docs.select(kept.alias("kept"), F.col("text").alias("text"), signals.words(F.col("text")).alias("words"))
+    counted = split.select("kept", "text", F.size("words").alias("n"), F.array_distinct("words").alias("distinct"))
+    share = lambda x: F.least(F.lit(4), F.floor(F.coalesce(F.try_divide(x * 5, F.col("n")), F.lit(0.0)))).cast("int")
+    text = F.col("text")
+    values = (share(signals.n_chars_of(text, "#*$%&|<>")), share(signals.n_chars_of(text, "!?")), share(F.size("distinct")))
+    return counted.select("kept", "n", "distinct", *(v.alias(name) for v, name in zip(values, SIGNS, strict=True)))
 
 
 #: Symbols and marks a word, and share of distinct words, in fifths.
-SIGNS = ("__symbols", "__marks", "__variety")
+SIGNS = ("symbols", "marks", "variety")
 
 
 def _tokens_of(distinct: Column) -> Column:
@@ -87,7 +94,7 @@ class LabelModel:
             score = F.aggregate(found, score, lambda acc, w: add(acc, F.coalesce(F.try_element_at(table, w), nothing)))
         for name in SIGNS:
             known = F.array(*(vector(self.bins[name, b]) for b in range(5)))
-            score = add(score, F.when(F.col("__n") > 0, F.get(known, F.col(name))).otherwise(nothing))
+            score = add(score, F.when(F.col("n") > 0, F.get(known, F.col(name))).otherwise(nothing))
         raised = lambda s: F.transform(s, lambda x: F.exp(x - F.array_max(s)))
         normal = lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
         return signals.let(signals.let(score, raised), normal)
@@ -105,7 +112,7 @@ class DomainModel:
         if not self.models:
             return F.array(F.lit(1.0))
         telling = sorted({w for m in self.models for w in m.words})
-        found = F.array_intersect(_tokens_of(F.col("__distinct")), F.array(*map(F.lit, telling))) if telling else F.array().cast("array<string>")
+        found = F.array_intersect(_tokens_of(F.col("distinct")), F.array(*map(F.lit, telling))) if telling else F.array().cast("array<string>")
         each = signals.let(found, lambda f: F.array(*(m.posterior(f) for m in self.models)))
         picks = list(product(*(range(len(m.values)) for m in self.models)))
         product_of = lambda e, pick: reduce(lambda a, b: a * b, (F.get(F.get(e, F.lit(i)), F.lit(k)) for i, k in enumerate(pick)))
@@ -144,30 +151,33 @@ def fit_domains(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...] = (
     known = known.groupBy("doc_id").agg(F.min(F.struct(*(F.col(c).cast("string").alias(c) for c in columns))).alias("label"))
     n_labels = known.count()
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(BITS)) < F.lit(int(BITS * min(1.0, sample_docs / max(1, n_labels))))
-    texts = docs.where(draw).select("doc_id", "text").join(known.where(draw), "doc_id").select("label.*", "text")
-    sample = materialize(_signs(texts, columns).select(*columns, F.array_distinct(_tokens_of(F.col("__distinct"))).alias("words"), *SIGNS), "labelled")
+    # A row for each doc_id, so that one that repeats can't fill the sample.
+    drawn = docs.where(draw).groupBy("doc_id").agg(F.min("text").alias("text"))
+    texts = drawn.join(known.where(draw), "doc_id").select("label.*", "text")
+    sample = materialize(_signs(texts, columns).select("kept.*", F.array_distinct(_tokens_of(F.col("distinct"))).alias("words"), *SIGNS), "labelled")
     if sample.isEmpty():
         return DomainModel([])
     return DomainModel([_fit_label(sample, c) for c in columns])
 
 
-def _rate(steps: list[np.ndarray]) -> Column:
-    """The rate after ``steps``: from 1, each step less ``posterior . y``, never below 0."""
+def _rate(steps: list[np.ndarray], most: float | None = None) -> Column:
+    """The rate after ``steps``: from 1, each step less ``posterior . y``, never below 0 (nor above ``most``)."""
     size = len(steps[0]) if steps else 0
     if not steps:
         return F.lit(1.0)
     table = F.array(*(F.array(*(F.lit(float(x)) for x in y)) for y in steps))
-    dot = lambda y: sum(F.get(F.col("__posterior"), F.lit(i)) * F.get(y, F.lit(i)) for i in range(size))
-    return F.aggregate(table, F.lit(1.0), lambda rate, y: F.greatest(F.lit(0.0), rate - dot(y)))
+    dot = lambda y: sum(F.get(F.col("posterior"), F.lit(i)) * F.get(y, F.lit(i)) for i in range(size))
+    capped = lambda rate: rate if most is None else F.least(F.lit(float(most)), rate)
+    return F.aggregate(table, F.lit(1.0), lambda rate, y: capped(F.greatest(F.lit(0.0), rate - dot(y))))
 
 
-def fit_rates(members: DataFrame, weights: np.ndarray) -> list[np.ndarray]:
-    """Steps that bring the expected tokens by domain of ``members`` (n_tokens, __posterior) to ``weights`` of a total.
+def fit_rates(members: DataFrame, weights: np.ndarray, most: float | None = None) -> list[np.ndarray]:
+    """Steps that bring the expected tokens by domain of ``members`` (n_tokens, posterior) to ``weights`` of a total.
 
-    The total is such that the domain of the largest weight is taken whole; a domain that has less than its share is taken whole too.
+    The total is such that the domain of the largest weight is expected as often as it is there.
     """
     size = len(weights)
-    p = [F.get(F.col("__posterior"), F.lit(i)) for i in range(size)]
+    p = [F.get(F.col("posterior"), F.lit(i)) for i in range(size)]
     pairs = [(i, j) for i in range(size) for j in range(i, size)]
     first = members.agg(*(F.sum(F.col("n_tokens") * p[i] * p[j]) for i, j in pairs), *(F.sum(F.col("n_tokens") * p[i]) for i in range(size))).first()
     if first[0] is None:
@@ -180,12 +190,12 @@ def fit_rates(members: DataFrame, weights: np.ndarray) -> list[np.ndarray]:
     if not wanted.any():
         return []
     main = int(wanted.argmax())
-    target = np.minimum(weights * present[main] / weights[main], present)
+    target = wanted * present[main] / weights[main]
     steps: list[np.ndarray] = []
     inverse = np.linalg.pinv(matrix + np.eye(size) * 1e-9 * np.trace(matrix))
     best, best_steps = math.inf, steps
     for _ in range(MOST_STEPS):
-        rate = _rate(steps)
+        rate = _rate(steps, most)
         now = members.agg(*(F.sum(rate * F.col("n_tokens") * p[i]) for i in range(size))).first()
         residual = np.array(now, float) - target
         error = float(np.linalg.norm(residual) / np.linalg.norm(target))
@@ -200,37 +210,31 @@ def fit_rates(members: DataFrame, weights: np.ndarray) -> list[np.ndarray]:
 
 
 def memberships(docs: DataFrame, model: DomainModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep``, n_tokens (words) and __posterior of every document."""
-    return _signs(docs, keep).select(*keep, F.col("__n").cast("long").alias("n_tokens"), model.posterior().alias("__posterior"))
+    """Columns ``keep`` in a struct ``kept``, n_tokens (words) and posterior of every document."""
+    return _signs(docs, keep).select("kept", F.col("n").cast("long").alias("n_tokens"), model.posterior().alias("posterior"))
 
 
-def copies(rate: Column, doc_id: str = "doc_id") -> Column:
+def copies(rate: Column, doc_id: Column) -> Column:
     """The rate as a whole number: up or down by a hash of the id, right in expectation."""
-    return F.floor(rate + F.pmod(F.xxhash64(F.col(doc_id), F.lit(17)), F.lit(BITS)) / F.lit(float(BITS))).cast("int")
+    return F.floor(rate + F.pmod(F.xxhash64(doc_id, F.lit(17)), F.lit(BITS)) / F.lit(float(BITS))).cast("int")
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> tuple[DataFrame, DomainModel]:
-    """doc_id, n_tokens, posterior, rate, copies of every document, and the model."""
+def _rated(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None, keep: tuple[str, ...], most: float | None) -> tuple[DataFrame, DomainModel]:
+    """kept, n_tokens, posterior, rate and copies, and the model. Texts are judged once; the fit reads only tokens and posteriors."""
     targets = TARGETS if targets is None else targets
     model = fit_domains(docs, labels)
-    members = materialize(memberships(docs, model), "members")
-    weights = np.array([targets.get(d, 0.0) for d in model.domains])
-    steps = fit_rates(members, weights)
-    rate = _rate(steps)
-    rated = members.withColumn("rate", rate).withColumn("copies", copies(F.col("rate")))
-    return rated.withColumnRenamed("__posterior", "posterior"), model
+    members = materialize(memberships(docs, model, keep), "members")
+    steps = fit_rates(members, np.array([targets.get(d, 0.0) for d in model.domains]), most)
+    return members.withColumn("rate", _rate(steps, most)).withColumn("copies", copies(F.col("rate"), F.col("kept.doc_id"))), model
 
 
-def take(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """The documents as often as their rates say, with their own columns.
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, most: float | None = None) -> tuple[DataFrame, DomainModel]:
+    """doc_id, n_tokens, posterior, rate, copies of every document, and the model."""
+    rated, model = _rated(docs, labels, targets, ("doc_id",), most)
+    return rated.select("kept.doc_id", "n_tokens", "posterior", "rate", "copies"), model
 
-    The rate is worked out again on each text: no join, and so no shuffle, of the texts.
-    """
-    targets = TARGETS if targets is None else targets
-    model = fit_domains(docs, labels)
-    members = materialize(memberships(docs, model, ()), "members")
-    steps = fit_rates(members, np.array([targets.get(d, 0.0) for d in model.domains]))
-    signed = _signs(docs, tuple(docs.columns))
-    rated = signed.select(*docs.columns, model.posterior().alias("__posterior"))
-    taken = rated.withColumn("__copies", copies(_rate(steps))).where("__copies > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+
+def take(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, most: float | None = None) -> DataFrame:
+    """The documents as often as their rates say, with their own columns. No join, and so no shuffle, of the texts."""
+    rated, _ = _rated(docs, labels, targets, tuple(docs.columns), most)
+    return rated.where("copies > 0").select("kept", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("kept.*")

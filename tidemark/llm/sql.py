@@ -46,13 +46,12 @@ from judged
 
 TOP_K = """
 with v as (
-  select vec_id, min(list_transform(embedding, lambda x: floor(1024 * x::double)::bigint)) as p from embeddings
-  where vec_id is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
-  group by vec_id),
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as p from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 scored as (
-  select q.vec_id as query_id, d.vec_id, list_sum(list_transform(list_zip(q.p, d.p), lambda z: coalesce(z[1] * z[2], 0)))::bigint as score
-  from v q join v d on q.vec_id % 100 = 0 and q.vec_id <> d.vec_id),
-ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
+  select q.r, q.vec_id as query_id, d.vec_id, coalesce(list_sum(list_transform(list_zip(q.p, d.p), lambda z: coalesce(z[1] * z[2], 0))), 0)::bigint as score
+  from v q join v d on q.vec_id % 100 = 0 and q.r <> d.r),
+ranked as (select *, row_number() over (partition by r order by score desc, vec_id) as rank from scored)
 select query_id, rank::int as rank, vec_id, score from ranked where rank <= 10
 """
 

@@ -1,39 +1,49 @@
 """Exact top-k search by inner product: dual-tree search over cover trees.
 
-Queries and data are dealt into blocks of bounded size; a task holds one block of
-queries and one of data. It builds a cover tree over either: a node is a point
-and the radius that covers all points below it, each level's points are apart by
-its scale and cover those of the level below at half of it. Both trees are
-walked together. With q, r the nodes' points and a, b their radii, no inner
-product below a pair of nodes exceeds ``<q, r> + |q| b + |r| a + a b``; the pair
-is pruned when that is less than the worst k-th score of the queries below the
-query node. Pairs of leaves are scored exactly in integers. A window keeps the k
-best of each query over all blocks of data.
+Vectors are dealt into cells by their nearest pivot (a bounded number of them, drawn
+by a hash), large cells into blocks of bounded size. A task takes one block of data,
+builds its cover tree, and lets the queries stream past, a tree for each batch of
+them. A cover tree's node is a point and the radius that covers all points below it;
+its children are apart by half its scale and cover its points within that. Both trees
+are walked together: with q, r the nodes' points and a, b their radii, no inner
+product below a pair of nodes exceeds ``<q, r> + |q| b + |r| a + a b``, and the pair
+is pruned when that is less than the worst k-th score of the queries below the query
+node. At a pair of leaves each query is held against its own k-th score before the
+pair is scored exactly, in integers.
+
+Queries visit their own block first. With the k-th score found there they go only to
+cells whose pivot and radius could hold a better one, so what is shuffled is copies
+of the queries, and each vector twice. A window keeps the k best of each query.
 
 Components are floor(1024 * x). Scores are exact: integers throughout where they
 could leave the range in which doubles are.
 
-Results in special cases: vectors that are null, empty or hold null or non-finite
-components take no part; a shorter vector counts as filled with zeros; rows that
-repeat a vec_id count once (the least vector); rows with a null vec_id take no
-part; ties go to the smaller vec_id; fewer than k candidates give fewer rows; an
-empty table gives none.
+Results in special cases: vectors that are null or hold null or non-finite components
+take no part, nor do rows with a null vec_id; a shorter vector counts as filled with
+zeros, so an empty one scores 0; every row but the query's own is a candidate, also
+one that repeats the query's vec_id or vector, and a repeated query row is answered
+as often as it occurs; ties go to the smaller vec_id; fewer than k candidates give
+fewer rows; an empty table gives none; other columns play no part.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.session import materialize, ship_package
 
 SCALE = 1024
-#: Vectors in a block of data and in a block of queries, and points in a leaf.
-DATA_BLOCK, QUERY_BLOCK, LEAF = 4096, 1024, 64
+#: Vectors in a block of data, queries in a batch, pivots at most, tasks at most.
+DATA_BLOCK, QUERY_BATCH, MOST_PIVOTS, MOST_TASKS = 8192, 1024, 1024, 10_000
+#: Points in a leaf at least; a node stays a leaf where its children would have fewer points than this on average.
+LEAF, LEAST_BELOW = 32, 8
+NONE = np.iinfo(np.int64).min
 
 
 class CoverTree:
@@ -41,71 +51,65 @@ class CoverTree:
 
     def __init__(self, points: np.ndarray):
         self.points = points
-        self.centers: list[np.ndarray] = []
+        self.centers: list[int] = []
         self.radii: list[float] = []
-        self.children: list[list[int]] = []
+        self.children: list[np.ndarray] = []
         self.members: list[np.ndarray] = []
-        if len(points):
-            index = np.arange(len(points))
-            distances = np.linalg.norm(points - points[0], axis=1)
-            self._build(0, index, distances)
-        self.center_matrix = np.array(self.centers) if self.centers else np.empty((0, points.shape[1]))
-        self.norms = np.linalg.norm(self.center_matrix, axis=1)
+        self._build(0, np.arange(len(points)), np.linalg.norm(points - points[0], axis=1))
+        self.center, self.radius = points[self.centers], np.array(self.radii)
+        self.norm = np.linalg.norm(self.center, axis=1)
 
     def _build(self, center: int, index: np.ndarray, distances: np.ndarray) -> int:
         """The node of ``index``, whose centre is a point and whose distances to it are given."""
-        node = len(self.radii)
-        radius = float(distances.max())
-        self.centers.append(self.points[center])
+        node, radius = len(self.radii), float(distances.max())
+        self.centers.append(center)
         self.radii.append(radius)
-        self.children.append([])
+        self.children.append(np.empty(0, np.int64))
         self.members.append(index)
         if len(index) <= LEAF or radius == 0:
             return node
         # Children: the centre first, then ever the point farthest from all so far, until all are within half the scale.
-        scale = 2.0 ** math.ceil(math.log2(radius)) / 2
-        nearest, owner, centers = distances.copy(), np.zeros(len(index), np.int64), [center]
-        own_distance = distances.copy()
-        while nearest.max() > scale and len(centers) * LEAF < 2 * len(index):
+        half = 2.0 ** math.ceil(math.log2(radius)) / 2
+        owner, nearest, centers, own = np.zeros(len(index), np.int64), distances.copy(), [center], self.points[index]
+        while nearest.max() > half:
+            if (len(centers) + 1) * LEAST_BELOW > len(index):
+                return node
             far = int(nearest.argmax())
-            apart = np.linalg.norm(self.points[index] - self.points[index[far]], axis=1)
-            closer = apart < own_distance
-            owner[closer], own_distance[closer] = len(centers), apart[closer]
-            nearest = np.minimum(nearest, apart)
+            apart = np.linalg.norm(own - own[far], axis=1)
+            closer = apart < nearest
+            owner[closer], nearest[closer] = len(centers), apart[closer]
             centers.append(int(index[far]))
-        if len(centers) == 1:
-            far = int(distances.argmax())
-            apart = np.linalg.norm(self.points[index] - self.points[index[far]], axis=1)
-            closer = apart < own_distance
-            owner[closer], own_distance[closer] = 1, apart[closer]
-            centers.append(int(index[far]))
-        for number, point in enumerate(centers):
-            below = owner == number
-            if below.any():
-                self.children[node].append(self._build(point, index[below], own_distance[below]))
+        below = [owner == number for number in range(len(centers))]
+        self.children[node] = np.array([self._build(point, index[b], nearest[b]) for point, b in zip(centers, below, strict=True) if b.any()])
         return node
 
 
 class Best:
-    """The k best (score, id) of each query so far."""
+    """The k best (score, id) of each query so far, and its least score that matters."""
 
-    def __init__(self, n: int, k: int):
+    def __init__(self, floor: np.ndarray, k: int):
         self.k = k
-        self.scores = np.full((n, k), np.iinfo(np.int64).min, np.int64)
-        self.ids = np.full((n, k), np.iinfo(np.int64).max, np.int64)
+        self.scores = np.full((len(floor), k), NONE, np.int64)
+        self.ids = np.full((len(floor), k), np.iinfo(np.int64).max, np.int64)
+        self.worst = floor.astype(np.int64)
 
     def offer(self, queries: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
         """Scores of ``queries`` (rows) against ``ids`` (columns); the least score stands for no candidate."""
-        hopeful = (scores >= self.scores[queries, -1:]).any(axis=1)
+        hopeful = ((scores >= self.worst[queries][:, None]) & (scores > NONE)).any(axis=1)
         if not hopeful.any():
             return
         queries, scores = queries[hopeful], scores[hopeful]
         all_scores = np.concatenate([self.scores[queries], scores], axis=1)
-        all_ids = np.concatenate([self.ids[queries], np.broadcast_to(ids, scores.shape)], axis=1)
-        all_ids = np.where(all_scores == np.iinfo(np.int64).min, np.iinfo(np.int64).max, all_ids)
+        all_ids = np.concatenate([self.ids[queries], np.where(scores > NONE, ids, np.iinfo(np.int64).max)], axis=1)
+        if all_scores.shape[1] > 4 * self.k:  # only what reaches the k-th score needs to be in order
+            kth = ~np.partition(~all_scores, self.k - 1, axis=1)[:, self.k - 1 : self.k]
+            wide = int((all_scores >= kth).sum(axis=1).max())
+            part = np.argsort(~all_scores, axis=1, kind="stable")[:, :wide]
+            all_scores, all_ids = np.take_along_axis(all_scores, part, axis=1), np.take_along_axis(all_ids, part, axis=1)
         order = np.lexsort((all_ids, ~all_scores), axis=1)[:, : self.k]
         self.scores[queries] = np.take_along_axis(all_scores, order, axis=1)
         self.ids[queries] = np.take_along_axis(all_ids, order, axis=1)
+        self.worst[queries] = np.maximum(self.worst[queries], self.scores[queries, -1])
 
 
 def _exact(queries: np.ndarray, data: np.ndarray) -> np.ndarray:
@@ -116,86 +120,178 @@ def _exact(queries: np.ndarray, data: np.ndarray) -> np.ndarray:
     return queries @ data.T
 
 
-def search_block(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Scores and ids of each query's k best in the data, and how many pairs of leaves were scored."""
-    best = Best(len(queries), k)
-    if not len(queries) or not len(data):
-        return best.scores, best.ids, 0
-    q_tree, r_tree = CoverTree(queries.astype(np.float64)), CoverTree(data.astype(np.float64))
-    leaves = 0
-
-    def bound(q: int, r: np.ndarray) -> np.ndarray:
-        a, b = q_tree.radii[q], np.array([r_tree.radii[i] for i in r])
-        inner = r_tree.center_matrix[r] @ q_tree.center_matrix[q]
-        return (inner + q_tree.norms[q] * b + r_tree.norms[r] * a + a * b) * (1 + 1e-9) + 1
-
-    def worst(q: int) -> int:
-        return best.scores[q_tree.members[q], -1].min()
-
-    def walk(q: int, r: int) -> None:
-        nonlocal leaves
-        below_q, below_r = q_tree.children[q], r_tree.children[r]
-        if not below_q and not below_r:
-            leaves += 1
-            rows, columns = q_tree.members[q], r_tree.members[r]
-            scores = _exact(queries[rows], data[columns])
-            scores[query_ids[rows][:, None] == data_ids[columns][None, :]] = np.iinfo(np.int64).min
-            best.offer(rows, scores, data_ids[columns])
-            return
-        if below_r and (not below_q or r_tree.radii[r] >= q_tree.radii[q]):
-            found = np.array(below_r)
-            bounds = bound(q, found)
-            for i in np.argsort(-bounds):
-                if bounds[i] >= worst(q):
-                    walk(q, int(found[i]))
-        else:
-            for child in below_q:
-                if bound(child, np.array([r]))[0] >= worst(child):
-                    walk(child, r)
-
-    walk(0, 0)
-    return best.scores, best.ids, leaves
+def _bound(inner: np.ndarray, norm_q, a, norm_r, b) -> np.ndarray:
+    """The greatest inner product around two points with radii a and b, with room for the rounding of doubles."""
+    reach = norm_q * b + norm_r * a + a * b
+    return inner + reach + 1e-9 * (norm_q * norm_r + reach) + 1
+
+
+class Block:
+    """A block of data and its cover tree."""
+
+    def __init__(self, data: np.ndarray, rows: np.ndarray, ids: np.ndarray):
+        self.data, self.rows, self.ids = data, rows, ids
+        self.tree = CoverTree(data.astype(np.float64))
+
+    def search(self, queries: np.ndarray, query_rows: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Scores and ids of each query's k best here that reach its floor, and how many scores were worked out."""
+        best, points = Best(floor, k), queries.astype(np.float64)
+        q_tree, r_tree = CoverTree(points), self.tree
+        norms, scored = np.linalg.norm(points, axis=1), 0
+        stack = [(0, 0, math.inf)]
+        while stack:
+            q, r, most = stack.pop()
+            below_q, below_r, own = q_tree.children[q], r_tree.children[r], q_tree.members[q]
+            if most < best.worst[own].min():
+                continue
+            if not len(below_q) and not len(below_r):
+                own = own[_bound(points[own] @ r_tree.center[r], norms[own], 0.0, r_tree.norm[r], r_tree.radius[r]) >= best.worst[own]]
+                if len(own):
+                    columns = r_tree.members[r]
+                    scores = _exact(queries[own], self.data[columns])
+                    scores[query_rows[own][:, None] == self.rows[columns]] = NONE
+                    best.offer(own, scores, self.ids[columns])
+                    scored += scores.size
+                continue
+            if len(below_r) and (not len(below_q) or r_tree.radius[r] >= q_tree.radius[q]):
+                pairs = [(q, c) for c in below_r.tolist()]
+                bounds = _bound(r_tree.center[below_r] @ q_tree.center[q], q_tree.norm[q], q_tree.radius[q], r_tree.norm[below_r], r_tree.radius[below_r])
+            else:
+                pairs = [(c, r) for c in below_q.tolist()]
+                bounds = _bound(q_tree.center[below_q] @ r_tree.center[r], q_tree.norm[below_q], q_tree.radius[below_q], r_tree.norm[r], r_tree.radius[r])
+            stack += [(*pairs[i], bounds[i]) for i in np.argsort(bounds)]  # the most hopeful comes off first
+        return best.scores, best.ids, scored
 
 
 def quantized(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """vec_id and the components floor(1024 * x) of the vectors that take part, a row for each vec_id."""
-    doubles = F.transform(F.col(embedding), lambda x: x.cast("double"))
+    """vec_id and the components floor(1024 * x) of every row that takes part."""
     usable = F.forall(F.col(embedding), lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
-    taken = vectors.where(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull() & (F.size(embedding) > 0) & usable)
-    parts = taken.select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(doubles, lambda x: F.floor(SCALE * x).cast("long")).alias("parts"))
-    return parts.groupBy("vec_id").agg(F.min("parts").alias("parts"))
+    taken = vectors.where(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull() & usable)
+    return taken.select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(embedding, lambda x: F.floor(SCALE * x.cast("double")).cast("long")).alias("parts"))
 
 
-def _matrix(parts: pd.Series, width: int) -> np.ndarray:
+def _matrix(parts: pa.Array, width: int) -> np.ndarray:
+    """Lists of whole numbers as rows, filled with zeros."""
+    sizes, values = parts.value_lengths().to_numpy(zero_copy_only=False), parts.flatten().to_numpy(zero_copy_only=False)
+    if (sizes == width).all():
+        return values.reshape(len(parts), width)
     out = np.zeros((len(parts), width), np.int64)
-    for i, p in enumerate(parts):
-        out[i, : len(p)] = p
+    out[np.arange(width) < sizes[:, None]] = values
     return out
 
 
-def _join_blocks(k: int):
-    def run(key, queries: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(data):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        width = max(queries["parts"].map(len).max(), data["parts"].map(len).max())
-        ids = queries["vec_id"].to_numpy()
-        scores, found, _ = search_block(_matrix(queries["parts"], width), ids, _matrix(data["parts"], width), data["vec_id"].to_numpy(), k)
-        real = found != np.iinfo(np.int64).max
-        return pd.DataFrame({"query_id": np.repeat(ids, k)[real.ravel()], "vec_id": found[real], "score": scores[real]})
+ROW = "row long, vec_id long, parts array<long>"
+
+
+def _with_columns(batch: pa.RecordBatch, **more: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns, *more.values()], names=[*batch.schema.names, *more])
+
+
+def _deal(pivots: np.ndarray):
+    """Each row with its nearest pivot and the distance."""
+    half_squares = (pivots * pivots).sum(axis=1) / 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = _matrix(batch.column("parts"), pivots.shape[1]).astype(np.float64)
+            cell = (points @ pivots.T - half_squares).argmax(axis=1)
+            yield _with_columns(batch, cell=pa.array(cell, pa.int32()), distance=pa.array(np.linalg.norm(points - pivots[cell], axis=1)))
+
+    return run
+
+
+def _invite(pivots: np.ndarray, radii: np.ndarray, splits: np.ndarray):
+    """Each query (with its own block) for every other block whose cell could hold a score that matters."""
+    norms, first = np.linalg.norm(pivots, axis=1), np.cumsum(splits) - splits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points, floor = _matrix(batch.column("parts"), pivots.shape[1]).astype(np.float64), batch.column("floor").to_numpy()
+            own = batch.column("block").to_numpy()
+            bounds = _bound(points @ pivots.T, np.linalg.norm(points, axis=1)[:, None], 0.0, norms, radii)
+            query, cell = np.nonzero((bounds >= floor[:, None]) & (splits > 0))
+            at = np.repeat(np.arange(len(query)), splits[cell])
+            block = first[cell][at] + np.arange(len(at)) - np.repeat(np.cumsum(splits[cell]) - splits[cell], splits[cell])
+            query = query[at]
+            query, block = query[block != own[query]], block[block != own[query]]
+            for begin in range(0, len(query), 10_000):
+                part = batch.select(["row", "vec_id", "parts", "floor"]).take(pa.array(query[begin : begin + 10_000]))
+                yield _with_columns(part, block=pa.array(block[begin : begin + 10_000], pa.int32()))
+
+    return run
+
+
+def _visit(k: int, width: int):
+    """Of rows by block, data first: the k best of each query in the block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, gathered, waiting, block = None, [], [], None
+
+        def answer() -> Iterator[pa.RecordBatch]:
+            nonlocal gathered, waiting, block
+            if waiting:
+                if block is None:
+                    data = pa.Table.from_batches(gathered).combine_chunks()
+                    block, gathered = Block(*(_matrix(data.column("parts").chunk(0), width), data.column("row").to_numpy(), data.column("vec_id").to_numpy())), []
+                asked = pa.Table.from_batches(waiting).combine_chunks()
+                rows, ids = asked.column("row").to_numpy(), asked.column("vec_id").to_numpy()
+                scores, found, _ = block.search(_matrix(asked.column("parts").chunk(0), width), rows, asked.column("floor").to_numpy(), k)
+                real = scores > NONE
+                made = {"row": np.repeat(rows, k)[real.ravel()], "query_id": np.repeat(ids, k)[real.ravel()], "vec_id": found[real], "score": scores[real]}
+                yield pa.RecordBatch.from_pydict({n: pa.array(v, pa.int64()) for n, v in made.items()})
+                waiting = []
+
+        for batch in batches:
+            blocks, kinds = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
+            edges = [0, *(np.flatnonzero((blocks[1:] != blocks[:-1]) | (kinds[1:] != kinds[:-1])) + 1).tolist(), len(blocks)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if a == b:
+                    continue
+                if blocks[a] != at:
+                    yield from answer()
+                    at, gathered, block = blocks[a], [], None
+                if kinds[a] == 0:
+                    gathered.append(batch.slice(a, b - a))
+                    continue
+                for begin in range(a, b, QUERY_BATCH):
+                    waiting.append(batch.slice(begin, min(b, begin + QUERY_BATCH) - begin))
+                    if sum(w.num_rows for w in waiting) >= QUERY_BATCH:
+                        yield from answer()
+        yield from answer()
 
     return run
 
 
 def top_k(spark: SparkSession, vectors: DataFrame, k: int = 10, query_every: int = 100) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best candidates of every vector whose id is divisible by ``query_every``."""
+    """query_id, rank, vec_id, score: the k best candidates of every row whose vec_id is divisible by ``query_every``."""
     ship_package(spark)
-    every = materialize(quantized(vectors), "vectors")
-    is_query = F.col("vec_id") % query_every == 0
-    n, n_queries = every.agg(F.count("*"), F.count_if(is_query)).first()
-    data_blocks, query_blocks = max(1, math.ceil(n / DATA_BLOCK)), max(1, math.ceil(n_queries / QUERY_BLOCK))
-    numbers = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    data = every.withColumn("r", F.pmod(F.xxhash64("vec_id"), F.lit(data_blocks)).cast("int")).withColumn("q", numbers(query_blocks))
-    queries = every.where(is_query).withColumn("q", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int")).withColumn("r", numbers(data_blocks))
-    found = queries.groupBy("q", "r").cogroup(data.groupBy("q", "r")).applyInPandas(_join_blocks(k), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    every = quantized(vectors)
+    n, width = every.agg(F.count("*"), F.max(F.size("parts"))).first()
+    width = max(1, width or 0)
+    drawn = every.orderBy(F.xxhash64("vec_id", "parts")).limit(min(MOST_PIVOTS, max(1, -(-n // DATA_BLOCK)))).select("parts").toArrow()
+    pivots = _matrix(drawn.column("parts").combine_chunks(), width).astype(np.float64) if n else np.zeros((1, width))
+    # A row's number is fixed by writing it.
+    dealt = every.select(F.monotonically_increasing_id().alias("row"), "vec_id", "parts").mapInArrow(_deal(pivots), f"{ROW}, cell int, distance double")
+    dealt = materialize(dealt, "dealt")
+    radii, sizes = np.zeros(len(pivots)), np.zeros(len(pivots), np.int64)
+    for r in dealt.groupBy("cell").agg(F.max("distance"), F.count("*")).collect():  # at most MOST_PIVOTS
+        radii[r[0]], sizes[r[0]] = r[1], r[2]
+    splits = -(-sizes // DATA_BLOCK)
+    first = F.array(*map(F.lit, (np.cumsum(splits) - splits).tolist()))
+    of_cell = lambda values: F.get(values, F.col("cell"))
+    block = of_cell(first) + F.pmod(F.xxhash64("row"), F.greatest(F.lit(1), of_cell(F.array(*map(F.lit, splits.tolist())))))
+    data = dealt.select("row", "vec_id", "parts", F.lit(NONE).alias("floor"), block.cast("int").alias("block"))
+    own = data.where(F.col("vec_id") % query_every == 0)
+
+    def visit(queries: DataFrame) -> DataFrame:
+        both = data.withColumn("kind", F.lit(0)).unionByName(queries.withColumn("kind", F.lit(1)))
+        tasks = int(min(MOST_TASKS, max(1, 2 * splits.sum())))
+        return both.repartition(tasks, "block").sortWithinPartitions("block", "kind").mapInArrow(_visit(k, width), "row long, query_id long, vec_id long, score long")
+
+    near = materialize(visit(own), "near")
+    kth = near.groupBy("row").agg(F.count("*").alias("n"), F.min("score").alias("least"))
+    floors = own.drop("floor").join(kth, "row", "left").withColumn("floor", F.when(F.col("n") >= k, F.col("least")).otherwise(F.lit(NONE)))
+    invited = floors.select("row", "vec_id", "parts", "floor", "block").mapInArrow(_invite(pivots, radii, splits), f"{ROW}, floor long, block int")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
+    ranked = near.unionByName(visit(invited)).withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
