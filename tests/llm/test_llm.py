@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tidemark.llm import ngram_join, packing, pii, quality_model, quality_rules, secret_scan, spans, token_files, tokens, warc
+from tidemark.llm import ngram_join, packing, pii, quality_model, quality_rules, secret_scan, spans, token_files, tokens
 from tidemark.llm.trie_join import Forest, block_links
 
 ODD = [(1, None), (2, ""), (3, "   \n"), (4, "one two"), (5, "one two"), (6, "word " * 30_000), (None, "a b c d e f"), (7, "mail me at x.y@example.com or 10.0.0.1 token = abcdef123"), (7, "mail me at x.y@example.com or 10.0.0.1 token = abcdef123")]
@@ -101,11 +101,3 @@ def test_quality_model_held_out(spark):
     table = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     scored = quality_model.fit(table).score(table, ("doc_id",)).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()
     assert (scored.kept == (scored.quality == 1)).mean() > 0.97
-
-
-def test_warc_round_trip(spark):
-    big = "x" * 1500
-    pages = spark.createDataFrame([(1, "http://a", big), (2, None, big), (3, "http://c", "small"), (4, "http://d", "small"), (5, "u", None), (None, "n", big)], "page_id long, url string, html string")
-    found = {r.page_id: r for r in warc.read_archive(spark, warc.write_archive(pages)).collect()}
-    assert found[1].record_type == "revisit" and found[1].refers_to == 2 and found[2].record_type == "response" and found[3].record_type == found[4].record_type == "response"
-    assert found[5].payload_bytes == 0 and found[None].record_type == "revisit" and bytes(found[2].payload).decode() == big

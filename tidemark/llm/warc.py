@@ -3,15 +3,17 @@
 The archive is two tables in one folder: ``kind=payload`` holds every distinct
 payload once, gzip-compressed, under the SHA-256 of its bytes; ``kind=header``
 holds every record's exact header bytes and that key. A record is its header, a
-payload joined by key if it is a response, and the closing line ends.
+payload joined by key if it is a response, and the closing line ends. Which record
+is the response is decided on narrow columns.
 
 Of the records with one payload of at least ``REVISIT_BYTES`` bytes, that with
 the largest ``page_id`` is the response and the others are revisits of it, without
 a payload of their own. On reading, every stored payload is hashed again and must
-match its key.
+match its key, and every record is put together and held against its header.
 
 Results in special cases: a null html is an empty payload, and so always a
-response; rows that repeat the response's ``page_id`` are responses too; a row
+response; rows that repeat the response's ``page_id`` are responses too (of one
+stored payload); a row
 with a null ``page_id`` is a revisit where its group has a row with one, else a
 response; a null url gives a record without target; an empty table gives an
 empty archive; other columns play no part.
@@ -85,56 +87,69 @@ def write_archive(pages: DataFrame, path: str | None = None, date: str = "1970-0
     path = path or new_path(spark, "warc")
     html = F.coalesce(F.col("html"), F.lit(""))
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.sha2(html, 256).alias("key"), F.sha1(html.cast("binary")).alias("sha1"), F.octet_length(html).cast("long").alias("n_bytes"), html.alias("html"))
-    responses = keyed.groupBy("key").agg(F.max("page_id").alias("response_id"))
-    packed = keyed.mapInArrow(_packed, "page_id long, url string, key string, sha1 string, n_bytes long, payload binary")
+    # Equal payloads meet within a task first, so a very common one is shuffled once a task.
+    payloads = keyed.groupBy("key").agg(F.min("html").alias("html"))
+    payloads.mapInArrow(_packed, "key string, payload binary").write.parquet(f"{path}/kind=payload")
+    records = keyed.select("page_id", "url", "key", "sha1", "n_bytes")
+    responses = records.groupBy("key").agg(F.max("page_id").alias("response_id"))
     own = F.col("page_id").eqNullSafe(F.col("response_id"))
-    records = packed.join(responses, "key").withColumn("revisit", ~own & (F.col("n_bytes") >= REVISIT_BYTES))
-    as_header = F.struct(F.lit("header").alias("kind"), "key", F.encode(header(date), "utf-8").alias("header"), F.lit(None).cast("binary").alias("payload"))
-    as_payload = F.struct(F.lit("payload").alias("kind"), "key", F.lit(None).cast("binary").alias("header"), "payload")
-    rows = records.select(F.explode(F.when(own, F.array(as_header, as_payload)).otherwise(F.array(as_header))).alias("r")).select("r.*")
-    rows.write.partitionBy("kind").parquet(path)
+    headed = records.join(responses, "key").withColumn("revisit", ~own & (F.col("n_bytes") >= REVISIT_BYTES))
+    headed.select("key", F.encode(header(date), "utf-8").alias("header")).write.parquet(f"{path}/kind=header")
     return path
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stored payloads, unpacked, with their size and SHA-1; a payload that doesn't match its key is an error."""
-    names = ["key", "payload_bytes", "payload_digest", "payload"]
+    """Stored payloads, unpacked; a payload that doesn't match its key is an error."""
     for batch in batches:
-        out, size = [], 0
+        keys, out, size = [], [], 0
         for key, data in zip(batch.column("key"), batch.column("payload"), strict=True):
             payload = gzip.decompress(data.as_py())
             if hashlib.sha256(payload).hexdigest() != key.as_py():
                 raise ValueError(f"payload {key} is damaged")
-            out.append((key.as_py(), len(payload), hashlib.sha1(payload).hexdigest(), payload))
+            keys.append(key.as_py())
+            out.append(payload)
             size += len(payload)
             if size >= BATCH_BYTES:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=names)
-                out, size = [], 0
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(out, pa.binary())], names=["key", "payload"])
+                keys, out, size = [], [], 0
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(out, pa.binary())], names=["key", "payload"])
+
+
+def _checked(value: Column, holds: Column, what: str) -> Column:
+    return F.when(holds, value).otherwise(F.raise_error(F.concat(F.lit(f"{what} of record "), F.coalesce(F.col("page_id").cast("string"), F.lit("none")))))
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """All records: page_id, record_type, refers_to, payload_bytes, payload_digest, header, payload (responses only) and record.
+    """All records: page_id, record_type, refers_to, payload_bytes, payload_digest and record.
 
-    ``record`` is the whole record as it stands in a WARC file.
+    ``record`` is the whole record as it stands in a WARC file. Its length must be what its header says, and its
+    payload's digest (of a revisit: that of the response's payload) the one in the header.
     """
     ship_package(spark)
-    schema = "key string, header binary, payload binary, kind string"
-    archive = spark.read.schema(schema).parquet(path)
-    headers = archive.where("kind = 'header'").select("key", "header")
-    # Rows that repeat a response's page_id have stored its payload again.
-    stored = archive.where("kind = 'payload'").select("key", "payload").mapInArrow(_verified, "key string, payload_bytes long, payload_digest string, payload binary")
-    text = F.decode("header", "utf-8")
-    of = lambda name, form: F.regexp_extract(text, rf"\r\n{name}: {form}\r\n", 1)
+    headers = spark.read.schema("key string, header binary").parquet(f"{path}/kind=header")
+    stored = spark.read.schema("key string, payload binary").parquet(f"{path}/kind=payload").mapInArrow(_verified, "key string, payload binary")
+    facts = stored.select("key", "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("stored_digest"))
+    of = lambda name, form: F.regexp_extract(F.decode("header", "utf-8"), rf"\r\n{name}: {form}\r\n", 1)
+    page = lambda value: F.expr("try_cast(nullif(" + value + ", 'none') as long)")
     parsed = headers.select(
-        "key",
-        "header",
+        "key", "header",
         of("WARC-Type", "([a-z]+)").alias("record_type"),
-        F.expr("try_cast(nullif(regexp_extract(decode(header, 'utf-8'), 'WARC-Record-ID: <urn:page:([^>]*)>', 1), 'none') as long)").alias("page_id"),
-        F.expr("try_cast(nullif(regexp_extract(decode(header, 'utf-8'), 'WARC-Refers-To: <urn:page:([^>]*)>', 1), '') as long)").alias("refers_to"),
-    )
-    facts = stored.dropDuplicates(["key"])
-    joined = parsed.join(facts, "key", "left").withColumn("payload", F.when(F.col("record_type") == "response", F.col("payload")))
-    record = F.concat(F.col("header"), F.coalesce(F.col("payload"), F.lit(b"")), F.lit(END.encode()))
-    return joined.select("page_id", "record_type", "refers_to", "payload_bytes", "payload_digest", "header", "payload", record.alias("record"))
+        F.regexp_extract(F.decode("header", "utf-8"), "WARC-Record-ID: <urn:page:([^>]*)>", 1).alias("id"),
+        F.regexp_extract(F.decode("header", "utf-8"), "WARC-Refers-To: <urn:page:([^>]*)>", 1).alias("refers"),
+        of("WARC-Payload-Digest", "sha1:([0-9a-f]+)").alias("header_digest"),
+        of("Content-Length", "([0-9]+)").cast("long").alias("length"),
+    )
+    found = parsed.withColumns({"page_id": page("id"), "refers_to": page("refers")}).join(facts, "key", "left")
+    is_response = F.col("record_type") == "response"
+    body = F.when(is_response, F.col("payload")).otherwise(F.lit(b""))
+    joined = found.withColumn("record", F.concat(F.col("header"), body, F.lit(END.encode())))
+    begin = F.octet_length("header")
+    held = F.when(is_response, F.substring("record", begin + 1, F.col("length").cast("int")))
+    read = joined.withColumn("held_digest", F.when(is_response, F.sha1(held)).otherwise(F.col("stored_digest")))
+    whole = F.octet_length("record") == begin + F.col("length") + len(END)
+    return read.select(
+        "page_id", "record_type", "refers_to", "payload_bytes",
+        _checked(F.col("held_digest"), F.col("held_digest") == F.col("header_digest"), "wrong payload digest").alias("payload_digest"),
+        _checked(F.col("record"), whole, "wrong length").alias("record"),
+    )
