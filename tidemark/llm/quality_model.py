@@ -8,9 +8,9 @@ which a linear scorer over hashed features is trained; it judges every document.
 
 * Votes are Spark expressions. The patterns are counted over all documents; their
   number is at most 3 to the number of labellers, whatever the input's size.
-* The scorer trains on a sample of about ``TRAIN_DOCS`` documents drawn by a hash
-  of their ids: partitions fit the weights on their own rows and the weights are
-  averaged, in a few rounds.
+* The scorer trains on a sample of at most about ``TRAIN_DOCS`` distinct texts drawn
+  by their hash, so that no text or id that repeats can fill it: a few parts, by hash
+  as well, fit the weights on their own rows and the weights are averaged, in rounds.
 * All documents are scored, in one pass without a shuffle.
 
 Results in special cases: a text without words (or null) is rejected with score 0;
@@ -42,8 +42,8 @@ from tidemark.session import materialize, ship_package
 JUNK, NONE, GOOD = -1, 0, 1
 #: Documents in the training sample (about), hash slots of the scorer, rounds, passes a round, step.
 TRAIN_DOCS, SLOTS, ROUNDS, PASSES, STEP = 20_000, 1 << 12, 3, 4, 0.5
-#: Rounds of expectation-maximisation; of a labeller's votes, most that call a good document junk and fewest that call junk junk.
-EM_ROUNDS, MOST_FALSE, LEAST_FOUND = 50, 0.02, 0.05
+#: Parts of the sample on which weights are fitted apart, and rounds of expectation-maximisation.
+PARTS, EM_ROUNDS = 4, 100
 
 
 def _vote(junk: Column, good: Column) -> Column:
@@ -78,10 +78,11 @@ def labellers(text: Column, own: Column) -> dict[str, Column]:
 
 def votes(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Columns ``keep`` and ``votes``, a string with a character (-, 0, +) for each labeller."""
-    split = docs.select(*keep, F.col("text").alias("__text"), signals.words(F.col("text")).alias("__words"))
-    each = labellers(F.col("__text"), F.col("__words"))
+    kept = F.struct(*map(column, keep)) if keep else F.lit(None)
+    split = docs.select(kept.alias("kept"), F.col("text").alias("text"), signals.words(F.col("text")).alias("words"))
+    each = labellers(F.col("text"), F.col("words"))
     sign = lambda v: F.when(v == JUNK, "-").when(v == GOOD, "+").otherwise("0")
-    return split.select(*keep, F.concat(*(sign(v) for v in each.values())).alias("votes"), F.size("__words").alias("n_words"))
+    return split.select(*(F.col("kept")[c].alias(c) for c in keep), F.concat(*(sign(v) for v in each.values())).alias("votes"), F.size("words").alias("n_words"))
 
 
 def fit_accuracies(patterns: dict[str, int]) -> tuple[np.ndarray, float]:
@@ -101,11 +102,7 @@ def fit_accuracies(patterns: dict[str, int]) -> tuple[np.ndarray, float]:
         for c, belief in enumerate((junk, 1 - junk)):
             table[:, c] = np.einsum("p,plv->lv", weights * belief, one_hot) + 0.5
         table /= table.sum(axis=2, keepdims=True)
-        # No labeller is worse than this; without a bound, a kind of junk that few labellers see turns into part of the good class.
-        table[:, 1, 0] = np.minimum(table[:, 1, 0], MOST_FALSE)
-        table[:, 0, 0] = np.maximum(table[:, 0, 0], LEAST_FOUND)
-        table[:, :, 1] = 1 - table[:, :, 0]
-        share = float(np.clip((weights * junk).sum() / weights.sum(), 1e-4, 0.5))
+        share = float(np.clip((weights * junk).sum() / weights.sum(), 1e-4, 1 - 1e-4))
         junk = posterior(keys, table, share)
     return table, share
 
@@ -135,12 +132,13 @@ def _shape(word: str) -> str:
 
 
 class Shapes(dict):
-    """Slots of words' shapes: runs of letters, capitals and digits as one sign each; -1 for a long word."""
+    """Slots of shapes of words (in UTF-8): runs of letters, capitals and digits as one sign each; -1 for a long word."""
 
-    def __missing__(self, word: str) -> int:
-        if len(word) >= LONG_WORD:
+    def __missing__(self, word: bytes) -> int:
+        text = word.decode("utf-8", "surrogatepass")
+        if len(text) >= LONG_WORD:
             return -1
-        slot = _slot_of_shape(_shape(word))
+        slot = _slot_of_shape(_shape(text))
         if len(self) < 400_000 and len(word) <= 16:
             self[word] = slot
         return slot
@@ -152,7 +150,7 @@ def _slot_of_shape(shape: str) -> int:
     return xxhash.xxh32_intdigest("shape " + shape) % SLOTS
 
 
-def _with_long_words(own: list[str], slots: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+def _with_long_words(own: list[bytes], slots: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """Slots and counts with those of the long words, and their sum.
 
     A long word counts as the words of its length would, dealt over all runs of ``GRAM`` signs of its whole shape;
@@ -160,8 +158,8 @@ def _with_long_words(own: list[str], slots: np.ndarray, counts: np.ndarray) -> t
     """
     totals = np.zeros(SLOTS)
     totals[slots[1:]] = counts[1:]
-    for word in own:
-        if len(word) >= LONG_WORD:
+    for data in own:
+        if len(data) >= LONG_WORD and len(word := data.decode("utf-8", "surrogatepass")) >= LONG_WORD:
             shape = _shape(word)
             grams = Counter(map("".join, zip(*(shape[i:] for i in range(min(GRAM, len(shape)))), strict=False)))
             each = len(word) / (LONG_WORD - 1) / grams.total()
@@ -185,7 +183,7 @@ def _steps(name: str, share: float) -> list[int]:
 
 def features(text: str, shapes: Shapes) -> tuple[list[int], list[float]]:
     """Slots and values of a text: shares of word shapes, and in tenths those of words met before, words like the one before, and stop words."""
-    own = text.split()
+    own = text.encode("utf-8", "surrogatepass").split()  # of bytes: the same white space as the votes have
     if not own:
         return [], []
     n = len(own)
@@ -200,7 +198,7 @@ def features(text: str, shapes: Shapes) -> tuple[list[int], list[float]]:
     return [*slots.tolist(), *extra], [*np.sqrt(counts / units).tolist(), *[0.5] * len(extra)]
 
 
-_STOP = frozenset(signals.STOP_WORDS)
+_STOP = frozenset(w.encode() for w in signals.STOP_WORDS)
 
 
 def _featurize(texts: list[str]) -> dict[str, list]:
@@ -209,13 +207,12 @@ def _featurize(texts: list[str]) -> dict[str, list]:
     return {"slots": [m[0] for m in made], "values": [m[1] for m in made]}
 
 
-def _fit_partition(weights: np.ndarray):
-    """Weights after a few passes of stochastic gradient steps over a partition's rows."""
+def _fit_part(weights: np.ndarray):
+    """Weights after a few passes of stochastic gradient steps over a part's rows, in the order of their hashes."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = [(np.array(s, np.int64), np.array(v), w, t) for b in batches for s, v, w, t in zip(b["slots"], b["values"], b["weight"], b["target"], strict=True) if len(s)]
-        if not rows:
-            return
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        b = part.sort_values("hash")
+        rows = [(np.array(s, np.int64), np.array(v), w, t) for s, v, w, t in zip(b["slots"], b["values"], b["weight"], b["target"], strict=True)]
         own, squares = weights.copy(), np.full(SLOTS, 1e-2)
         for _ in range(PASSES):
             for slots, values, weight, target in rows:
@@ -223,7 +220,7 @@ def _fit_partition(weights: np.ndarray):
                 slope = weight * (1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - target) * values
                 squares[slots] += slope * slope
                 own[slots] -= STEP * slope / np.sqrt(squares[slots])
-        yield pd.DataFrame({"rows": [len(rows)], "weights": [own.tolist()]})
+        return pd.DataFrame({"rows": [len(rows)], "weights": [own.tolist()]})
 
     return run
 
@@ -261,7 +258,7 @@ def _shapes() -> Shapes:
 
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> QualityModel:
-    """Train the scorer on ``docs`` (doc_id, text); ``train_docs`` bounds the sample, about."""
+    """Train the scorer on the texts of ``docs``; ``train_docs`` bounds the sample, about."""
     ship_package(docs.sparkSession)
     counted = votes(docs).where("n_words > 0").groupBy("votes").count().collect()
     patterns = {r["votes"]: r["count"] for r in counted}
@@ -269,20 +266,21 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> QualityModel:
         return QualityModel(np.zeros(SLOTS), None, 0.0)
     table, share = fit_accuracies(patterns)
     total, grain = sum(patterns.values()), 1 << 30
-    drawn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(grain)) < F.lit(int(grain * min(1.0, train_docs / total)))).select("doc_id", "text")
+    drawn = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(grain)) < F.lit(int(grain * min(1.0, train_docs / total)))).distinct()
     voted = votes(drawn, ("text",)).where("n_words > 0")
     keys = ["".join(p) for p in product("-0+", repeat=table.shape[0])]
     known = dict(zip(keys, posterior(keys, table, share).tolist(), strict=True))
     target = F.element_at(F.from_json(F.lit(pd.Series(known).to_json(double_precision=6)), "map<string,double>"), F.col("votes"))
     schema = pa.schema([("slots", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))])
-    rows = map_texts(_featurize, voted.select(target.alias("target"), "text"), ("target",), "text", schema)
+    rows = map_texts(_featurize, voted.select(target.alias("target"), F.xxhash64("text").alias("hash"), "text"), ("target", "hash"), "text", schema)
     # Either class has half of the weight.
-    weight = F.when(F.col("target") >= 0.5, 0.5 / max(share, 0.02)).otherwise(0.5 / (1 - share))
-    sample = materialize(rows.withColumn("weight", F.least(weight, F.lit(10.0))).repartition(4), "training")
+    weight = F.when(F.col("target") >= 0.5, 0.5 / max(share, 0.02)).otherwise(0.5 / max(1 - share, 0.02))
+    sample = materialize(rows.withColumns({"weight": F.least(weight, F.lit(10.0)), "part": F.pmod("hash", F.lit(PARTS))}), "training")
     weights = np.zeros(SLOTS)
     for _ in range(ROUNDS):
-        fitted = sample.mapInPandas(_fit_partition(weights), "rows long, weights array<double>").collect()
+        fitted = sample.groupBy("part").applyInPandas(_fit_part(weights), "rows long, weights array<double>").collect()
         if not fitted:
             break
+        fitted.sort(key=lambda f: (f["rows"], f["weights"]))
         weights = np.average([f["weights"] for f in fitted], axis=0, weights=[f["rows"] for f in fitted])
     return QualityModel(weights, table, share)
