@@ -9,8 +9,9 @@ component of links. The stages:
 2. *Which sets can link at all.* An overlap is at least 3/4 of either set, so a
    set can only link when 3/4 of its shingles occur in another set. Tasks first
    settle what repeats within themselves and send each shingle once, as a 32-bit
-   remainder in a bucket of shingles; a bucket's task says how many shingles of
-   each set occur elsewhere. Two shingles with one remainder only make a set stay.
+   remainder in a bucket of shingles, with the number of its set in the task; a
+   bucket's task says how many shingles of each set occur elsewhere, and the answers
+   meet by the sending task. Two shingles with one remainder only make a set stay.
 3. *Near copies.* Sets with the same least hash, under either of two permutations, are
    joined over a trie (``trie_join``); most links lie within such a group. A large group
    is dealt in chunks, each with the group's least set.
@@ -44,17 +45,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
-from tidemark.llm.text_batches import text_slices
+from tidemark.llm.text_batches import column, text_slices
 from tidemark.llm.trie_join import block_links
 from tidemark.session import materialize, ship_package
 
 WORDS = 5
 #: Characters of text for each bucket of shingles; shingles that a task settles at a time; shingles in a chunk of a block.
 BUCKET_CHARS, SETTLE_SHINGLES, CHUNK_SHINGLES = 16_000_000, 1_500_000, 400_000
-#: Size of the bitmap that says which documents' sets are needed again.
-FILTER_BITS = 1 << 24
-#: Ranges of sets in which buckets report, at least; as many as there are buckets.
-HIT_RANGES = 64
 #: Distinct words whose hashes a worker remembers.
 MEMO_WORDS = 400_000
 
@@ -104,17 +101,31 @@ def set_hash(grams: np.ndarray) -> int:
     return int(np.array(xxhash.xxh3_64_intdigest(grams.tobytes()), np.uint64).view(np.int64))
 
 
-SETS = "doc_id long, fp long, n long, hits long, bucket int, sizes binary, fps binary, grams binary"
+#: What a task sends of a number of sets that it settles together: a row for each bucket (its shingles by owner), and one that passes through for the owners.
+SENT = pa.schema([
+    ("flush", pa.int64()), ("bucket", pa.int32()), ("places", pa.binary()), ("sizes", pa.binary()), ("names", pa.binary()), ("grams", pa.binary()),
+    ("doc_ids", pa.list_(pa.int64())), ("fps", pa.binary()), ("counts", pa.binary()), ("hits", pa.binary()),
+])
+SENT_SQL = "flush long, bucket int, places binary, sizes binary, names binary, grams binary, doc_ids array<long>, fps binary, counts binary, hits binary"
+#: What comes back: of each bucket how many shingles of each owner others have too, and the owners' row.
+BACK = ("flush", "places", "hits", "doc_ids", "fps", "counts")
+BACK_SQL = "flush long, places binary, hits binary, doc_ids array<long>, fps binary, counts binary"
+#: Owners that a task settles at a time at most; their places take two bytes. The last place means no owner.
+MOST_OWNERS, NOBODY = 50_000, 0xFFFF
 
 
-ROW_SCHEMA = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("hits", pa.int64()), ("bucket", pa.int32()), ("sizes", pa.binary()), ("fps", pa.binary()), ("grams", pa.binary())])
+def _row(**values) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([values.get(f.name)], f.type) for f in SENT], schema=SENT)
 
 
-def _unsettled(owners: np.ndarray, sets: list[tuple[int, np.ndarray]], buckets: int) -> tuple[np.ndarray, list[pa.RecordBatch]]:
+def _unsettled(n_owners: int, sets: list[tuple[int, np.ndarray]], buckets: int, flush: int, names: np.ndarray | None = None) -> tuple[np.ndarray, list[pa.RecordBatch]]:
     """Of sets (place among the owners, shingles): how many shingles of each owner another one here has too, and rows with the rest.
 
-    A shingle that several owners here have is sent once, without an owner.
+    A shingle that several owners here have is sent once, without an owner. ``names`` are given where an owner may
+    come in other tasks too: what it sends from there is then known as its own, and hashes are sent whole.
     """
+    if not sets:
+        return np.zeros(n_owners, np.int64), []
     place = np.repeat(np.array([p for p, _ in sets], np.int64), [len(s) for _, s in sets])
     grams = np.concatenate([s for _, s in sets])
     order = np.lexsort((place, grams))
@@ -123,51 +134,52 @@ def _unsettled(owners: np.ndarray, sets: list[tuple[int, np.ndarray]], buckets:
     grams, place = grams[distinct], place[distinct]
     new = np.concatenate([[True], grams[1:] != grams[:-1]])
     alone = new & np.concatenate([new[1:], [True]])
-    hits = np.bincount(place[~alone], minlength=len(owners))
-    sent = np.where(alone, place, -1)[new]
+    hits = np.bincount(place[~alone], minlength=n_owners)
+    sent = np.where(alone, place, NOBODY)[new]
     grams = grams[new]
     to = (grams >> np.uint64(32)) % np.uint64(buckets)
     order = np.lexsort((sent, to))
     grams, sent, to = grams[order], sent[order], to[order]
     edges = np.searchsorted(to, np.arange(buckets + 1, dtype=np.uint64))
     rows = []
-    for b in range(buckets):
-        part = slice(edges[b], edges[b + 1])
-        if part.start == part.stop:
-            continue
-        own, sizes = np.unique(sent[part], return_counts=True)  # -1 (no owner) comes first
-        signed = np.where(own < 0, -sizes, sizes).astype("<i4")
-        low = (grams[part] & np.uint64(0xFFFFFFFF)).astype("<u4")
-        values = [None, None, None, None, b, signed.tobytes(), np.where(own < 0, 0, owners[own]).astype("<i8").tobytes(), low.tobytes()]
-        rows.append(pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, ROW_SCHEMA, strict=True)], schema=ROW_SCHEMA))
+    for b in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
+        own, sizes = np.unique(sent[edges[b] : edges[b + 1]], return_counts=True)
+        known = None if names is None else names[np.where(own == NOBODY, 0, own)].astype("<i8").tobytes()
+        low = grams[edges[b] : edges[b + 1]]
+        if names is None:
+            low = (low & np.uint64(0xFFFFFFFF)).astype("<u4")
+        rows.append(_row(flush=flush, bucket=b, places=own.astype("<u2").tobytes(), sizes=sizes.astype("<u2" if sizes.max() <= 0xFFFF else "<u4").tobytes(), names=known, grams=low.tobytes()))
     return hits, rows
 
 
-def _owner_rows(doc_ids: list, owners: np.ndarray, counts: list[int], hits: np.ndarray, buckets: int) -> pa.RecordBatch:
-    # These rows only pass through: dealt out evenly, also where ids or texts repeat.
-    ids = np.array([d or 0 for d in doc_ids], np.int64).view(np.uint64)
-    to = _mixed((owners.view(np.uint64) ^ _mixed(ids)) + np.arange(len(owners), dtype=np.uint64)) % np.uint64(buckets)
-    empty = [pa.nulls(len(owners), pa.binary()) for _ in range(3)]
-    columns = [pa.array(doc_ids, pa.int64()), pa.array(owners), pa.array(counts, pa.int64()), pa.array(hits.astype(np.int64)), pa.array(to.astype(np.int32)), *empty]
-    return pa.RecordBatch.from_arrays(columns, schema=ROW_SCHEMA)
+def _owner_row(flush: int, buckets: int, doc_ids: list, fps: np.ndarray, counts: list[int], hits: np.ndarray) -> pa.RecordBatch:
+    # It only passes through a bucket.
+    return _row(flush=flush, bucket=int(_mixed(np.array([flush], np.uint64))[0] % np.uint64(buckets)), doc_ids=doc_ids, fps=fps.astype("<i8").tobytes(), counts=np.array(counts, "<i8").tobytes(), hits=hits.astype("<i8").tobytes())
+
+
+def _first_flush() -> int:
+    """The first of this task's numbers."""
+    from pyspark import TaskContext
+
+    context = TaskContext.get()
+    return (context.partitionId() if context else 0) << 32
 
 
 def _profile(buckets: int):
-    """Rows for documents (doc_id, fp, n, hits within the task) and, for each bucket, the shingles of sets."""
+    """What is known of documents and, for each bucket, the shingles of sets (``SENT``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
+        hashes, seen, flush = WordHashes(), set(), _first_flush()
         doc_ids: list[int | None] = []
         fps: list[int] = []
         counts: list[int] = []
         sets: list[tuple[int, np.ndarray]] = []
         gathered = 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            owners = np.array(fps, np.int64)
-            hits, rows = _unsettled(owners, sets, buckets) if sets else (np.zeros(len(fps), np.int64), [])
+        def settled() -> Iterator[pa.RecordBatch]:
+            hits, rows = _unsettled(len(fps), sets, buckets, flush)
             yield from rows
-            yield _owner_rows(doc_ids, owners, counts, hits, buckets)
+            yield _owner_row(flush, buckets, doc_ids, np.array(fps, np.int64), counts, hits)
 
         for batch in batches:
             for part, texts in text_slices(batch, "text"):
@@ -181,11 +193,11 @@ def _profile(buckets: int):
                     doc_ids.append(doc_id)
                     fps.append(fp)
                     counts.append(len(grams))
-                    if gathered >= SETTLE_SHINGLES or len(fps) >= 50_000:
-                        yield from flush()
-                        doc_ids, fps, counts, sets, gathered = [], [], [], [], 0
+                    if gathered >= SETTLE_SHINGLES or len(fps) >= MOST_OWNERS:
+                        yield from settled()
+                        doc_ids, fps, counts, sets, gathered, flush = [], [], [], [], 0, flush + 1
         if fps:
-            yield from flush()
+            yield from settled()
 
     return run
 
@@ -194,16 +206,17 @@ def _profile_components(buckets: int):
     """As ``_profile``, with components (component, n, grams) as the owners; n is the size of a component's smallest set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flush = _first_flush()
         place: dict[int, int] = {}
         least: list[int] = []
         sets: list[tuple[int, np.ndarray]] = []
         gathered = 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def settled() -> Iterator[pa.RecordBatch]:
             owners = np.array(list(place), np.int64)
-            hits, rows = _unsettled(owners, sets, buckets)
+            hits, rows = _unsettled(len(owners), sets, buckets, flush, owners)
             yield from rows
-            yield _owner_rows([None] * len(owners), owners, least, hits, buckets)
+            yield _owner_row(flush, buckets, [None] * len(owners), owners, least, hits)
 
         for batch in batches:
             for component, n, data in zip(*(batch.column(c).to_pylist() for c in ("component", "n", "grams")), strict=True):
@@ -213,71 +226,65 @@ def _profile_components(buckets: int):
                 least[i] = min(least[i], n)
                 sets.append((i, np.frombuffer(data, "<u8")))
                 gathered += n
-                if gathered >= SETTLE_SHINGLES:
-                    yield from flush()
-                    place, least, sets, gathered = {}, [], [], 0
+                if gathered >= SETTLE_SHINGLES or len(place) >= MOST_OWNERS:
+                    yield from settled()
+                    place, least, sets, gathered, flush = {}, [], [], 0, flush + 1
         if sets:
-            yield from flush()
+            yield from settled()
 
     return run
 
 
-def _settle(buckets: int):
-    """Of one bucket: the document rows as they are, and for each set how many of its shingles occur in another."""
-    n_ranges = max(HIT_RANGES, buckets)
-
-    def run(table: pa.Table) -> pa.Table:
-        docs = table.filter(pc.is_valid(table.column("n"))).select(["doc_id", "fp", "n", "hits"])
-        docs = docs.append_column("part", pa.nulls(docs.num_rows, pa.int32())).append_column("packed", pa.nulls(docs.num_rows, pa.binary()))
-        rows = table.filter(pc.is_valid(table.column("grams")))
-        grams, owners = [], []
-        for sizes, fps, low in zip(*(rows.column(c).to_pylist() for c in ("sizes", "fps", "grams")), strict=True):
-            sizes = np.frombuffer(sizes, "<i4")
-            grams.append(np.frombuffer(low, "<u4"))
-            # A shingle without an owner repeats within its task: whoever else has it has it repeated.
-            owners.append(np.repeat(np.where(sizes < 0, 0, np.frombuffer(fps, "<i8")), np.abs(sizes)))
-        if not grams:
-            return docs
-        grams, owners = np.concatenate(grams), np.concatenate(owners)
-        order = np.lexsort((owners, grams))
-        grams, owners = grams[order], owners[order]
-        # What one owner sent from several tasks is one shingle of it; without an owner, it repeats anyhow.
-        distinct = np.concatenate([[True], (grams[1:] != grams[:-1]) | (owners[1:] != owners[:-1]) | (owners[1:] == 0)])
-        grams, owners = grams[distinct], owners[distinct]
-        new = np.concatenate([[True], grams[1:] != grams[:-1]])
-        repeated = ~(new & np.concatenate([new[1:], [True]]))
-        fps, hits = np.unique(owners[repeated & (owners != 0)], return_counts=True)
-        # One row for each range of sets, not one for each set: a set has a few shingles in most buckets.
-        to = fps % n_ranges
-        order = np.argsort(to, kind="stable")
-        fps, hits, to = fps[order], hits[order].astype(np.int64), to[order]
-        edges = np.searchsorted(to, np.arange(n_ranges + 1))
-        ranges = [r for r in range(n_ranges) if edges[r] < edges[r + 1]]
-        packed = [np.concatenate([fps[edges[r] : edges[r + 1]], hits[edges[r] : edges[r + 1]]]).tobytes() for r in ranges]
-        nothing = pa.nulls(len(ranges), pa.int64())
-        return pa.concat_tables([docs, pa.table([nothing, nothing, nothing, nothing, pa.array(ranges, pa.int32()), pa.array(packed, pa.binary())], names=SETTLED_NAMES)])
-
-    return run
-
-
-SETTLED = "doc_id long, fp long, n long, hits long, part int, packed binary"
-SETTLED_NAMES = ["doc_id", "fp", "n", "hits", "part", "packed"]
+def _settle(table: pa.Table) -> pa.Table:
+    """Of one bucket: for each task's owners how many of their shingles here others have too; the owners' rows as they are."""
+    is_owner = pc.is_valid(table.column("fps"))
+    passing = table.filter(is_owner).select([c for c in BACK if c != "places"])
+    passing = passing.add_column(1, "places", pa.nulls(passing.num_rows, pa.binary()))
+    rows = table.filter(pc.invert(is_owner))
+    grams, places, sources, names = [], [], [], []
+    for i, (place, sizes, name, low) in enumerate(zip(*(rows.column(c).to_pylist() for c in ("places", "sizes", "names", "grams")), strict=True)):
+        place = np.frombuffer(place, "<u2")
+        sizes = np.frombuffer(sizes, f"<u{len(sizes) // len(place)}")
+        places.append(np.repeat(place, sizes))
+        grams.append(np.frombuffer(low, f"<u{len(low) // len(places[-1])}"))
+        sources.append(np.full(len(grams[-1]), i, np.int32))
+        names.append(np.repeat(np.frombuffer(name, "<i8"), sizes) if name is not None else i * (1 << 16) + places[-1].astype(np.int64))
+    if not grams:
+        return passing.select(BACK)
+    grams, places, sources, names = (np.concatenate(x) for x in (grams, places, sources, names))
+    owned = places != NOBODY
+    order = np.lexsort((sources, names, owned, grams))
+    grams, places, sources, names, owned = grams[order], places[order], sources[order], names[order], owned[order]
+    # What one owner sent from several tasks is one shingle of it: that of the first. Without an owner, it repeats anyhow.
+    begins = np.concatenate([[True], (grams[1:] != grams[:-1]) | (names[1:] != names[:-1]) | (owned[1:] != owned[:-1])])
+    distinct = ~owned | (sources == sources[np.maximum.accumulate(np.where(begins, np.arange(len(begins)), 0))])
+    grams, places, sources, owned = grams[distinct], places[distinct], sources[distinct], owned[distinct]
+    new = np.concatenate([[True], grams[1:] != grams[:-1]])
+    # A shingle without an owner repeats within its task: whoever else has it has it repeated.
+    repeated = ~(new & np.concatenate([new[1:], [True]])) & owned
+    keys, hits = np.unique(sources[repeated].astype(np.int64) << 16 | places[repeated], return_counts=True)
+    source, place, flushes = keys >> 16, (keys & 0xFFFF).astype("<u2"), rows.column("flush").to_numpy()
+    edges = [0, *(np.flatnonzero(source[1:] != source[:-1]) + 1).tolist(), len(source)] if len(source) else [0]
+    cuts = list(zip(edges, edges[1:], strict=False))
+    none = pa.nulls(len(cuts), pa.binary())
+    back = [pa.array([flushes[source[a]] for a, _ in cuts], pa.int64()), pa.array([place[a:b].tobytes() for a, b in cuts], pa.binary()), pa.array([hits[a:b].astype("<i8").tobytes() for a, b in cuts], pa.binary()), pa.nulls(len(cuts), pa.list_(pa.int64())), none, none]
+    return pa.concat_tables([passing.select(BACK), pa.table(back, names=list(BACK))], promote_options="permissive")
 
 
-def _sum_hits(table: pa.Table) -> pa.Table:
-    """(fp, hits) of one range of sets, from all buckets."""
-    pairs = [np.frombuffer(p, np.int64).reshape(2, -1) for p in table.column("packed").to_pylist()]
-    fps, place = np.unique(np.concatenate([p[0] for p in pairs]), return_inverse=True)
-    hits = np.zeros(len(fps), np.int64)
-    np.add.at(hits, place, np.concatenate([p[1] for p in pairs]))
-    return pa.table({"fp": fps, "hits": hits})
+def _add_up(table: pa.Table) -> pa.Table:
+    """(doc_id, fp, n, hits) of the owners that a task settled together."""
+    owner = table.filter(pc.is_valid(table.column("fps")))
+    hits = np.frombuffer(owner.column("hits")[0].as_py(), "<i8").copy()
+    others = table.filter(pc.is_valid(table.column("places")))
+    for places, found in zip(others.column("places").to_pylist(), others.column("hits").to_pylist(), strict=True):
+        hits[np.frombuffer(places, "<u2")] += np.frombuffer(found, "<i8")
+    return pa.table({"doc_id": owner.column("doc_ids").combine_chunks().flatten(), "fp": np.frombuffer(owner.column("fps")[0].as_py(), "<i8"), "n": np.frombuffer(owner.column("counts")[0].as_py(), "<i8"), "hits": hits})
 
 
-def _hits(settled: DataFrame) -> DataFrame:
-    """(fp, n, doc_id, hits) rows whose sums are each set's hits."""
-    remote = settled.where("packed is not null").select("part", "packed").groupBy("part").applyInArrow(_sum_hits, "fp long, hits long")
-    own = settled.where("packed is null").select("fp", "n", "doc_id", "hits")
-    return own.unionByName(remote, allowMissingColumns=True)
+def _hits(sent: DataFrame) -> DataFrame:
+    """(doc_id, fp, n, hits): for each owner a task has seen, how many of its shingles other owners have."""
+    back = sent.groupBy("bucket").applyInArrow(_settle, BACK_SQL)
+    return back.groupBy("flush").applyInArrow(_add_up, "doc_id long, fp long, n long, hits long")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,37 +379,14 @@ def _left_over(sets: DataFrame, links: DataFrame, buckets: int) -> DataFrame:
     """fp, n, grams, component of the sets whose component may have links to another."""
     found = connected_components(links)
     known = sets.select("fp", "n", "grams").join(found.hint("merge"), F.col("fp") == F.col("vertex"), "left").select("fp", "n", "grams", F.coalesce("component", "fp").alias("component"))
-    profiled = known.select("component", "n", "grams").mapInArrow(_profile_components(buckets), SETS)
-    settled = materialize(profiled.groupBy("bucket").applyInArrow(_settle(buckets), SETTLED), "settled")
-    able = _hits(settled).groupBy("fp").agg(F.min("n").alias("least"), F.sum("hits").alias("hits")).where("4 * hits >= 3 * least").select(F.col("fp").alias("component"))
+    found = materialize(_hits(known.select("component", "n", "grams").mapInArrow(_profile_components(buckets), SENT_SQL)), "settled")
+    able = found.groupBy("fp").agg(F.min("n").alias("least"), F.sum("hits").alias("hits")).where("4 * hits >= 3 * least").select(F.col("fp").alias("component"))
     return materialize(known.join(materialize(able, "able").hint("merge"), "component", "left_semi"), "rest")
 
 
 def _chosen(docs: DataFrame, able: DataFrame) -> DataFrame:
-    """The sets (``_sets``) of the documents whose doc_id is in ``able``, and perhaps of a few more.
-
-    Up to ``FILTER_BITS / 8`` ids become a bitmap of fixed size that goes to every task, so that no text is
-    shuffled; more of them are a join.
-    """
-    schema = "fp long, n long, key_a long, key_b long, grams binary"
-    if able.count() > FILTER_BITS // 8:
-        return docs.join(able, "doc_id", "left_semi").select("text").mapInArrow(_sets, schema)
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).cast("long")
-    marks = able.select(bit.alias("bit")).groupBy((F.col("bit") / 32).cast("long").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 as int))")).alias("bits"))
-    found = marks.toPandas()
-    bitmap = np.zeros(FILTER_BITS // 32, np.uint32)
-    bitmap[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).astype(np.uint32)
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def marked() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                bits = batch.column("bit").to_numpy()
-                yield batch.filter(pa.array((shared.value[bits // 32] >> (bits % 32).astype(np.uint32)) & 1 == 1))
-
-        yield from _sets(marked())
-
-    return docs.where("doc_id is not null").select("text", bit.alias("bit")).mapInArrow(run, schema)
+    """The sets (``_sets``) of the documents whose doc_id is in ``able``."""
+    return docs.join(able, "doc_id", "left_semi").select("text").mapInArrow(_sets, "fp long, n long, key_a long, key_b long, grams binary")
 
 
 def linked_sets(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -411,10 +395,10 @@ def linked_sets(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFr
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(chars / BUCKET_CHARS))
-    profiled = docs.mapInArrow(_profile(buckets), SETS)
-    settled = materialize(profiled.groupBy("bucket").applyInArrow(_settle(buckets), SETTLED), "profile")
-    each = settled.where("n is not null").select("doc_id", "fp", "n")
-    classes = _hits(settled).groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.sum("hits").alias("hits"))
+    profile = materialize(_hits(docs.mapInArrow(_profile(buckets), SENT_SQL)), "profile")
+    each = profile.select("doc_id", "fp", "n")
+    # Of copies in several tasks each has the others' shingles as hits: such sets stay, once.
+    classes = profile.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("hits").alias("hits"))
     able = classes.where("n > 0 and 4 * hits >= 3 * n and doc_id is not null").select("doc_id")
     sets = materialize(_chosen(docs, able), "sets")
     near = _near_links(sets, buckets)
@@ -440,21 +424,17 @@ def ngram_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-#: Documents to drop whose ids may go to every task (8 bytes each); more of them are a join.
-DROPPED_BROADCAST = 1_000_000
-
-
 def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The documents without those that link to one with a smaller doc_id, directly or through others.
 
     Rows that repeat a doc_id count as one document. Rows with a null doc_id stay.
     """
     found = materialize(ngram_components(spark, docs), "components")
+    own = [column(c) for c in docs.columns]
     dropped = found.where("component_id <> doc_id").select("doc_id").distinct()
-    small = dropped.count() <= DROPPED_BROADCAST
-    kept = docs.join(F.broadcast(dropped) if small else dropped, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(dropped, "doc_id", "left_anti").select(*own)
     repeats = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if repeats.isEmpty():
         return kept
     again = kept.join(repeats, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeats, "doc_id", "left_anti").select(*docs.columns).unionByName(again.select(*docs.columns))
+    return kept.join(repeats, "doc_id", "left_anti").select(*own).unionByName(again.select(*own))
