@@ -17,13 +17,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import mixing, ngram_join, packing, pii, quality_model
+from tidemark.llm.text_batches import column
 from tidemark.llm.tokens import default_path
 from tidemark.session import materialize, read_table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = quality_model.fit(docs.select("doc_id", "text"))
-    return model.score(docs, tuple(docs.columns)).where("kept").select(*docs.columns)
+    # The verdict travels beside a struct of the document's own columns.
+    judged = quality_model.fit(docs).score(docs.select(F.struct(*map(column, docs.columns)).alias("doc"), "text"), ("doc",))
+    return judged.where("kept").select("doc.*")
 
 
 def ngram_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
