@@ -1,44 +1,42 @@
 """Folds over a symbol's bars in order: recursions that windows can't express.
 
-Bars are gathered by symbol, sorted, and folded by ``aggregate`` in the JVM. The
-state is a struct; what each bar yields is appended to an array that is exploded
-at the end. One shuffle by symbol, no Python.
+Bars are dealt by symbol and sorted by Spark (one shuffle, spilling as it must); each
+task then passes over its rows once, with the state of the present symbol as all that
+is held. The cost is linear in the bars, and a symbol's history need not fit in memory.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from tidemark.session import materialize
+from tidemark.session import materialize, ship_package
 
+#: Takes a bar (its time, then the columns asked for) and gives what the fold makes of it.
+Step = Callable[[tuple], tuple]
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is worked out once, although ``body`` uses it more than once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
 
+def fold_bars(bars: DataFrame, columns: list[str], make_step: Callable[[], Step], made: str, key: str = "symbol", order: str = "bar_ts") -> DataFrame:
+    """``key``, ``order``, ``columns`` and what a step makes (``made``, a schema) of each bar; a new step begins each symbol."""
+    ship_package(bars.sparkSession)
+    given = bars.select(key, order, *columns).repartition(key).sortWithinPartitions(key, order)
+    schema = StructType([*given.schema.fields, *StructType.fromDDL(made).fields])
+    types = to_arrow_schema(StructType.fromDDL(made)).types
 
-def fold_bars(bars: DataFrame, columns: list[str], start: Column, step: Callable[[Column, Column], Column], key: str = "symbol", order: str = "bar_ts") -> DataFrame:
-    """``key``, ``order``, ``columns`` and the fields of the state after each bar.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        present, step = None, None
+        for batch in batches:
+            out = []
+            for symbol, *bar in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if step is None or symbol != present:
+                    present, step = symbol, make_step()
+                out.append(step(tuple(bar)))
+            if out:
+                yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, zip(*out, strict=True), types)], names=schema.names)
 
-    ``step(state, bar)`` gives the next state from a struct of the bar's columns.
-    """
-    fields = [order, *(c for c in columns if c != order)]
-    listed = bars.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("bars"))
-    schema = f"array<{_type(bars, fields, start)}>"
-    first = F.struct(start.alias("state"), F.array().cast(schema).alias("out"))
-
-    def merge(acc: Column, bar: Column) -> Column:
-        return let(step(acc["state"], bar), lambda s: F.struct(s.alias("state"), F.array_append(acc["out"], F.struct(bar.alias("bar"), s.alias("state"))).alias("out")))
-
-    folded = listed.select(key, F.explode(F.aggregate("bars", first, merge, lambda acc: acc["out"])).alias("row"))
-    # Written once: pruning the struct's fields through the fold breaks Catalyst, and many indicators read it.
-    return materialize(folded.select(key, "row.bar.*", "row.state.*"), "fold")
-
-
-def _type(bars: DataFrame, fields: list[str], start: Column) -> str:
-    state = bars.select(start.alias("s")).schema["s"].dataType.simpleString()
-    bar = bars.select(F.struct(*fields).alias("b")).schema["b"].dataType.simpleString()
-    return f"struct<bar:{bar},state:{state}>"
+    # Written once: many relations read it.
+    return materialize(given.mapInArrow(run, schema), "fold")

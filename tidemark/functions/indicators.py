@@ -7,10 +7,9 @@ the first n - 1.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from tidemark.functions.folds import fold_bars, let
+from tidemark.functions.folds import Step, fold_bars
 
 EMA_SPANS = (10, 12, 20, 26, 50, 200)
 SIGNAL_SPAN, WILDER, WILDER_LONG = 9, 14, 20
@@ -20,54 +19,47 @@ def _ema_alpha(span: int) -> float:
     return 2.0 / (span + 1)
 
 
-#: Smoothed quantities: name, what is smoothed, weight of the new value.
-_STATE = ("n", "p_close", "p_high", "p_low", *(f"e{s}" for s in EMA_SPANS), "macd", "macd_signal", "gain", "loss", "atr14", "atr20", "up", "down", "adx")
+#: What the fold makes of each bar: its number and the smoothed quantities.
+STATE = ("n", *(f"e{s}" for s in EMA_SPANS), "macd", "macd_signal", "gain", "loss", "atr14", "atr20", "adx")
+
+
+def indicator_step() -> Step:
+    """Recursive averages of one symbol's bars (open, high, low, close, volume). A bar without prices gives nulls and changes nothing."""
+    alphas = [_ema_alpha(k) for k in EMA_SPANS]
+    fast, slow, signal_alpha, w, w_long = EMA_SPANS.index(12), EMA_SPANS.index(26), _ema_alpha(SIGNAL_SPAN), 1.0 / WILDER, 1.0 / WILDER_LONG
+    n, before, levels, signal, adx = 0, (0.0, 0.0, 0.0), [], 0.0, 0.0
+    wilder: list[float] = []
+    weights = (w, w, w, w_long, w, w)
+
+    def step(bar: tuple) -> tuple:
+        nonlocal n, before, levels, signal, adx, wilder
+        _, _, high, low, close, _ = bar
+        if high is None or low is None or close is None:
+            return (None,) * len(STATE)
+        if n == 0:
+            levels, wilder, macd = [close] * len(alphas), [0.0, 0.0, high - low, high - low, 0.0, 0.0], 0.0
+        else:
+            p_close, p_high, p_low = before
+            change, rise, fall = close - p_close, high - p_high, p_low - low
+            span = max(high - low, abs(high - p_close), abs(low - p_close))
+            new = (max(change, 0.0), max(-change, 0.0), span, span, rise if rise > fall and rise > 0 else 0.0, fall if fall > rise and fall > 0 else 0.0)
+            levels = [e + (close - e) * a for e, a in zip(levels, alphas, strict=True)]
+            wilder = [v + (x - v) * a for v, x, a in zip(wilder, new, weights, strict=True)]
+            macd = levels[fast] - levels[slow]
+            signal += (macd - signal) * signal_alpha
+        up, down = wilder[4:]
+        spread = 100.0 * abs(up - down) / (up + down) if up + down else 0.0
+        adx = spread if n == 0 else adx + (spread - adx) * w
+        n, before = n + 1, (close, high, low)
+        return (n, *levels, macd, signal, *wilder[:4], adx)
+
+    return step
 
 
 def indicators(bars: DataFrame) -> DataFrame:
     """symbol, bar_ts, open, high, low, close, volume and ema10 ... adx14 of every bar."""
-    zero = F.lit(0.0)
-    start = F.struct(F.lit(0).alias("n"), *(zero.alias(c) for c in _STATE[1:]))
-
-    def step(s: Column, b: Column) -> Column:
-        fresh = s["n"] == 0
-
-        def smooth(previous: Column, value: Column, alpha: float) -> Column:
-            return F.when(fresh, value).otherwise(previous + (value - previous) * F.lit(alpha))
-
-        change = F.when(fresh, zero).otherwise(b["close"] - s["p_close"])
-        rise = F.when(fresh, zero).otherwise(b["high"] - s["p_high"])
-        fall = F.when(fresh, zero).otherwise(s["p_low"] - b["low"])
-        span = F.when(fresh, b["high"] - b["low"]).otherwise(F.greatest(b["high"] - b["low"], F.abs(b["high"] - s["p_close"]), F.abs(b["low"] - s["p_close"])))
-        raw = F.struct(
-            F.greatest(change, zero).alias("gain"), F.greatest(-change, zero).alias("loss"), span.alias("range"),
-            F.when((rise > fall) & (rise > 0), rise).otherwise(zero).alias("up"), F.when((fall > rise) & (fall > 0), fall).otherwise(zero).alias("down"),
-        )
-
-        def smoothed(r: Column) -> Column:
-            w = 1.0 / WILDER
-            return F.struct(
-                *(smooth(s[f"e{k}"], b["close"], _ema_alpha(k)).alias(f"e{k}") for k in EMA_SPANS),
-                smooth(s["gain"], r["gain"], w).alias("gain"), smooth(s["loss"], r["loss"], w).alias("loss"),
-                smooth(s["atr14"], r["range"], w).alias("atr14"), smooth(s["atr20"], r["range"], 1.0 / WILDER_LONG).alias("atr20"),
-                smooth(s["up"], r["up"], w).alias("up"), smooth(s["down"], r["down"], w).alias("down"),
-            )
-
-        def last(v: Column) -> Column:
-            macd = v["e12"] - v["e26"]
-            total = v["up"] + v["down"]
-            dx = F.when(total == 0, zero).otherwise(F.lit(100.0) * F.abs(v["up"] - v["down"]) / F.when(total == 0, F.lit(1.0)).otherwise(total))
-            kept = ("gain", "loss", "atr14", "atr20", "up", "down")
-            return F.struct(
-                (s["n"] + 1).alias("n"), b["close"].alias("p_close"), b["high"].alias("p_high"), b["low"].alias("p_low"),
-                *(v[f"e{k}"].alias(f"e{k}") for k in EMA_SPANS),
-                macd.alias("macd"), smooth(s["macd_signal"], macd, _ema_alpha(SIGNAL_SPAN)).alias("macd_signal"),
-                *(v[c].alias(c) for c in kept), smooth(s["adx"], dx, 1.0 / WILDER).alias("adx"),
-            )
-
-        return let(raw, lambda r: let(smoothed(r), last))
-
-    folded = fold_bars(bars, ["open", "high", "low", "close", "volume"], start, step)
+    made = "n int, " + ", ".join(f"{c} double" for c in STATE[1:])
+    folded = fold_bars(bars, ["open", "high", "low", "close", "volume"], indicator_step, made)
     return folded.selectExpr("symbol", "bar_ts", "open", "high", "low", "close", "volume", *_finish())
 
 
