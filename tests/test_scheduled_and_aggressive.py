@@ -15,9 +15,9 @@ def test_scheduled_hits_are_sure_bull_runs(spark):
 
 def test_aggressive_replay_by_hand(spark):
     closes = [100.0, 100.0, 101.0, 100.5, 98.0, 98.0, 98.0, 98.0, 98.0, 99.0]
-    values = ", ".join(f"('A', timestamp_ntz'2024-01-{i + 1:02d} 00:00:00', {c}D, 0, '0', 0.9D, {i + 1}, 8)" for i, c in enumerate(closes))
-    bars = spark.sql(f"select symbol, bar_ts, close, regime_id, confidence, streak, confs from values {values} as v(symbol, bar_ts, close, regime_id, label, confidence, streak, confs)")
-    got = sorted(registry.run(spark, "replay_v1_aggressive", replay_input=bars).collect(), key=lambda r: r.bar_ts)
+    values = ", ".join(f"('A', timestamp_ntz'2024-01-{i + 1:02d} 00:00:00', {c}D, 0, 'Bull Run', 0.9D, {i + 1}, 8)" for i, c in enumerate(closes))
+    bars = spark.sql(f"select symbol, bar_ts, close, regime_id, label as regime_label, confidence, streak, confs from values {values} as v(symbol, bar_ts, close, regime_id, label, confidence, streak, confs)")
+    got = sorted(registry.run(spark, "replay_v1_aggressive", replay_input_v1=bars).collect(), key=lambda r: r.bar_ts)
     capital, peak, entry, pos, cooldown, want = 10000.0, 10000.0, 0.0, False, 0, [(10000.0, "CASH")]
     for i in range(1, len(closes)):
         if pos:
@@ -34,5 +34,5 @@ def test_aggressive_replay_by_hand(spark):
         want.append((capital, signal))
     assert [r.signal for r in got] == [s for _, s in want] and "EXIT" in [s for _, s in want]
     assert [r.capital for r in got] == pytest.approx([c for c, _ in want])
-    trades = sorted(registry.run(spark, "backtest_v1_aggressive_trades", replay_input=bars).collect(), key=lambda r: r.exit_ts)
+    trades = sorted(registry.run(spark, "backtest_v1_aggressive_trades", replay_input_v1=bars).collect(), key=lambda r: r.exit_ts)
     assert [(r.reason, r.pnl_pct) for r in trades] == [("Trailing stop", -8.0), ("Trailing stop", pytest.approx(100 * 4 * (99 / 98 - 1), abs=1e-4))]  # the peak is that since the start

@@ -7,13 +7,16 @@ returns, Viterbi decoding in logs. States are ranked by mean return, best first.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.plans.catalog import RELATIONS, QUERIES, Relation
-from tidemark.session import ship_package
+from tidemark.plans.catalog import QUERIES, RELATIONS, Relation, run
+from tidemark.session import materialize, ship_package
+from tidemark.sources.fixtures import REGIMES
 
 STATES, ITERATIONS, TOLERANCE, FLOOR = 7, 100, 1e-4, 1e-3
 
@@ -82,16 +85,24 @@ def fit(x: np.ndarray, states: int = STATES, iterations: int = ITERATIONS) -> tu
     return start, trans, means, covs, history
 
 
-def decode(x: np.ndarray, returns: np.ndarray, states: int = STATES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ranked regime of each bar, its posterior, and the transitions in rank order."""
-    start, trans, means, covs, _ = fit(x, states)
+@dataclass(frozen=True)
+class Decoded:
+    """Ranked regime of each bar, its posterior, the transitions in rank order and the log-likelihood of each iteration."""
+
+    regimes: np.ndarray
+    confidence: np.ndarray
+    transitions: np.ndarray
+    history: list[float]
+
+
+def decode(x: np.ndarray, returns: np.ndarray, states: int = STATES) -> Decoded:
+    start, trans, means, covs, history = fit(x, states)
     log_b = log_density(x, means, covs)
     path = viterbi(log_b, start, trans)
     gamma, _, _ = forward_backward(log_b, start, trans)
     mean = np.array([returns[path == k].mean() if (path == k).any() else 0.0 for k in range(states)])
     order = np.argsort(-mean, kind="stable")
-    rank = np.argsort(order)
-    return rank[path], gamma[np.arange(len(path)), path], trans[np.ix_(order, order)]
+    return Decoded(np.argsort(order)[path], gamma[np.arange(len(path)), path], trans[np.ix_(order, order)], history)
 
 
 def _scaled(pdf: pd.DataFrame) -> np.ndarray:
@@ -103,38 +114,73 @@ def _states(n: int) -> int:
     return max(1, min(STATES, n // 20))
 
 
-def _regimes(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("bar_ts")
-    regime, confidence, _ = decode(_scaled(pdf), pdf["returns"].to_numpy(), _states(len(pdf)))
-    return pd.DataFrame({"symbol": pdf["symbol"], "bar_ts": pdf["bar_ts"], "returns": pdf["returns"], "regime_id": regime.astype("int32"), "regime_confidence": confidence})
+MODEL = "symbol string, states int, transitions array<double>, history array<double>, bars array<struct<bar_ts:timestamp_ntz,returns:double,regime_id:int,regime_confidence:double>>"
 
 
-def _transitions(pdf: pd.DataFrame) -> pd.DataFrame:
+def _model(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("bar_ts")
     k = _states(len(pdf))
-    _, _, trans = decode(_scaled(pdf), pdf["returns"].to_numpy(), k)
-    return pd.DataFrame({"symbol": pdf["symbol"].iloc[0], "from_id": np.repeat(np.arange(k), k).astype("int32"), "to_id": np.tile(np.arange(k), k).astype("int32"), "prob": trans.ravel()})
+    found = decode(_scaled(pdf), pdf["returns"].to_numpy(), k)
+    bars = [dict(zip(("bar_ts", "returns", "regime_id", "regime_confidence"), row, strict=True)) for row in zip(pdf["bar_ts"].dt.to_pydatetime(), pdf["returns"].tolist(), found.regimes.tolist(), found.confidence.tolist(), strict=True)]
+    return pd.DataFrame({"symbol": [pdf["symbol"].iloc[0]], "states": [k], "transitions": [found.transitions.ravel().tolist()], "history": [found.history], "bars": [bars]})
 
 
-def hmm_regimes(features: DataFrame) -> DataFrame:
+def hmm_models(features: DataFrame) -> DataFrame:
+    """A row for each symbol: its fitted model and its decoded bars. Written once; the other relations read it."""
     ship_package(features.sparkSession)
-    return features.select("symbol", "bar_ts", "returns", "bar_range", "volume_change").groupBy("symbol").applyInPandas(_regimes, "symbol string, bar_ts timestamp_ntz, returns double, regime_id int, regime_confidence double")
+    return materialize(features.select("symbol", "bar_ts", "returns", "bar_range", "volume_change").groupBy("symbol").applyInPandas(_model, MODEL), "models")
 
 
-def hmm_transition(features: DataFrame) -> DataFrame:
-    ship_package(features.sparkSession)
-    return features.select("symbol", "bar_ts", "returns", "bar_range", "volume_change").groupBy("symbol").applyInPandas(_transitions, "symbol string, from_id int, to_id int, prob double")
+def hmm_regimes(models: DataFrame) -> DataFrame:
+    return models.select("symbol", F.inline("bars"))
+
+
+def hmm_transition(models: DataFrame) -> DataFrame:
+    each = models.select("symbol", "states", F.posexplode("transitions").alias("i", "prob"))
+    return each.select("symbol", F.floor(F.col("i") / F.col("states")).cast("int").alias("from_id"), (F.col("i") % F.col("states")).alias("to_id"), "prob")
+
 
+def hmm_likelihood(models: DataFrame) -> DataFrame:
+    """The log-likelihood after each iteration of the fit."""
+    return models.select("symbol", F.posexplode("history").alias("iteration", "log_likelihood"))
 
-def hmm_current(features: DataFrame) -> DataFrame:
+
+def hmm_current(models: DataFrame) -> DataFrame:
     """The last bar's regime of each symbol with that regime's mean return, volatility and number of bars."""
-    decoded = hmm_regimes(features)
+    decoded = hmm_regimes(models)
     stats = decoded.groupBy("symbol", "regime_id").agg(F.avg("returns").alias("mean_return"), F.stddev_samp("returns").alias("volatility"), F.count("*").alias("n"))
     last = decoded.groupBy("symbol").agg(F.max_by(F.struct("regime_id", "regime_confidence"), "bar_ts").alias("l")).select("symbol", "l.*")
     return last.join(stats, ["symbol", "regime_id"])
 
 
+def model_regimes(bars: DataFrame) -> DataFrame:
+    """The bars with regime_id, regime_label and regime_confidence of the fitted models: what strategies take as ``regimes``."""
+    models = hmm_models(run(bars.sparkSession, "features", bars=bars))
+    labels = F.array(*map(F.lit, REGIMES))
+    return materialize(bars.join(hmm_regimes(models).drop("returns"), ["symbol", "bar_ts"]).withColumn("regime_label", F.get(labels, F.col("regime_id"))), "regimes")
+
+
+def scan(bars: DataFrame, strategy: str) -> DataFrame:
+    """The latest signal of each symbol under a strategy, on regimes of its own fitted model."""
+    if strategy not in ("v1", "v2", "leaps", "bottoming"):
+        raise ValueError(f"no strategy {strategy}")
+    return run(bars.sparkSession, f"scan_{strategy}", bars=bars, regimes=model_regimes(bars))
+
+
+def backtest(bars: DataFrame, strategy: str, result: str = "trades", index_bars: DataFrame | None = None) -> DataFrame:
+    """Trades, equity or metrics (``result``) of a strategy's replay on regimes of fitted models; without ``index_bars`` (bar_ts, close) the level is 20."""
+    if strategy not in ("v1", "v1_aggressive", "v2") or result not in ("trades", "equity", "metrics"):
+        raise ValueError(f"no {result} of {strategy}")
+    spark = bars.sparkSession
+    index = index_bars if index_bars is not None else spark.createDataFrame([], "bar_ts timestamp_ntz, close double")
+    return run(spark, f"metrics_{strategy}" if result == "metrics" else f"backtest_{strategy}_{result}", bars=bars, index_bars=index, regimes=model_regimes(bars))
+
+
 # No SQL: these are tested by their properties.
-for _name, _build in {"hmm_regimes": hmm_regimes, "hmm_transition": hmm_transition, "hmm_current": hmm_current}.items():
-    RELATIONS[_name] = Relation("", (lambda build: lambda use: build(use("features")))(_build))
+RELATIONS["hmm_models"] = Relation("", lambda use: hmm_models(use("features")))
+for _name, _build in {"hmm_regimes": hmm_regimes, "hmm_transition": hmm_transition, "hmm_likelihood": hmm_likelihood, "hmm_current": hmm_current}.items():
+    RELATIONS[_name] = Relation("", (lambda build: lambda use: build(use("hmm_models")))(_build))
+    QUERIES.append(_name)
+for _name, _build in {"model_scan_v2": lambda bars: scan(bars, "v2"), "model_backtest_v2": lambda bars: backtest(bars, "v2")}.items():
+    RELATIONS[_name] = Relation("", (lambda build: lambda use: build(use("bars")))(_build))
     QUERIES.append(_name)

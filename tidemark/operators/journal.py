@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
 from tidemark.plans.catalog import query, relation
 
 # Events from orders: an entry for each, an exit for each that isn't open, rolls from the line items of options.
@@ -17,7 +19,10 @@ query(
     from trade_entries e join trade_exits x on x.trade_id = e.trade_id left join trade_roll_rollup r on r.trade_id = e.trade_id""",
 )
 query("roll_history", "select r.trade_id, e.symbol, r.roll_no, r.from_contract, r.to_contract, r.credit from trade_rolls r join trade_entries e on e.trade_id = r.trade_id")
-query("open_positions", "select e.trade_id, e.symbol, e.quantity, e.entry_price, e.entry_ts, row_number() over (order by e.entry_ts desc, e.trade_id) as rank from trade_entries e left join trade_exits x on x.trade_id = e.trade_id where x.trade_id is null")
+relation("open_entries", "select e.trade_id, e.symbol, e.quantity, e.entry_price, e.entry_ts from trade_entries e left join trade_exits x on x.trade_id = e.trade_id where x.trade_id is null")
+# Newest first: the positions opened later (counted by time of entry), then the place among those of the same time.
+relation("later_entries", "select entry_ts, coalesce(sum(n) over (order by entry_ts desc rows between unbounded preceding and 1 preceding), 0) as later from (select entry_ts, count(*) as n from open_entries group by entry_ts) as d")
+query("open_positions", "select e.trade_id, e.symbol, e.quantity, e.entry_price, e.entry_ts, cast(l.later + row_number() over (partition by e.entry_ts order by e.trade_id) as int) as rank from open_entries e join later_entries l on l.entry_ts = e.entry_ts")
 query("closed_trades", "select trade_id, symbol, pnl, pnl_pct, exit_ts from (select *, row_number() over (order by exit_ts desc, trade_id) as rn from trade_pnl) as t where rn <= 50")
 query("trades_head", "select trade_id, symbol, pnl from (select *, row_number() over (partition by symbol order by exit_ts, trade_id) as rn from trade_pnl) as t where rn <= 20")
 query(
@@ -26,9 +31,24 @@ query(
       max(open_count) as open_count, max(rolls) as rolls from trade_pnl cross join (select count(*) as open_count from open_positions) as o cross join (select count(*) as rolls from trade_rolls) as r""",
 )
 query("perf_by_regime", "select regime_id, count(*) as trades, count_if(pnl > 0) as wins, round(cast(sum(cast(round(pnl * 10000) as bigint)) as double) / 10000, 4) as pnl from trade_pnl group by regime_id")
+# A broker's symbol belongs to a position whose symbol it is or begins with: broker rows by each beginning, so that the join is an equality.
+relation("broker_positions", "select distinct case when c_custkey % 3 = 0 then c_mktsegment else c_mktsegment || cast(c_custkey % 3 as string) end as broker_symbol, cast(10 + c_custkey % 3 as double) as price from customer")
+relation("beginnings", "select substring(b.broker_symbol, 1, i) as beginning, b.broker_symbol, b.price from broker_positions b join (values " + ", ".join(f"({i})" for i in range(1, 33)) + ") as v(i) on v.i <= length(b.broker_symbol)")
+relation("broker_first", "select beginning, broker_symbol, price from (select *, row_number() over (partition by beginning order by length(broker_symbol), broker_symbol, price) as rn from beginnings) as f where rn = 1")
 query(
     "positions_mtm",
-    """select trade_id, symbol, broker_symbol, round((price - entry_price) * quantity * 100, 4) as unrealized, case when entry_price > 0 then round((price / entry_price - 1) * 100, 4) end as unrealized_pct from (
-      select p.*, b.broker_symbol, b.price, row_number() over (partition by trade_id order by length(b.broker_symbol), b.broker_symbol) as rn from open_positions p
-      left join (select distinct symbol || cast(strike as string) as broker_symbol, symbol, last as price from (select c_mktsegment as symbol, cast(c_custkey % 3 as int) as strike, cast(10 + c_custkey % 3 as double) as last from customer) as q) as b on b.symbol = p.symbol and b.broker_symbol like p.symbol || '%') as m where rn = 1""",
+    """select p.trade_id, p.symbol, b.broker_symbol, round((b.price - p.entry_price) * p.quantity * 100, 4) as unrealized, case when p.entry_price > 0 then round((b.price / p.entry_price - 1) * 100, 4) end as unrealized_pct
+    from open_positions p left join broker_first b on b.beginning = p.symbol""",
 )
+
+
+def append_events(events: DataFrame, folder: str, kind: str) -> None:
+    """Add entries, exits or rolls to a journal kept as Parquet; what is there is never changed."""
+    if kind not in ("entries", "exits", "rolls"):
+        raise ValueError(f"no events of kind {kind}")
+    events.write.mode("append").parquet(f"{folder}/{kind}")
+
+
+def journal_relations(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The journal's events, to be given to ``run`` by name: ``run(spark, "trade_pnl", **journal_relations(spark, folder))``."""
+    return {f"trade_{kind}": spark.read.parquet(f"{folder}/{kind}") for kind in ("entries", "exits", "rolls")}

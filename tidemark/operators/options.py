@@ -80,7 +80,7 @@ SWING_SCORE = " + ".join([
     "case when bias = 'positive' and strike > 1.02 * call_wall then -10 else 0 end",
 ])
 relation("swing_input", f"select q.*, c.regime_id, c.confs, c.bias, c.call_wall, c.gex_strategy, s.min_dte, s.max_dte, s.min_strike, s.max_strike, round({_SPREAD}, 6) as spread from (select * from greek_quotes where side = 'call' and dte between 0 and {SCORE_MAX_DTE}) as q join gex_choice c on c.symbol = q.symbol join gex_strategy s on s.symbol = q.symbol")
-query("option_score", f"select {_CONTRACT}, round(delta, 4) as delta, case when mid <= 0.01 or ask <= 0 then -999 else {SWING_SCORE} end as score from (select symbol, side, strike, dte, bid, ask, oi, volume, iv, mid, spot, round(delta, 6) as delta, regime_id, confs, bias, call_wall, gex_strategy, min_dte, max_dte, min_strike, max_strike, spread from swing_input) as q")
+query("option_score", f"select {_CONTRACT}, round(unrounded, 6) + 0 as delta, case when mid <= 0.01 or ask <= 0 then -999 else {SWING_SCORE} end as score from (select symbol, side, strike, dte, bid, ask, oi, volume, iv, mid, spot, delta as unrounded, round(delta, 6) as delta, regime_id, confs, bias, call_wall, gex_strategy, min_dte, max_dte, min_strike, max_strike, spread from swing_input) as q")
 _ORDER = "score desc, dte, strike, bid, ask, oi, volume, iv"
 query("options_topn", f"select * from (select *, row_number() over (partition by symbol order by {_ORDER}) as rank from option_score where score > -999) as r where rank <= {TOP}")
 query("options_regime_join", "select c.symbol, coalesce(o.regime_id, 3) as regime_id, case when o.symbol is null then 'Unknown' else 'Known' end as regime_label, c.n from (select symbol, count(*) as n from chain group by symbol) as c left join (select * from option_symbols where regime_id <= 3) as o on o.symbol = c.symbol")
@@ -120,8 +120,19 @@ query(
         from current_contracts c join (select *, min(case when dte > 40 then dte end) over (partition by symbol) as next_dte from greek_quotes where side = 'call') as q on q.symbol = c.symbol
         where (q.dte = c.dte or q.dte = q.next_dte) and q.delta between 0.70 and 0.80 and c.bid - q.ask > 0) as t) as r where rn = 1""",
 )
+query(
+    "position_sizing",
+    """select symbol, tier, multiplier, round(risk, 4) as risk_dollars, round(stop, 4) as stop_distance, greatest(1, cast(floor(risk / stop) as int)) as shares,
+      case when option_mid > 0 then greatest(1, cast(floor(least(risk, buying_power) / (option_mid * 100)) as int)) else 0 end as contracts
+    from (select *, 10000 * multiplier as risk, case when atr > 0 then 2 * atr else close * 0.05 end as stop, round(close * 0.04, 2) as option_mid, cast(4000 as double) as buying_power
+      from (select *, case tier when 'FULL' then 1.0 when 'HIGH' then 0.75 when 'MED' then 0.5 else 0.25 end as multiplier
+        from (select s.symbol, s.close, round(i.atr14, 6) as atr, case when s.regime_confidence > 0.80 and s.confs / 12.0 >= 0.83 then 'FULL' when s.regime_confidence > 0.70 and s.confs / 12.0 >= 0.67 then 'HIGH' when s.regime_confidence > 0.60 and s.confs / 12.0 >= 0.50 then 'MED' else 'MIN' end as tier
+          from signal_v2 s join ind i on i.symbol = s.symbol and i.bar_ts = s.bar_ts) as t) as m) as r""",
+)
 relation("steps", "select step from (values " + ", ".join(f"({i})" for i in range(LADDER_STEPS)) + ") as v(step)")
 query("ladder_schedule", "select symbol, strike, dte, rank, cast(step as int) as step, round(least(bid + (step + 1) * 0.05, ask), 4) as buy_limit, round(greatest(ask - step * 0.05, bid), 4) as sell_limit from options_topn cross join steps where rank = 1")
+# The other ladder: from the middle, in wider steps, fewer of them.
+query("ladder_from_mid", "select symbol, strike, dte, rank, cast(step as int) as step, round(least((bid + ask) / 2 + step * 0.10, ask), 4) as buy_limit, round(greatest((bid + ask) / 2 - step * 0.10, bid), 4) as sell_limit from options_topn cross join steps where rank = 1 and step < 15")
 
 # Plans of many layers: what others build on is written once.
 for _name in ("gex_strikes", "gex_profile", "gex_strategy", "swing_input", "option_score", "leaps_score", "options_topn"):

@@ -47,7 +47,8 @@ for _name in DEFAULTS:
     )
 relation("scans", " union all ".join(f"select '{n}' as strategy, s.* from scan_{n} s" for n in DEFAULTS))
 query("scan_ranked", f"select strategy, symbol, signal, confirmations_met, row_number() over (partition by strategy order by {_priority}, confirmations_met desc, symbol) as rank from scans")
-query("screen_sorted", "select strategy, symbol, row_number() over (order by regime_confidence desc, strategy, symbol) as by_confidence, row_number() over (order by confirmations_met desc, strategy, symbol) as by_confirmations, row_number() over (order by coalesce(change_1d, 0) desc, strategy, symbol) as by_change from scans")
+query("screen_sorted", f"select strategy, symbol, row_number() over (order by {_priority}, confirmations_met desc, strategy, symbol) as by_signal, row_number() over (order by regime_confidence desc, strategy, symbol) as by_confidence, row_number() over (order by confirmations_met desc, strategy, symbol) as by_confirmations, row_number() over (order by coalesce(change_1d, 0) desc, strategy, symbol) as by_change from scans")
+query("strategy_defaults", "select s.strategy, s.symbol, d.min_confirmations, d.regime_confirm_bars, d.cooldown_bars, d.min_dte, d.max_dte, d.price_above_ema50, s.avg_volume_30 >= d.min_avg_volume as enough_volume from scans s join default_settings d on d.strategy = s.strategy")
 query("scan_bullish_only", f"select strategy, symbol, signal from scans where signal in ({_quoted(BULLISH)})")
 query("scan_hits_client", f"select strategy, symbol, signal from scans where signal in ({_quoted(BULLISH_CLIENT)})")
 query("leaps_hits", "select symbol, signal, confirmations_met, row_number() over (order by confirmations_met desc, symbol) as rank from scan_leaps where signal like 'LEAPS -- %' and (signal like '%BUY%' or signal like '%WATCH%' or signal like '%HOLD%')")
@@ -55,12 +56,15 @@ query("scan_summary", "select strategy, count_if(regime_id <= 2) as bullish, cou
 query("signal_counts", "select coalesce(signal, 'UNKNOWN') as signal, count(*) as n from scans group by coalesce(signal, 'UNKNOWN')")
 query("confirmation_counts", "select name, count_if(passed) as passed, count_if(not passed) as failed from confirmation_detail group by name")
 query("confirmation_rates", "select name, round(100.0 * cast(passed as double) / (passed + failed), 4) as hit_rate, row_number() over (order by cast(passed as double) / (passed + failed) desc, name) as rank from confirmation_counts")
+# What goes out: fields whose names begin with an underscore stay behind, and lists of one value become the value.
+relation("raw_results", "select symbol, signal, price as _price, confirmations_met as _confirmations, price, confirmations_met from scan_v1")
+query("results_pruned", "select symbol, signal, price, confirmations_met from raw_results", lambda use: pruned(use("raw_results").withColumns(_boxes())))
 query("results_projection", "select symbol, signal, regime_label, regime_confidence, confirmations_met, price, change_1d, avg_volume_30 from scan_v2")
 query("scheduled_hits", "select s.symbol, s.confirmations_met, row_number() over (order by s.confirmations_met desc, s.symbol) as rank from scan_v1 s left join ticker_info t on t.symbol = s.symbol where s.regime_label = 'Bull Run' and s.regime_confidence >= 0.80 and s.confirmations_met >= 6 and coalesce(t.has_options, true)")
 query("screen_filters", "select s.symbol, s.signal, s.price from scan_v2 s join (select *, row_number() over (partition by symbol order by bar_ts desc) as back from ind) as i on i.symbol = s.symbol where i.back = 1 and s.regime_confidence >= 0.5 and s.price between 1 and 1000 and s.avg_volume_30 >= 500000 and (i.ema10 > i.ema20 or i.close > i.ema50)")
 query("scan_errors", "select n_name as symbol, 'Insufficient history' as error from nation where n_nationkey not in (select symbol from bars_nation group by symbol having count(*) >= 100)")
 query("ranked_hits", "select symbol, confirmations_met, row_number() over (order by confirmations_met desc, symbol) as rank from scan_v2")
-query("report_top25", "select rank, symbol, confirmations_met, case when rank = 25 then greatest(total - 25, 0) end as more from (select r.*, count(*) over () as total from (select symbol, bars as confirmations_met, row_number() over (order by bars desc, symbol) as rank from ticker_info_join) as r) as t where rank <= 25")
+query("report_top25", "select rank, symbol, confirmations_met, case when rank = 25 then greatest(total - 25, 0) end as more from (select r.*, count(*) over () as total from (select symbol, confirmations_met, row_number() over (order by confirmations_met desc, symbol) as rank from scan_v1) as r) as t where rank <= 25")
 query("ticker_csv", "select strategy, string_agg(symbol, ', ' order by symbol) as tickers from scans group by strategy", lambda use: use("scans").groupBy("strategy").agg(_csv()))
 query("regime_heatmap", "select symbol, " + ", ".join(f"count_if(regime_id = {i}) as regime_{i}" for i in range(7)) + " from regimes group by symbol")
 query("regime_stats", "select symbol, regime_id, round(avg(ret), 6) as mean_return, round(stddev_samp(ret), 6) as volatility, round(avg(rng), 6) as mean_range, count(*) as n, round(100.0 * cast(count(*) as double) / max(total), 6) as pct_of_total from (select symbol, regime_id, ln(close / lag(close) over (partition by symbol order by bar_ts)) as ret, (high - low) / close as rng, count(*) over (partition by symbol) as total from regimes) as r group by symbol, regime_id")
@@ -68,7 +72,7 @@ query("regime_rank", "select symbol, regime_id, row_number() over (partition by
 query("transition_empirical", "select symbol, from_id, to_id, round(cast(n as double) / sum(n) over (partition by symbol, from_id), 6) as prob from (select symbol, regime_id as from_id, next_id as to_id, count(*) as n from (select symbol, regime_id, lead(regime_id) over (partition by symbol order by bar_ts) as next_id from regimes) as t where next_id is not null group by symbol, regime_id, next_id) as c")
 query("index_snapshot", "select bar_ts, round(close, 4) as level, round(close - prev, 4) as change, round((close / prev - 1) * 100, 4) as change_pct from (select *, lag(close) over (order by bar_ts) as prev, row_number() over (order by bar_ts desc) as back from index_bars) as i where back = 1")
 query("index_series", "select bar_ts, round(close, 6) as level from index_bars")
-query("chart_payload", "select symbol, list(bar_ts order by bar_ts) as dates, list(round(close, 4) order by bar_ts) as closes, list(regime_id order by bar_ts) as regime_ids from regimes group by symbol", lambda use: _payload(use("regimes")))
+query("chart_payload", "select symbol, list(cast(bar_ts as string) order by bar_ts) as dates, list(round(close, 4) order by bar_ts) as closes, list(regime_id order by bar_ts) as regime_ids from regimes group by symbol", lambda use: _payload(use("regimes")))
 
 # Two sessions of a day, and the run before: from the scans, with some symbols changed.
 relation("am_snapshot", "select strategy, symbol, case when symbol = 'BUILDING' then 0 else 1 end as same_day from scans where symbol <> 'MACHINERY'")
@@ -85,6 +89,20 @@ query("ticker_list_parse", "select trim(upper(n_name)) as symbol, length(n_name)
 query("symbol_resolve", "select c_custkey, case upper(trim(c_mktsegment)) " + " ".join(f"when '{k}' then '{v}'" for k, v in {"BTC": "BTC-USD", "BITCOIN": "BTC-USD", "ETH": "ETH-USD", "ETHEREUM": "ETH-USD", "SOL": "SOL-USD", "SOLANA": "SOL-USD", "AVAX": "AVAX-USD", "AVALANCHE": "AVAX-USD", "BUILDING": "BLDG"}.items()) + " else upper(trim(c_mktsegment)) end as symbol from customer")
 
 
+def _boxes():
+    from pyspark.sql import functions as F
+
+    return {c: F.array(c) for c in ("price", "confirmations_met")}
+
+
+def pruned(results):
+    """The columns without an underscore before their name; an array column gives its first value."""
+    from pyspark.sql import functions as F
+
+    kinds = dict(results.dtypes)
+    return results.select(*(F.get(c, F.lit(0)).alias(c) if kinds[c].startswith("array") else F.col(c) for c in results.columns if not c.startswith("_")))
+
+
 def _csv():
     from pyspark.sql import functions as F
 
@@ -95,4 +113,4 @@ def _payload(regimes):
     from pyspark.sql import functions as F
 
     rows = regimes.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("bar_ts", F.round("close", 4).alias("close"), "regime_id"))).alias("r"))
-    return rows.select("symbol", F.col("r.bar_ts").alias("dates"), F.col("r.close").alias("closes"), F.col("r.regime_id").alias("regime_ids"))
+    return rows.select("symbol", F.transform("r.bar_ts", lambda t: t.cast("string")).alias("dates"), F.col("r.close").alias("closes"), F.col("r.regime_id").alias("regime_ids"))

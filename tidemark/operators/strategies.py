@@ -114,8 +114,8 @@ query(
     "confirmation_detail",
     "select symbol, name, passed from (" + " union all ".join(f"select symbol, bar_ts, '{key.replace('_', ' ').title()}' as name, conf_{key} as passed, row_number() over (partition by symbol order by bar_ts desc) as back from conf_v1" for key in V1) + ") as d where back = 1",
 )
-query(
-    "strategy_defaults",
+relation(
+    "default_settings",
     """select strategy, min_confirmations, regime_confirm_bars, cooldown_bars, min_dte, max_dte, min_avg_volume, price_above_ema50 from (values
     ('v1', 7, 2, 48, 14, 45, 1000000, true), ('v2', 8, 2, 3, 30, 60, 500000, false), ('leaps', 7, 3, 10, 180, 730, 1000000, true), ('bottoming', 8, 2, 5, 30, 60, 500000, false))
     as d(strategy, min_confirmations, regime_confirm_bars, cooldown_bars, min_dte, max_dte, min_avg_volume, price_above_ema50)""",

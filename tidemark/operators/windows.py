@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from bisect import bisect_left, bisect_right, insort
+from collections import deque
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.folds import Step, fold_bars
 from tidemark.plans.catalog import query, relation
 
 _W = "window w as (partition by symbol order by bar_ts)"
@@ -50,21 +54,35 @@ def _rank(values: str, last: str) -> str:
     return f"case when {last} is not null then (len(list_filter({values}, lambda x: x < {last})) + (len(list_filter({values}, lambda x: x = {last})) + 1) / 2.0) / len({values}) end"
 
 
-def percent_ranks(use) -> DataFrame:
-    """The last value's average rank among those of its frame, as a share."""
-    base = use("rank_input")
+#: Columns with the bars of their frames and the fewest values in them.
+RANKED = {"atr": (60, 20), "hv": (252, 60)}
+
+
+def rank_step() -> Step:
+    """The last value's average rank among those of its frame, as a share: a sorted list of the frame, kept up bar by bar."""
+    frames = [(deque(), [], n, least) for n, least in RANKED.values()]
 
-    def rank(column: str, n: int, least: int):
-        values = F.collect_list(column).over(Window.partitionBy("symbol").orderBy("bar_ts").rowsBetween(-(n - 1), 0))
-        v = F.col(f"__{column}")
-        below = F.size(F.filter(v, lambda x: x < F.col(column)))
-        same = F.size(F.filter(v, lambda x: x == F.col(column)))
-        share = (below + (same + 1) / 2) / F.size(v)
-        return values, F.when(F.col(column).isNotNull() & (F.size(v) >= least), F.round(share, 6))
+    def step(bar: tuple) -> tuple:
+        out = []
+        for value, (frame, ordered, n, least) in zip(bar[1:], frames, strict=True):
+            frame.append(value)
+            if value is not None:
+                insort(ordered, value)
+            if len(frame) > n and (old := frame.popleft()) is not None:
+                del ordered[bisect_left(ordered, old)]
+            if value is None or len(ordered) < least:
+                out.append(None)
+                continue
+            below = bisect_left(ordered, value)
+            out.append((below + (bisect_right(ordered, value) - below + 1) / 2) / len(ordered))
+        return tuple(out)
 
-    atr, atr_rank = rank("atr", 60, 20)
-    hv, hv_rank = rank("hv", 252, 60)
-    return base.select("symbol", "bar_ts", "atr", "hv", atr.alias("__atr"), hv.alias("__hv")).select("symbol", "bar_ts", atr_rank.alias("atr_rank"), hv_rank.alias("hv_rank"))
+    return step
+
+
+def percent_ranks(use) -> DataFrame:
+    folded = fold_bars(use("rank_input"), list(RANKED), rank_step, ", ".join(f"{c}_rank double" for c in RANKED))
+    return folded.select("symbol", "bar_ts", *(F.round(f"{c}_rank", 6).alias(f"{c}_rank") for c in RANKED))
 
 
 relation("rank_input", "select i.symbol, i.bar_ts, round(i.atr14, 6) as atr, h.hv20 as hv from ind i join hist_vol h on h.symbol = i.symbol and h.bar_ts = i.bar_ts")
@@ -90,12 +108,11 @@ query(
 )
 query("regime_streak_last", "select symbol, regime_id, streak from (select *, row_number() over (partition by symbol order by bar_ts desc) as back from regime_streak) as s where back = 1")
 query("latest_bar", f"select symbol, bar_ts, close, coalesce(prev_close, close) as prev_close from (select symbol, bar_ts, close, lag(close) over w as prev_close, row_number() over (partition by symbol order by bar_ts desc) as back from bars {_W}) as l where back = 1")
-# As of each bar, the index's last level: rows of both in one order, each run from a level to the next is a group.
-query(
-    "asof_index_join",
-    """select symbol, bar_ts, coalesce(level, 20) as index_level from (
-      select symbol, bar_ts, is_bar, max(level) over (partition by symbol, run) as level from (
-        select *, count(level) over (partition by symbol order by bar_ts, is_bar rows between unbounded preceding and current row) as run
-        from (select symbol, bar_ts, 1 as is_bar, cast(null as double) as level from bars
-              union all select s.symbol, i.bar_ts, 0 as is_bar, i.close as level from index_bars i join (select distinct symbol, 1 as one from bars) as s on s.one = 1) as u) as m) as r where is_bar = 1""",
+# The index's last level as of each time that any bar has: worked out once, whatever the number of symbols, and joined by equality.
+relation(
+    "index_calendar",
+    """select bar_ts, coalesce(level, 20) as index_level from (select bar_ts, is_bar, max(level) over (partition by run) as level from (
+        select *, count(level) over (order by bar_ts, is_bar rows between unbounded preceding and current row) as run
+        from (select bar_ts, 1 as is_bar, cast(null as double) as level from (select distinct bar_ts from bars) as t union all select bar_ts, 0 as is_bar, close as level from index_bars) as u) as m) as r where is_bar = 1""",
 )
+query("asof_index_join", "select b.symbol, b.bar_ts, c.index_level from bars b join index_calendar c on c.bar_ts = b.bar_ts")

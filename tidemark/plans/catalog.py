@@ -26,10 +26,17 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 class Relation:
     sql: str
     build: Callable[..., DataFrame] | None = None
-    uses: tuple[str, ...] = field(default=())
+    #: Names that its text reads from, and those that it defines itself.
+    named: tuple[str, ...] = field(default=())
+    own: frozenset[str] = frozenset()
     #: Written to the shared folder and read back on Spark: for what several others build on.
     stored: bool = False
 
+    @property
+    def uses(self) -> tuple[str, ...]:
+        """The relations and tables that its text reads from, whichever module was imported first."""
+        return tuple(w for w in self.named if w in RELATIONS or (w in TABLES and w not in self.own))
+
 
 RELATIONS: dict[str, Relation] = {}
 QUERIES: list[str] = []
@@ -38,9 +45,8 @@ QUERIES: list[str] = []
 def relation(name: str, sql: str, build: Callable[..., DataFrame] | None = None, stored: bool = False) -> None:
     """Define a relation; what it uses is read off its text."""
     words = dict.fromkeys(re.findall(r"\b(?:from|join)\s+([a-z_][a-z0-9_]*)", sql.lower()))
-    own = set(re.findall(r"\b([a-z_][a-z0-9_]*)(?:\([a-z0-9_, ]*\))?\s+as\s+\(\s*select", sql.lower()))
-    uses = tuple(w for w in words if (w in RELATIONS or w in TABLES) and w not in own - set(RELATIONS))
-    RELATIONS[name] = Relation(sql.strip(), build, uses, stored)
+    own = frozenset(re.findall(r"\b([a-z_][a-z0-9_]*)(?:\([a-z0-9_, ]*\))?\s+as\s+\(\s*select", sql.lower()))
+    RELATIONS[name] = Relation(sql.strip(), build, tuple(words), own, stored)
 
 
 def query(name: str, sql: str, build: Callable[..., DataFrame] | None = None) -> None:

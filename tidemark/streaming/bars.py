@@ -1,14 +1,18 @@
-"""Streaming forms: ticks to bars, signal counts and regime changes.
+"""Streaming forms: ticks to bars, scans chunk by chunk, signal counts and regime changes.
 
-Each takes a streaming DataFrame and gives the one its batch operator gives over
-the same rows.
+Each takes a streaming DataFrame; ``*_stream`` functions give one, the others start
+from ``foreachBatch`` and give its function, for ``writeStream.foreachBatch(...)``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.plans import registry
+
 
 def bars_stream(events: DataFrame, late: str = "2 hours") -> DataFrame:
     """Hourly bars of ticks (event_type, ts, value), final once the watermark passes."""
@@ -39,3 +43,41 @@ def regime_changes_stream(scans: DataFrame) -> DataFrame:
         yield pd.DataFrame(out, columns=["symbol", "prev_regime_id", "regime_id", "bar_ts"])
 
     return scans.select("symbol", "regime_id", "bar_ts").groupBy("symbol").applyInPandasWithState(changed, "symbol string, prev_regime_id int, regime_id int, bar_ts timestamp", "last int", "append", GroupStateTimeout.NoTimeout)
+
+
+def scan_chunks(bars: DataFrame, strategy: str, folder: str, **given: DataFrame) -> Callable[[DataFrame, int], None]:
+    """For a stream of symbols: each batch is scanned; results and a row of progress go to ``folder``, by batch.
+
+    ``given``: relations that the scan takes, such as ``regimes``. A batch that is run again overwrites its own rows only.
+    """
+
+    def run(symbols: DataFrame, batch: int) -> None:
+        # A batch comes with a session of its own; the scan runs in that of the bars.
+        spark = bars.sparkSession
+        symbols.select("symbol").distinct().write.mode("overwrite").parquet(f"{folder}/asked/batch={batch}")
+        asked = spark.read.parquet(f"{folder}/asked/batch={batch}")
+        found = registry.run(spark, f"scan_{strategy}", bars=bars.join(asked, "symbol", "left_semi"), **given)
+        found.write.mode("overwrite").parquet(f"{folder}/results/batch={batch}")
+        done = spark.read.parquet(f"{folder}/results/batch={batch}")
+        counts = done.agg(F.count("*").alias("found"), F.count_if("regime_id <= 2").alias("bullish"), F.count_if("regime_id >= 5").alias("bearish"))
+        asked.agg(F.count("*").alias("asked")).crossJoin(counts).coalesce(1).write.mode("overwrite").parquet(f"{folder}/progress/batch={batch}")
+
+    return run
+
+
+def snapshot_changes(folder: str) -> Callable[[DataFrame, int], None]:
+    """For a stream whose batches are whole scans (symbol, regime_id): regimes that differ from the batch before.
+
+    Each snapshot replaces the one before whole, so a symbol that was absent from a scan is forgotten.
+    """
+
+    def run(scans: DataFrame, batch: int) -> None:
+        known = scans.where("regime_id is not null").select("symbol", "regime_id").dropDuplicates(["symbol"])
+        known.write.mode("overwrite").parquet(f"{folder}/snapshot/batch={batch}")
+        known = scans.sparkSession.read.parquet(f"{folder}/snapshot/batch={batch}")
+        if batch:
+            before = scans.sparkSession.read.parquet(f"{folder}/snapshot/batch={batch - 1}").withColumnRenamed("regime_id", "prev_regime_id")
+            changed = known.join(before, "symbol").where("prev_regime_id <> regime_id").select("symbol", "prev_regime_id", "regime_id")
+            changed.write.mode("overwrite").parquet(f"{folder}/changes/batch={batch}")
+
+    return run
