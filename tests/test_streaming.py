@@ -38,8 +38,8 @@ def test_a_snapshot_forgets_absent_symbols(spark, tmp_path):
 def test_scan_chunks(spark, tmp_path):
     sf = "/root/testdata/sf0.01"
     symbols = stream(spark, tmp_path, [[("BUILDING",), ("MACHINERY",)], [("FURNITURE",), ("NOBODY",)]], "symbol string")
-    bars, regimes = registry.run(spark, "bars", sf), registry.run(spark, "regimes", sf)
-    drain(symbols.writeStream.foreachBatch(scan_chunks(bars, "v1", f"{tmp_path}/out", regimes=regimes)))
+    relations = lambda session: {name: registry.run(session, name, sf) for name in ("bars", "regimes")}
+    drain(symbols.writeStream.foreachBatch(scan_chunks(relations, "v1", f"{tmp_path}/out")))
     whole = {r.symbol: r.signal for r in registry.run(spark, "scan_v1", sf).collect()}
     got = spark.read.parquet(f"{tmp_path}/out/results").collect()
     assert {r.symbol: r.signal for r in got} == {s: v for s, v in whole.items() if s in ("BUILDING", "MACHINERY", "FURNITURE")}

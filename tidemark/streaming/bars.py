@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.plans import registry
@@ -45,21 +45,20 @@ def regime_changes_stream(scans: DataFrame) -> DataFrame:
     return scans.select("symbol", "regime_id", "bar_ts").groupBy("symbol").applyInPandasWithState(changed, "symbol string, prev_regime_id int, regime_id int, bar_ts timestamp", "last int", "append", GroupStateTimeout.NoTimeout)
 
 
-def scan_chunks(bars: DataFrame, strategy: str, folder: str, **given: DataFrame) -> Callable[[DataFrame, int], None]:
+def scan_chunks(relations: Callable[[SparkSession], dict[str, DataFrame]], strategy: str, folder: str) -> Callable[[DataFrame, int], None]:
     """For a stream of symbols: each batch is scanned; results and a row of progress go to ``folder``, by batch.
 
-    ``given``: relations that the scan takes, such as ``regimes``. A batch that is run again overwrites its own rows only.
+    ``relations`` gives, in a batch's own session, the bars and what else the scan takes, such as ``regimes``. A batch
+    that is run again overwrites its own rows only.
     """
 
     def run(symbols: DataFrame, batch: int) -> None:
-        # A batch comes with a session of its own; the scan runs in that of the bars.
-        spark = bars.sparkSession
-        symbols.select("symbol").distinct().write.mode("overwrite").parquet(f"{folder}/asked/batch={batch}")
-        asked = spark.read.parquet(f"{folder}/asked/batch={batch}")
-        found = registry.run(spark, f"scan_{strategy}", bars=bars.join(asked, "symbol", "left_semi"), **given)
+        spark = symbols.sparkSession
+        asked, given = symbols.select("symbol").distinct(), relations(spark)
+        found = registry.run(spark, f"scan_{strategy}", **given | {"bars": given["bars"].join(asked, "symbol", "left_semi")})
         found.write.mode("overwrite").parquet(f"{folder}/results/batch={batch}")
         done = spark.read.parquet(f"{folder}/results/batch={batch}")
-        counts = done.agg(F.count("*").alias("found"), F.count_if("regime_id <= 2").alias("bullish"), F.count_if("regime_id >= 5").alias("bearish"))
+        counts = done.agg(F.count("*").alias("found"), F.count_if(F.col("regime_id") <= 2).alias("bullish"), F.count_if(F.col("regime_id") >= 5).alias("bearish"))
         asked.agg(F.count("*").alias("asked")).crossJoin(counts).coalesce(1).write.mode("overwrite").parquet(f"{folder}/progress/batch={batch}")
 
     return run
