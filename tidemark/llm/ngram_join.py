@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
-from tidemark.llm.text_batches import column, text_slices
+from tidemark.llm.text_batches import column, give_back, text_slices
 from tidemark.llm.trie_join import block_links
 from tidemark.session import materialize, ship_package
 
@@ -198,6 +198,9 @@ def _profile(buckets: int):
                         doc_ids, fps, counts, sets, gathered, flush = [], [], [], [], 0, flush + 1
         if fps:
             yield from settled()
+        hashes.clear()
+        doc_ids, fps, counts, sets = [], [], [], []
+        give_back()
 
     return run
 
@@ -231,6 +234,8 @@ def _profile_components(buckets: int):
                     place, least, sets, gathered, flush = {}, [], [], 0, flush + 1
         if sets:
             yield from settled()
+        place, least, sets = {}, [], []
+        give_back()
 
     return run
 
@@ -296,6 +301,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = [[int(_mixed(s ^ salt).min().view(np.int64)) for s in sets] for salt in _SALTS]
             columns = [pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(k, pa.int64()) for k in keys), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["fp", "n", "key_a", "key_b", "grams"])
+    hashes.clear()
+    give_back()
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

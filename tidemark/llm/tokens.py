@@ -22,6 +22,8 @@ import pyarrow.compute as pc
 SLICE_BYTES = 4_000_000
 #: Pieces that a worker remembers at most, and the longest in bytes that it does (longer ones seldom come again).
 MEMO_PIECES, MEMO_BYTES = 1_000_000, 14
+#: New pieces that go through the library at a time: what it makes of one takes far more memory than its ids.
+NEW_PIECES = 10_000
 
 
 def _table(members: bytes) -> np.ndarray:
@@ -88,13 +90,21 @@ class PieceTokenizer:
         """The memo: pieces, their ids in a row, and where each piece's ids begin (one more than there are pieces)."""
         self.pieces, self.ids, self.places = pa.array([], pa.binary()), np.empty(0, np.uint32), np.zeros(1, np.int64)
 
+    def _encoded(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each piece has, and the ids in a row."""
+        sizes, made = [np.empty(0, np.int64)], [np.empty(0, np.uint32)]
+        for begin in range(0, len(pieces), NEW_PIECES):
+            part = [p.decode("utf-8", "replace") for p in pieces.slice(begin, NEW_PIECES).to_pylist()]
+            ids = [e.ids for e in self.library.encode_batch_fast(part, add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            made.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes[-1].sum())))
+        return np.concatenate(sizes), np.concatenate(made)
+
     def _table_for(self, wanted: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where each wanted piece is in a table, and the table's ids and places; new pieces are encoded and remembered."""
         place = pc.fill_null(pc.index_in(wanted, value_set=self.pieces), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         new = wanted.filter(pa.array(place < 0))
-        encoded = [e.ids for e in self.library.encode_batch_fast([p.decode("utf-8", "replace") for p in new.to_pylist()], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        made = np.fromiter(chain.from_iterable(encoded), np.uint32, int(sizes.sum()))
+        sizes, made = self._encoded(new)
         ids, places = np.concatenate([self.ids, made]), np.concatenate([self.places, self.places[-1] + np.cumsum(sizes)])
         place[place < 0] = len(self.pieces) + np.arange(len(new))
         short = pc.binary_length(new).to_numpy() <= MEMO_BYTES
