@@ -11,6 +11,7 @@ numpy arrays of bounded size.
 from __future__ import annotations
 
 import functools
+import os
 from collections.abc import Iterator
 from itertools import chain
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that go through the tokenizer at a time (a single longer text makes a batch of its own).
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 #: Pieces that a worker remembers at most, and the longest in bytes that it does (longer ones seldom come again).
 MEMO_PIECES, MEMO_BYTES = 1_000_000, 14
 #: New pieces that go through the library at a time: what it makes of one takes far more memory than its ids.
@@ -80,6 +81,8 @@ class PieceTokenizer:
     """Ids of texts as unsigned 32-bit integers. ``kind``: byte (blanks belong to words) or word (white space is dropped)."""
 
     def __init__(self, path: str, kind: str):
+        # A task has one core: threads of the library's own only cost it time and memory.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
