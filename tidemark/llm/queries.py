@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import mixing, quality_model, sql, warc
+from tidemark.llm.divergence import divergence
 from tidemark.llm.ngram_join import ngram_components
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.pii import pii_digests
@@ -68,6 +69,10 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark, read_table(spark, sf_dir, "embeddings"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(spark, read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -80,8 +85,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": op8_pii,
         "op9_quality_rules": op9_quality_rules,
         "op10_top_k": op10_top_k,
+        "op12_source_divergence": op12_source_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_join": sql.NGRAM_COMPONENTS, "op7_warc": sql.WARC, "op9_quality_rules": sql.QUALITY_RULES, "op10_top_k": sql.TOP_K}
+    return {
+        "op3_ngram_join": sql.NGRAM_COMPONENTS,
+        "op7_warc": sql.WARC,
+        "op9_quality_rules": sql.QUALITY_RULES,
+        "op10_top_k": sql.TOP_K,
+        "op12_source_divergence": sql.DIVERGENCE,
+    }

@@ -75,3 +75,23 @@ select page_id, n as payload_bytes, sha1(html) as payload_digest,
   case when n >= 1000 and page_id is distinct from best then best end as refers_to
 from g
 """
+
+DIVERGENCE = r"""
+with texts as (select coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+groups as (select distinct lang, source from texts),
+kept as (select lang, term from (select lang, unnest(list_distinct(w)) as term from texts) group by lang, term having count(*) >= 30),
+counts as (select lang, source, term, count(*) as n from (select lang, source, unnest(w) as term from texts) join kept using (lang, term) group by all),
+size as (select lang, count(*) as v from kept group by lang),
+cell as (
+  select g.lang, g.source, k.term, coalesce(c.n, 0) as n, sum(coalesce(c.n, 0)) over (partition by g.lang, g.source) as whole, v,
+    sum(coalesce(c.n, 0)) over (partition by g.lang, k.term) as lang_n, sum(coalesce(c.n, 0)) over (partition by g.lang) as lang_whole
+  from groups g join kept k using (lang) join size using (lang) left join counts c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+shares as (select lang, source, term, n, 1 + (1000000000 * (n + 5)::hugeint) // (whole + 5 * v) as p, 1 + (1000000000 * (lang_n + 5)::hugeint) // (lang_whole + 5 * v) as q from cell),
+sums as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+found as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(s.value, 0)::bigint as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source left join sums s on s.lang = a.lang and s.source = a.source and s.item = b.source
+  union all select lang, source, 'term', term, (p - q)::bigint from shares where n > 0 and p > q),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from found)
+select lang, source, part, item, value, rank::int as rank from ranked where part = 'pair' or rank <= 50
+"""
