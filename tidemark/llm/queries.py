@@ -12,6 +12,7 @@ from tidemark.llm.divergence import divergence
 from tidemark.llm.ngram_join import ngram_components
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.pii import pii_digests
+from tidemark.llm.prefix_trie import prefix_trie
 from tidemark.llm.quality_rules import apply_rules
 from tidemark.llm.secret_scan import secret_digests
 from tidemark.llm.token_files import read_token_files, token_digests, write_token_files
@@ -73,6 +74,10 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(spark, read_table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(spark, read_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -86,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_rules": op9_quality_rules,
         "op10_top_k": op10_top_k,
         "op12_source_divergence": op12_source_divergence,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
@@ -96,4 +102,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_quality_rules": sql.QUALITY_RULES,
         "op10_top_k": sql.TOP_K,
         "op12_source_divergence": sql.DIVERGENCE,
+        "op13_prefix_trie": sql.PREFIX_TRIE,
     }

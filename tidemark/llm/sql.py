@@ -95,3 +95,28 @@ found as (
 ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from found)
 select lang, source, part, item, value, rank::int as rank from ranked where part = 'pair' or rank <= 50
 """
+
+# CRC-32 (polynomial 0xEDB88320, a fixed value) of the decimal digits of a number.
+_CRC = """(xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(c::varchar, ''), lambda x: ascii(x)::bigint)), lambda crc, byte:
+    list_reduce(list_prepend(xor(crc, byte), [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda r, bit: case when r % 2 = 1 then xor(r >> 1, 3988292384) else r >> 1 end)), 4294967295))"""
+
+PREFIX_TRIE = f"""
+with clean as (select conv_id as c, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+turns as (select c, row_number() over (partition by c order by turn nulls first, sha256(strlen(role)::varchar || ':' || role || text)) as i, role, text from clean),
+convs as (select c, {_CRC} % 9 as h from (select distinct c from turns)),
+taken as (
+  select v.c, t.i, t.role, t.text from convs v join turns t on t.c = v.c - v.c % 5 and t.i <= v.h
+  union all select v.c, t.i, t.role, t.text from convs v join turns t on t.c = v.c and t.i > v.h),
+seq as (select c, row_number() over (partition by c order by i) as d, strlen(role)::varchar || ':' || role || text as step, strlen(text) as n_bytes from taken),
+path as (select c, d, string_agg(sha256(step), ' ') over (partition by c order by d) as p, coalesce(string_agg(sha256(step), ' ') over (partition by c order by d rows between unbounded preceding and 1 preceding), '') as above, n_bytes from seq),
+whole as (select c, 0 as d, '' as p, null as above, 0 as n_bytes from convs union all select * from path),
+node as (select p, d, any_value(above) as above, min(c) as conv_id, count(*) as n_convs, any_value(n_bytes) as n_bytes from whole group by p, d),
+longest as (select c, max(d) as d from whole group by c),
+ends as (select w.p, sha256(string_agg(w.c::varchar, ',' order by w.c)) as ends from whole w join longest using (c, d) group by w.p),
+kids as (select above as p, count(*) as n_children from node where above is not null group by above),
+below as (
+  select u.p, count(*) filter (where k.p is null) as n_leaves, sum((v.n_convs - 1) * v.n_bytes) as saved
+  from node v join whole x on x.c = v.conv_id and x.d <= v.d join node u on u.p = x.p left join kids k on k.p = v.p group by u.p)
+select n.conv_id, n.d::bigint as depth, a.conv_id as parent_conv_id, n.n_convs, coalesce(k.n_children, 0)::bigint as n_children, b.n_leaves, b.saved::bigint as saved_tokens, coalesce(e.ends, sha256('')) as ends_sha256
+from node n left join node a on a.p = n.above left join kids k on k.p = n.p join below b on b.p = n.p left join ends e on e.p = n.p
+"""
