@@ -83,7 +83,7 @@ def _counts(texts: pa.Array, langs: list[str], copies: list[Counter]) -> Iterato
     if not len(codes):
         return
     width = len(terms)
-    terms = terms.cast(pa.string())
+    terms = terms.view(pa.string())
     keys, times = summed(owner * width + codes, np.ones(len(codes), np.int64))
     owner, codes = keys // width, keys % width
     groups: dict[tuple[str, str], int] = {}

@@ -18,6 +18,7 @@ from tidemark.llm.secret_scan import secret_digests
 from tidemark.llm.token_files import read_token_files, token_digests, write_token_files
 from tidemark.llm.tokens import default_path
 from tidemark.llm.topk import top_k
+from tidemark.llm.toxicity import toxicity
 from tidemark.session import read_table
 
 
@@ -70,6 +71,10 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark, read_table(spark, sf_dir, "embeddings"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(spark, read_table(spark, sf_dir, "documents"))
 
@@ -90,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": op8_pii,
         "op9_quality_rules": op9_quality_rules,
         "op10_top_k": op10_top_k,
+        "op11_toxicity": op11_toxicity,
         "op12_source_divergence": op12_source_divergence,
         "op13_prefix_trie": op13_prefix_trie,
     }

@@ -6,6 +6,8 @@ encoding, so that what follows counts numbers.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -44,3 +46,13 @@ def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     keys = keys[order]
     begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
     return (keys[begin], *(np.add.reduceat(v[order], begin) for v in values))
+
+
+def slices(batch: pa.RecordBatch, text: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch`` whose texts have about ``most_bytes`` at most (a single longer text makes one of its own)."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < batch.num_rows:
+        end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + most_bytes, side="right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
