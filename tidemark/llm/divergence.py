@@ -40,7 +40,7 @@ from tidemark.session import materialize, ship_package
 
 LEAST_DOCS, MOST_TERMS, SCALE, SMOOTH = 30, 50, 1_000_000_000, 5
 #: Text that a task gathers before it puts equal ones together, text cut into terms at a time, (source, term) counts worked out at a time.
-GATHER_BYTES, CUT_BYTES, MOST_COUNTS = 16_000_000, 4_000_000, 4_000_000
+GATHER_BYTES, CUT_BYTES, MOST_COUNTS = 16_000_000, 12_000_000, 4_000_000
 #: Sources in a block of pairs, groups that a block's terms are dealt over, differences worked out at a time.
 BLOCK, BUCKETS, MOST_CELLS = 512, 64, 4_000_000
 
