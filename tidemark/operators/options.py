@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
+from pyspark.sql import functions as F
 
 from tidemark.functions.pricing import greeks
-from tidemark.plans.catalog import RELATIONS, query, relation
+from tidemark.plans.catalog import query, relation
 
 SCORE_MAX_DTE, TOP, LADDER_STEPS = 365, 5, 50
 # Strategies of the gamma matrix with their days to expiry and strike ranges (a is spot, w the call wall).
@@ -21,7 +21,20 @@ DTE_PRESETS = {"weekly": (0, 7), "swing": (14, 45), "monthly": (30, 60), "leaps"
 # The latest regime and confirmations of each chain's symbol, from the chain itself (the test tables have no common symbols).
 relation("option_symbols", "select symbol, max(spot) as spot, cast(count(*) % 7 as int) as regime_id, cast(count(*) % 13 as int) as confs from chain group by symbol")
 relation("quotes", "select *, case when bid + ask > 0 then (bid + ask) / 2 else last end as mid, cast(dte as double) / 365 as t, coalesce(nullif(iv, 0), 0.3) as sigma from chain where dte between 0 and 730")
-relation("greek_quotes", f"select * from {greeks('quotes')} as g", stored=True)
+
+
+def greeks_once(source: str):
+    """The Greeks of a relation as columns that are worked out once: without the array, a filter on one of them would repeat its whole text."""
+
+    def build(use):
+        quotes = use(source)
+        priced = quotes.sparkSession.sql("select * from " + greeks("{quotes}") + " as g", quotes=quotes)
+        return priced.select(*quotes.columns, F.inline(F.array(F.struct("delta", "gamma", "theta"))))
+
+    return build
+
+
+relation("greek_quotes", f"select * from {greeks('quotes')} as g", greeks_once("quotes"))
 _CONTRACT = "symbol, side, strike, dte, bid, ask, oi, volume, iv"
 
 query("chain_scan", f"select {_CONTRACT}, round(sigma, 6) as sigma from quotes")
@@ -33,31 +46,36 @@ query("bs_theta", f"select {_CONTRACT}, round(theta, 6) + 0 as theta from greek_
 relation(
     "gex_strikes",
     """select symbol, max(spot) as spot, strike, round(sum(case when side = 'call' then g else 0 end), 2) + 0 as call_gex, round(sum(case when side = 'put' then -g else 0 end), 2) + 0 as put_gex, round(sum(case when side = 'call' then g else -g end), 2) + 0 as net_gex
-    from (select *, gamma * oi * 100 * spot as g from greek_quotes where oi > 0 and t > 0) as e group by symbol, strike""",
+    from (select symbol, side, strike, spot, gamma * oi * 100 * spot as g from greek_quotes where oi > 0 and t > 0) as e group by symbol, strike""",
 )
 query("gex_by_strike", "select symbol, strike, call_gex, put_gex, net_gex from gex_strikes")
 _first = lambda order: f"row_number() over (partition by symbol order by {order}, strike)"
-query(
-    "gex_levels",
-    f"""select symbol, round(sum(net_gex), 2) as total_gex, max(case when c = 1 then strike end) as call_wall, max(case when p = 1 then strike end) as put_wall, max(case when m = 1 then strike end) as max_gamma
-    from (select *, {_first("call_gex desc")} as c, {_first("put_gex")} as p, {_first("abs(net_gex) desc")} as m from gex_strikes) as r group by symbol""",
+# Strikes in order, each with its place among the symbol's and, near the spot, where exposure crosses zero since the strike before: all by symbol.
+_NEAR = "partition by symbol, abs(strike - spot) / spot < 0.20 order by strike"
+relation(
+    "gex_points",
+    f"""select *, prev_strike + (strike - prev_strike) * abs(prev_net) / (abs(prev_net) + abs(net_gex)) as flip, min(case when crosses then strike end) over (partition by symbol) as first_cross
+    from (select *, near and prev_net * net_gex < 0 as crosses from (
+      select symbol, strike, net_gex, abs(strike - spot) / spot < 0.20 as near, lag(strike) over ({_NEAR}) as prev_strike, lag(net_gex) over ({_NEAR}) as prev_net,
+        {_first("call_gex desc")} as c, {_first("put_gex")} as p, {_first("abs(net_gex) desc")} as m from gex_strikes) as l) as n""",
 )
-query(
-    "gex_flip",
-    """select s.symbol, round(f.flip, 4) as gex_flip from (select distinct symbol from gex_strikes) as s left join (
-      select symbol, prev_strike + (strike - prev_strike) * abs(prev_net) / (abs(prev_net) + abs(net_gex)) as flip, row_number() over (partition by symbol order by strike) as rn
-      from (select symbol, strike, net_gex, lag(strike) over (partition by symbol order by strike) as prev_strike, lag(net_gex) over (partition by symbol order by strike) as prev_net from gex_strikes where abs(strike - spot) / spot < 0.20) as n
-      where prev_net * net_gex < 0) as f on f.symbol = s.symbol and f.rn = 1""",
+relation(
+    "gex_summary",
+    """select symbol, round(sum(net_gex), 2) as total_gex, max(case when c = 1 then strike end) as call_wall, max(case when p = 1 then strike end) as put_wall, max(case when m = 1 then strike end) as max_gamma,
+      round(max(case when crosses and strike = first_cross then flip end), 4) as gex_flip from gex_points group by symbol""",
 )
-query("gex_profile", "select l.symbol, total_gex, call_wall, put_wall, max_gamma, gex_flip, case when total_gex > 0 then 'positive' else 'negative' end as bias from gex_levels l join gex_flip f on f.symbol = l.symbol")
+query("gex_levels", "select symbol, total_gex, call_wall, put_wall, max_gamma from gex_summary")
+query("gex_flip", "select symbol, gex_flip from gex_summary")
+query("gex_profile", "select *, case when total_gex > 0 then 'positive' else 'negative' end as bias from gex_summary")
+_by = lambda i: "case gex_strategy " + " ".join(f"when '{n}' then {v[i]}" for n, v in GEX_STRATEGIES.items()) + " end"
 relation(
     "gex_choice",
-    """select p.*, o.spot, o.regime_id, o.confs, case when gex_flip is not null and abs(o.spot - gex_flip) / o.spot < 0.02 and regime_id <= 2 then 'gamma_scalp' when bias = 'positive' and regime_id <= 1 then 'pin_play'
-      when bias = 'positive' and regime_id <= 2 then 'controlled_drift' when bias = 'negative' and regime_id <= 1 then 'breakout_ride' when bias = 'negative' and regime_id <= 2 then 'trend_follow' end as gex_strategy
-    from gex_profile p join option_symbols o on o.symbol = p.symbol""",
+    f"""select *, {_by(0)} as min_dte, {_by(1)} as max_dte, round({_by(2)}, 4) as min_strike, round({_by(3)}, 4) as max_strike from (
+      select p.*, o.spot, o.regime_id, o.confs, case when gex_flip is not null and abs(o.spot - gex_flip) / o.spot < 0.02 and regime_id <= 2 then 'gamma_scalp' when bias = 'positive' and regime_id <= 1 then 'pin_play'
+        when bias = 'positive' and regime_id <= 2 then 'controlled_drift' when bias = 'negative' and regime_id <= 1 then 'breakout_ride' when bias = 'negative' and regime_id <= 2 then 'trend_follow' end as gex_strategy
+      from gex_profile p join option_symbols o on o.symbol = p.symbol) as c""",
 )
-_by = lambda i: "case gex_strategy " + " ".join(f"when '{n}' then {v[i]}" for n, v in GEX_STRATEGIES.items()) + " end"
-query("gex_strategy", f"select symbol, regime_id, bias, gex_strategy, {_by(0)} as min_dte, {_by(1)} as max_dte, round({_by(2)}, 4) as min_strike, round({_by(3)}, 4) as max_strike from gex_choice")
+query("gex_strategy", "select symbol, regime_id, bias, gex_strategy, min_dte, max_dte, min_strike, max_strike from gex_choice")
 
 
 def bands(value: str, *steps: tuple[str, int], other: int = 0) -> str:
@@ -74,16 +92,18 @@ SWING_SCORE = " + ".join([
     f"case when bid > 0 and ask > 0 then {bands('spread', ('@ < 3', 15), ('@ < 5', 10), ('@ < 10', 5), other=-5)} else 0 end",
     bands("iv", ("@ between 0.15 and 0.40", 10), ("@ between 0.10 and 0.60", 5), ("@ > 0.80", -10)),
     bands("confs", ("@ >= 10", 15), ("@ >= 7", 10), ("@ >= 6", 5)),
-    "case when mid < 0.03 * spot then 8 when mid < 0.10 * spot then 5 else 0 end",
+    "case when mid < 0.03 * spot then 10 when mid < 0.10 * spot then 5 else 0 end",
     "case when gex_strategy is not null and strike between min_strike and max_strike then 20 else 0 end",
-    "case when gex_strategy = 'pin_play' then case when abs(strike - call_wall) / call_wall < 0.02 then 10 when abs(strike - call_wall) / call_wall < 0.05 then 5 else 0 end when gex_strategy = 'breakout_ride' and strike > spot then 5 when gex_strategy = 'gamma_scalp' and abs(strike - spot) / spot < 0.02 then 10 else 0 end",
-    "case when bias = 'positive' and strike > 1.02 * call_wall then -10 else 0 end",
+    "case when gex_strategy = 'pin_play' and call_wall > 0 then case when abs(strike - call_wall) / spot * 100 < 2 then 10 when abs(strike - call_wall) / spot * 100 < 5 then 5 else 0 end when gex_strategy = 'breakout_ride' and strike > spot then 5 when gex_strategy = 'gamma_scalp' and abs(strike - spot) / spot < 0.02 then 10 else 0 end",
+    "case when gex_strategy is not null and bias = 'positive' and call_wall > 0 and strike > call_wall * 1.02 then -10 else 0 end",
 ])
-relation("swing_input", f"select q.*, c.regime_id, c.confs, c.bias, c.call_wall, c.gex_strategy, s.min_dte, s.max_dte, s.min_strike, s.max_strike, round({_SPREAD}, 6) as spread from (select * from greek_quotes where side = 'call' and dte between 0 and {SCORE_MAX_DTE}) as q join gex_choice c on c.symbol = q.symbol join gex_strategy s on s.symbol = q.symbol")
+relation("swing_input", f"select q.*, c.regime_id, c.confs, c.bias, c.call_wall, c.gex_strategy, c.min_dte, c.max_dte, c.min_strike, c.max_strike, round({_SPREAD}, 6) as spread from (select * from greek_quotes where side = 'call' and dte between 0 and {SCORE_MAX_DTE}) as q join gex_choice c on c.symbol = q.symbol")
 query("option_score", f"select {_CONTRACT}, round(unrounded, 6) + 0 as delta, case when mid <= 0.01 or ask <= 0 then -999 else {SWING_SCORE} end as score from (select symbol, side, strike, dte, bid, ask, oi, volume, iv, mid, spot, delta as unrounded, round(delta, 6) as delta, regime_id, confs, bias, call_wall, gex_strategy, min_dte, max_dte, min_strike, max_strike, spread from swing_input) as q")
 _ORDER = "score desc, dte, strike, bid, ask, oi, volume, iv"
-query("options_topn", f"select * from (select *, row_number() over (partition by symbol order by {_ORDER}) as rank from option_score where score > -999) as r where rank <= {TOP}")
-query("options_regime_join", "select c.symbol, coalesce(o.regime_id, 3) as regime_id, case when o.symbol is null then 'Unknown' else 'Known' end as regime_label, c.n from (select symbol, count(*) as n from chain group by symbol) as c left join (select * from option_symbols where regime_id <= 3) as o on o.symbol = c.symbol")
+query("options_topn", f"select * from (select *, row_number() over (partition by symbol order by {_ORDER}) as rank from option_score) as r where rank <= {TOP} and score > -999")
+# Chains are of brands: each stands for one of the scanned symbols, so that a scan's regime can be looked up; a symbol that no scan has is neutral.
+relation("underlyings", "select b.symbol, u.underlying from (select symbol, 1 + (row_number() over (order by symbol) - 1) % 7 as n from (select distinct symbol from chain) as c) as b left join (select symbol as underlying, row_number() over (order by symbol) as n from (select distinct symbol from bars) as s) as u on u.n = b.n")
+query("options_regime_join", "select c.symbol, c.n, u.underlying, coalesce(s.regime_id, 3) as regime_id, coalesce(s.regime_label, 'Unknown') as regime_label, coalesce(s.confirmations_met, 0) as confirmations_met from (select symbol, count(*) as n from chain group by symbol) as c join underlyings u on u.symbol = c.symbol left join scan_v2 s on s.symbol = u.underlying")
 query("options_for_watchlist", f"select t.symbol, t.strike, t.dte, t.score, t.rank, o.regime_id from options_topn t join option_symbols o on o.symbol = t.symbol where o.regime_id is not null and o.spot > 0 and t.rank <= 3")
 
 _MONEY = "(spot - strike) / spot"
@@ -100,25 +120,44 @@ query("leaps_score", f"select * from (select {_CONTRACT}, case when mid <= 0.05
 query("leaps_topn", f"select *, count(*) over (partition by symbol) as shown from (select *, row_number() over (partition by symbol order by {_ORDER}) as rank, count(*) over (partition by symbol) as total_evaluated from leaps_score) as r where rank <= {TOP}")
 
 # Sizing and rolls
-query("contract_sizing", "select symbol, strike, dte, rank, case when bid + ask > 0 then greatest(1, cast(floor(10000 * 0.10 / ((bid + ask) / 2 * 100)) as int)) else 0 end as contracts, round(case when bid + ask > 0 then greatest(1, floor(10000 * 0.10 / ((bid + ask) / 2 * 100))) * (bid + ask) / 2 * 100 else 0 end, 4) as total_cost from options_topn")
-query(
-    "position_size",
-    """select symbol, tier, risk_dollars, greatest(1, cast(floor(risk_dollars / case when atr > 0 then 2 * atr else close * 0.05 end) as int)) as shares from (
-      select symbol, close, atr, tier, cast(10000 * case tier when 'FULL' then 1.0 when 'HIGH' then 0.75 when 'MED' then 0.5 else 0.25 end as double) as risk_dollars from (
-        select s.symbol, s.close, round(i.atr14, 6) as atr, case when s.regime_confidence > 0.80 and s.confs / 12.0 >= 0.83 then 'FULL' when s.regime_confidence > 0.70 and s.confs / 12.0 >= 0.67 then 'HIGH' when s.regime_confidence > 0.60 and s.confs / 12.0 >= 0.50 then 'MED' else 'MIN' end as tier
-        from signal_v2 s join ind i on i.symbol = s.symbol and i.bar_ts = s.bar_ts) as t) as r""",
-)
+# A share of the capital buys at least one contract; without a middle price none (LEAPS: nothing is said of it).
+CAPITAL, RISK = 10_000, 0.10
+_CONTRACTS = f"case when bid + ask > 0 then greatest(1, cast(floor({CAPITAL} * {RISK} / ((bid + ask) / 2 * 100)) as int)) end"
+
+
+def sizing_sql(source: str, columns: str, without: str) -> str:
+    return f"select {columns}, coalesce(n, {without}) as contracts, coalesce(round(n * (bid + ask) / 2 * 100, 4), {without}) as total_cost, coalesce(round(n * (bid + ask) / 2 * 100 / {CAPITAL} * 100, 4), {without}) as pct_of_capital from (select *, {_CONTRACTS} as n from {source}) as s"
+
+
+query("contract_sizing", sizing_sql("options_topn", "symbol, strike, dte, rank", "0"))
+query("leaps_sizing", sizing_sql("leaps_topn", "symbol, strike, dte, rank", "null"))
 relation("positions", "select symbol, bar_ts, close as price, close_10 as entry, round(atr14, 6) as atr, cast(row_number() over (partition by symbol order by bar_ts) % 45 as int) as dte from conf_input where close_10 is not null and atr14 is not null")
 query("roll_trigger", "select symbol, bar_ts, case when dte <= 7 then 'roll_out' when round(price - entry - atr, 6) >= 0 then 'roll_up' end as action from positions")
 query("roll_simulate", "select symbol, bar_ts, ups + outs as roll_count, cast(round(ups * 0.5 + outs * 0.3, 4) as double) as total_credit_pct from (select *, case when dte <= 7 and ups < 3 then 1 else 0 end as outs from (select *, case when price > entry and atr > 0 then least(3, cast(floor(round((price - entry) / atr, 6)) as int)) else 0 end as ups from positions) as u) as o")
-relation("current_contracts", "select symbol, strike, dte, bid from (select symbol, strike, dte, bid, row_number() over (partition by symbol order by bid desc, dte, strike) as rn from quotes where side = 'call' and dte between 20 and 40) as c where rn = 1")
+# Open option positions: the calls of orders that are still open, one a line item.
+relation(
+    "option_positions",
+    """select l_orderkey as position_id, l_linenumber as leg, p_brand as symbol, cast(60 + p_partkey % 81 as double) as strike, cast((l_orderkey * 13 + l_linenumber) % 731 as int) as dte, round(cast(p_partkey % 500 as double) / 50 + 0.05, 2) as bid
+    from lineitem join part on l_partkey = p_partkey join orders on o_orderkey = l_orderkey where o_orderstatus = 'O' and l_linestatus = 'O'""",
+)
+# The next later expiry than each one that is held: expiries and those held in one order by symbol, the smallest larger carried back.
+relation(
+    "next_expiries",
+    """select symbol, dte, next_dte from (
+      select symbol, dte, held, min(case when listed then dte end) over (partition by symbol order by dte range between 1 following and unbounded following) as next_dte
+      from (select symbol, dte, bool_or(held) as held, bool_or(listed) as listed from (
+        select symbol, dte, true as held, false as listed from option_positions union all select symbol, dte, false as held, true as listed from quotes where side = 'call') as u group by symbol, dte) as d) as n where held""",
+)
+relation("roll_quotes", "select symbol, side, strike, spot, dte, ask, sigma, cast(greatest(dte, 1) as double) / 365 as t from quotes where side = 'call'")
+relation("roll_greeks", f"select * from {greeks('roll_quotes')} as g", greeks_once("roll_quotes"))
+relation("roll_candidates", "select distinct symbol, dte, strike, ask, round(delta, 3) as delta from roll_greeks where round(delta, 9) between 0.70 and 0.80")
 query(
     "roll_target",
-    """select symbol, roll_type, strike, dte, delta, credit from (
-      select *, row_number() over (partition by symbol, roll_type order by credit desc, abs(delta - 0.75), strike, dte) as rn from (
-        select distinct c.symbol, case when q.dte = c.dte then 'same_expiry' else 'next_expiry' end as roll_type, q.strike, q.dte, round(q.delta, 4) as delta, round(c.bid - q.ask, 4) as credit
-        from current_contracts c join (select *, min(case when dte > 40 then dte end) over (partition by symbol) as next_dte from greek_quotes where side = 'call') as q on q.symbol = c.symbol
-        where (q.dte = c.dte or q.dte = q.next_dte) and q.delta between 0.70 and 0.80 and c.bid - q.ask > 0) as t) as r where rn = 1""",
+    """select position_id, leg, symbol, roll_type, strike, dte, delta, credit from (
+      select *, row_number() over (partition by position_id, leg, roll_type order by credit desc, abs(delta - 0.75), strike, ask) as rn from (
+        select p.position_id, p.leg, p.symbol, p.roll_type, c.strike, c.dte, c.delta, c.ask, round(p.bid - c.ask, 2) as credit
+        from (select p.*, 'roll_up' as roll_type, dte as target from option_positions p union all select p.*, 'roll_out' as roll_type, n.next_dte as target from option_positions p join next_expiries n on n.symbol = p.symbol and n.dte = p.dte) as p
+        join roll_candidates c on c.symbol = p.symbol and c.dte = p.target where p.bid - c.ask > 0) as t) as r where rn = 1""",
 )
 query(
     "position_sizing",
@@ -130,10 +169,7 @@ query(
           from signal_v2 s join ind i on i.symbol = s.symbol and i.bar_ts = s.bar_ts) as t) as m) as r""",
 )
 relation("steps", "select step from (values " + ", ".join(f"({i})" for i in range(LADDER_STEPS)) + ") as v(step)")
-query("ladder_schedule", "select symbol, strike, dte, rank, cast(step as int) as step, round(least(bid + (step + 1) * 0.05, ask), 4) as buy_limit, round(greatest(ask - step * 0.05, bid), 4) as sell_limit from options_topn cross join steps where rank = 1")
-# The other ladder: from the middle, in wider steps, fewer of them.
-query("ladder_from_mid", "select symbol, strike, dte, rank, cast(step as int) as step, round(least((bid + ask) / 2 + step * 0.10, ask), 4) as buy_limit, round(greatest((bid + ask) / 2 - step * 0.10, bid), 4) as sell_limit from options_topn cross join steps where rank = 1 and step < 15")
-
-# Plans of many layers: what others build on is written once.
-for _name in ("gex_strikes", "gex_profile", "gex_strategy", "swing_input", "option_score", "leaps_score", "options_topn"):
-    RELATIONS[_name] = replace(RELATIONS[_name], stored=True)
+# Prices of the attempts, whatever the other side quotes: options from the bid + a step and from the ask; shares from a step inside on either side, the sale never below a cent.
+query("ladder_schedule", "select symbol, strike, dte, rank, cast(step as int) as step, round(bid + (step + 1) * 0.05, 2) as buy_limit, round(ask - step * 0.05, 2) as sell_limit from options_topn cross join steps where rank = 1")
+relation("share_quotes", "select symbol, round(close * 0.999, 2) as bid, round(close * 1.001, 2) as ask from latest_bar")
+query("ladder_shares", "select symbol, cast(step as int) as step, round(bid + (step + 1) * 0.10, 2) as buy_limit, case when round(ask - (step + 1) * 0.10, 2) <= 0 then 0.01 else round(ask - (step + 1) * 0.10, 2) end as sell_limit from share_quotes cross join steps where step < 15")

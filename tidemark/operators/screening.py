@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidemark.operators.strategies import DEFAULTS
+from tidemark.operators.windows import frame
 from tidemark.plans.catalog import query, relation
 
 # Fixed values.
@@ -22,7 +23,7 @@ _priority = "case signal " + " ".join(f"when '{s}' then {p}" for s, p in SIGNAL_
 relation(
     "last_stats",
     """select * from (select symbol, bar_ts, close, count(*) over (partition by symbol) as n_bars, avg(cast(volume as double)) over (partition by symbol order by bar_ts rows between 29 preceding and current row) as vol_30,
-      lag(close) over (partition by symbol order by bar_ts) as close_1, lag(close, 4) over (partition by symbol order by bar_ts) as close_4, lag(close, 19) over (partition by symbol order by bar_ts) as close_19,
+      lag(close) over (partition by symbol order by bar_ts) as close_1, lag(close, 5) over (partition by symbol order by bar_ts) as close_5, lag(close, 20) over (partition by symbol order by bar_ts) as close_20,
       row_number() over (partition by symbol order by bar_ts desc) as back from bars) as l where back = 1""",
 )
 query(
@@ -33,11 +34,11 @@ query(
       join hist_vol h on h.symbol = b.symbol and h.bar_ts = b.bar_ts) as l where back <= 5 and momentum > 0 and volume > vol_20""",
 )
 query("prescreen", "select symbol, close, round(vol_30, 2) as avg_volume_30, n_bars from last_stats where close >= 1.0 and vol_30 >= 500000 and n_bars >= 100")
-query("scan_change_stats", "select symbol, round((close / close_1 - 1) * 100, 4) as change_1, round((close / close_4 - 1) * 100, 4) as change_5, round((close / close_19 - 1) * 100, 4) as change_20, round(vol_30, 2) as avg_volume_30 from last_stats")
+query("scan_change_stats", "select symbol, round((close / close_1 - 1) * 100, 4) as change_1, round((close / close_5 - 1) * 100, 4) as change_5, round((close / close_20 - 1) * 100, 4) as change_20, round(vol_30, 2) as avg_volume_30 from last_stats")
 # Sector, industry and options of a symbol: from nations, as the test tables have no tickers.
 relation("ticker_info", "select n_name as symbol, n_name as name, case when n_nationkey % 6 = 0 then 'Healthcare' when n_nationkey % 7 = 0 then null else 'Technology' end as sector, case when n_nationkey % 5 = 0 then 'Specialty Pharma' when n_nationkey % 4 = 0 then null else 'Software' end as industry, case when n_nationkey % 3 = 0 then null else n_nationkey % 2 = 0 end as has_options from nation")
 query("sector_exclusion", f"select symbol, sector, industry from ticker_info where coalesce(sector, '') not in ({_quoted(EXCLUDED_SECTORS)}) and not ({' or '.join(f'''coalesce(lower(industry), '') like '%{k}%' ''' for k in EXCLUDED_INDUSTRIES)})")
-query("ticker_info_join", "select b.symbol, b.bars, coalesce(t.has_options, true) as has_options, coalesce(t.sector, 'Unknown') as sector from (select n.n_name as symbol, count(*) as bars from bars_nation b join nation n on n.n_nationkey = b.symbol group by n.n_name) as b left join ticker_info t on t.symbol = b.symbol and length(t.symbol) <= 9")
+query("ticker_info_join", "select b.symbol, b.bars, coalesce(t.has_options, true) as has_options, coalesce(t.sector, 'Unknown') as sector from (select n.n_name as symbol, count(*) as bars from bars_nation b join nation n on n.n_nationkey = b.symbol group by n.n_name) as b left join ticker_info t on t.symbol = b.symbol")
 
 for _name in DEFAULTS:
     query(
@@ -60,14 +61,32 @@ query("confirmation_rates", "select name, round(100.0 * cast(passed as double) /
 relation("raw_results", "select symbol, signal, price as _price, confirmations_met as _confirmations, price, confirmations_met from scan_v1")
 query("results_pruned", "select symbol, signal, price, confirmations_met from raw_results", lambda use: pruned(use("raw_results").withColumns(_boxes())))
 query("results_projection", "select symbol, signal, regime_label, regime_confidence, confirmations_met, price, change_1d, avg_volume_30 from scan_v2")
-query("scheduled_hits", "select s.symbol, s.confirmations_met, row_number() over (order by s.confirmations_met desc, s.symbol) as rank from scan_v1 s left join ticker_info t on t.symbol = s.symbol where s.regime_label = 'Bull Run' and s.regime_confidence >= 0.80 and s.confirmations_met >= 6 and coalesce(t.has_options, true)")
-query("screen_filters", "select s.symbol, s.signal, s.price from scan_v2 s join (select *, row_number() over (partition by symbol order by bar_ts desc) as back from ind) as i on i.symbol = s.symbol where i.back = 1 and s.regime_confidence >= 0.5 and s.price between 1 and 1000 and s.avg_volume_30 >= 500000 and (i.ema10 > i.ema20 or i.close > i.ema50)")
-query("scan_errors", "select n_name as symbol, 'Insufficient history' as error from nation where n_nationkey not in (select symbol from bars_nation group by symbol having count(*) >= 100)")
+# A scheduled run looks at each day's last bars: the same filter for every run of the history.
+query("scheduled_hits", "select r.bar_ts, r.symbol, c.confirmations_met, row_number() over (partition by r.bar_ts order by c.confirmations_met desc, r.symbol) as rank from regimes r join conf_v1 c on c.symbol = r.symbol and c.bar_ts = r.bar_ts left join ticker_info t on t.symbol = r.symbol where r.regime_label = 'Bull Run' and r.regime_confidence >= 0.80 and c.confirmations_met >= 6 and coalesce(t.has_options, true)")
+
+
+def filter_sql(source: str, signal: str | None = None, regime: str | None = None, confidence: float = 0, min_price: float = 0, max_price: float = 0, min_volume: float = 0, ema10_above_20: bool = False, above_ema50: bool = False) -> str:
+    """Every filter that is switched on must hold; what is null counts as 0, or as not so."""
+    tests = [
+        signal and f"coalesce(signal, '') = '{signal}'", regime and f"coalesce(regime_label, '') = '{regime}'", confidence > 0 and f"coalesce(regime_confidence, 0) >= {confidence}",
+        min_price > 0 and f"coalesce(price, 0) >= {min_price}", max_price > 0 and f"coalesce(price, 0) <= {max_price}", min_volume > 0 and f"coalesce(avg_volume_30, 0) >= {min_volume}",
+        ema10_above_20 and "coalesce(ema10 > ema20, false)", above_ema50 and "coalesce(price > ema50, false)",
+    ]
+    return f"select * from {source} where {' and '.join(t for t in tests if t) or 'true'}"
+
+
+relation("last_emas", "select symbol, ema10, ema20, ema50 from (select symbol, ema10, ema20, ema50, row_number() over (partition by symbol order by bar_ts desc) as back from ind) as i where back = 1")
+relation("screen_rows", "select s.strategy, s.symbol, s.signal, s.regime_label, s.regime_confidence, s.price, s.avg_volume_30, round(e.ema10, 6) as ema10, round(e.ema20, 6) as ema20, round(e.ema50, 6) as ema50 from scans s left join last_emas e on e.symbol = s.symbol")
+query("screen_filters", filter_sql("screen_rows", confidence=0.5, min_price=1, max_price=1000, min_volume=500_000, above_ema50=True))
+query("screen_filters_trend", filter_sql("screen_rows", ema10_above_20=True, above_ema50=True))
+query("screen_filters_signal", filter_sql("screen_rows", signal="CASH -- NEUTRAL", confidence=0.5))
+# Symbols that a scan can't judge: no bars, or too few.
+query("scan_errors", "select u.symbol, case when b.n is null then 'No data' else 'Insufficient history' end as error from (select symbol from universe_tradeable union select symbol from bars) as u left join (select symbol, count(*) as n from bars group by symbol) as b on b.symbol = u.symbol where coalesce(b.n, 0) < 100")
 query("ranked_hits", "select symbol, confirmations_met, row_number() over (order by confirmations_met desc, symbol) as rank from scan_v2")
 query("report_top25", "select rank, symbol, confirmations_met, case when rank = 25 then greatest(total - 25, 0) end as more from (select r.*, count(*) over () as total from (select symbol, confirmations_met, row_number() over (order by confirmations_met desc, symbol) as rank from scan_v1) as r) as t where rank <= 25")
 query("ticker_csv", "select strategy, string_agg(symbol, ', ' order by symbol) as tickers from scans group by strategy", lambda use: use("scans").groupBy("strategy").agg(_csv()))
 query("regime_heatmap", "select symbol, " + ", ".join(f"count_if(regime_id = {i}) as regime_{i}" for i in range(7)) + " from regimes group by symbol")
-query("regime_stats", "select symbol, regime_id, round(avg(ret), 6) as mean_return, round(stddev_samp(ret), 6) as volatility, round(avg(rng), 6) as mean_range, count(*) as n, round(100.0 * cast(count(*) as double) / max(total), 6) as pct_of_total from (select symbol, regime_id, ln(close / lag(close) over (partition by symbol order by bar_ts)) as ret, (high - low) / close as rng, count(*) over (partition by symbol) as total from regimes) as r group by symbol, regime_id")
+query("regime_stats", f"select symbol, regime_id, round(avg(ret), 6) as mean_return, round(stddev_samp(ret), 6) as volatility, round(avg(rng), 6) as mean_range, round(avg(vol), 6) as mean_volume_change, count(*) as n, round(100.0 * cast(count(*) as double) / max(total), 6) as pct_of_total from (select symbol, regime_id, ln(close / lag(close) over (partition by symbol order by bar_ts)) as ret, (high - low) / close as rng, ln((cast(volume as double) + 1) / (avg(cast(volume as double)) {frame(20)} + 1)) as vol, count(*) over (partition by symbol) as total from regimes) as r group by symbol, regime_id")
 query("regime_rank", "select symbol, regime_id, row_number() over (partition by symbol order by coalesce(mean_return, 0) desc, regime_id) - 1 as rank from regime_stats")
 query("transition_empirical", "select symbol, from_id, to_id, round(cast(n as double) / sum(n) over (partition by symbol, from_id), 6) as prob from (select symbol, regime_id as from_id, next_id as to_id, count(*) as n from (select symbol, regime_id, lead(regime_id) over (partition by symbol order by bar_ts) as next_id from regimes) as t where next_id is not null group by symbol, regime_id, next_id) as c")
 query("index_snapshot", "select bar_ts, round(close, 4) as level, round(close - prev, 4) as change, round((close / prev - 1) * 100, 4) as change_pct from (select *, lag(close) over (order by bar_ts) as prev, row_number() over (order by bar_ts desc) as back from index_bars) as i where back = 1")
@@ -81,7 +100,19 @@ query("pm_confirmed", "select s.strategy, s.symbol, a.symbol is not null as conf
 query("pm_confirmed_intersect", "select symbol from scans intersect select symbol from snapshot_same_day")
 relation("scan_prev", "select symbol, cast((regime_id + case when symbol in ('BUILDING', 'FURNITURE') then 3 else 0 end) % 7 as int) as regime_id from scan_v1 where symbol <> 'AUTOMOBILE'")
 query("regime_changes", "select c.symbol, p.regime_id as prev_regime_id, c.regime_id, c.price from scan_v1 c join scan_prev p on p.symbol = c.symbol where p.regime_id <> c.regime_id")
-query("alert_filter", "select c.symbol, c.regime_id, s.confirmations_met from regime_changes c join scan_v1 s on s.symbol = c.symbol where s.confirmations_met >= 3 and (c.regime_id <= 2 or c.regime_id >= 4)")
+
+
+def alert_sql(source: str, min_confirmations: int = 6, bull_entry: bool = True, bear_entry: bool = True, any_change: bool = True) -> str:
+    """Changes with enough confirmations that one of the switched-on kinds covers."""
+    kinds = [k for k, on in (("regime_id <= 2", bull_entry), ("regime_id >= 4", bear_entry), ("true", any_change)) if on]
+    return f"select * from {source} where confirmations_met >= {min_confirmations} and ({' or '.join(kinds) or 'false'})"
+
+
+# Changes from one run to the next, for every run of the history.
+relation("run_changes", "select c.symbol, c.bar_ts, c.prev_regime_id, c.regime_id, f.confirmations_met from (select symbol, bar_ts, regime_id, lag(regime_id) over (partition by symbol order by bar_ts) as prev_regime_id from regimes) as c join conf_v1 f on f.symbol = c.symbol and f.bar_ts = c.bar_ts where c.prev_regime_id <> c.regime_id")
+query("alert_filter", alert_sql("run_changes"))
+query("alert_filter_entries", alert_sql("run_changes", any_change=False))
+query("alert_filter_bull", alert_sql("run_changes", min_confirmations=3, bear_entry=False, any_change=False))
 relation("watchlist_rows", " union all ".join(f"select '{n}' as name, '{s}' as symbol" for n, members in WATCHLISTS.items() for s in members))
 query("watchlist_members", "select w.name, w.symbol, b.bars from watchlist_rows w join (select symbol, count(*) as bars from bars group by symbol) as b on b.symbol = w.symbol")
 query("universe_union", "select symbol from watchlist_rows union select symbol from bars")
