@@ -82,12 +82,12 @@ def test_v2_rolls_exits_and_gates():
     got, _ = signals(flat, flat, bar(101), bar(102), bar(103), bar(104), bar(105), bar(106), bar(107), bar(108), bar(109), bar(110))
     assert got == ["CASH", "ENTRY", "HOLDING", "ROLL_UP", "HOLDING", "ROLL_UP", "HOLDING", "ROLL_UP", "HOLDING", "HOLDING", "HOLDING", "HOLDING"]
     got, trades = signals(flat, flat, flat, flat, bar(97.9), flat, flat, flat, flat)
-    assert got[4:] == ["EXIT", "COOLDOWN", "COOLDOWN", "COOLDOWN", "ENTRY"] and trades[0]["reason"] == "ATR trail stop" and trades[0]["bars_held"] == 3
+    assert got[4:] == ["EXIT", "COOLDOWN", "COOLDOWN", "COOLDOWN", "ENTRY"] and trades[0]["reason"] == "ATR trail stop (peak $100.00)" and trades[0]["bars_held"] == 3
     assert signals(flat, flat, bar(100, 5))[1][0]["reason"] == "Regime flip - R5"
     assert signals(flat, flat, bar(100, 3))[1][0]["reason"] == "Regime neutral - R3" and signals(flat, flat, bar(100, 3, 0.6))[1] == []
-    assert signals(flat, flat, bar(109, rsi=76, atr=None))[1][0]["reason"] == "RSI exit"
+    assert signals(flat, flat, bar(109, rsi=76, atr=None))[1][0]["reason"] == "RSI exit (76, +9.0%)"
     got, trades = signals(flat, flat, *[flat] * 18)
-    assert got[16:20] == ["ROLL_OUT", "ROLL_OUT", "ROLL_OUT", "EXIT"] and trades[0]["reason"] == "Time stop, can't roll" and trades[0]["credits"] == pytest.approx(0.9) and trades[0]["pnl"] == 0
+    assert got[16:20] == ["ROLL_OUT", "ROLL_OUT", "ROLL_OUT", "EXIT"] and trades[0]["reason"] == "Time stop, can't roll (18 bars, +0.0%)" and trades[0]["credits"] == pytest.approx(0.9) and trades[0]["pnl"] == 0
 
 
 def test_no_trade_gives_zeros(spark):
@@ -118,12 +118,13 @@ def test_journal_appends(spark, tmp_path):
     folder = f"file://{tmp_path}"
     entry = spark.sql("select 1L as trade_id, 'A' as symbol, 'C1' as contract, 2 as quantity, 10D as entry_price, timestamp_ntz'2024-01-01' as entry_ts, 0 as regime_id, 'F' as order_status")
     append_events(entry, folder, "entries")
+    append_events(entry.union(entry), folder, "entries")  # again, and twice: it is there already
     append_events(entry.withColumn("trade_id", F.lit(2).cast("long")), folder, "entries")
     append_events(spark.sql("select 1L as trade_id, 12D as exit_price, timestamp_ntz'2024-01-05' as exit_ts"), folder, "exits")
     append_events(spark.sql("select 1L as trade_id, 1 as roll_no, 'C1' as from_contract, 'C2' as to_contract, 0.5D as credit, timestamp_ntz'2024-01-03' as roll_ts"), folder, "rolls")
     own = journal_relations(spark, folder)
     (closed,) = registry.run(spark, "trade_pnl", **own).collect()
-    assert (closed.pnl, closed.contract) == (2 * 100 * 2 + 0.5 * 100 * 2, "C2")
+    assert (closed.pnl, closed.contract) == (2 * 100 * 2 + 0.5, "C2")
     assert [r.trade_id for r in registry.run(spark, "open_positions", **own).collect()] == [2]
     with pytest.raises(ValueError):
         append_events(entry, folder, "wishes")

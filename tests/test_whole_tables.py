@@ -40,7 +40,10 @@ def test_greeks_scan_and_score_take_every_expiry(spark):
     assert sorted(r.dte for r in registry.run(spark, "option_score", chain=chain).collect()) == [d for d in dtes if d <= 365]
 
 
-def test_ladder_has_fifty_steps(spark):
-    top = spark.createDataFrame([("A", 100.0, 30, 1, 1.0, 3.6), ("A", 101.0, 30, 2, 1.0, 3.6)], "symbol string, strike double, dte int, rank int, bid double, ask double")
+def test_ladders_go_on_whatever_the_other_side_quotes(spark):
+    top = spark.createDataFrame([("A", 100.0, 30, 1, 1.0, 1.2), ("A", 101.0, 30, 2, 1.0, 3.6)], "symbol string, strike double, dte int, rank int, bid double, ask double")
     got = {r.step: (r.buy_limit, r.sell_limit) for r in registry.run(spark, "ladder_schedule", options_topn=top).collect()}
-    assert got == {i: (pytest.approx(1.0 + 0.05 * (i + 1)), pytest.approx(3.6 - 0.05 * i)) for i in range(50)}
+    assert got == {i: (pytest.approx(1.0 + 0.05 * (i + 1)), pytest.approx(1.2 - 0.05 * i)) for i in range(50)}
+    quotes = spark.createDataFrame([("A", 5.0, 1.0)], "symbol string, bid double, ask double")
+    got = {r.step: (r.buy_limit, r.sell_limit) for r in registry.run(spark, "ladder_shares", share_quotes=quotes).collect()}
+    assert got == {i: (pytest.approx(5.1 + 0.1 * i), pytest.approx(max(0.9 - 0.1 * i, 0.01))) for i in range(15)}

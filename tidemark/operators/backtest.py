@@ -20,7 +20,7 @@ BULL, BEAR = (0, 1, 2), (5, 6)
 class V1:
     """Parameters of the V1 replay; ``trail`` is the share of the equity's peak below which a position is closed."""
 
-    capital: float = 10000.0
+    capital: float = 100000.0
     confirmations: int = 5
     cooldown: int = 3
     confirm_bars: int = 2
@@ -55,7 +55,7 @@ class V2:
 MODES = {"v1": V1(), "v1_aggressive": V1(leverage=4.0, trail=0.92), "v2": V2()}
 
 #: What either replay says of a bar; the fields from entry_ts on are those of the trade that ends there.
-TRADE = "entry_ts timestamp_ntz, entry_price double, entry_regime string, entry_confs int, bars_held int, peak double, rolls int, credits double, pnl double, reason string"
+TRADE = "entry_ts timestamp_ntz, entry_price double, entry_regime string, entry_confs int, bars_held int, peak double, rolls int, credits double, pnl double, exit_regime string, reason string"
 MADE = f"capital double, signal string, {TRADE}"
 TRADE_COLUMNS = tuple(f.split()[0] for f in TRADE.split(", "))
 NO_TRADE = (None,) * len(TRADE_COLUMNS)
@@ -74,18 +74,18 @@ class Trade:
     credits: float = 0.0
     last_roll: int = 0
 
-    def ended(self, bar: int, pnl: float, reason: str) -> tuple:
-        return (self.ts, self.price, self.regime, self.confs, bar - self.bar, self.peak, self.rolls, self.credits, pnl, reason)
+    def ended(self, bar: int, pnl: float, regime: str, reason: str) -> tuple:
+        return (self.ts, self.price, self.regime, self.confs, bar - self.bar, self.peak, self.rolls, self.credits, pnl, regime, reason)
 
 
 def v1_step(p: V1) -> Step:
-    capital, top, last, n, cooldown = p.capital, p.capital, 0.0, 0, 0
+    capital, top, last, where, n, cooldown = p.capital, p.capital, 0.0, "", 0, 0
     trade: Trade | None = None
 
     def step(row: tuple) -> tuple:
-        nonlocal capital, top, last, n, cooldown, trade
+        nonlocal capital, top, last, where, n, cooldown, trade
         ts, close, regime, label, confidence, streak, confs = row
-        n, previous, last = n + 1, last, close
+        n, previous, last, where = n + 1, last, close, label
         if n == 1:
             return (capital, "CASH", *NO_TRADE)
         bull = regime in BULL
@@ -95,26 +95,27 @@ def v1_step(p: V1) -> Step:
             stop = p.trail is not None and capital < top * p.trail
             top = max(top, capital)
             if regime in BEAR or (not bull and confidence > 0.6) or stop:
-                reason = "Trailing stop" if stop else "Regime flip" if regime in BEAR else "Regime neutral"
-                done = trade.ended(n, (close / trade.price - 1) * 100 * p.leverage, reason)
+                fall = f"Trailing stop (-{100 - 100 * p.trail:.0f}% from peak)" if stop else ""
+                reason = fall or (f"Regime flip - {label}" if regime in BEAR else f"Regime neutral - {label} (conf {confidence:.0%})")
+                done = trade.ended(n, (close / trade.price - 1) * 100 * p.leverage, label, reason)
                 trade, cooldown = None, p.cooldown
                 return (capital, "EXIT", *done)
             return (capital, "HOLDING", *NO_TRADE)
         if cooldown > 0:
             cooldown -= 1
             return (capital, "COOLDOWN", *NO_TRADE)
+        if bull and streak < p.confirm_bars:
+            return (capital, "CONFIRMING", *NO_TRADE)
         if bull and confs >= p.confirmations and confidence > 0.5:
-            if streak < p.confirm_bars:
-                return (capital, "CONFIRMING", *NO_TRADE)
             trade = Trade(n, ts, close, label, confs, close, close)
             return (capital, "ENTRY", *NO_TRADE)
         return (capital, "CASH", *NO_TRADE)
 
-    return _with_open(step, lambda: trade and trade.ended(n, (last / trade.price - 1) * 100 * p.leverage, "End of backtest"))
+    return _with_open(step, lambda: trade and trade.ended(n, (last / trade.price - 1) * 100 * p.leverage, where, "End of backtest"))
 
 
 def v2_step(p: V2) -> Step:
-    capital, last, n, cooldown = p.capital, 0.0, 0, 0
+    capital, last, where, n, cooldown = p.capital, 0.0, "", 0, 0
     trade: Trade | None = None
 
     def rolled(credit: float) -> None:
@@ -128,11 +129,11 @@ def v2_step(p: V2) -> Step:
         if regime in BEAR:
             return f"Regime flip - {label}"
         if atr > 0 and held >= p.trail_bars and close < trade.peak - p.trail_atrs * atr:
-            return "ATR trail stop"
+            return f"ATR trail stop (peak ${trade.peak:.2f})"
         if held >= p.time_stop and gain <= 0:
-            return "" if regime in BULL and trade.rolls < p.most_rolls else "Time stop, can't roll"
+            return "" if regime in BULL and trade.rolls < p.most_rolls else f"Time stop, can't roll ({held} bars, {gain:+.1f}%)"
         if rsi > p.rsi_exit and gain > p.rsi_gain:
-            return "RSI exit"
+            return f"RSI exit ({rsi:.0f}, +{gain:.1f}%)"
         return f"Regime neutral - {label}" if regime not in BULL and confidence > 0.6 else None
 
     def entry(ts, close: float, regime: int, label: str, confidence: float, streak: int, confs: int, index: float, rank: float) -> str:
@@ -150,10 +151,10 @@ def v2_step(p: V2) -> Step:
         return "CASH"
 
     def step(row: tuple) -> tuple:
-        nonlocal capital, last, n, cooldown, trade
+        nonlocal capital, last, where, n, cooldown, trade
         ts, close, regime, label, confidence, streak, confs, atr, rsi, rank, index = row
         atr, rsi, rank, index = (d if v is None else v for v, d in ((atr, 0.0), (rsi, 50.0), (rank, 0.5), (index, 20.0)))
-        n, previous, last = n + 1, last, close
+        n, previous, last, where = n + 1, last, close, label
         if n == 1:
             return (capital, "CASH", *NO_TRADE)
         if trade:
@@ -170,7 +171,7 @@ def v2_step(p: V2) -> Step:
                 rolled(p.credit_out)
                 return (capital, "ROLL_OUT", *NO_TRADE)
             if reason:
-                done = trade.ended(n, gain, reason)
+                done = trade.ended(n, gain, label, reason)
                 trade, cooldown = None, p.cooldown
                 return (capital, "EXIT", *done)
             return (capital, "HOLDING", *NO_TRADE)
@@ -179,7 +180,7 @@ def v2_step(p: V2) -> Step:
             return (capital, "COOLDOWN", *NO_TRADE)
         return (capital, entry(ts, close, regime, label, confidence, streak, confs, index, rank), *NO_TRADE)
 
-    return _with_open(step, lambda: trade and trade.ended(n, (last - trade.price) / trade.price * 100, "End of backtest"))
+    return _with_open(step, lambda: trade and trade.ended(n, (last - trade.price) / trade.price * 100, where, "End of backtest"))
 
 
 def _with_open(step: Step, standing) -> Step:
@@ -220,19 +221,19 @@ def _layers(source: str, *layers: dict[str, str]) -> str:
 
 def _walk(source: str, capital: float, layers: list[dict[str, str]], after: dict[str, str], ended: dict[str, str], open_pnl: str) -> str:
     """A recursive query; ``after``: the state after a bar, by s_ (state before), bar columns and layers; ``ended``: trade columns where a trade ends."""
-    state = {"p_close": "close", "capital": f"cast({capital} as double)", "pos": "false", "cooldown": "0", "entry_n": "0", "entry_ts": "bar_ts", "entry_price": "cast(0 as double)", "entry_regime": "''", "entry_confs": "0", "peak": "cast(0 as double)", "rolls": "0", "credits": "cast(0 as double)", "last_roll": "0", "effective": "cast(0 as double)", "top": f"cast({capital} as double)"}
+    state = {"p_close": "close", "p_label": "regime_label", "capital": f"cast({capital} as double)", "pos": "false", "cooldown": "0", "entry_n": "0", "entry_ts": "bar_ts", "entry_price": "cast(0 as double)", "entry_regime": "''", "entry_confs": "0", "peak": "cast(0 as double)", "rolls": "0", "credits": "cast(0 as double)", "last_roll": "0", "effective": "cast(0 as double)", "top": f"cast({capital} as double)"}
     bars = f"(select *, row_number() over (partition by symbol order by bar_ts) as n from {source})"
     before = ", ".join(f"s.{c} as s_{c}" for c in state)
     joined = f"(select b.*, {before} from walk s join {bars} as b on b.symbol = s.symbol and b.n = s.n + 1)"
-    nothing = {"signal": "'CASH'", **{f"done_{c}": f"cast(null as {'timestamp' if c == 'entry_ts' else 'varchar' if c in ('entry_regime', 'reason') else 'int' if c in ('entry_confs', 'bars_held', 'rolls') else 'double'})" for c in TRADE_COLUMNS}}
+    nothing = {"signal": "'CASH'", **{f"done_{c}": f"cast(null as {'timestamp' if c == 'entry_ts' else 'varchar' if c in ('entry_regime', 'exit_regime', 'reason') else 'int' if c in ('entry_confs', 'bars_held', 'rolls') else 'double'})" for c in TRADE_COLUMNS}}
     every = {"symbol": "symbol", "bar_ts": "bar_ts", "n": "n"}
-    of_trade = {"entry_ts": "s_entry_ts", "entry_price": "s_entry_price", "entry_regime": "s_entry_regime", "entry_confs": "s_entry_confs", "bars_held": "cast(n - s_entry_n as int)", "peak": "now_peak", "rolls": "s_rolls", "credits": "s_credits", **ended}
+    of_trade = {"entry_ts": "s_entry_ts", "entry_price": "s_entry_price", "entry_regime": "s_entry_regime", "entry_confs": "s_entry_confs", "bars_held": "cast(n - s_entry_n as int)", "peak": "now_peak", "rolls": "s_rolls", "credits": "s_credits", "exit_regime": "regime_label", **ended}
     names = [*every, *state, *nothing]
     first = {**every, **state, **nothing}
-    then = {**every, "p_close": "close", **{c: f"s_{c}" for c in state if c != "p_close"}, **after, **{f"done_{c}": f"case when leaves then {t} end" for c, t in of_trade.items()}}
+    then = {**every, "p_close": "close", "p_label": "regime_label", **{c: f"s_{c}" for c in state if c not in ("p_close", "p_label")}, **after, **{f"done_{c}": f"case when leaves then {t} end" for c, t in of_trade.items()}}
     listed = lambda texts: ", ".join(f"{texts[n]} as {n}" for n in names)
     done = ", ".join(f"done_{c} as {c}" for c in TRADE_COLUMNS)
-    standing = {"entry_ts": "entry_ts", "entry_price": "entry_price", "entry_regime": "entry_regime", "entry_confs": "entry_confs", "bars_held": "cast(n - entry_n as int)", "peak": "peak", "rolls": "rolls", "credits": "credits", "pnl": open_pnl, "reason": "'End of backtest'"}
+    standing = {"entry_ts": "entry_ts", "entry_price": "entry_price", "entry_regime": "entry_regime", "entry_confs": "entry_confs", "bars_held": "cast(n - entry_n as int)", "peak": "peak", "rolls": "rolls", "credits": "credits", "pnl": open_pnl, "exit_regime": "p_label", "reason": "'End of backtest'"}
     left = ", ".join(f"case when pos then {t} end as open_{c}" for c, t in standing.items())
     return f"""with recursive walk as (
       select {listed(first)} from {bars} as f where n = 1
@@ -248,15 +249,15 @@ def v1_sql(p: V1) -> str:
     stop = "false" if p.trail is None else f"s_pos and now_capital < s_top * {p.trail}"
     layers = [
         {**_SHARED, "now_capital": f"case when s_pos then s_capital * (1 + (close / s_p_close - 1) * {p.leverage}) else s_capital end", "now_peak": "greatest(s_peak, close)"},
-        {"stops": stop, "leaves": f"s_pos and (bear or (not bull and confidence > 0.6) or {stop})", "cools": "not s_pos and s_cooldown > 0", "ready": f"not s_pos and s_cooldown = 0 and bull and confs >= {p.confirmations} and confidence > 0.5"},
-        {"enters": f"ready and streak >= {p.confirm_bars}"},
+        {"stops": stop, "leaves": f"s_pos and (bear or (not bull and confidence > 0.6) or {stop})", "cools": "not s_pos and s_cooldown > 0", "looks": "not s_pos and s_cooldown = 0"},
+        {"enters": f"looks and bull and confs >= {p.confirmations} and confidence > 0.5 and streak >= {p.confirm_bars}"},
     ]
     after = {
         "capital": "now_capital", "top": "greatest(s_top, now_capital)", "pos": "enters or (s_pos and not leaves)", "cooldown": f"case when leaves then {p.cooldown} when cools then s_cooldown - 1 else s_cooldown end",
         **{c: f"case when enters then {t} else s_{c} end" for c, t in _TO_ENTER.items()}, "peak": "case when enters then close else now_peak end",
-        "signal": "case when leaves then 'EXIT' when s_pos then 'HOLDING' when cools then 'COOLDOWN' when enters then 'ENTRY' when ready then 'CONFIRMING' else 'CASH' end",
+        "signal": "case when leaves then 'EXIT' when s_pos then 'HOLDING' when cools then 'COOLDOWN' when enters then 'ENTRY' when bull and streak < " + str(p.confirm_bars) + " then 'CONFIRMING' else 'CASH' end",
     }
-    ended = {"pnl": f"(close / s_entry_price - 1) * 100 * {p.leverage}", "reason": "case when stops then 'Trailing stop' when bear then 'Regime flip' else 'Regime neutral' end"}
+    ended = {"pnl": f"(close / s_entry_price - 1) * 100 * {p.leverage}", "reason": f"case when stops then 'Trailing stop (-{100 - 100 * (p.trail or 0):.0f}% from peak)' when bear then 'Regime flip - ' || regime_label else 'Regime neutral - ' || regime_label || ' (conf ' || cast(cast(round(confidence * 100) as int) as varchar) || '%)' end"}
     return _walk("replay_input_v1", p.capital, layers, after, ended, f"(p_close / entry_price - 1) * 100 * {p.leverage}")
 
 
@@ -280,7 +281,7 @@ def v2_sql(p: V2) -> str:
         "rolls": "case when enters then 0 when ups or outs then s_rolls + 1 else s_rolls end", "credits": f"case when enters then 0 when ups then s_credits + {p.credit_up} when outs then s_credits + {p.credit_out} else s_credits end", "last_roll": "case when enters then 0 when ups or outs then n else s_last_roll end",
         "signal": f"case when ups then 'ROLL_UP' when outs then 'ROLL_OUT' when leaves then 'EXIT' when s_pos then 'HOLDING' when cools then 'COOLDOWN' when vix > {p.index_halt} then 'VIX_HALT' when gated then 'IV_HIGH' when enters then 'ENTRY' when bull and streak < {p.confirm_bars} then 'CONFIRMING' else 'CASH' end",
     }
-    reason = "case when flips then 'Regime flip - ' || regime_label when trails then 'ATR trail stop' when timed then 'Time stop, can''t roll' when takes then 'RSI exit' else 'Regime neutral - ' || regime_label end"
+    reason = "case when flips then 'Regime flip - ' || regime_label when trails then printf('ATR trail stop (peak $%.2f)', now_peak) when timed then printf('Time stop, can''t roll (%d bars, %+.1f%%)', held, gain) when takes then printf('RSI exit (%.0f, +%.1f%%)', r, gain) else 'Regime neutral - ' || regime_label end"
     return _walk("replay_input_v2", p.capital, layers, after, {"pnl": "gain", "reason": reason}, "(p_close - entry_price) / entry_price * 100")
 
 
@@ -297,7 +298,7 @@ for _mode, _p in MODES.items():
     _rolls = ", rolls as roll_count, round(credits, 4) as roll_credits_pct" if _mode == "v2" else ""
     query(
         f"backtest_{_mode}_trades",
-        f"""select symbol, entry_ts, round(entry_price, 4) as entry_price, entry_regime, entry_confs as confirmations_at_entry, exit_ts, round(exit_price, 4) as exit_price, bars_held,
+        f"""select symbol, entry_ts, round(entry_price, 4) as entry_price, entry_regime, entry_confs as confirmations_at_entry, exit_ts, round(exit_price, 4) as exit_price, exit_regime, bars_held,
           round(peak, 4) as peak_price, round((peak - entry_price) / entry_price * 100, 4) as peak_gain_pct, round(pnl, 4) as pnl_pct, reason{_rolls} from trades_{_mode}""",
     )
     _more = """, round(coalesce(avg_bars, 0), 4) as avg_bars_held, round(coalesce(avg_peak, 0), 4) as avg_peak_gain, round(coalesce(avg_peak - avg_pnl, 0), 4) as avg_giveback, coalesce(all_rolls, 0) as total_rolls, coalesce(with_rolls, 0) as trades_with_rolls,
@@ -314,4 +315,4 @@ for _mode, _p in MODES.items():
           avg(bars_held) as avg_bars, avg((peak - entry_price) / entry_price * 100) as avg_peak, sum(rolls) as all_rolls, count_if(rolls > 0) as with_rolls, sum(credits) as all_credits from trades_{_mode} group by symbol) as t on t.symbol = e.symbol""",
     )
 
-query("backtest_v2_exit_reasons", "select symbol, exit_reason, count(*) as n from (select symbol, trim(split_part(reason, ' - ', 1)) as exit_reason from trades_v2) as r group by symbol, exit_reason")
+query("backtest_v2_exit_reasons", "select symbol, exit_reason, count(*) as n from (select symbol, trim(split_part(reason, '(', 1)) as exit_reason from trades_v2) as r group by symbol, exit_reason")
