@@ -1,19 +1,23 @@
 """Exact top-k search by inner product: dual-tree search over cover trees.
 
 Vectors are dealt into cells by their nearest pivot (a bounded number of them, drawn
-by a hash), large cells into blocks of bounded size. A task takes one block of data,
-builds its cover tree, and lets the queries stream past, a tree for each batch of
-them. A cover tree's node is a point and the radius that covers all points below it;
-its children are apart by half its scale and cover its points within that. Both trees
-are walked together: with q, r the nodes' points and a, b their radii, no inner
-product below a pair of nodes exceeds ``<q, r> + |q| b + |r| a + a b``, and the pair
-is pruned when that is less than the worst k-th score of the queries below the query
-node. At a pair of leaves each query is held against its own k-th score before the
-pair is scored exactly, in integers.
+by a hash), large cells into blocks by where they lie along the cell's main direction;
+only vectors that lie at the same place are parted by a hash. A task takes one block of
+data, builds its cover tree, and lets the queries stream past, a tree for each batch of
+them. A cover tree's node is a point and the radius that covers all points below it.
+Its children are found by farthest-first traversal: the centre, then ever the point
+farthest from all so far, ``FAN`` of them; the radius within which they then cover all
+points is also what they are apart at least. So each level has the covering and the
+separation of a cover tree, at the base that the data give. Both trees are walked
+together: with q, r the nodes' points and a, b their radii, no inner product below a
+pair of nodes exceeds ``<q, r> + |q| b + |r| a + a b``, and the pair is pruned when that
+is less than the worst k-th score of the queries below the query node. At a pair of
+leaves each query is held against its own k-th score before the pair is scored exactly,
+in integers.
 
 Queries visit their own block first. With the k-th score found there they go only to
-cells whose pivot and radius could hold a better one, so what is shuffled is copies
-of the queries, and each vector twice. A window keeps the k best of each query.
+blocks whose ball and slab could hold a better one, so what is shuffled is copies of
+the queries, and each vector twice. A window keeps the k best of each query.
 
 Components are floor(1024 * x). Scores are exact: integers throughout where they
 could leave the range in which doubles are.
@@ -39,10 +43,10 @@ from pyspark.sql import functions as F
 from tidemark.session import materialize, ship_package
 
 SCALE = 1024
-#: Vectors in a block of data, queries in a batch, pivots at most, tasks at most.
-DATA_BLOCK, QUERY_BATCH, MOST_PIVOTS, MOST_TASKS = 8192, 1024, 1024, 10_000
-#: Points in a leaf at least; a node stays a leaf where its children would have fewer points than this on average.
-LEAF, LEAST_BELOW = 32, 8
+#: Vectors in a block of data (about), queries in a batch, pivots at most, vectors drawn for each cell's main direction, tasks at most.
+DATA_BLOCK, QUERY_BATCH, MOST_PIVOTS, MOST_DRAWN, MOST_TASKS = 16_384, 1024, 1024, 8192, 10_000
+#: Points in a leaf at most (unless all are equal), children of a node at most.
+LEAF, FAN = 32, 16
 NONE = np.iinfo(np.int64).min
 
 
@@ -68,12 +72,8 @@ class CoverTree:
         self.members.append(index)
         if len(index) <= LEAF or radius == 0:
             return node
-        # Children: the centre first, then ever the point farthest from all so far, until all are within half the scale.
-        half = 2.0 ** math.ceil(math.log2(radius)) / 2
         owner, nearest, centers, own = np.zeros(len(index), np.int64), distances.copy(), [center], self.points[index]
-        while nearest.max() > half:
-            if (len(centers) + 1) * LEAST_BELOW > len(index):
-                return node
+        while len(centers) < FAN and nearest.max() > 0:
             far = int(nearest.argmax())
             apart = np.linalg.norm(own - own[far], axis=1)
             closer = apart < nearest
@@ -133,16 +133,18 @@ class Block:
         self.data, self.rows, self.ids = data, rows, ids
         self.tree = CoverTree(data.astype(np.float64))
 
-    def search(self, queries: np.ndarray, query_rows: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """Scores and ids of each query's k best here that reach its floor, and how many scores were worked out."""
+    def search(self, queries: np.ndarray, query_rows: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, dict[str, int]]:
+        """Scores and ids of each query's k best here that reach its floor; how many pairs of nodes were visited and pruned, and how many scores worked out."""
         best, points = Best(floor, k), queries.astype(np.float64)
         q_tree, r_tree = CoverTree(points), self.tree
-        norms, scored = np.linalg.norm(points, axis=1), 0
+        norms, told = np.linalg.norm(points, axis=1), {"visited": 0, "pruned": 0, "scored": 0}
         stack = [(0, 0, math.inf)]
         while stack:
             q, r, most = stack.pop()
             below_q, below_r, own = q_tree.children[q], r_tree.children[r], q_tree.members[q]
+            told["visited"] += 1
             if most < best.worst[own].min():
+                told["pruned"] += 1
                 continue
             if not len(below_q) and not len(below_r):
                 own = own[_bound(points[own] @ r_tree.center[r], norms[own], 0.0, r_tree.norm[r], r_tree.radius[r]) >= best.worst[own]]
@@ -151,7 +153,7 @@ class Block:
                     scores = _exact(queries[own], self.data[columns])
                     scores[query_rows[own][:, None] == self.rows[columns]] = NONE
                     best.offer(own, scores, self.ids[columns])
-                    scored += scores.size
+                    told["scored"] += scores.size
                 continue
             if len(below_r) and (not len(below_q) or r_tree.radius[r] >= q_tree.radius[q]):
                 pairs = [(q, c) for c in below_r.tolist()]
@@ -160,7 +162,7 @@ class Block:
                 pairs = [(c, r) for c in below_q.tolist()]
                 bounds = _bound(q_tree.center[below_q] @ r_tree.center[r], q_tree.norm[below_q], q_tree.radius[below_q], r_tree.norm[r], r_tree.radius[r])
             stack += [(*pairs[i], bounds[i]) for i in np.argsort(bounds)]  # the most hopeful comes off first
-        return best.scores, best.ids, scored
+        return best.scores, best.ids, told
 
 
 def quantized(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -187,36 +189,81 @@ def _with_columns(batch: pa.RecordBatch, **more: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, *more.values()], names=[*batch.schema.names, *more])
 
 
-def _deal(pivots: np.ndarray):
-    """Each row with its nearest pivot and the distance."""
-    half_squares = (pivots * pivots).sum(axis=1) / 2
+class Cells:
+    """Pivots, and of each cell a direction along which large ones are split. Bounded: at most ``MOST_PIVOTS`` of each."""
+
+    def __init__(self, drawn: np.ndarray, n_pivots: int):
+        self.pivots = drawn[:n_pivots]
+        self.half_squares = (self.pivots * self.pivots).sum(axis=1) / 2
+        self.directions = np.zeros_like(self.pivots)
+        cell, _ = self.nearest(drawn)
+        for c in range(len(self.pivots)):
+            off = drawn[cell == c] - self.pivots[c]
+            if len(off) > 1 and np.abs(off).max() > 0:
+                self.directions[c] = np.linalg.svd(off - off.mean(axis=0), full_matrices=False)[2][0]
+
+    def nearest(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each point its cell and where it lies along the cell's direction, from the pivot."""
+        cell = (points @ self.pivots.T - self.half_squares).argmax(axis=1)
+        return cell, ((points - self.pivots[cell]) * self.directions[cell]).sum(axis=1)
+
+
+def _deal(cells: Cells):
+    """Each row with its cell, its distance from the pivot and its place along the direction."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            points = _matrix(batch.column("parts"), pivots.shape[1]).astype(np.float64)
-            cell = (points @ pivots.T - half_squares).argmax(axis=1)
-            yield _with_columns(batch, cell=pa.array(cell, pa.int32()), distance=pa.array(np.linalg.norm(points - pivots[cell], axis=1)))
+            points = _matrix(batch.column("parts"), cells.pivots.shape[1]).astype(np.float64)
+            cell, along = cells.nearest(points)
+            yield _with_columns(batch, cell=pa.array(cell, pa.int32()), distance=pa.array(np.linalg.norm(points - cells.pivots[cell], axis=1)), along=pa.array(along))
 
     return run
 
 
-def _invite(pivots: np.ndarray, radii: np.ndarray, splits: np.ndarray):
-    """Each query (with its own block) for every other block whose cell could hold a score that matters."""
-    norms, first = np.linalg.norm(pivots, axis=1), np.cumsum(splits) - splits
+def _split(cuts: list[np.ndarray], first: np.ndarray):
+    """Each row's block: between the cuts of its cell, by its place; rows that lie on several equal cuts are dealt by their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            points, floor = _matrix(batch.column("parts"), pivots.shape[1]).astype(np.float64), batch.column("floor").to_numpy()
-            own = batch.column("block").to_numpy()
-            bounds = _bound(points @ pivots.T, np.linalg.norm(points, axis=1)[:, None], 0.0, norms, radii)
-            query, cell = np.nonzero((bounds >= floor[:, None]) & (splits > 0))
-            at = np.repeat(np.arange(len(query)), splits[cell])
-            block = first[cell][at] + np.arange(len(at)) - np.repeat(np.cumsum(splits[cell]) - splits[cell], splits[cell])
-            query = query[at]
-            query, block = query[block != own[query]], block[block != own[query]]
-            for begin in range(0, len(query), 10_000):
-                part = batch.select(["row", "vec_id", "parts", "floor"]).take(pa.array(query[begin : begin + 10_000]))
-                yield _with_columns(part, block=pa.array(block[begin : begin + 10_000], pa.int32()))
+            cell, along, row = (batch.column(c).to_numpy() for c in ("cell", "along", "row"))
+            block = first[cell].copy()
+            for c in np.unique(cell):
+                if len(cuts[c]):
+                    at = np.flatnonzero(cell == c)
+                    low, high = (np.searchsorted(cuts[c], along[at], side=s) for s in ("left", "right"))
+                    block[at] += low + (row[at] * 2_654_435_761 >> 8) % (high - low + 1)
+            yield _with_columns(batch, block=pa.array(block, pa.int32()))
+
+    return run
+
+
+def _invite(cells: Cells, cell: np.ndarray, radius: np.ndarray, low: np.ndarray, high: np.ndarray):
+    """Each query (with its own block) for every other block that could hold a score that matters.
+
+    A block's vectors are within ``radius`` of its cell's pivot, and between ``low`` and ``high`` along the cell's direction.
+    """
+    pivots, directions = cells.pivots[cell], cells.directions[cell]
+    norms = np.linalg.norm(pivots, axis=1)
+    slack = 1e-6 * (1 + radius + np.abs(low) + np.abs(high))
+    low, high = low - slack, high + slack
+    nearest = np.where((low <= 0) & (high >= 0), 0.0, np.minimum(np.abs(low), np.abs(high)))
+    across = np.sqrt(np.maximum(radius * radius - nearest * nearest, 0)) + slack
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, QUERY_BATCH):
+                batch = whole.slice(start, QUERY_BATCH)
+                points, floor = _matrix(batch.column("parts"), pivots.shape[1]).astype(np.float64), batch.column("floor").to_numpy()
+                inner, q = points @ pivots.T, np.linalg.norm(points, axis=1)[:, None]
+                ball = _bound(inner, q, 0.0, norms, radius)
+                lean = points @ directions.T
+                slab = inner + np.maximum(lean * low, lean * high) + np.sqrt(np.maximum(q * q - lean * lean, 0)) * across
+                slab += 1e-9 * (q * norms + q * (radius + slack)) + 1
+                query, block = np.nonzero((np.minimum(ball, slab) >= floor[:, None]) & (radius >= 0))
+                query, block = query[block != (own := batch.column("block").to_numpy())[query]], block[block != own[query]]
+                for begin in range(0, len(query), 10_000):
+                    part = batch.select(["row", "vec_id", "parts", "floor"]).take(pa.array(query[begin : begin + 10_000]))
+                    yield _with_columns(part, block=pa.array(block[begin : begin + 10_000], pa.int32()))
 
     return run
 
@@ -268,30 +315,36 @@ def top_k(spark: SparkSession, vectors: DataFrame, k: int = 10, query_every: int
     every = quantized(vectors)
     n, width = every.agg(F.count("*"), F.max(F.size("parts"))).first()
     width = max(1, width or 0)
-    drawn = every.orderBy(F.xxhash64("vec_id", "parts")).limit(min(MOST_PIVOTS, max(1, -(-n // DATA_BLOCK)))).select("parts").toArrow()
-    pivots = _matrix(drawn.column("parts").combine_chunks(), width).astype(np.float64) if n else np.zeros((1, width))
+    n_pivots = min(MOST_PIVOTS, max(1, -(-n // DATA_BLOCK)))
+    drawn = every.orderBy(F.xxhash64("vec_id", "parts")).limit(max(n_pivots, min(MOST_DRAWN, 16 * n_pivots))).select("parts").toArrow()
+    cells = Cells(_matrix(drawn.column("parts").combine_chunks(), width).astype(np.float64) if n else np.zeros((1, width)), n_pivots)
     # A row's number is fixed by writing it.
-    dealt = every.select(F.monotonically_increasing_id().alias("row"), "vec_id", "parts").mapInArrow(_deal(pivots), f"{ROW}, cell int, distance double")
+    dealt = every.select(F.monotonically_increasing_id().alias("row"), "vec_id", "parts").mapInArrow(_deal(cells), f"{ROW}, cell int, distance double, along double")
     dealt = materialize(dealt, "dealt")
-    radii, sizes = np.zeros(len(pivots)), np.zeros(len(pivots), np.int64)
-    for r in dealt.groupBy("cell").agg(F.max("distance"), F.count("*")).collect():  # at most MOST_PIVOTS
-        radii[r[0]], sizes[r[0]] = r[1], r[2]
-    splits = -(-sizes // DATA_BLOCK)
-    first = F.array(*map(F.lit, (np.cumsum(splits) - splits).tolist()))
-    of_cell = lambda values: F.get(values, F.col("cell"))
-    block = of_cell(first) + F.pmod(F.xxhash64("row"), F.greatest(F.lit(1), of_cell(F.array(*map(F.lit, splits.tolist())))))
-    data = dealt.select("row", "vec_id", "parts", F.lit(NONE).alias("floor"), block.cast("int").alias("block"))
+    sizes = {r["cell"]: r["count"] for r in dealt.groupBy("cell").count().collect()}  # at most MOST_PIVOTS
+    splits = np.array([max(1, -(-sizes.get(c, 0) // DATA_BLOCK)) for c in range(len(cells.pivots))])
+    most, wide = int(splits.max()), [c for c in sizes if splits[c] > 1]
+    found = dealt.where(F.col("cell").isin(wide)).groupBy("cell").agg(F.percentile_approx("along", F.array(*(F.lit(i / most) for i in range(1, most))), 10_000)) if wide else None
+    tenths = {r[0]: np.array(r[1]) for r in found.collect()} if wide else {}
+    cuts = [np.sort(tenths[c])[np.unique(np.linspace(0, most - 2, splits[c] - 1).round().astype(int))] if c in tenths else np.empty(0) for c in range(len(splits))]
+    first = np.cumsum([len(c) + 1 for c in cuts]) - [len(c) + 1 for c in cuts]
+    n_blocks = int(first[-1] + len(cuts[-1]) + 1)
+    blocks = materialize(dealt.mapInArrow(_split(cuts, first), f"{ROW}, cell int, distance double, along double, block int"), "blocks")
+    of, radius, low, high = np.zeros(n_blocks, np.int64), np.full(n_blocks, -1.0), np.zeros(n_blocks), np.zeros(n_blocks)
+    for r in blocks.groupBy("block").agg(F.first("cell"), F.max("distance"), F.min("along"), F.max("along")).collect():  # a row a block
+        of[r[0]], radius[r[0]], low[r[0]], high[r[0]] = r[1:]
+    data = blocks.select("row", "vec_id", "parts", F.lit(NONE).alias("floor"), "block")
     own = data.where(F.col("vec_id") % query_every == 0)
 
     def visit(queries: DataFrame) -> DataFrame:
         both = data.withColumn("kind", F.lit(0)).unionByName(queries.withColumn("kind", F.lit(1)))
-        tasks = int(min(MOST_TASKS, max(1, 2 * splits.sum())))
+        tasks = int(min(MOST_TASKS, max(1, 2 * n_blocks)))
         return both.repartition(tasks, "block").sortWithinPartitions("block", "kind").mapInArrow(_visit(k, width), "row long, query_id long, vec_id long, score long")
 
     near = materialize(visit(own), "near")
     kth = near.groupBy("row").agg(F.count("*").alias("n"), F.min("score").alias("least"))
     floors = own.drop("floor").join(kth, "row", "left").withColumn("floor", F.when(F.col("n") >= k, F.col("least")).otherwise(F.lit(NONE)))
-    invited = floors.select("row", "vec_id", "parts", "floor", "block").mapInArrow(_invite(pivots, radii, splits), f"{ROW}, floor long, block int")
+    invited = floors.select("row", "vec_id", "parts", "floor", "block").mapInArrow(_invite(cells, of, radius, low, high), f"{ROW}, floor long, block int")
     order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     ranked = near.unionByName(visit(invited)).withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
