@@ -44,7 +44,8 @@ GATHER_BYTES, CUT_BYTES, MOST_COUNTS = 16_000_000, 12_000_000, 4_000_000
 #: Sources in a block of pairs, groups that a block's terms are dealt over, differences worked out at a time.
 BLOCK, BUCKETS, MOST_CELLS = 512, 64, 4_000_000
 
-COPIES = "lang string, digest binary, text string, sources array<string>, copies array<long>"
+#: Texts travel packed, as their bytes are most of what is dealt.
+COPIES = "lang string, digest binary, packed binary, n_bytes long, sources array<string>, copies array<long>"
 COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
 
 
@@ -56,9 +57,13 @@ def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, (lang, source, digest) in enumerate(zip(*(rows.column(c).to_pylist() for c in ("lang", "source", "digest")), strict=True)):
             found.setdefault((lang, digest), (i, Counter()))[1][source] += 1
         first = rows.take(pa.array([i for i, _ in found.values()], pa.int64())).combine_chunks()
-        made = [pa.array([list(c) for _, c in found.values()], pa.list_(pa.string())), pa.array([list(c.values()) for _, c in found.values()], pa.list_(pa.int64()))]
-        kept = [first.column(c).combine_chunks() for c in ("lang", "digest", "text")]
-        return pa.RecordBatch.from_arrays([*(k.chunk(0) if isinstance(k, pa.ChunkedArray) else k for k in kept), *made], names=["lang", "digest", "text", "sources", "copies"])
+        texts = first.column("text").cast(pa.binary()).to_pylist()
+        made = [
+            pa.array([pa.compress(t, codec="zstd", asbytes=True) for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64()),
+            pa.array([list(c) for _, c in found.values()], pa.list_(pa.string())), pa.array([list(c.values()) for _, c in found.values()], pa.list_(pa.int64())),
+        ]
+        kept = [first.column(c).combine_chunks() for c in ("lang", "digest")]
+        return pa.RecordBatch.from_arrays([*(k.chunk(0) if isinstance(k, pa.ChunkedArray) else k for k in kept), *made], names=["lang", "digest", "packed", "n_bytes", "sources", "copies"])
 
     gathered, size = [], 0
     for batch in batches:
@@ -131,9 +136,10 @@ def _tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for source, n in zip(sources, times, strict=True):
                 copies[-1][source] += n
         if new:
-            taken = batch.column("text").take(pa.array(new, pa.int64()))
-            parts.append(taken)
-            size += taken.nbytes
+            packed, sizes = batch.column("packed"), batch.column("n_bytes")
+            texts = [pa.decompress(packed[i].as_py(), sizes[i].as_py(), codec="zstd", asbytes=True) for i in new]
+            parts.append(pa.array(texts, pa.binary()).view(pa.string()))
+            size += sum(map(len, texts))
         if size >= CUT_BYTES and len(langs) > 1:
             yield from counted(len(langs) - 1)  # the last text may have more copies to come
     if parts:
