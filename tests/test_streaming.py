@@ -44,3 +44,35 @@ def test_scan_chunks(spark, tmp_path):
     got = spark.read.parquet(f"{tmp_path}/out/results").collect()
     assert {r.symbol: r.signal for r in got} == {s: v for s, v in whole.items() if s in ("BUILDING", "MACHINERY", "FURNITURE")}
     assert sorted((r.batch, r.asked) for r in spark.read.parquet(f"{tmp_path}/out/progress").collect()) == [(0, 2), (1, 2)]
+
+
+def test_changes_forget_absent_symbols_and_go_on_after_a_restart(spark, tmp_path):
+    """Runs 1 to 3, a stop, runs 3 (again) to 5: B is absent from run 2, C leaves after run 1 and is back at run 5."""
+    from tidemark.streaming.changes import CONF, regime_changes
+
+    schema = "symbol string, run long, regime_id int"
+    first = [("A", 1, 0), ("A", 2, 0), ("A", 3, 4), ("B", 1, 1), ("B", 3, 5), ("C", 1, 2), ("D", 1, None)]
+    second = [("A", 3, 4), ("A", 4, 1), ("A", 5, 1), ("B", 4, 6), ("B", 5, 5), ("C", 5, 3), ("D", 5, 0)]
+    for name, value in CONF.items():
+        spark.conf.set(name, value)
+    try:
+        for rows in (first, second):
+            spark.createDataFrame(rows, schema).repartition(2, "symbol").write.mode("append").parquet(f"{tmp_path}/in")
+            scans = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+            drain(regime_changes(scans).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state"))
+    finally:
+        for name in CONF:
+            spark.conf.unset(name)
+    got = sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [("A", 3, 0, 4), ("A", 4, 4, 1), ("B", 4, 5, 6), ("B", 5, 6, 5)]
+
+
+def test_a_batch_that_runs_again_doubles_nothing(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    relations = lambda session: {name: registry.run(session, name, sf) for name in ("bars", "regimes")}
+    chunk = scan_chunks(relations, "v1", f"{tmp_path}/out")
+    symbols = spark.createDataFrame([("BUILDING",)], "symbol string")
+    chunk(symbols, 0)
+    once = spark.read.parquet(f"{tmp_path}/out/results").collect()
+    chunk(symbols, 0)
+    assert spark.read.parquet(f"{tmp_path}/out/results").collect() == once

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.plans import registry
+from tidemark.plans.catalog import run as run_relation
 
 
 def bars_stream(events: DataFrame, late: str = "2 hours") -> DataFrame:
@@ -55,7 +55,7 @@ def scan_chunks(relations: Callable[[SparkSession], dict[str, DataFrame]], strat
     def run(symbols: DataFrame, batch: int) -> None:
         spark = symbols.sparkSession
         asked, given = symbols.select("symbol").distinct(), relations(spark)
-        found = registry.run(spark, f"scan_{strategy}", **given | {"bars": given["bars"].join(asked, "symbol", "left_semi")})
+        found = run_relation(spark, f"scan_{strategy}", **given | {"bars": given["bars"].join(asked, "symbol", "left_semi")})
         found.write.mode("overwrite").parquet(f"{folder}/results/batch={batch}")
         done = spark.read.parquet(f"{folder}/results/batch={batch}")
         counts = done.agg(F.count("*").alias("found"), F.count_if(F.col("regime_id") <= 2).alias("bullish"), F.count_if(F.col("regime_id") >= 5).alias("bearish"))
