@@ -23,23 +23,39 @@ def norm_pdf(x: str) -> str:
     return f"exp(-({x}) * ({x}) / 2) / sqrt(2 * pi())"
 
 
-def norm_cdf(x: str) -> str:
+def upper_tail(x: str) -> str:
+    """The normal distribution's share beyond the absolute value of ``x``."""
     a = f"abs({x})"
     e = f"exp(-({x}) * ({x}) / 2)"
     tail = f"({a} + 0.65)"
     for k in (4, 3, 2, 1):
         tail = f"({a} + {k} / {tail})"
-    upper = f"case when {a} > 37 then 0 when {a} < {number(7.07106781186547)} then {e} * {_horner(NUMERATOR, a)} / {_horner(DENOMINATOR, a)} else {e} / ({tail} * {number(2.506628274631)}) end"
+    return f"case when {a} > 37 then 0 when {a} < {number(7.07106781186547)} then {e} * {_horner(NUMERATOR, a)} / {_horner(DENOMINATOR, a)} else {e} / ({tail} * {number(2.506628274631)}) end"
+
+
+def norm_cdf(x: str, upper: str | None = None) -> str:
+    """``upper``: a column with the upper tail of ``x``, so that it is worked out once."""
+    upper = upper or upper_tail(x)
     return f"(case when ({x}) > 0 then 1 - ({upper}) else {upper} end)"
 
 
+LIVE = "t > 0 and sigma > 0 and spot > 0"
+D1 = f"case when {LIVE} then (ln(spot / strike) + ({RATE} + sigma * sigma / 2) * t) / (sigma * sqrt(t)) end"
+GAMMA = "case when d1 is null then 0 else p1 / (spot * sigma * sqrt(t)) end"
+
+
+def gammas(source: str) -> str:
+    """gamma alone."""
+    return f"(select *, {GAMMA} as gamma from (select *, {norm_pdf('d1')} as p1 from (select *, {D1} as d1 from {source}) as a) as b)"
+
+
 def greeks(source: str, keep: str = "*") -> str:
     """delta, gamma and theta (a day) of contracts with side, spot, strike, t (years) and sigma."""
-    live = "t > 0 and sigma > 0 and spot > 0"
-    d = f"(select *, case when {live} then (ln(spot / strike) + ({RATE} + sigma * sigma / 2) * t) / (sigma * sqrt(t)) end as d1 from {source})"
+    d = f"(select *, {D1} as d1 from {source})"
     d = f"(select *, d1 - sigma * sqrt(t) as d2 from {d} as a)"
-    d = f"(select *, {norm_cdf('d1')} as n1, {norm_cdf('d2')} as n2, {norm_pdf('d1')} as p1 from {d} as b)"
+    d = f"(select *, {upper_tail('d1')} as u1, {upper_tail('d2')} as u2 from {d} as u)"
+    d = f"(select *, {norm_cdf('d1', 'u1')} as n1, {norm_cdf('d2', 'u2')} as n2, {norm_pdf('d1')} as p1 from {d} as b)"
     carry = f"{RATE} * strike * exp(-{RATE} * t)"
     return f"""(select {keep}, case when d1 is null then case when spot > strike then 1 else 0 end when side = 'call' then n1 else n1 - 1 end as delta,
-      case when d1 is null then 0 else p1 / (spot * sigma * sqrt(t)) end as gamma,
+      {GAMMA} as gamma,
       case when d1 is null then 0 when side = 'call' then (-(spot * p1 * sigma) / (2 * sqrt(t)) - {carry} * n2) / 365 else (-(spot * p1 * sigma) / (2 * sqrt(t)) + {carry} * (1 - n2)) / 365 end as theta from {d} as c)"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.pricing import greeks
+from tidemark.functions.pricing import gammas, greeks
 from tidemark.plans.catalog import query, relation
 
 SCORE_MAX_DTE, TOP, LADDER_STEPS = 365, 5, 50
@@ -23,18 +23,18 @@ relation("option_symbols", "select symbol, max(spot) as spot, cast(count(*) % 7
 relation("quotes", "select *, case when bid + ask > 0 then (bid + ask) / 2 else last end as mid, cast(dte as double) / 365 as t, coalesce(nullif(iv, 0), 0.3) as sigma from chain where dte between 0 and 730")
 
 
-def greeks_once(source: str):
-    """The Greeks of a relation as columns that are worked out once: without the array, a filter on one of them would repeat its whole text."""
+def greeks_once(source: str, *names: str):
+    """The named Greeks of a relation as columns that are worked out once: without the array, a filter on one of them would repeat its whole text."""
 
     def build(use):
         quotes = use(source)
         priced = quotes.sparkSession.sql("select * from " + greeks("{quotes}") + " as g", quotes=quotes)
-        return priced.select(*quotes.columns, F.inline(F.array(F.struct("delta", "gamma", "theta"))))
+        return priced.select(*quotes.columns, F.inline(F.array(F.struct(*names))))
 
     return build
 
 
-relation("greek_quotes", f"select * from {greeks('quotes')} as g", greeks_once("quotes"))
+relation("greek_quotes", f"select * from {greeks('quotes')} as g", greeks_once("quotes", "delta", "gamma", "theta"))
 _CONTRACT = "symbol, side, strike, dte, bid, ask, oi, volume, iv"
 
 query("chain_scan", f"select {_CONTRACT}, round(sigma, 6) as sigma from quotes")
@@ -43,10 +43,11 @@ query("bs_delta", f"select {_CONTRACT}, round(delta, 6) + 0 as delta from greek_
 query("bs_gamma", f"select {_CONTRACT}, round(gamma, 6) as gamma from greek_quotes")
 query("bs_theta", f"select {_CONTRACT}, round(theta, 6) + 0 as theta from greek_quotes")
 
+relation("gamma_quotes", f"select * from {gammas('(select * from quotes where oi > 0 and t > 0) as o')} as g")
 relation(
     "gex_strikes",
     """select symbol, max(spot) as spot, strike, round(sum(case when side = 'call' then g else 0 end), 2) + 0 as call_gex, round(sum(case when side = 'put' then -g else 0 end), 2) + 0 as put_gex, round(sum(case when side = 'call' then g else -g end), 2) + 0 as net_gex
-    from (select symbol, side, strike, spot, gamma * oi * 100 * spot as g from greek_quotes where oi > 0 and t > 0) as e group by symbol, strike""",
+    from (select symbol, side, strike, spot, gamma * oi * 100 * spot as g from gamma_quotes) as e group by symbol, strike""",
 )
 query("gex_by_strike", "select symbol, strike, call_gex, put_gex, net_gex from gex_strikes")
 _first = lambda order: f"row_number() over (partition by symbol order by {order}, strike)"
@@ -97,7 +98,9 @@ SWING_SCORE = " + ".join([
     "case when gex_strategy = 'pin_play' and call_wall > 0 then case when abs(strike - call_wall) / spot * 100 < 2 then 10 when abs(strike - call_wall) / spot * 100 < 5 then 5 else 0 end when gex_strategy = 'breakout_ride' and strike > spot then 5 when gex_strategy = 'gamma_scalp' and abs(strike - spot) / spot < 0.02 then 10 else 0 end",
     "case when gex_strategy is not null and bias = 'positive' and call_wall > 0 and strike > call_wall * 1.02 then -10 else 0 end",
 ])
-relation("swing_input", f"select q.*, c.regime_id, c.confs, c.bias, c.call_wall, c.gex_strategy, c.min_dte, c.max_dte, c.min_strike, c.max_strike, round({_SPREAD}, 6) as spread from (select * from greek_quotes where side = 'call' and dte between 0 and {SCORE_MAX_DTE}) as q join gex_choice c on c.symbol = q.symbol")
+relation("swing_quotes", f"select * from quotes where side = 'call' and dte between 0 and {SCORE_MAX_DTE}")
+relation("swing_greeks", f"select * from {greeks('swing_quotes')} as g", greeks_once("swing_quotes", "delta"))
+relation("swing_input", f"select q.*, c.regime_id, c.confs, c.bias, c.call_wall, c.gex_strategy, c.min_dte, c.max_dte, c.min_strike, c.max_strike, round({_SPREAD}, 6) as spread from swing_greeks q join gex_choice c on c.symbol = q.symbol")
 query("option_score", f"select {_CONTRACT}, round(unrounded, 6) + 0 as delta, case when mid <= 0.01 or ask <= 0 then -999 else {SWING_SCORE} end as score from (select symbol, side, strike, dte, bid, ask, oi, volume, iv, mid, spot, delta as unrounded, round(delta, 6) as delta, regime_id, confs, bias, call_wall, gex_strategy, min_dte, max_dte, min_strike, max_strike, spread from swing_input) as q")
 _ORDER = "score desc, dte, strike, bid, ask, oi, volume, iv"
 query("options_topn", f"select * from (select *, row_number() over (partition by symbol order by {_ORDER}) as rank from option_score) as r where rank <= {TOP} and score > -999")
@@ -149,7 +152,7 @@ relation(
         select symbol, dte, true as held, false as listed from option_positions union all select symbol, dte, false as held, true as listed from quotes where side = 'call') as u group by symbol, dte) as d) as n where held""",
 )
 relation("roll_quotes", "select symbol, side, strike, spot, dte, ask, sigma, cast(greatest(dte, 1) as double) / 365 as t from quotes where side = 'call'")
-relation("roll_greeks", f"select * from {greeks('roll_quotes')} as g", greeks_once("roll_quotes"))
+relation("roll_greeks", f"select * from {greeks('roll_quotes')} as g", greeks_once("roll_quotes", "delta"))
 relation("roll_candidates", "select distinct symbol, dte, strike, ask, round(delta, 3) as delta from roll_greeks where round(delta, 9) between 0.70 and 0.80")
 query(
     "roll_target",
