@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import signals
+from tidemark.llm.text_batches import column
 
 SYMBOLS = "#*$%&|<>"
 
@@ -71,20 +72,24 @@ def compiled(rules: tuple[Rule, ...], named: dict[str, Column], n_words: Column)
 
 
 def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep``, the counts n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept."""
-    body = F.col("__text")
-    split = docs.select(*keep, F.col(text).alias("__text"), signals.words(F.col(text)).alias("__words"))
-    own = F.col("__words")
-    counted = split.select(
-        *keep,
-        "__text",
-        "__words",
-        F.size(own).cast("long").alias("n_words"),
-        (F.length(F.coalesce(body, F.lit(""))).cast("long") - signals.n_chars_of(body, signals.BLANKS)).alias("word_chars"),
-        signals.n_chars_of(body, SYMBOLS).alias("n_symbols"),
-        signals.n_dup_lines(signals.lines_with_words(body)).alias("n_dup_lines"),
-        signals.n_repeat_words(own).alias("n_repeat_words"),
-    )
+    """Columns ``keep``, the counts n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept.
+
+    A kept column with the name of one of these is left out.
+    """
+    # Kept columns travel in a struct, so that no name they have can clash.
+    kept = F.struct(*map(column, keep)) if keep else F.lit(None)
+    split = docs.select(kept.alias("kept"), column(text).alias("text"), signals.words(column(text)).alias("words"))
+    body, own = F.col("text"), F.col("words")
+    counts = {
+        "n_words": F.size(own).cast("long"),
+        "word_chars": F.length(F.coalesce(body, F.lit(""))).cast("long") - signals.n_chars_of(body, signals.BLANKS),
+        "n_symbols": signals.n_chars_of(body, SYMBOLS),
+        "n_dup_lines": signals.n_dup_lines(signals.lines_with_words(body)),
+        "n_repeat_words": signals.n_repeat_words(own),
+    }
+    counted = split.select("kept", "text", "words", *(c.alias(n) for n, c in counts.items()))
     base = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     judged = counted.withColumn("base_failed", base)
-    return judged.withColumn("kept", ~F.col("base_failed") & compiled(rules, ratios(body, own), F.col("n_words"))).drop("__text", "__words")
+    verdict = ~F.col("base_failed") & compiled(rules, ratios(body, own), F.col("n_words"))
+    made = [*counts, "base_failed"]
+    return judged.select(*(F.col("kept").getField(c).alias(c) for c in keep if c not in (*made, "kept")), *made, verdict.alias("kept"))
