@@ -116,7 +116,13 @@ query("alert_filter_bull", alert_sql("run_changes", min_confirmations=3, bear_en
 relation("watchlist_rows", " union all ".join(f"select '{n}' as name, '{s}' as symbol" for n, members in WATCHLISTS.items() for s in members))
 query("watchlist_members", "select w.name, w.symbol, b.bars from watchlist_rows w join (select symbol, count(*) as bars from bars group by symbol) as b on b.symbol = w.symbol")
 query("universe_union", "select symbol from watchlist_rows union select symbol from bars")
-query("ticker_list_parse", "select trim(upper(n_name)) as symbol, length(n_name) as n from nation where trim(n_name) <> ''")
+# Lists as users type them: names between commas, in any case, some of them empty.
+relation("ticker_lists", "select n_nationkey as list_id, ' ' || lower(n_name) || ' ,, x' || cast(n_nationkey as string) || ' ,' as tickers from nation")
+query(
+    "ticker_list_parse",
+    "select list_id, trim(upper(name)) as symbol from ticker_lists, unnest(string_split(tickers, ',')) as u(name) where trim(name) <> ''",
+    lambda use: use("ticker_lists").selectExpr("list_id", "explode(split(tickers, ',')) as name").where("trim(name) <> ''").selectExpr("list_id", "trim(upper(name)) as symbol"),
+)
 query("symbol_resolve", "select c_custkey, case upper(trim(c_mktsegment)) " + " ".join(f"when '{k}' then '{v}'" for k, v in {"BTC": "BTC-USD", "BITCOIN": "BTC-USD", "ETH": "ETH-USD", "ETHEREUM": "ETH-USD", "SOL": "SOL-USD", "SOLANA": "SOL-USD", "AVAX": "AVAX-USD", "AVALANCHE": "AVAX-USD", "BUILDING": "BLDG"}.items()) + " else upper(trim(c_mktsegment)) end as symbol from customer")
 
 

@@ -8,6 +8,7 @@ from collections import deque
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.asof import asof_join
 from tidemark.functions.folds import Step, fold_bars
 from tidemark.plans.catalog import query, relation
 
@@ -116,3 +117,11 @@ relation(
         from (select bar_ts, 1 as is_bar, cast(null as double) as level from (select distinct bar_ts from bars) as t union all select bar_ts, 0 as is_bar, close as level from index_bars) as u) as m) as r where is_bar = 1""",
 )
 query("asof_index_join", "select b.symbol, b.bar_ts, c.index_level from bars b join index_calendar c on c.bar_ts = b.bar_ts")
+# Two keyed series: the last event of a kind at or before the half of each of its hours.
+relation("half_hours", "select symbol, bar_ts + interval '30' minute as bar_ts, close from bars_hourly")
+relation("event_values", "select event_type as symbol, ts as bar_ts, max(value) as value from events group by event_type, ts")
+query(
+    "asof_events_join",
+    "select h.symbol, h.bar_ts, round(h.close, 6) as close, round(e.value, 6) as last_value from half_hours h asof left join event_values e on e.symbol = h.symbol and e.bar_ts <= h.bar_ts",
+    lambda use: asof_join(use("half_hours"), use("event_values"), "symbol", "bar_ts", "value").select("symbol", "bar_ts", F.round("close", 6).alias("close"), F.round("value", 6).alias("last_value")),
+)
