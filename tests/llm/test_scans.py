@@ -76,5 +76,5 @@ def test_share_of_scores_worked_out_on_clustered_and_plain_vectors():
     for dimensions, clusters, most in ((16, 60, 0.2), (64, 60, 0.2)):
         data = (rng.normal(size=(clusters, dimensions)) * 3000)[rng.integers(0, clusters, 6_000)] + rng.normal(size=(6_000, dimensions)) * 60
         block, own = topk.Block(data.astype(np.int64), np.arange(6_000), np.arange(6_000)), np.arange(0, 6_000, 100)
-        _, _, scored = block.search(data[own].astype(np.int64), own, np.full(len(own), topk.NONE), 10)
-        assert scored < most * len(own) * 6_000
+        _, _, told = block.search(data[own].astype(np.int64), own, np.full(len(own), topk.NONE), 10)
+        assert told["scored"] < most * len(own) * 6_000
