@@ -11,6 +11,8 @@ import tidemark.operators.options  # noqa: F401
 import tidemark.operators.journal  # noqa: F401
 import tidemark.operators.backtest  # noqa: F401
 import tidemark.operators.hmm  # noqa: F401
+import tidemark.operators.table_functions  # noqa: F401
+import tidemark.sources.snapshots  # noqa: F401
 import tidemark.streaming.queries  # noqa: F401
 from tidemark.plans.catalog import oracle_sql, queries, run
 
