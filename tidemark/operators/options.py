@@ -171,6 +171,7 @@ query(
         from (select s.symbol, s.close, round(i.atr14, 6) as atr, case when s.regime_confidence > 0.80 and s.confs / 12.0 >= 0.83 then 'FULL' when s.regime_confidence > 0.70 and s.confs / 12.0 >= 0.67 then 'HIGH' when s.regime_confidence > 0.60 and s.confs / 12.0 >= 0.50 then 'MED' else 'MIN' end as tier
           from signal_v2 s join ind i on i.symbol = s.symbol and i.bar_ts = s.bar_ts) as t) as m) as r""",
 )
+query("position_size", "select symbol, tier, risk_dollars, shares from position_sizing")
 relation("steps", "select step from (values " + ", ".join(f"({i})" for i in range(LADDER_STEPS)) + ") as v(step)")
 # Prices of the attempts, whatever the other side quotes: options from the bid + a step and from the ask; shares from a step inside on either side, the sale never below a cent.
 query("ladder_schedule", "select symbol, strike, dte, rank, cast(step as int) as step, round(bid + (step + 1) * 0.05, 2) as buy_limit, round(ask - step * 0.05, 2) as sell_limit from options_topn cross join steps where rank = 1")
