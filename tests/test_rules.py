@@ -146,3 +146,18 @@ def test_default_settings(spark):
     got = {r.strategy: r for r in registry.run(spark, "default_settings", "/root/testdata/sf0.001").collect()}
     assert set(got) == {"v1", "v2", "leaps", "bottoming"}
     assert (got["bottoming"].min_confirmations, got["bottoming"].regime_confirm_bars, got["bottoming"].cooldown_bars, got["bottoming"].min_dte, got["bottoming"].max_dte, got["bottoming"].min_avg_volume) == (8, 2, 5, 30, 60, 500_000)
+
+
+def test_action_texts(spark):
+    rows = [("v1", "LONG -- CONFIRMING", 0, 1, 6), ("v2", "CASH -- NEUTRAL", 3, 4, 2), ("leaps", "LEAPS -- WATCH", 1, 1, 5), ("leaps", "LEAPS -- WATCH", 3, 1, 5), ("leaps", "LEAPS -- WATCH", 3, 1, 4), ("leaps", "LEAPS -- BUY", 0, 3, 9), ("bottoming", "BOTTOM -- N/A", 0, 1, 3)]
+    given = spark.createDataFrame([(s, "A", signal, regime, f"R{regime}", streak, confs) for s, signal, regime, streak, confs in rows], "strategy string, symbol string, signal string, regime_id int, regime_label string, streak int, confs int")
+    ranges = spark.createDataFrame([("A", 0.42, -34.9, None)], "symbol string, hv_rank double, off_high double, off_low double")
+    assert {r.action for r in registry.run(spark, "signal_actions", all_signals=given, last_ranges=ranges).collect()} == {
+        "Bullish regime detected but not yet confirmed (1/2 bars). Wait for confirmation.",
+        "Regime: R3. 2/12 confirmations. No trade.",
+        "Bullish with 5/10 confs, confirming regime (1/3 bars). Prepare LEAPS entry.",
+        "Trend intact (5/10 confs) but regime is R3. Wait for bullish confirmation or enter on dip.",
+        "Near threshold (4/10 confs). R3. Monitor for confirmation.",
+        "Strong LEAPS entry. 9/10 confirmations. R0 confirmed (3 bars). IV rank: 42%.",
+        "Not a bottoming candidate (off-high -34.9%, off-low None%).",
+    }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from tidemark.operators.windows import rolling
 from tidemark.plans.catalog import query, relation
 
@@ -108,6 +110,68 @@ DEFAULTS = {"v1": (5, 2), "v2": (6, 2), "leaps": (5, 3), "bottoming": (8, 2)}
 for _name, (_k, _c) in DEFAULTS.items():
     query(f"signal_{_name}", signal_sql(_name, _k, _c))
 
+# What a user is told of each signal. {confs}, {streak}, {label}, {bars} and the like are filled in.
+ACTIONS = {
+    "v1": {
+        "LONG -- HOLD": "Maintain long position. Regime still bullish.",
+        "LONG -- ENTER": "Bullish regime confirmed ({streak} bars). {confs}/8 confirmations met. Enter long.",
+        "LONG -- CONFIRMING": "Bullish regime detected but not yet confirmed ({streak}/{bars} bars). Wait for confirmation.",
+        "EXIT -- REGIME FLIP": "Regime flipped bearish. Close all longs immediately.",
+        "CASH -- BEARISH": "Market in bearish regime. Stay flat.",
+        "CASH -- NEUTRAL": "Regime is {label}. Only {confs}/8 confirmations. No trade.",
+    },
+    "v2": {
+        "LONG -- HOLD": "Maintain position. Regime still bullish.",
+        "LONG -- ENTER": "Bullish regime confirmed ({streak} bars). {confs}/12 confirmations. Enter long call.",
+        "LONG -- CONFIRMING": "Bullish detected, confirming ({streak}/{bars} bars). Prepare entry.",
+        "EXIT -- REGIME FLIP": "Regime flipped bearish. Close all calls immediately.",
+        "CASH -- BEARISH": "Bearish regime. No calls.",
+        "CASH -- NEUTRAL": "Regime: {label}. {confs}/12 confirmations. No trade.",
+    },
+    "leaps": {
+        "LEAPS -- BUY": "Strong LEAPS entry. {confs}/10 confirmations. {label} confirmed ({streak} bars). IV rank: {hv}.",
+        "LEAPS -- WATCH, confirming": "Bullish with {confs}/10 confs, confirming regime ({streak}/{bars} bars). Prepare LEAPS entry.",
+        "LEAPS -- WATCH, intact": "Trend intact ({confs}/10 confs) but regime is {label}. Wait for bullish confirmation or enter on dip.",
+        "LEAPS -- WATCH, near": "Near threshold ({confs}/10 confs). {label}. Monitor for confirmation.",
+        "LEAPS -- EXIT": "Regime flipped bearish. Consider closing or rolling LEAPS.",
+        "LEAPS -- AVOID": "Bearish regime. No LEAPS entry.",
+        "LEAPS -- WAIT": "Regime: {label}. {confs}/10 confirmations. Not enough for LEAPS entry.",
+    },
+    "bottoming": {
+        "BOTTOM -- N/A": "Not a bottoming candidate (off-high {high}%, off-low {low}%).",
+        "BOTTOM -- AVOID": "Valid setup ({confs}/12) but regime is Crash/Capitulation. Do not catch falling knives.",
+        "BOTTOM -- BUY": "Strong bottoming entry. {confs}/12 confs. {label}. Price {high}% from 52w high, {low}% above 52w low.",
+        "BOTTOM -- WATCH": "Setup valid ({confs}/12) but regime is {label}. Watch for confirmation.",
+        "BOTTOM -- WAIT": "{confs}/12 confirmations in {label}. Not enough for bottoming entry.",
+    },
+}
+_text = lambda x: f"coalesce(cast({x} as string), 'None')"
+_FILLED = {"{confs}": _text("confs"), "{streak}": _text("streak"), "{label}": "regime_label", "{hv}": "cast(cast(round(coalesce(hv_rank, 0.5) * 100) as int) as string) || '%'", "{high}": _text("off_high"), "{low}": _text("off_low")}
+
+
+def action_text(template: str, bars: int) -> str:
+    """The template as a concatenation."""
+    parts = re.split(r"(\{[a-z]+\})", template.replace("{bars}", str(bars)))
+    return " || ".join(_FILLED.get(p) or f"'{p}'" for p in parts if p)
+
+
+def _case(strategy: str, kind: str) -> str:
+    k, bars = DEFAULTS[strategy]
+    return f"when strategy = '{strategy}' and kind = '{kind}' then {action_text(ACTIONS[strategy][kind], bars)}"
+
+
+_KIND = f"case when strategy = 'leaps' and signal = 'LEAPS -- WATCH' then signal || case when confs < {DEFAULTS['leaps'][0]} then ', near' when regime_id in {_BULL} then ', confirming' else ', intact' end else signal end"
+relation(
+    "last_ranges",
+    """select symbol, hv_rank, round((close / high_252 - 1) * 100, 1) as off_high, round((close / low_252 - 1) * 100, 1) as off_low from (
+      select c.symbol, c.close, c.hv_rank, v.high_252, v.low_252, row_number() over (partition by c.symbol order by c.bar_ts desc) as back from conf_input c join levels v on v.symbol = c.symbol and v.bar_ts = c.bar_ts) as l where back = 1""",
+)
+relation("all_signals", " union all ".join(f"select '{n}' as strategy, symbol, signal, regime_id, regime_label, streak, confs from signal_{n}" for n in DEFAULTS))
+query(
+    "signal_actions",
+    f"select strategy, symbol, signal, case {' '.join(_case(n, kind) for n in ACTIONS for kind in ACTIONS[n])} end as action from (select s.*, l.hv_rank, l.off_high, l.off_low, {_KIND} as kind from all_signals s join last_ranges l on l.symbol = s.symbol) as r",
+)
+
 query("regime_labels", "select regime_id, regime_label, count(*) as bars from regimes group by regime_id, regime_label")
 query("vix_level", "select bar_ts, round(close, 4) as level, case when close >= 35 then 'halt' when close >= 25 then 'caution' when close >= 20 then 'elevated' else 'low' end as label from index_bars")
 query(

@@ -17,7 +17,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from tidemark.plans.catalog import query, relation
 from tidemark.session import new_path
 from tidemark.streaming.bars import scan_chunks, signal_counts_stream
-from tidemark.streaming.changes import CONF, regime_changes
+from tidemark.streaming.changes import CHANGE, CONF, regime_changes
 
 PERIODS, FILES_A_BATCH = 4, 8
 
@@ -73,7 +73,7 @@ def stream_regime_changes(use) -> DataFrame:
     finally:
         for name, value in before.items():
             spark.conf.set(name, value)
-    return spark.read.parquet(f"{folder}/out")  # the sink's own log says which files count
+    return spark.read.schema(CHANGE).parquet(f"{folder}/out")  # the sink's own log says which files count
 
 
 query("stream_regime_changes", "select c.symbol, c.run, p.regime_id as prev_regime_id, c.regime_id from run_scans c join run_scans p on p.symbol = c.symbol and p.run = c.run - 1 where p.regime_id <> c.regime_id", stream_regime_changes)
