@@ -20,10 +20,14 @@ from tidemark.session import materialize, ship_package
 Step = Callable[[tuple], tuple]
 
 
-def fold_bars(bars: DataFrame, columns: list[str], make_step: Callable[[], Step], made: str, key: str = "symbol", order: str = "bar_ts") -> DataFrame:
-    """``key``, ``order``, ``columns`` and what a step makes (``made``, a schema) of each bar; a new step begins each symbol."""
+def fold_bars(bars: DataFrame, columns: list[str], make_step: Callable[[], Step], made: str, key: str = "symbol", order: str = "bar_ts", carried: tuple[str, ...] = (), dealt: bool = False) -> DataFrame:
+    """``key``, ``order``, ``columns`` and what a step makes (``made``, a schema) of each bar; a new step begins each symbol.
+
+    ``carried`` columns go along without being seen by a step. ``dealt`` bars are partitioned by ``key`` already.
+    """
     ship_package(bars.sparkSession)
-    given = bars.select(key, order, *columns).repartition(key).sortWithinPartitions(key, order)
+    chosen, seen = bars.select(key, order, *columns, *carried), 2 + len(columns)
+    given = (chosen if dealt else chosen.repartition(key)).sortWithinPartitions(key, order)
     schema = StructType([*given.schema.fields, *StructType.fromDDL(made).fields])
     types = to_arrow_schema(StructType.fromDDL(made)).types
 
@@ -31,7 +35,7 @@ def fold_bars(bars: DataFrame, columns: list[str], make_step: Callable[[], Step]
         present, step = None, None
         for batch in batches:
             out = []
-            for symbol, *bar in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for symbol, *bar in zip(*(c.to_pylist() for c in batch.columns[:seen]), strict=True):
                 if step is None or symbol != present:
                     present, step = symbol, make_step()
                 out.append(step(tuple(bar)))

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.operators.strategies import DEFAULTS
+from functools import partial
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.operators.strategies import AROUND, DEFAULTS
 from tidemark.operators.windows import frame
 from tidemark.plans.catalog import query, relation
 
@@ -40,13 +45,32 @@ relation("ticker_info", "select n_name as symbol, n_name as name, case when n_na
 query("sector_exclusion", f"select symbol, sector, industry from ticker_info where coalesce(sector, '') not in ({_quoted(EXCLUDED_SECTORS)}) and not ({' or '.join(f'''coalesce(lower(industry), '') like '%{k}%' ''' for k in EXCLUDED_INDUSTRIES)})")
 query("ticker_info_join", "select b.symbol, b.bars, coalesce(t.has_options, true) as has_options, coalesce(t.sector, 'Unknown') as sector from (select n.n_name as symbol, count(*) as bars from bars_nation b join nation n on n.n_nationkey = b.symbol group by n.n_name) as b left join ticker_info t on t.symbol = b.symbol")
 
+#: What the texts of the scans read and ``scans`` goes around.
+_AROUND = (*AROUND, *(f"signal_{n}" for n in DEFAULTS), "last_stats")
+
+
+def scans(use) -> DataFrame:
+    """All strategies' scans from ``signal_table``: symbols at 1 or more with 500,000 a bar over 30 bars and 100 bars."""
+    passing = use("signal_table").where("last_close >= 1.0 and vol_30 >= 500000 and n_bars >= 100")
+    return passing.selectExpr(
+        "strategy", "symbol", "signal", "regime_id", "regime_label", "round(regime_confidence, 4) as regime_confidence", "streak", "confs as confirmations_met", "round(close, 4) as price",
+        "round((last_close / close_1 - 1) * 100, 4) as change_1d", "round(vol_30, 2) as avg_volume_30",
+    )
+
+
+def strategy_scan(strategy: str, use) -> DataFrame:
+    return use("scans").where(F.col("strategy") == strategy).drop("strategy")
+
+
 for _name in DEFAULTS:
     query(
         f"scan_{_name}",
         f"""select s.symbol, s.signal, s.regime_id, s.regime_label, round(s.regime_confidence, 4) as regime_confidence, s.streak, s.confs as confirmations_met, round(s.close, 4) as price, round((l.close / l.close_1 - 1) * 100, 4) as change_1d,
           round(l.vol_30, 2) as avg_volume_30 from signal_{_name} s join last_stats l on l.symbol = s.symbol where l.close >= 1.0 and l.vol_30 >= 500000 and l.n_bars >= 100""",
+        partial(strategy_scan, _name),
+        around=_AROUND,
     )
-relation("scans", " union all ".join(f"select '{n}' as strategy, s.* from scan_{n} s" for n in DEFAULTS))
+relation("scans", " union all ".join(f"select '{n}' as strategy, s.* from scan_{n} s" for n in DEFAULTS), scans, around=(*_AROUND, *(f"scan_{n}" for n in DEFAULTS)))
 query("scan_ranked", f"select strategy, symbol, signal, confirmations_met, row_number() over (partition by strategy order by {_priority}, confirmations_met desc, symbol) as rank from scans")
 query("screen_sorted", f"select strategy, symbol, row_number() over (order by {_priority}, confirmations_met desc, strategy, symbol) as by_signal, row_number() over (order by regime_confidence desc, strategy, symbol) as by_confidence, row_number() over (order by confirmations_met desc, strategy, symbol) as by_confirmations, row_number() over (order by coalesce(change_1d, 0) desc, strategy, symbol) as by_change from scans")
 query("strategy_defaults", "select s.strategy, s.symbol, d.min_confirmations, d.regime_confirm_bars, d.cooldown_bars, d.min_dte, d.max_dte, d.price_above_ema50, s.avg_volume_30 >= d.min_avg_volume as enough_volume from scans s join default_settings d on d.strategy = s.strategy")
@@ -127,27 +151,19 @@ query("symbol_resolve", "select c_custkey, case upper(trim(c_mktsegment)) " + "
 
 
 def _boxes():
-    from pyspark.sql import functions as F
-
     return {c: F.array(c) for c in ("price", "confirmations_met")}
 
 
 def pruned(results):
     """The columns without an underscore before their name; an array column gives its first value."""
-    from pyspark.sql import functions as F
-
     kinds = dict(results.dtypes)
     return results.select(*(F.get(c, F.lit(0)).alias(c) if kinds[c].startswith("array") else F.col(c) for c in results.columns if not c.startswith("_")))
 
 
 def _csv():
-    from pyspark.sql import functions as F
-
     return F.array_join(F.array_sort(F.collect_list("symbol")), ", ").alias("tickers")
 
 
 def _payload(regimes):
-    from pyspark.sql import functions as F
-
     rows = regimes.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("bar_ts", F.round("close", 4).alias("close"), "regime_id"))).alias("r"))
     return rows.select("symbol", F.transform("r.bar_ts", lambda t: t.cast("string")).alias("dates"), F.col("r.close").alias("closes"), F.col("r.regime_id").alias("regime_ids"))

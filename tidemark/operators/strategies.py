@@ -4,25 +4,62 @@ from __future__ import annotations
 
 import re
 
-from tidemark.operators.windows import rolling
+from functools import partial
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.operators.windows import frame, rolling
 from tidemark.plans.catalog import query, relation
 
+#: What the texts of ``conf_input`` and of those that rest on it read, and Spark's single pass over ``ranked_bars`` goes around.
+_RANKS = ("rolling_pct_rank", "rank_input", "hist_vol", "daily_returns")
+_STATES = (*_RANKS, "conf_input", "levels", "levels_lagged")
+LAGS = {"close_10": ("close", 10), "close_5": ("close", 5), "close_252": ("close", 252), "atr14_1": ("atr14", 1), "high_1": ("high", 1), "low_3": ("low", 3), "macd_hist_1": ("macd_hist", 1)}
+_W = "over (partition by symbol order by bar_ts)"
+
 relation(
     "conf_input",
     f"""select i.*, lag(i.close, 10) over w as close_10, lag(i.close, 5) over w as close_5, lag(i.close, 252) over w as close_252, lag(i.atr14) over w as atr14_1, lag(i.high) over w as high_1, lag(i.low, 3) over w as low_3, lag(i.macd_hist) over w as macd_hist_1,
       avg(cast(i.volume as double)) over (partition by i.symbol order by i.bar_ts rows between 19 preceding and current row) as vol_20, max(i.rsi14) over (partition by i.symbol order by i.bar_ts rows between 4 preceding and current row) as rsi_max5,
       r.atr_rank, r.hv_rank
     from ind i join rolling_pct_rank r on r.symbol = i.symbol and r.bar_ts = i.bar_ts window w as (partition by i.symbol order by i.bar_ts)""",
+    lambda use: use("bar_states").select(*use("ind").columns, *LAGS, "vol_20", "rsi_max5", "atr_rank", "hv_rank"),
+    around=_RANKS,
 )
-relation(
-    "levels",
-    f"""select symbol, bar_ts, {rolling("max", "high", 252, 60)} as high_252, {rolling("min", "low", 252, 60)} as low_252, {rolling("max", "high", 20, 5)} as high_20, {rolling("min", "low", 20, 5)} as low_20, {rolling("min", "low", 10, 3)} as low_10,
-      {rolling("max", "high", 20, 5, 1)} as prior_high_20, {rolling("min", "low", 21, 10)} as low_1m, {rolling("min", "low", 21, 10, 21)} as low_2m, {rolling("min", "low", 21, 10, 42)} as low_3m,
-      {rolling("avg", "cast(volume as double)", 5, 2)} as vol_5, {rolling("avg", "cast(volume as double)", 20, 5)} as vol_20_5, {rolling("avg", "cast(volume as double)", 50, 20)} as vol_50
-    from bars""",
-)
+#: Levels: the aggregate, its column, the bars of its frame, the fewest values in it and how many bars back it ends.
+LEVELS = {
+    "high_252": ("max", "high", 252, 60, 0),
+    "low_252": ("min", "low", 252, 60, 0),
+    "high_20": ("max", "high", 20, 5, 0),
+    "low_20": ("min", "low", 20, 5, 0),
+    "low_10": ("min", "low", 10, 3, 0),
+    "prior_high_20": ("max", "high", 20, 5, 1),
+    "low_1m": ("min", "low", 21, 10, 0),
+    "low_2m": ("min", "low", 21, 10, 21),
+    "low_3m": ("min", "low", 21, 10, 42),
+    "vol_5": ("avg", "cast(volume as double)", 5, 2, 0),
+    "vol_20_5": ("avg", "cast(volume as double)", 20, 5, 0),
+    "vol_50": ("avg", "cast(volume as double)", 50, 20, 0),
+}
+_LEVELS = ", ".join(f"{rolling(*of)} as {name}" for name, of in LEVELS.items())
+relation("levels", f"select symbol, bar_ts, {_LEVELS} from bars")
 relation("levels_lagged", "select *, lag(low_10, 10) over (partition by symbol order by bar_ts) as low_10_10 from levels")
 
+
+def bar_states(use) -> DataFrame:
+    """A row a bar with all that any strategy asks: indicators, ranks, lags and levels.
+
+    All windows are over a symbol's bars in order, so that one shuffle of ``ranked_bars`` serves them all.
+    """
+    lags = [f"lag({column}, {n}) {_W} as {name}" for name, (column, n) in LAGS.items()]
+    frames = [f"avg(cast(volume as double)) {frame(20)} as vol_20", f"max(rsi14) {frame(5)} as rsi_max5"]
+    wide = use("ranked_bars").drop("n").selectExpr("*", *lags, *frames, f"struct({_LEVELS}) as v")
+    return wide.selectExpr("* except (v)", "v.*", f"lag(v.low_10, 10) {_W} as low_10_10")
+
+
+relation("bar_states", "", bar_states)
+
 #: Each strategy's predicates, in order.
 V1 = {
     "rsi_below_90": "rsi14 < 90",
@@ -79,10 +116,18 @@ STRATEGIES = {"v1": V1, "v2": V2, "leaps": LEAPS, "bottoming": BOTTOMING}
 _JOINED = """(select c.*, v.high_252, v.low_252, v.high_20, v.low_20, v.low_10, v.prior_high_20, v.low_1m, v.low_2m, v.low_3m, v.vol_5, v.vol_20_5, v.vol_50, v.low_10_10
   from conf_input c join levels_lagged v on v.symbol = c.symbol and v.bar_ts = c.bar_ts) as j"""
 
+
+
+def confirmations(strategy: str, use) -> DataFrame:
+    """A strategy's predicates of every bar and how many of them hold."""
+    flags = [f"coalesce({rule}, false) as conf_{key}" for key, rule in STRATEGIES[strategy].items()]
+    return use("bar_states").selectExpr("symbol", "bar_ts", *flags).selectExpr("*", " + ".join(f"cast(conf_{key} as int)" for key in STRATEGIES[strategy]) + " as confirmations_met")
+
+
 for _name, _rules in STRATEGIES.items():
     _flags = ", ".join(f"coalesce({rule}, false) as conf_{key}" for key, rule in _rules.items())
     _sum = " + ".join(f"cast(conf_{key} as int)" for key in _rules)
-    query(f"conf_{_name}", f"select *, {_sum} as confirmations_met from (select symbol, bar_ts, {_flags} from {_JOINED}) as f")
+    query(f"conf_{_name}", f"select *, {_sum} as confirmations_met from (select symbol, bar_ts, {_flags} from {_JOINED}) as f", partial(confirmations, _name), around=_STATES)
 
 _LAST = """(select r.symbol, r.bar_ts, r.close, r.regime_id, r.regime_label, r.regime_confidence, coalesce(r.prev_id, r.regime_id) as prev_regime_id, s.streak, c.confirmations_met as confs{more}
   from (select *, lag(regime_id) over (partition by symbol order by bar_ts) as prev_id, row_number() over (partition by symbol order by bar_ts desc) as back from regimes) as r
@@ -99,7 +144,7 @@ _BOTTOM = "case when not gates then 'BOTTOM -- N/A' when regime_id = 6 then 'BOT
 
 def signal_sql(strategy: str, min_confirmations: int, confirm_bars: int) -> str:
     """The latest bar's signal under a strategy's decision chain."""
-    chain = {"v1": _SWING, "v2": _SWING, "leaps": _LEAPS, "bottoming": _BOTTOM}[strategy]
+    chain = _CHAINS[strategy]
     more = ", c.conf_off_high and c.conf_off_low as gates" if strategy == "bottoming" else ""
     source = _LAST.replace("{more}", more).replace("{conf}", f"conf_{strategy}")
     return f"select symbol, bar_ts, close, regime_id, regime_label, regime_confidence, streak, confs, {chain.format(k=min_confirmations, c=confirm_bars)} as signal from {source}"
@@ -107,8 +152,68 @@ def signal_sql(strategy: str, min_confirmations: int, confirm_bars: int) -> str:
 
 #: Fewest confirmations and bars of a regime, by strategy.
 DEFAULTS = {"v1": (5, 2), "v2": (6, 2), "leaps": (5, 3), "bottoming": (8, 2)}
+_SIGNAL = ("symbol", "bar_ts", "close", "regime_id", "regime_label", "regime_confidence", "streak", "confs", "signal")
+_CHAINS = {"v1": _SWING, "v2": _SWING, "leaps": _LEAPS, "bottoming": _BOTTOM}
+#: What the texts of signals and scans read and ``signal_table`` goes around.
+AROUND = (*_STATES, *(f"conf_{n}" for n in STRATEGIES), "regime_streak")
+
+
+def last_regimes(regimes: DataFrame) -> DataFrame:
+    """Each symbol's last bar with its regime, the one before and for how many bars it has lasted."""
+    walked = regimes.selectExpr(
+        "symbol", "bar_ts as at", "close", "regime_id", "regime_label", "regime_confidence", f"lag(regime_id) {_W} as prev_id", f"row_number() {_W} as n",
+    ).selectExpr("*", "regime_id is null or prev_id is null or regime_id <> prev_id as begins")
+    last = walked.groupBy("symbol").agg(F.expr("max_by(struct(at, close, regime_id, regime_label, regime_confidence, prev_id), n) as l"), F.expr("max(n) - max(n) filter (where begins) + 1 as streak"))
+    return last.selectExpr("symbol", "l.*", "coalesce(l.prev_id, l.regime_id) as prev_regime_id", "streak").drop("prev_id")
+
+
+def last_states() -> list[str]:
+    """What ``bar_states`` has of one bar, as aggregates over a symbol's bars by how far ``back`` from it they lie: they merge, and cost one pass."""
+    at = lambda column, back, name: f"max({column}) filter (where back = {back}) as {name}"
+    within = lambda agg, column, n, end=0: f"{agg}({column}) filter (where back between {end} and {end + n - 1})"
+    level = lambda agg, column, n, least, end: f"case when {within('count', column, n, end)} >= {least} then {within(agg, column, n, end)} end"
+    bar = ("open", "high", "low", "close", "volume", "ema10", "ema20", "ema50", "ema200", "macd", "macd_signal", "macd_hist", "rsi14", "atr14", "atr20", "adx14", "atr_rank", "hv_rank")
+    low_10 = ("min", "low", 10, LEVELS["low_10"][3], 10)
+    return [
+        *(at(c, 0, c) for c in bar), *(at(column, n, name) for name, (column, n) in LAGS.items()), *(f"{level(*of)} as {name}" for name, of in (LEVELS | {"low_10_10": low_10}).items()),
+        f"{within('avg', 'cast(volume as double)', 20)} as vol_20", f"{within('max', 'rsi14', 5)} as rsi_max5",
+    ]
+
+
+#: Of the last bar of all: what a scan tells of it.
+_STATS = ("max(close) filter (where n = n_bars) as last_close", "max(close) filter (where n = n_bars - 1) as close_1", "avg(cast(volume as double)) filter (where n > n_bars - 30) as vol_30")
+
+
+def signal_table(use) -> DataFrame:
+    """Every strategy's signal of each symbol, with what a scan tells of the last bar.
+
+    A signal stands at one bar, so no window is worked out: the bars know their numbers, each symbol's last regime
+    finds its own, and aggregates over those before it give all states, partly summed before they are shuffled. A
+    symbol becomes one row, and that row four, one a strategy. A symbol whose last regime has no bar of its time
+    gives none.
+    """
+    bars, regimes = use("ranked_bars"), last_regimes(use("regimes")).withColumnsRenamed({"symbol": "of", "close": "price"})
+    known = [c for c in regimes.columns if c != "of"]
+    numbers = bars.select("symbol", "bar_ts", "n").join(regimes, F.expr("symbol = of")).groupBy("of", *known).agg(F.expr("max(n) filter (where bar_ts = at) as n_at"), F.max("n").alias("n_bars")).where("n_at is not null")
+    numbered = bars.join(numbers, F.expr("symbol = of")).withColumn("back", F.expr("n_at - n"))
+    states = numbered.groupBy("symbol", *known, "n_bars").agg(*map(F.expr, (*last_states(), *_STATS)))
+    met = lambda rules: " + ".join(f"cast(coalesce({rule}, false) as int)" for rule in rules.values())
+    four = ", ".join(f"struct('{n}' as strategy, {met(rules)} as confs)" for n, rules in STRATEGIES.items())
+    gates = " and ".join(f"coalesce({BOTTOMING[g]}, false)" for g in ("off_high", "off_low"))
+    told = states.selectExpr("symbol", *known, "n_bars", "last_close", "close_1", "vol_30", f"{gates} as gates", f"inline(array({four}))").withColumnsRenamed({"at": "bar_ts", "price": "close"})
+    chain = " ".join(f"when '{n}' then {_CHAINS[n].format(k=k, c=c)}" for n, (k, c) in DEFAULTS.items())
+    return told.withColumn("signal", F.expr(f"case strategy {chain} end")).select("strategy", *_SIGNAL, "last_close", "close_1", "vol_30", "n_bars")
+
+
+relation("signal_table", "", signal_table)
+
+
+def strategy_signals(strategy: str, use) -> DataFrame:
+    return use("signal_table").where(F.col("strategy") == strategy).select(*_SIGNAL)
+
+
 for _name, (_k, _c) in DEFAULTS.items():
-    query(f"signal_{_name}", signal_sql(_name, _k, _c))
+    query(f"signal_{_name}", signal_sql(_name, _k, _c), partial(strategy_signals, _name), around=AROUND)
 
 # What a user is told of each signal. {confs}, {streak}, {label}, {bars} and the like are filled in.
 ACTIONS = {
@@ -166,7 +271,7 @@ relation(
     """select symbol, hv_rank, round((close / high_252 - 1) * 100, 1) as off_high, round((close / low_252 - 1) * 100, 1) as off_low from (
       select c.symbol, c.close, c.hv_rank, v.high_252, v.low_252, row_number() over (partition by c.symbol order by c.bar_ts desc) as back from conf_input c join levels v on v.symbol = c.symbol and v.bar_ts = c.bar_ts) as l where back = 1""",
 )
-relation("all_signals", " union all ".join(f"select '{n}' as strategy, symbol, signal, regime_id, regime_label, streak, confs from signal_{n}" for n in DEFAULTS))
+relation("all_signals", " union all ".join(f"select '{n}' as strategy, symbol, signal, regime_id, regime_label, streak, confs from signal_{n}" for n in DEFAULTS), lambda use: use("signal_table").select("strategy", "symbol", "signal", "regime_id", "regime_label", "streak", "confs"), around=(*AROUND, *(f"signal_{n}" for n in DEFAULTS)))
 query(
     "signal_actions",
     f"select strategy, symbol, signal, case {' '.join(_case(n, kind) for n in ACTIONS for kind in ACTIONS[n])} end as action from (select s.*, l.hv_rank, l.off_high, l.off_low, {_KIND} as kind from all_signals s join last_ranges l on l.symbol = s.symbol) as r",

@@ -93,6 +93,20 @@ query(
     from (select *, list(atr) filter (where atr is not null) {frame(60)} as a, list(hv) filter (where hv is not null) {frame(252)} as h from rank_input) as r""",
     percent_ranks,
 )
+
+
+def ranked_bars(use) -> DataFrame:
+    """Bars with their number, indicators and ranks: volatility is worked out where the fold's bars are dealt, nothing is joined."""
+    ind = use("ind")
+    returns = ind.repartition("symbol").selectExpr("*", "close / lag(close) over (partition by symbol order by bar_ts) - 1 as ret")
+    given = returns.selectExpr("*", "round(atr14, 6) as atr", f"round({rolling('stddev_samp', 'ret', 20, 20)} * sqrt(252), 6) as hv", "row_number() over (partition by symbol order by bar_ts) as n")
+    carried = ("n", *(c for c in ind.columns if c not in ("symbol", "bar_ts")))
+    folded = fold_bars(given, list(RANKED), rank_step, ", ".join(f"{c}_rank double" for c in RANKED), carried=carried, dealt=True)
+    return folded.select(*ind.columns, "n", *(F.round(f"{c}_rank", 6).alias(f"{c}_rank") for c in RANKED))
+
+
+#: For Spark alone: the oracle's texts join ``ind`` and ``rolling_pct_rank``.
+relation("ranked_bars", "", ranked_bars)
 query("ema", "select symbol, bar_ts, round(ema10, 6) as ema10, round(ema20, 6) as ema20, round(ema50, 6) as ema50, round(ema200, 6) as ema200 from ind")
 query("macd", "select symbol, bar_ts, round(macd, 6) as macd, round(macd_signal, 6) as macd_signal, round(macd_hist, 6) as macd_hist from ind")
 query("rsi", "select symbol, bar_ts, round(rsi14, 6) as rsi14 from ind")

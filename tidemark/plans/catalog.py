@@ -31,6 +31,8 @@ class Relation:
     own: frozenset[str] = frozenset()
     #: Written to the shared folder and read back on Spark: for what several others build on.
     stored: bool = False
+    #: What its text reads but its builder goes around: where one of these is given, the text counts.
+    around: frozenset[str] = frozenset()
 
     @property
     def uses(self) -> tuple[str, ...]:
@@ -42,16 +44,16 @@ RELATIONS: dict[str, Relation] = {}
 QUERIES: list[str] = []
 
 
-def relation(name: str, sql: str, build: Callable[..., DataFrame] | None = None, stored: bool = False) -> None:
+def relation(name: str, sql: str, build: Callable[..., DataFrame] | None = None, stored: bool = False, around: tuple[str, ...] = ()) -> None:
     """Define a relation; what it uses is read off its text."""
     words = dict.fromkeys(re.findall(r"\b(?:from|join)\s+([a-z_][a-z0-9_]*)", sql.lower()))
     own = frozenset(re.findall(r"\b([a-z_][a-z0-9_]*)(?:\([a-z0-9_, ]*\))?\s+as\s+\(\s*select", sql.lower()))
-    RELATIONS[name] = Relation(sql.strip(), build, tuple(words), own, stored)
+    RELATIONS[name] = Relation(sql.strip(), build, tuple(words), own, stored, frozenset(around))
 
 
-def query(name: str, sql: str, build: Callable[..., DataFrame] | None = None) -> None:
+def query(name: str, sql: str, build: Callable[..., DataFrame] | None = None, around: tuple[str, ...] = ()) -> None:
     """Define a relation that is registered as a query."""
-    relation(name, sql, build)
+    relation(name, sql, build, around=around)
     QUERIES.append(name)
 
 
@@ -87,7 +89,7 @@ def run(spark: SparkSession, name: str, sf_dir: str | None = None, _made: dict[s
     r = RELATIONS[name]
     if name in made:
         return made[name]
-    if r.build:
+    if r.build and not r.around & given.keys():
         made[name] = r.build(lambda used: run(spark, used, sf_dir, made, **given))
         return made[name]
     seen: dict[str, None] = {}
