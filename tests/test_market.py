@@ -40,6 +40,14 @@ def test_own_bars_by_hand(spark):
     assert ema[9] is None and ema[10] is not None
 
 
+def test_standardize_takes_the_first_of_columns_that_agree(spark):
+    raw = spark.createDataFrame([("A", 1.0, 9.0, 0.5, 2.0, 7.0, 8.0, 10, 11)], "Symbol string, Open double, High double, Low double, Close double, x double, y double, Volume long, z long")
+    raw = raw.toDF("Symbol", "Open", "High", "Low", "Close", "close", "Close", "Volume", "VOLUME")
+    made = standardize(raw)
+    assert made.columns == ["symbol", "open", "high", "low", "close", "volume"]
+    assert [tuple(r) for r in made.collect()] == [("A", 1.0, 9.0, 0.5, 2.0, 10)]
+
+
 def test_standardize_names_and_fallback(spark):
     raw = spark.createDataFrame([Row(Open=1.0, HIGH=2.0, low=0.5, Volume=10, **{"Adj Close": 1.5})])
     assert standardize(raw).first().close == 1.5

@@ -17,16 +17,20 @@ BAR_JSON = "array<struct<date:string,open:string,high:string,low:string,close:st
 
 
 def standardize(raw: DataFrame) -> DataFrame:
-    """Columns by their names in any case; close falls back to adjusted close; a missing column is an error."""
+    """Columns by their names in any case; close falls back to adjusted close; a missing column is an error.
+
+    Of columns whose names agree the first counts.
+    """
     by_name = {}
-    for c in raw.columns:
-        by_name.setdefault(c.lower().replace(" ", "_"), c)
-    close = [F.col(f"`{by_name[c]}`") for c in ("close", "adj_close") if c in by_name]
+    for i, c in enumerate(raw.columns):
+        by_name.setdefault(c.lower().replace(" ", "_"), f"c{i}")
+    close = [F.col(by_name[c]) for c in ("close", "adj_close") if c in by_name]
     missing = {"open", "high", "low", "volume"} - by_name.keys()
     if missing or not close:
         raise ValueError(f"no column for {sorted(missing) or 'close'}")
-    keys = [F.col(f"`{by_name[c]}`").alias(c) for c in ("symbol", "bar_ts") if c in by_name]
-    return raw.select(*keys, *(F.col(f"`{by_name[c]}`").alias(c) for c in ("open", "high", "low")), F.coalesce(*close).alias("close"), F.col(f"`{by_name['volume']}`").alias("volume"))
+    keys = [F.col(by_name[c]).alias(c) for c in ("symbol", "bar_ts") if c in by_name]
+    numbered = raw.toDF(*(f"c{i}" for i in range(len(raw.columns))))  # names that differ in case alone can't be told apart
+    return numbered.select(*keys, *(F.col(by_name[c]).alias(c) for c in ("open", "high", "low")), F.coalesce(*close).alias("close"), F.col(by_name["volume"]).alias("volume"))
 
 
 def from_json_list(payloads: DataFrame) -> DataFrame:
