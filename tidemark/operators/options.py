@@ -154,6 +154,34 @@ relation(
 relation("roll_quotes", "select symbol, side, strike, spot, dte, ask, sigma, cast(greatest(dte, 1) as double) / 365 as t from quotes where side = 'call'")
 relation("roll_greeks", f"select * from {greeks('roll_quotes')} as g", greeks_once("roll_quotes", "delta"))
 relation("roll_candidates", "select distinct symbol, dte, strike, ask, round(delta, 3) as delta from roll_greeks where round(delta, 9) between 0.70 and 0.80")
+# Contracts by expiry, the credit falls as the ask rises, whatever the bid: one that isn't closer to the middle delta (or as close at a lower strike) than all that ask less never wins.
+# So an expiry keeps a short list of those that can, and each date held meets the lists of its own expiry and of the next later one. Dates before -1 roll as -1 does. A NaN counts as the largest credit.
+_ROLL_LISTS = """
+    with calls as (
+      select distinct symbol, dte, case when deep then ask end as ask, case when deep then strike end as strike, case when deep then round(delta, 3) end as delta
+      from (select *, coalesce(round(delta, 9) between 0.70 and 0.80 and ask is not null, false) as deep from {calls}) as q),
+    nearer as (
+      select *, min(case when ask is not null then struct(gap, strike) end) over (partition by symbol, dte order by ask is null, not isnan(ask), ask, gap, strike, delta rows between unbounded preceding and 1 preceding) as nearest
+      from (select *, abs(delta - 0.75) as gap from calls) as g),
+    listed as (
+      select symbol, dte, collect_list(case when ask is not null and (nearest is null or struct(gap, strike) < nearest) then struct(ask, gap, strike, delta) end) as choices from nearer group by symbol, dte),
+    dates as (select *, coalesce(lag(dte) over (partition by symbol order by dte), -1) as before from listed)
+    select symbol, dte, choices, inline(array_append(transform(sequence(before, dte - 1), d -> struct(d as held, 'roll_out' as roll_type)), struct(dte as held, 'roll_up' as roll_type))) from dates where size(choices) > 0"""
+_ROLLS = """
+    select position_id, leg, symbol, roll_type, strike, dte, delta, credit from (
+      select *, row_number() over (partition by position_id, leg, roll_type order by credit desc, gap, strike, ask, delta, symbol) as rn from (
+        select position_id, leg, symbol, roll_type, dte, best.credit, -best.gap as gap, -best.strike as strike, -best.ask as ask, best.delta from (
+          select p.position_id, p.leg, p.symbol, t.roll_type, t.dte, array_max(transform(filter(t.choices, c -> p.bid - c.ask > 0), c -> struct(round(p.bid - c.ask, 2) as credit, -c.gap as gap, -c.strike as strike, -c.ask as ask, c.delta as delta))) as best
+          from {positions} p join {lists} t on t.symbol = p.symbol and t.held = case when p.dte < -1 then -1 else p.dte end) as b where best is not null) as c) as r where rn = 1"""
+
+
+def roll_targets(use):
+    """Every leg's best rolls, each position read once: it meets two short lists instead of all contracts of two expiries."""
+    calls = use("roll_greeks")
+    lists = calls.sparkSession.sql(_ROLL_LISTS, calls=calls)
+    return calls.sparkSession.sql(_ROLLS, positions=use("option_positions"), lists=lists)
+
+
 query(
     "roll_target",
     """select position_id, leg, symbol, roll_type, strike, dte, delta, credit from (
@@ -161,6 +189,8 @@ query(
         select p.position_id, p.leg, p.symbol, p.roll_type, c.strike, c.dte, c.delta, c.ask, round(p.bid - c.ask, 2) as credit
         from (select p.*, 'roll_up' as roll_type, dte as target from option_positions p union all select p.*, 'roll_out' as roll_type, n.next_dte as target from option_positions p join next_expiries n on n.symbol = p.symbol and n.dte = p.dte) as p
         join roll_candidates c on c.symbol = p.symbol and c.dte = p.target where p.bid - c.ask > 0) as t) as r where rn = 1""",
+    roll_targets,
+    around=("quotes", "roll_quotes", "roll_greeks", "roll_candidates", "next_expiries"),
 )
 query(
     "position_sizing",
