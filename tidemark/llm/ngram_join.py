@@ -19,9 +19,10 @@ component of links. The stages:
    too few shingles occur in another has no link that is missing. Passages that many
    documents share end here.
 5. *Blocks.* What is left is linked to the least set with which it shares one of the
-   ``n - ceil(3 n / 4) + 1`` first shingles in the global order; linked sets have one
-   in common, so they end in one component of these edges, a block. Blocks are joined
-   over tries, large ones in chunks and then in pairs of chunks.
+   ``n - ceil(3 n / 4) + 1`` first shingles in a global order, rare ones first; linked
+   sets have one in common, so they end in one component of these edges, a block. Blocks
+   are joined over tries. A large block falls into the groups of sets that share such a
+   shingle, if that sends fewer shingles than all pairs of its chunks.
 6. *Components* of all links, then of the documents.
 
 No stage emits pairs of documents: edges are at most one a set (stages 3 and 5) or one a
@@ -41,10 +42,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
+from tidemark.llm.id_bitmaps import having
 from tidemark.llm.text_batches import column, give_back, text_slices
 from tidemark.llm.trie_join import block_links
 from tidemark.session import materialize, ship_package
@@ -110,8 +112,19 @@ SENT_SQL = "flush long, bucket int, places binary, sizes binary, names binary, g
 #: What comes back: of each bucket how many shingles of each owner others have too, and the owners' row.
 BACK = ("flush", "places", "hits", "doc_ids", "fps", "counts")
 BACK_SQL = "flush long, places binary, hits binary, doc_ids array<long>, fps binary, counts binary"
-#: Owners that a task settles at a time at most; their places take two bytes. The last place means no owner.
-MOST_OWNERS, NOBODY = 50_000, 0xFFFF
+#: Owners that a task settles at a time at most; their places, from 1 on, take two bytes. The place 0 means no owner.
+MOST_OWNERS, NOBODY = 50_000, 0
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 on in as many bytes each as the largest takes; the first byte says how many."""
+    most = int(numbers.max(initial=0))
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
+    return bytes([width]) + numbers.astype(f"<u{width}").tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
 
 
 def _row(**values) -> pa.RecordBatch:
@@ -135,7 +148,7 @@ def _unsettled(n_owners: int, sets: list[tuple[int, np.ndarray]], buckets: int,
     new = np.concatenate([[True], grams[1:] != grams[:-1]])
     alone = new & np.concatenate([new[1:], [True]])
     hits = np.bincount(place[~alone], minlength=n_owners)
-    sent = np.where(alone, place, NOBODY)[new]
+    sent = np.where(alone, place + 1, NOBODY)[new]
     grams = grams[new]
     to = (grams >> np.uint64(32)) % np.uint64(buckets)
     order = np.lexsort((sent, to))
@@ -144,11 +157,11 @@ def _unsettled(n_owners: int, sets: list[tuple[int, np.ndarray]], buckets: int,
     rows = []
     for b in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
         own, sizes = np.unique(sent[edges[b] : edges[b + 1]], return_counts=True)
-        known = None if names is None else names[np.where(own == NOBODY, 0, own)].astype("<i8").tobytes()
+        known = None if names is None else names[np.maximum(own - 1, 0)].astype("<i8").tobytes()
         low = grams[edges[b] : edges[b + 1]]
         if names is None:
             low = (low & np.uint64(0xFFFFFFFF)).astype("<u4")
-        rows.append(_row(flush=flush, bucket=b, places=own.astype("<u2").tobytes(), sizes=sizes.astype("<u2" if sizes.max() <= 0xFFFF else "<u4").tobytes(), names=known, grams=low.tobytes()))
+        rows.append(_row(flush=flush, bucket=b, places=_packed(np.diff(own, prepend=0)), sizes=_packed(sizes), names=known, grams=low.tobytes()))
     return hits, rows
 
 
@@ -248,12 +261,11 @@ def _settle(table: pa.Table) -> pa.Table:
     rows = table.filter(pc.invert(is_owner))
     grams, places, sources, names = [], [], [], []
     for i, (place, sizes, name, low) in enumerate(zip(*(rows.column(c).to_pylist() for c in ("places", "sizes", "names", "grams")), strict=True)):
-        place = np.frombuffer(place, "<u2")
-        sizes = np.frombuffer(sizes, f"<u{len(sizes) // len(place)}")
-        places.append(np.repeat(place, sizes))
+        sizes = _unpacked(sizes)
+        places.append(np.repeat(np.cumsum(_unpacked(place)), sizes))
         grams.append(np.frombuffer(low, f"<u{len(low) // len(places[-1])}"))
         sources.append(np.full(len(grams[-1]), i, np.int32))
-        names.append(np.repeat(np.frombuffer(name, "<i8"), sizes) if name is not None else i * (1 << 16) + places[-1].astype(np.int64))
+        names.append(np.repeat(np.frombuffer(name, "<i8"), sizes) if name is not None else i * (1 << 16) + places[-1])
     if not grams:
         return passing.select(BACK)
     grams, places, sources, names = (np.concatenate(x) for x in (grams, places, sources, names))
@@ -268,11 +280,11 @@ def _settle(table: pa.Table) -> pa.Table:
     # A shingle without an owner repeats within its task: whoever else has it has it repeated.
     repeated = ~(new & np.concatenate([new[1:], [True]])) & owned
     keys, hits = np.unique(sources[repeated].astype(np.int64) << 16 | places[repeated], return_counts=True)
-    source, place, flushes = keys >> 16, (keys & 0xFFFF).astype("<u2"), rows.column("flush").to_numpy()
+    source, place, flushes = keys >> 16, keys & 0xFFFF, rows.column("flush").to_numpy()
     edges = [0, *(np.flatnonzero(source[1:] != source[:-1]) + 1).tolist(), len(source)] if len(source) else [0]
     cuts = list(zip(edges, edges[1:], strict=False))
     none = pa.nulls(len(cuts), pa.binary())
-    back = [pa.array([flushes[source[a]] for a, _ in cuts], pa.int64()), pa.array([place[a:b].tobytes() for a, b in cuts], pa.binary()), pa.array([hits[a:b].astype("<i8").tobytes() for a, b in cuts], pa.binary()), pa.nulls(len(cuts), pa.list_(pa.int64())), none, none]
+    back = [pa.array([flushes[source[a]] for a, _ in cuts], pa.int64()), pa.array([_packed(np.diff(place[a:b], prepend=0)) for a, b in cuts], pa.binary()), pa.array([_packed(hits[a:b]) for a, b in cuts], pa.binary()), pa.nulls(len(cuts), pa.list_(pa.int64())), none, none]
     return pa.concat_tables([passing.select(BACK), pa.table(back, names=list(BACK))], promote_options="permissive")
 
 
@@ -282,7 +294,7 @@ def _add_up(table: pa.Table) -> pa.Table:
     hits = np.frombuffer(owner.column("hits")[0].as_py(), "<i8").copy()
     others = table.filter(pc.is_valid(table.column("places")))
     for places, found in zip(others.column("places").to_pylist(), others.column("hits").to_pylist(), strict=True):
-        hits[np.frombuffer(places, "<u2")] += np.frombuffer(found, "<i8")
+        hits[np.cumsum(_unpacked(places)) - 1] += _unpacked(found)
     return pa.table({"doc_id": owner.column("doc_ids").combine_chunks().flatten(), "fp": np.frombuffer(owner.column("fps")[0].as_py(), "<i8"), "n": np.frombuffer(owner.column("counts")[0].as_py(), "<i8"), "hits": hits})
 
 
@@ -305,17 +317,24 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gram, fp) for the first shingles of each set: linked sets share one."""
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, fp) for the shingles of each set."""
     for batch in batches:
-        grams, fps = [], []
-        for fp, data in zip(batch.column("fp").to_pylist(), batch.column("grams").to_pylist(), strict=True):
-            own = np.frombuffer(data, "<u8")
-            own = own[: len(own) - -(-3 * len(own) // 4) + 1]
-            grams.append(own.view(np.int64))
-            fps.append(np.full(len(own), fp, np.int64))
-        if grams:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams)), pa.array(np.concatenate(fps))], names=["gram", "fp"])
+        if batch.num_rows:
+            grams = np.frombuffer(b"".join(batch.column("grams").to_pylist()), "<i8")
+            yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(np.repeat(batch.column("fp").to_numpy(), batch.column("n").to_numpy()))], names=["gram", "fp"])
+
+
+def _prefixes(sets: DataFrame) -> DataFrame:
+    """(gram, fp) for the first shingles of each set, of those that other sets have too: linked sets share one.
+
+    Shingles in few sets come first. Those of one set alone come before all others and only take up places.
+    """
+    grams = sets.select("fp", "n", "grams").mapInArrow(_grams, "gram long, fp long")
+    shared = grams.groupBy("gram").agg(F.count("*").alias("sets")).where("sets > 1")
+    own = Window.partitionBy("fp")
+    placed = grams.join(shared, "gram").select("gram", "fp", F.count("*").over(own).alias("shared"), F.row_number().over(own.orderBy("sets", "gram")).alias("place"))
+    return placed.join(sets.select("fp", "n").hint("merge"), "fp").where("place <= shared - (3 * n + 3) div 4 + 1").select("gram", "fp")
 
 
 def _join_group(table: pa.Table) -> pa.Table:
@@ -376,24 +395,58 @@ def _block_links(sets: DataFrame, members: DataFrame, groups: int) -> DataFrame:
     parted = parted.select("block", "fp", "chunks", F.coalesce("joined", "component").alias("component"))
     open_blocks = parted.groupBy("block").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("block")
     chunk, every = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"), F.sequence(F.lit(0), F.col("chunks") - 1)
-    pairs = parted.join(open_blocks, "block").select("block", "fp", "component", chunk.alias("chunk"), F.explode(every).alias("other"))
+    parted = materialize(parted.join(open_blocks, "block"), "open")
+    pairs = parted.select("block", "fp", "component", chunk.alias("chunk"), F.explode(every).alias("other"))
     pairs = pairs.select("block", "fp", "component", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
-    more = pairs.join(sets.hint("merge"), "fp").groupBy("block", "low", "high").applyInArrow(_join_group, LINK)
+    likely = having(sets, "fp", open=parted.select("fp")).where("open").select("row.*")
+    more = pairs.join(likely.hint("merge"), "fp").groupBy("block", "low", "high").applyInArrow(_join_group, LINK)
     return links.union(materialize(more, "links"))
 
 
 def _left_over(sets: DataFrame, links: DataFrame, buckets: int) -> DataFrame:
-    """fp, n, grams, component of the sets whose component may have links to another."""
-    found = connected_components(links)
-    known = sets.select("fp", "n", "grams").join(found.hint("merge"), F.col("fp") == F.col("vertex"), "left").select("fp", "n", "grams", F.coalesce("component", "fp").alias("component"))
-    found = materialize(_hits(known.select("component", "n", "grams").mapInArrow(_profile_components(buckets), SENT_SQL)), "settled")
-    able = found.groupBy("fp").agg(F.min("n").alias("least"), F.sum("hits").alias("hits")).where("4 * hits >= 3 * least").select(F.col("fp").alias("component"))
-    return materialize(known.join(materialize(able, "able").hint("merge"), "component", "left_semi"), "rest")
+    """fp, n, grams, component of the sets, once each, whose component may have links to another."""
+    found = connected_components(links).hint("merge")
+    component = F.coalesce("component", "fp").alias("component")
+    known = sets.select("fp", "n", "grams").join(found, F.col("fp") == F.col("vertex"), "left").select(component, "n", "grams")
+    settled = materialize(_hits(known.mapInArrow(_profile_components(buckets), SENT_SQL)), "settled")
+    able = settled.groupBy("fp").agg(F.min("n").alias("least"), F.sum("hits").alias("hits")).where("4 * hits >= 3 * least").select(F.col("fp").alias("component"))
+    # Only what stays is dealt out once more, and by its own hash alone.
+    named = sets.select("fp").join(found, F.col("fp") == F.col("vertex"), "left").select("fp", component)
+    named = materialize(named.join(materialize(able, "able").hint("merge"), "component", "left_semi").distinct(), "named")
+    likely = having(sets.select("fp", "n", "grams"), "fp", named=named.select("fp")).where("named").select("row.*")
+    return materialize(likely.join(named.hint("merge"), "fp").dropDuplicates(["fp"]), "rest")
+
+
+def _blocks(rest: DataFrame) -> DataFrame:
+    """(block, fp, n, component) of sets (fp, n, grams, component): sets of two components that link have a block in common.
+
+    A block of several chunks gives way to the groups of its sets that share a shingle of their prefixes, if these send less.
+    Shingles of the same sets make one group.
+    """
+    prefixes = materialize(_prefixes(rest), "prefixes")
+    alike = prefixes.groupBy("gram").agg(F.min("fp").alias("u"), F.max("fp").alias("last"), F.count("*").alias("sets"), F.sum(F.pmod(F.xxhash64("fp"), F.lit(1 << 31))).alias("all"))
+    alike = alike.where("u < last").select("gram", "u", F.xxhash64("u", "last", "sets", "all").alias("part"))
+    groups = materialize(prefixes.join(alike, "gram").select("part", "u", "fp").distinct(), "groups")
+    blocks = connected_components(groups.select("u", F.col("fp").alias("v"))).withColumnRenamed("component", "block")
+    members = materialize(rest.select("fp", "n", "component").join(blocks, F.col("fp") == F.col("vertex")).select("block", "fp", "n", "component"), "members")
+    sent = F.sum("n") * F.ceil(F.sum("n") / CHUNK_SHINGLES)
+    large = members.groupBy("block").agg(sent.alias("whole"), F.sum("n").alias("total")).where(F.col("total") > CHUNK_SHINGLES)
+    if large.isEmpty():
+        return members
+    parts = members.join(large.select("block"), "block").join(groups.select("part", "fp"), "fp")
+    # A group within one component has no link that is missing.
+    each = parts.groupBy("block", "part").agg(sent.alias("sent"), F.min("component").alias("a"), F.max("component").alias("b")).where("a < b")
+    each = materialize(each.select("block", "part", "sent"), "parts")
+    split = large.join(each.groupBy("block").agg(F.sum("sent").alias("apart")), "block", "left").where(F.coalesce("apart", F.lit(0)) < F.col("whole"))
+    split = materialize(split.select("block"), "split")
+    apart = parts.join(split, "block", "left_semi").join(each.select("part"), "part", "left_semi").select(F.col("part").alias("block"), "fp", "n", "component")
+    return materialize(members.join(split, "block", "left_anti").union(apart), "members")
 
 
 def _chosen(docs: DataFrame, able: DataFrame) -> DataFrame:
     """The sets (``_sets``) of the documents whose doc_id is in ``able``."""
-    return docs.join(able, "doc_id", "left_semi").select("text").mapInArrow(_sets, "fp long, n long, key_a long, key_b long, grams binary")
+    likely = having(docs.select("doc_id", "text"), "doc_id", able=able).where("able").select("row.*")  # only their texts are dealt out
+    return likely.join(able, "doc_id", "left_semi").select("text").mapInArrow(_sets, "fp long, n long, key_a long, key_b long, grams binary")
 
 
 def linked_sets(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -406,16 +459,11 @@ def linked_sets(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFr
     each = profile.select("doc_id", "fp", "n")
     # Of copies in several tasks each has the others' shingles as hits: such sets stay, once.
     classes = profile.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("hits").alias("hits"))
-    able = classes.where("n > 0 and 4 * hits >= 3 * n and doc_id is not null").select("doc_id")
+    able = materialize(classes.where("n > 0 and 4 * hits >= 3 * n and doc_id is not null").select("doc_id"), "chosen")
     sets = materialize(_chosen(docs, able), "sets")
     near = _near_links(sets, buckets)
     rest = _left_over(sets, near, buckets)
-    prefixes = rest.select("fp", "grams").mapInArrow(_prefixes, "gram long, fp long")
-    least = prefixes.groupBy("gram").agg(F.min("fp").alias("u"), F.max("fp").alias("last")).where("u < last").select("gram", "u")
-    edges = prefixes.join(least, "gram").select("u", F.col("fp").alias("v")).where("u <> v").distinct()
-    blocks = connected_components(edges).withColumnRenamed("component", "block")
-    members = rest.select("fp", "n", "component").distinct().join(blocks, F.col("fp") == F.col("vertex")).select("block", "fp", "n", "component")
-    links = near.union(_block_links(rest.select("fp", "grams"), materialize(members, "members"), buckets))
+    links = near.union(_block_links(rest.select("fp", "grams"), _blocks(rest), buckets))
     return each, connected_components(links)
 
 
