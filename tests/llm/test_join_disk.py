@@ -99,3 +99,14 @@ def test_a_written_table_leaves_no_shuffle_files(spark):
         __import__("time").sleep(0.1)
     assert made.count() == 100 and spark.conf.get(CLEAN_UP) == was
     assert not [f for f in files() - before if f.endswith(".data")][1:]  # but what the count above has written
+
+
+def test_dropped_texts_with_any_columns(spark):
+    texts = near_misses(20, 3, 6)
+    rows = [(i, t, "a", i, None) for i, t in enumerate([*texts, *texts[:7]])] + [(None, texts[0], "a", 0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, own string, dropped long, row int")
+    kept = ngram_join.one_of_each(spark, docs)
+    assert kept.columns == docs.columns
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.text, r.dropped) for r in kept.collect())
+    want = components(texts)
+    assert got == sorted([(False, i, t, i) for i, t in enumerate(texts) if want[i] == i] + [(True, 0, texts[0], 0)])

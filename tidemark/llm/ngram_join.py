@@ -486,8 +486,11 @@ def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """
     found = materialize(ngram_components(spark, docs), "components")
     own = [column(c) for c in docs.columns]
-    dropped = found.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti").select(*own)
+    dropped = materialize(found.where("component_id <> doc_id").select("doc_id").distinct(), "dropped")
+    # Bitmaps tell nearly all; only the texts of the others are dealt out. An id that stays has rows that name itself alone.
+    told = having(docs, "doc_id", dropped=dropped, own=found.where("component_id = doc_id").select("doc_id"))
+    sure, unsure = told.where("not dropped").select("row.*"), told.where("dropped and own").select("row.*")
+    kept = sure.union(unsure.join(dropped, "doc_id", "left_anti").select(*own))
     repeats = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if repeats.isEmpty():
         return kept
